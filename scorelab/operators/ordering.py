@@ -69,6 +69,34 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return out.withColumn(name, F.col(f"{name}_before") + 1).drop("_one", f"{name}_before")
 
 
+def _quantile_hits(label: str, column: str, wanted: Column) -> Column:
+    """The probabilities whose two order statistics touch this row's run of equal values."""
+    n, before = F.col(f"{label}_total"), F.col(f"{label}_before")
+    upto = before + F.col(column)
+
+    def low(q: Column) -> Column:
+        return F.floor((n - 1) * q)
+
+    def high(q: Column) -> Column:
+        return F.least(low(q) + 1, n - 1)
+
+    def holds(position: Column) -> Column:
+        return (position >= before) & (position < upto)
+
+    hits = F.filter(wanted, lambda q: holds(low(q)) | holds(high(q)))
+    entries = F.transform(
+        hits,
+        lambda q: F.struct(
+            F.lit(label).alias("weight"),
+            q.alias("q"),
+            ((n - 1) * q - low(q)).alias("t"),
+            holds(low(q)).alias("is_low"),
+            holds(high(q)).alias("is_high"),
+        ),
+    )
+    return F.when(F.col(column) > 0, entries).otherwise(F.slice(entries, 1, 0))
+
+
 def weighted_quantiles(
     counts: DataFrame,
     keys: Sequence[str],
@@ -85,36 +113,7 @@ def weighted_quantiles(
     keys = list(keys)
     ranked = prefix_sums(counts, keys, [value], weights)
     wanted = F.array(*[F.lit(float(q)) for q in probs])
-    pieces = []
-    for label, column in weights.items():
-        n, before = F.col(f"{label}_total"), F.col(f"{label}_before")
-        upto = before + F.col(column)
-
-        def low_of(q: Column, n: Column = n) -> Column:
-            return F.floor((n - 1) * q)
-
-        def hits(q: Column, pos: Column, before: Column = before, upto: Column = upto) -> Column:
-            return (pos >= before) & (pos < upto)
-
-        def touches(q: Column, n: Column = n) -> Column:
-            low = low_of(q, n)
-            return hits(q, low) | hits(q, F.least(low + 1, n - 1))
-
-        pieces.append(
-            F.transform(
-                F.when(F.col(column) > 0, F.filter(wanted, touches)).otherwise(F.array().cast("array<double>")),
-                lambda q, n=n, label=label, before=before, upto=upto: F.struct(
-                    F.lit(label).alias("weight"),
-                    q.alias("q"),
-                    ((n - 1) * q - low_of(q, n)).alias("t"),
-                    ((low_of(q, n) >= before) & (low_of(q, n) < upto)).alias("is_low"),
-                    (
-                        (F.least(low_of(q, n) + 1, n - 1) >= before)
-                        & (F.least(low_of(q, n) + 1, n - 1) < upto)
-                    ).alias("is_high"),
-                ),
-            )
-        )
+    pieces = [_quantile_hits(label, column, wanted) for label, column in weights.items()]
     hit = ranked.select(
         *keys, F.col(value).alias("_v"), F.explode(F.concat(*pieces)).alias("h")
     ).select(*keys, "_v", "h.*")
