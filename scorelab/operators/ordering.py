@@ -69,7 +69,26 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return out.withColumn(name, F.col(f"{name}_before") + 1).drop("_one", f"{name}_before")
 
 
-def _quantile_hits(label: str, column: str, wanted: Column) -> Column:
+def _near(probs: Sequence[float], n: Column, before: Column, upto: Column) -> Column:
+    """A slice of ``probs`` that contains every probability this row can serve.
+
+    Only long evenly spaced lists need it; the exact test follows either way.
+    """
+    wanted = F.array(*[F.lit(float(q)) for q in probs])
+    if len(probs) < 8:
+        return wanted
+    step = (probs[-1] - probs[0]) / (len(probs) - 1)
+    if any(abs(probs[0] + i * step - q) > step * 1e-6 for i, q in enumerate(probs)):
+        return wanted
+    unit = F.greatest(n - 1, F.lit(1)) * F.lit(step)
+    shift = F.lit(probs[0] / step)
+    first = F.greatest(F.floor((before - 1) / unit - shift) - 1, F.lit(0))
+    last = F.least(F.ceil(upto / unit - shift) + 1, F.lit(len(probs) - 1))
+    span = F.slice(wanted, (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))
+    return F.when(n > 1, span).otherwise(wanted)
+
+
+def _quantile_hits(label: str, column: str, probs: Sequence[float]) -> Column:
     """The probabilities whose two order statistics touch this row's run of equal values."""
     n, before = F.col(f"{label}_total"), F.col(f"{label}_before")
     upto = before + F.col(column)
@@ -83,7 +102,7 @@ def _quantile_hits(label: str, column: str, wanted: Column) -> Column:
     def holds(position: Column) -> Column:
         return (position >= before) & (position < upto)
 
-    hits = F.filter(wanted, lambda q: holds(low(q)) | holds(high(q)))
+    hits = F.filter(_near(probs, n, before, upto), lambda q: holds(low(q)) | holds(high(q)))
     entries = F.transform(
         hits,
         lambda q: F.struct(
@@ -112,8 +131,7 @@ def weighted_quantiles(
     """
     keys = list(keys)
     ranked = prefix_sums(counts, keys, [value], weights)
-    wanted = F.array(*[F.lit(float(q)) for q in probs])
-    pieces = [_quantile_hits(label, column, wanted) for label, column in weights.items()]
+    pieces = [_quantile_hits(label, column, probs) for label, column in weights.items()]
     hit = ranked.select(
         *keys, F.col(value).alias("_v"), F.explode(F.concat(*pieces)).alias("h")
     ).select(*keys, "_v", "h.*")

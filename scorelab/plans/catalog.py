@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorelab.plans import data_queries, metric_queries  # noqa: F401
+from scorelab.plans import data_queries, fairness_queries, metric_queries  # noqa: F401
 from scorelab.plans.base import CATALOG, ORACLES
 
 
