@@ -234,7 +234,7 @@ def spearman(rows: DataFrame, keys: Sequence[str], a: str, b: str, name: str = "
         ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
         return F.rank().over(w.orderBy(c)) + (ties - 1) / F.lit(2.0)
 
-    r = rows.withColumns({"_ra": ranked(a), "_rb": ranked(b)})
+    r = rows.withColumns({"_rank_a": ranked(a), "_rank_b": ranked(b)})
     return _rank_correlation(r, keys, name)
 
 
@@ -242,18 +242,16 @@ def spearman_large(rows: DataFrame, keys: Sequence[str], a: str, b: str, name: s
     """The same for keys of any size: ranks through range partitions."""
     from scorelab.operators.ordering import average_ranks
 
-    r = average_ranks(average_ranks(rows, keys, a, "_ra"), keys, b, "_rb")
+    r = average_ranks(average_ranks(rows, keys, a, "_rank_a"), keys, b, "_rank_b")
     return _rank_correlation(r, keys, name)
 
 
 def _rank_correlation(ranked: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     sums = ranked.groupBy(*keys).agg(
-        F.covar_pop("_ra", "_rb").alias("_c"),
-        F.var_pop("_ra").alias("_va"),
-        F.var_pop("_rb").alias("_vb"),
+        F.covar_pop("_rank_a", "_rank_b").alias("_c"),
+        F.var_pop("_rank_a").alias("_va"),
+        F.var_pop("_rank_b").alias("_vb"),
         F.count(F.lit(1)).alias("n"),
     )
     return sums.select(*keys, "n", ratio(F.col("_c"), F.sqrt(F.col("_va")) * F.sqrt(F.col("_vb"))).alias(name))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from scorelab.functions.grids import FAIRNESS, Grid
 from scorelab.functions.numeric import clip, ratio
 from scorelab.operators.metrics import confusion_columns
-from scorelab.operators.ordering import exact_quantiles, prefix_sums
+from scorelab.operators.ordering import prefix_sums, weighted_quantiles
 from scorelab.operators.thresholds import grid_confusion, optimal_thresholds
 from scorelab.session import materialised
 
@@ -167,11 +167,14 @@ def fit_equal_opportunity(
         )
     )
     fallback = materialised(
-        optimal_thresholds(scores, keys, ["f1"], cost_fp, cost_fn).select(*keys, F.col("threshold").alias("fallback"))
+        optimal_thresholds(counts, keys, ["f1"], cost_fp, cost_fn).select(*keys, F.col("threshold").alias("fallback"))
     )
     step = 1.0 / (max(2, candidates) - 1)
     probs = [i * step for i in range(max(2, candidates) - 1)] + [1.0]
-    quantiles = exact_quantiles(rows, by_level, "p", probs).select(*by_level, F.col("value").alias("p"))
+    sized = counts.withColumn("_n", F.col("pos") + F.col("neg"))
+    quantiles = weighted_quantiles(sized, by_level, "p", {"all": "_n"}, probs).select(
+        *by_level, F.col("value").alias("p")
+    )
     levels = counts.select(*by_level).distinct()
     ends = levels.withColumn("p", F.explode(F.array(F.lit(-1e-12), F.lit(1.0 + 1e-12))))
     none = F.lit(0).cast("long")
@@ -203,15 +206,15 @@ def fit_equal_opportunity(
     usable = marked.where(both & (F.col("cand") == 1))
     skipped = marked.where(~both & (F.col("fall") == 1))
     width = 1.0 / (targets - 1)
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i * width).alias("t")) for i in range(targets)])
     # at most (candidates + 2) x targets rows per level
     chosen = materialised(
-        usable.withColumn("g", F.explode(grid))
-        .groupBy(*by_level, F.col("g.i").alias("i"), F.col("g.t").alias("target"))
+        usable.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(targets - 1))))
+        .withColumn("target", F.col("i") * F.lit(width))
+        .groupBy(*by_level, "i", "target")
         .agg(
             F.min(
                 F.struct(
-                    F.abs(F.col("tpr") - F.col("g.t")).alias("miss"), (-F.col("utility")).alias("nu"),
+                    F.abs(F.col("tpr") - F.col("target")).alias("miss"), (-F.col("utility")).alias("nu"),
                     (-F.col("threshold")).alias("nt"), "tpr", "tp", "fp", "np", "nn",
                 )
             ).alias("b")

@@ -74,7 +74,7 @@ def _near(probs: Sequence[float], n: Column, before: Column, upto: Column) -> Co
 
     Only long evenly spaced lists need it; the exact test follows either way.
     """
-    wanted = F.array(*[F.lit(float(q)) for q in probs])
+    wanted = F.expr("array(" + ", ".join(f"{float(q)!r}D" for q in probs) + ")")
     if len(probs) < 8:
         return wanted
     step = (probs[-1] - probs[0]) / (len(probs) - 1)

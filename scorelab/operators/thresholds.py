@@ -17,17 +17,17 @@ CRITERIA = ("f1", "g_mean", "youden", "cost")
 def grid_confusion(scores: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
     """TP, FP, FN, TN per key and grid point: keys, i, threshold, counts.
 
-    Rows shrink to (grid.size + 1) slots per key before anything is expanded, so
-    the expansion is bounded by the grid, not by the data.
+    ``scores`` holds single rows (y) or class counts per score (pos, neg). Rows
+    shrink to (grid.size + 1) slots per key before anything is expanded, so the
+    expansion is bounded by the grid, not by the data.
     """
     keys = list(keys)
+    counted = "pos" in scores.columns
+    pos, neg = (F.col("pos"), F.col("neg")) if counted else (F.col("y"), 1 - F.col("y"))
     slots = (
         scores.withColumn("_slot", grid.slot(F.col("p")))
         .groupBy(*keys, "_slot")
-        .agg(
-            F.sum("y").cast("long").alias("_pos"),
-            F.sum(1 - F.col("y")).cast("long").alias("_neg"),
-        )
+        .agg(F.sum(pos).cast("long").alias("_pos"), F.sum(neg).cast("long").alias("_neg"))
     )
     over = F.col("_slot") > F.col("i")
     points = slots.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid.size - 1))))
