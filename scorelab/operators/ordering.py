@@ -69,51 +69,44 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return out.withColumn(name, F.col(f"{name}_before") + 1).drop("_one", f"{name}_before")
 
 
-def _near(probs: Sequence[float], n: Column, before: Column, upto: Column) -> Column:
-    """A slice of ``probs`` that contains every probability this row can serve.
+def _near(probs: Sequence[float], n: str, before: str, upto: str) -> str:
+    """SQL for a slice of ``probs`` that contains every probability this row can serve.
 
     Only long evenly spaced lists need it; the exact test follows either way.
     """
-    wanted = F.expr("array(" + ", ".join(f"{float(q)!r}D" for q in probs) + ")")
+    wanted = "array(" + ", ".join(f"{float(q)!r}D" for q in probs) + ")"
     if len(probs) < 8:
         return wanted
     step = (probs[-1] - probs[0]) / (len(probs) - 1)
     if any(abs(probs[0] + i * step - q) > step * 1e-6 for i, q in enumerate(probs)):
         return wanted
-    unit = F.greatest(n - 1, F.lit(1)) * F.lit(step)
-    shift = F.lit(probs[0] / step)
-    first = F.greatest(F.floor((before - 1) / unit - shift) - 1, F.lit(0))
-    last = F.least(F.ceil(upto / unit - shift) + 1, F.lit(len(probs) - 1))
-    span = F.slice(wanted, (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))
-    return F.when(n > 1, span).otherwise(wanted)
-
-
-def _quantile_hits(label: str, column: str, probs: Sequence[float]) -> Column:
-    """The probabilities whose two order statistics touch this row's run of equal values."""
-    n, before = F.col(f"{label}_total"), F.col(f"{label}_before")
-    upto = before + F.col(column)
-
-    def low(q: Column) -> Column:
-        return F.floor((n - 1) * q)
-
-    def high(q: Column) -> Column:
-        return F.least(low(q) + 1, n - 1)
-
-    def holds(position: Column) -> Column:
-        return (position >= before) & (position < upto)
-
-    hits = F.filter(_near(probs, n, before, upto), lambda q: holds(low(q)) | holds(high(q)))
-    entries = F.transform(
-        hits,
-        lambda q: F.struct(
-            F.lit(label).alias("weight"),
-            q.alias("q"),
-            ((n - 1) * q - low(q)).alias("t"),
-            holds(low(q)).alias("is_low"),
-            holds(high(q)).alias("is_high"),
-        ),
+    unit, shift = f"(greatest({n} - 1, 1) * {step!r}D)", f"{probs[0] / step!r}D"
+    first = f"greatest(floor(({before} - 1) / {unit} - {shift}) - 1, 0)"
+    last = f"least(ceil(({upto}) / {unit} - {shift}) + 1, {len(probs) - 1})"
+    span = f"slice({wanted}, int({first} + 1), int(greatest({last} - {first} + 1, 0)))"
+    return f"CASE WHEN {n} > 1 THEN {span} ELSE {wanted} END"
+
+
+def _quantile_hits(label: str, column: str, probs: Sequence[float]) -> str:
+    """SQL for the probabilities whose two order statistics touch this row's run of equal values.
+
+    One expression text instead of many column calls: it is repeated per weight.
+    """
+    n, before = f"`{label}_total`", f"`{label}_before`"
+    upto = f"{before} + `{column}`"
+    low = f"floor(({n} - 1) * q)"
+    high = f"least({low} + 1, {n} - 1)"
+
+    def holds(position: str) -> str:
+        return f"({position} >= {before} AND {position} < {upto})"
+
+    hits = f"filter({_near(probs, n, before, upto)}, q -> {holds(low)} OR {holds(high)})"
+    entry = (
+        f"named_struct('weight', '{label}', 'q', q, 't', ({n} - 1) * q - {low}, "
+        f"'is_low', {holds(low)}, 'is_high', {holds(high)})"
     )
-    return F.when(F.col(column) > 0, entries).otherwise(F.slice(entries, 1, 0))
+    found = f"transform({hits}, q -> {entry})"
+    return f"CASE WHEN `{column}` > 0 THEN {found} ELSE slice({found}, 1, 0) END"
 
 
 def weighted_quantiles(
@@ -131,9 +124,9 @@ def weighted_quantiles(
     """
     keys = list(keys)
     ranked = prefix_sums(counts, keys, [value], weights)
-    pieces = [_quantile_hits(label, column, probs) for label, column in weights.items()]
+    pieces = ", ".join(_quantile_hits(label, column, probs) for label, column in weights.items())
     hit = ranked.select(
-        *keys, F.col(value).alias("_v"), F.explode(F.concat(*pieces)).alias("h")
+        *keys, F.col(value).alias("_v"), F.expr(f"explode(concat({pieces}))").alias("h")
     ).select(*keys, "_v", "h.*")
     ends = hit.groupBy(*keys, "weight", "q").agg(
         F.max(F.when(F.col("is_low"), F.col("_v"))).alias("_lo"),

@@ -121,22 +121,22 @@ def apply_statistics(
 
     ``df`` carries the name of the fit to use in column ``fit``.
     """
-    payload = F.struct("median", "lower", "upper", "mean", "scale")
+    payload = "named_struct('median', median, 'lower', lower, 'upper', upper, 'mean', mean, 'scale', scale)"
     per_fit = stats.groupBy("fit").agg(
-        *[F.first(F.when(F.col("feature") == c, payload), ignorenulls=True).alias(f"_{c}") for c in features]
+        *[F.expr(f"first(CASE WHEN feature = '{c}' THEN {payload} END, true)").alias(f"_{c}") for c in features]
     )
     # one row per fit: bounded by parameters
     joined = df.join(F.broadcast(per_fit.withColumnRenamed("fit", fit)), fit)
 
     def prepared(c: str) -> Column:
-        s = F.col(f"_{c}")
-        x = clip(F.coalesce(F.col(c).cast("double"), s["median"]), s["lower"], s["upper"])
-        return ((x - s["mean"]) / s["scale"] if scale else x).alias(c)
+        filled = f"coalesce(CAST(`{c}` AS DOUBLE), `_{c}`.median)"
+        x = f"least(greatest({filled}, `_{c}`.lower), `_{c}`.upper)"
+        return F.expr(f"({x} - `_{c}`.mean) / `_{c}`.scale" if scale else x).alias(c)
 
     return joined.select(
         *keep,
         *[prepared(c) for c in features],
-        *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in indicators],
+        *[F.expr(f"int(`{c}` IS NULL)").alias(f"{c}_missing") for c in indicators],
         *nominals,
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorelab.plans import analysis_queries, data_queries, fairness_queries, metric_queries, resample_queries  # noqa: F401
+from scorelab.plans import analysis_queries, data_queries, fairness_queries, metric_queries, model_queries, resample_queries  # noqa: F401
 from scorelab.plans.base import CATALOG, ORACLES
 
 
