@@ -14,6 +14,7 @@ class Grid:
     start: float
     step: float
     size: int
+    first: int = 0
 
     @classmethod
     def arange(cls, start: float, stop: float, step: float) -> "Grid":
@@ -22,18 +23,18 @@ class Grid:
     @classmethod
     def inner_edges(cls, bins: int) -> "Grid":
         """Edges between ``bins`` equal-width bins of [0, 1]."""
-        width = 1.0 / bins
-        return cls(width, width, bins - 1)
+        return cls(0.0, 1.0 / bins, bins - 1, first=1)
 
     def values(self) -> list[float]:
-        return [self.start + i * self.step for i in range(self.size)]
+        return [self.start + (i + self.first) * self.step for i in range(self.size)]
 
     def point(self, index: Column) -> Column:
-        return F.lit(self.start) + index * F.lit(self.step)
+        place = index + self.first if self.first else index
+        return F.lit(self.start) + place * F.lit(self.step)
 
     def slot(self, value: Column) -> Column:
         """How many grid points are <= value; exact for every double."""
-        guess = F.floor((value - F.lit(self.start)) / F.lit(self.step))
+        guess = F.floor((value - F.lit(self.start)) / F.lit(self.step)) - self.first
         exact = (
             F.when(self.point(guess + 1) <= value, guess + 1)
             .when(self.point(guess) > value, guess - 1)

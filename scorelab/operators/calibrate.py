@@ -112,6 +112,9 @@ def logistic_recalibration(
     per step, a closed-form 2x2 solve, and a written parameter table (one row per
     key) between steps. Parameters stay within +-30.
     """
+    if not keys:
+        one = logistic_recalibration(scores.withColumn("_all", F.lit(0)), ["_all"], max_iter, tol)
+        return one.drop("_all")
     keys = list(keys)
     p = clip(F.col("p"), EPS, 1.0 - EPS)
     cells = materialised(

@@ -79,6 +79,9 @@ def _nearest(
         )
         return spark.createDataFrame([], schema)
 
+    def column(values: np.ndarray) -> pd.Series:
+        return pd.Series(values) if values.dtype.kind in "iuf" else pd.Series(values.astype(object), dtype=object)
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf) == 0:
@@ -86,7 +89,14 @@ def _nearest(
             x = np.stack(pdf["vec"].to_numpy()).astype(float)
             dist = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres], axis=1)
             cell = dist.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), dist=dist[np.arange(len(x)), cell])
+            yield pd.DataFrame(
+                {
+                    "id": column(pdf["id"].to_numpy()),
+                    "vec": column(pdf["vec"].to_numpy()),
+                    "cell": cell.astype("int32"),
+                    "dist": dist[np.arange(len(x)), cell],
+                }
+            )
 
     cell_schema = T.StructType(
         [*candidates.select("id", "vec").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())]
@@ -123,7 +133,7 @@ def _nearest(
             visit = (dist - high[None, :] <= bound[:, None]) & (low[None, :] - dist <= bound[:, None])
             row, col = np.nonzero(visit)
             yield pd.DataFrame(
-                {"query_id": pdf["id"].to_numpy()[row], "qvec": pdf["vec"].to_numpy()[row], "cell": used[col].astype("int32")}
+                {"query_id": column(pdf["id"].to_numpy()[row]), "qvec": column(pdf["vec"].to_numpy()[row]), "cell": used[col].astype("int32")}
             )
 
     query_type = queries.schema["id"].dataType
@@ -147,16 +157,25 @@ def _nearest(
 
     def nearest_in_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({"query_id": none, "id": none, "distance": pd.Series([], dtype=float)})
         c = c.sort_values("id", kind="stable")
         ids = c["id"].to_numpy()
         y = np.stack(c["vec"].to_numpy()).astype(float)
-        out = []
-        for qid, vec in zip(q["query_id"].to_numpy(), q["qvec"].to_numpy()):
+        picks, dists = [], []
+        for vec in q["qvec"].to_numpy():
             d = ((y - np.asarray(vec, dtype=float)) ** 2).sum(axis=1)
             best = np.argsort(d, kind="stable")[:need]
-            out.append(pd.DataFrame({"query_id": qid, "id": ids[best], "distance": np.sqrt(d[best])}))
-        return pd.concat(out, ignore_index=True)
+            picks.append(best)
+            dists.append(np.sqrt(d[best]))
+        each = [len(x) for x in picks]
+        return pd.DataFrame(
+            {
+                "query_id": column(np.repeat(q["query_id"].to_numpy(), each)),
+                "id": column(ids[np.concatenate(picks)]),
+                "distance": np.concatenate(dists),
+            }
+        )
 
     pair_schema = T.StructType(
         [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())]

@@ -57,10 +57,14 @@ def r(expr: str, name: str, digits: int = 8) -> str:
 
 
 def line_id():
-    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Order and line number alone do not identify a line item in these tables."""
+    cents = F.round(F.col("l_extendedprice") * 100.0).cast("long")
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
 
 
-SQL_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+SQL_LINE_ID = (
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100.0::DOUBLE)::BIGINT)"
+)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scorelab.functions.grids import FAIRNESS
 from scorelab.operators import bootstrap, fairness, metrics, thresholds
-from scorelab.plans.base import SQL_SCORES, line_id, query, r, scores, table, tidy, with_sql
+from scorelab.plans.base import SQL_LINE_ID, SQL_SCORES, line_id, query, r, scores, table, tidy, with_sql
 
 GROUPS = ["priority", "segment"]
 GRID = f"grid AS (SELECT i, {FAIRNESS.start!r}::DOUBLE + i * {FAIRNESS.step!r}::DOUBLE AS t FROM range({FAIRNESS.size}) g(i))"
@@ -25,8 +25,8 @@ def grouped(spark, d):
     return scores(spark, d).join(g, "row_id")
 
 
-SQL_GROUPED = SQL_SCORES + """,
-grp AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, o_orderpriority AS priority, nullif(c_mktsegment, 'FURNITURE') AS segment
+SQL_GROUPED = SQL_SCORES + f""",
+grp AS (SELECT {SQL_LINE_ID} AS row_id, o_orderpriority AS priority, nullif(c_mktsegment, 'FURNITURE') AS segment
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 gs AS (SELECT s.*, priority, segment FROM scores s JOIN grp USING (row_id)),
 melted AS (SELECT run_id, model, row_id, y, p, 'priority' AS group_column, priority AS level FROM gs

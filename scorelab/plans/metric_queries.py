@@ -230,7 +230,7 @@ def pairwise_p_values(spark, d):
 
 # --- calibration ----------------------------------------------------------------
 
-BINNED = f"""edges AS (SELECT i + 1 AS k, 0.1::DOUBLE + i * 0.1::DOUBLE AS e FROM range(9) g(i)),
+BINNED = f"""edges AS (SELECT i + 1 AS k, (i + 1) * 0.1::DOUBLE AS e FROM range(9) g(i)),
 clipped AS (SELECT run_id, model, y, least(greatest(p, {calibrate.EPS!r}::DOUBLE), {1 - calibrate.EPS!r}::DOUBLE) AS p FROM scores),
 distinct_p AS (SELECT run_id, model, p, count(*) AS n, sum(y) AS sy FROM clipped GROUP BY ALL),
 binned AS (SELECT d.*, (SELECT count(*) FROM edges WHERE e <= d.p) AS bin FROM distinct_p d),
