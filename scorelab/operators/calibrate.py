@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorelab.functions.grids import Grid
 from scorelab.functions.numeric import clip, ratio
 from scorelab.operators.metrics import score_counts
-from scorelab.session import materialised
+from scorelab.session import checked_broadcast, materialised
 
 EPS = 2.220446049250313e-16
 
@@ -103,17 +103,48 @@ def calibration_summary(scores: DataFrame, keys: Sequence[str], bins: int = 10)
     )
 
 
+def _newton_step(cells: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+    """One damped step for all keys: grouped score equations and a closed-form 2x2 solve."""
+    x, n, pos = F.col("_x"), F.col("_n"), F.col("pos")
+
+    def mean(eta):
+        return 1.0 / (1.0 + F.exp(-eta))
+
+    mu = mean(F.col("a") + F.col("b") * x)
+    nu = mean(F.col("c") + x)
+    w, v = n * mu * (1.0 - mu), n * nu * (1.0 - nu)
+    sums = cells.join(params, keys).groupBy(*keys, "a", "b", "c").agg(
+        F.sum(pos - n * mu).alias("g0"),
+        F.sum((pos - n * mu) * x).alias("g1"),
+        F.sum(w).alias("h00"),
+        F.sum(w * x).alias("h01"),
+        F.sum(w * x * x).alias("h11"),
+        F.sum(pos - n * nu).alias("k0"),
+        F.sum(v).alias("m0"),
+    )
+    det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
+    da = F.coalesce(ratio(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det), F.lit(0.0))
+    db = F.coalesce(ratio(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det), F.lit(0.0))
+    dc = F.coalesce(ratio(F.col("k0"), F.col("m0")), F.lit(0.0))
+    return sums.select(
+        *keys,
+        clip(F.col("a") + clip(da, -5.0, 5.0), -30.0, 30.0).alias("a"),
+        clip(F.col("b") + clip(db, -5.0, 5.0), -30.0, 30.0).alias("b"),
+        clip(F.col("c") + clip(dc, -5.0, 5.0), -30.0, 30.0).alias("c"),
+        F.greatest(F.abs(da), F.abs(db), F.abs(dc)).alias("_step"),
+    )
+
+
 def logistic_recalibration(
-    scores: DataFrame, keys: Sequence[str], max_iter: int = 25, tol: float = 1e-10
+    scores: DataFrame, keys: Sequence[str], max_iter: int = 24, tol: float = 1e-10, unrolled: int = 3
 ) -> DataFrame:
     """Calibration intercept and slope, and calibration in the large, for all keys at once.
 
-    Newton steps on distinct scores: one grouped aggregate of the score equations
-    per step, a closed-form 2x2 solve, and a written parameter table (one row per
-    key) between steps. Parameters stay within +-30.
+    Newton steps on distinct scores; the parameters (one row per key) are written
+    every few steps, which keeps the lineage short. They stay within +-30.
     """
     if not keys:
-        one = logistic_recalibration(scores.withColumn("_all", F.lit(0)), ["_all"], max_iter, tol)
+        one = logistic_recalibration(scores.withColumn("_all", F.lit(0)), ["_all"], max_iter, tol, unrolled)
         return one.drop("_all")
     keys = list(keys)
     p = clip(F.col("p"), EPS, 1.0 - EPS)
@@ -122,42 +153,15 @@ def logistic_recalibration(
         .withColumn("_x", F.log(p / (1.0 - p)))
         .select(*keys, "_x", "pos", (F.col("pos") + F.col("neg")).alias("_n"))
     )
-    params = materialised(
+    params = checked_broadcast(
         cells.select(*keys).distinct().withColumns(
             {"a": F.lit(0.0), "b": F.lit(1.0), "c": F.lit(0.0), "_step": F.lit(1.0)}
         )
     )
-    x, n, pos = F.col("_x"), F.col("_n"), F.col("pos")
-
-    def mean(eta):
-        return 1.0 / (1.0 + F.exp(-eta))
-
-    for _ in range(max_iter):
-        mu = mean(F.col("a") + F.col("b") * x)
-        nu = mean(F.col("c") + x)
-        w, v = n * mu * (1.0 - mu), n * nu * (1.0 - nu)
-        sums = cells.join(params, keys).groupBy(*keys, "a", "b", "c").agg(
-            F.sum(pos - n * mu).alias("g0"),
-            F.sum((pos - n * mu) * x).alias("g1"),
-            F.sum(w).alias("h00"),
-            F.sum(w * x).alias("h01"),
-            F.sum(w * x * x).alias("h11"),
-            F.sum(pos - n * nu).alias("k0"),
-            F.sum(v).alias("m0"),
-        )
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        da = F.coalesce(ratio(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det), F.lit(0.0))
-        db = F.coalesce(ratio(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det), F.lit(0.0))
-        dc = F.coalesce(ratio(F.col("k0"), F.col("m0")), F.lit(0.0))
-        params = materialised(
-            sums.select(
-                *keys,
-                clip(F.col("a") + clip(da, -5.0, 5.0), -30.0, 30.0).alias("a"),
-                clip(F.col("b") + clip(db, -5.0, 5.0), -30.0, 30.0).alias("b"),
-                clip(F.col("c") + clip(dc, -5.0, 5.0), -30.0, 30.0).alias("c"),
-                F.greatest(F.abs(da), F.abs(db), F.abs(dc)).alias("_step"),
-            )
-        )
+    for done in range(0, max_iter, unrolled):
+        for _ in range(min(unrolled, max_iter - done)):
+            params = _newton_step(cells, params, keys)
+        params = checked_broadcast(params)
         if (params.agg(F.max("_step")).first()[0] or 0.0) < tol:
             break
     return params.select(

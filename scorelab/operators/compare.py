@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from scorelab.functions.numeric import ratio, ratio_or_zero
 from scorelab.functions.pvalues import chi_square_tail, normal_two_sided
-from scorelab.operators.metrics import ranking_metrics, score_curve
+from scorelab.operators.metrics import score_curve
+from scorelab.session import checked_broadcast
 
 # Studentised range quantile (alpha 0.05) over sqrt(2), for 2 to 10 models.
 NEMENYI_Q05 = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
@@ -43,7 +44,7 @@ def mcnemar(scores: DataFrame, keys: Sequence[str], thresholds: DataFrame | floa
     keys = list(keys)
     if isinstance(thresholds, DataFrame):
         on = [k for k in (*keys, "model") if k in thresholds.columns]
-        scored = scores.join(thresholds.select(*on, "threshold"), on)
+        scored = scores.join(checked_broadcast(thresholds.select(*on, "threshold")), on)
         cut = F.col("threshold")
     else:
         scored, cut = scores, F.lit(float(thresholds))

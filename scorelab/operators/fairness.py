@@ -13,7 +13,7 @@ from scorelab.functions.numeric import clip, ratio
 from scorelab.operators.metrics import confusion_columns
 from scorelab.operators.ordering import prefix_sums, weighted_quantiles
 from scorelab.operators.thresholds import grid_confusion, optimal_thresholds
-from scorelab.session import materialised
+from scorelab.session import checked_broadcast, materialised
 
 MISSING = "__MISSING__"
 EVERYONE = "__all__"
@@ -277,8 +277,8 @@ def apply_policy(
     """Add ``level``, ``decision`` and ``used_fallback``; unseen levels use the fallback threshold."""
     keys = list(keys)
     rows = scores.withColumn("level", F.coalesce(F.col(group).cast("string"), F.lit(MISSING)))
-    fits = policy.where(F.col("status") == "fit").select(*keys, "fallback")
-    cut = thresholds.select(*keys, "level", F.col("threshold").alias("_t"))
+    fits = checked_broadcast(policy.where(F.col("status") == "fit").select(*keys, "fallback"))
+    cut = checked_broadcast(thresholds.select(*keys, "level", F.col("threshold").alias("_t")))
     joined = rows.join(fits, keys).join(cut, [*keys, "level"], "left")
     return joined.withColumns(
         {
@@ -339,7 +339,8 @@ def reference_row(
 ) -> DataFrame:
     """Accuracy, utility and gaps at one threshold per key; NULL groups leave the gaps only."""
     keys = list(keys)
-    rows = scores.join(references.select(*keys, "threshold"), keys).withColumn("_hit", F.col("p") >= F.col("threshold"))
+    cuts = checked_broadcast(references.select(*keys, "threshold"))
+    rows = scores.join(cuts, keys).withColumn("_hit", F.col("p") >= F.col("threshold"))
     y = F.col("y") == 1
     cells = rows.groupBy(*keys, F.col(group).cast("string").alias("level")).agg(
         F.count_if(F.col("_hit") & y).alias("tp"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scorelab.functions.numeric import TINY, ratio, ratio_or_zero
 from scorelab.operators.ordering import prefix_sums
+from scorelab.session import checked_broadcast
 
 METRICS = ["AUROC", "AUPRC", "F1", "Precision", "Recall", "Specificity", "G-Mean", "MCC", "Brier"]
 COUNTS = ["TP", "FP", "FN", "TN"]
@@ -110,7 +111,8 @@ def metric_rows(
     curve = score_curve(scores, keys, weight)
     if isinstance(thresholds, DataFrame):
         on = [k for k in keys if k in thresholds.columns]
-        curve = curve.join(thresholds.select(*on, "threshold"), on)
+        cuts = checked_broadcast(thresholds.select(*on, "threshold"))
+        curve = curve.join(cuts, on) if on else curve.withColumn("threshold", cuts.select("threshold").scalar())
     else:
         curve = curve.withColumn("threshold", F.lit(float(thresholds)))
     p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")

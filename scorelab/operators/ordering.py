@@ -54,7 +54,9 @@ def prefix_sums(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = chunks.join(offsets, [*keys, CHUNK])
+    # A sort-merge join on (keys, chunk), whatever the size estimates say: it spreads
+    # a hot key over its chunks and leaves the partitioning that the window needs.
+    out = chunks.hint("merge").join(offsets, [*keys, CHUNK])
     before = {
         f"{n}_before": F.coalesce(F.sum(sums[n]).over(inside), F.lit(0)) + F.col(f"_{n}_offset")
         for n in names

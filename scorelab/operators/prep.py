@@ -75,7 +75,7 @@ def fit_statistics(
             F.max(F.when(F.col("q") == hi, F.col("value"))).alias("upper"),
         )
     )
-    limits = materialised(centre.join(bounds, ["feature", "fit"]))
+    limits = centre.join(bounds, ["feature", "fit"])
     long = filled.unpivot(["feature", "value"], list(weights.values()), "fit", "n").withColumn(
         "fit", F.expr("substring(fit, 3)")
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", name: str = "scorelab", memory: str = "16g") -> SparkSession:
@@ -50,3 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Write a table of parameters (one narrow row per key) and broadcast it if it is small.
+
+    Above ``max_rows`` the plain table comes back, and the join shuffles (with
+    adaptive skew handling) instead.
+    """
+    written = materialised(df)
+    return F.broadcast(written) if written.count() <= max_rows else written
