@@ -71,7 +71,11 @@ def main(argv):
     con = connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
     failed = 0
+    only_sql = "--sql" in wanted
+    wanted = [w for w in wanted if w != "--sql"]
     for name, fn in queries.items():
+        if only_sql and name not in oracle:
+            continue
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
