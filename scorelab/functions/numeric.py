@@ -30,8 +30,8 @@ def clip(value: Column, low: Column | float, high: Column | float) -> Column:
 
 def floor_days(later: Column, earlier: Column) -> Column:
     """Whole days rounded towards minus infinity, also for negative spans."""
-    seconds = F.timestamp_diff("SECOND", earlier, later)
-    return F.floor(seconds / F.lit(86400.0)).cast("double")
+    micros = F.timestamp_diff("MICROSECOND", earlier, later)
+    return F.floor(micros / F.lit(86400e6)).cast("double")
 
 
 def add_months(ts: Column, months: Column | int) -> Column:

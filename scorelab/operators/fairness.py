@@ -402,12 +402,15 @@ def constrained_selection(
             "fairness_constraint_ok": F.coalesce(gap <= max_gap, F.lit(False)),
             "robustness_constraint_ok": F.coalesce(F.col("robustness_retention") >= min_robustness, F.lit(False)),
             "constraint_violation": F.coalesce(F.greatest(gap - max_gap, F.when(gap.isNotNull(), F.lit(0.0))), F.lit(1.0))
-            + F.greatest(min_robustness - F.col("robustness_retention"), F.lit(0.0)),
+            + F.when(
+                F.col("robustness_retention").isNotNull(),
+                F.greatest(min_robustness - F.col("robustness_retention"), F.lit(0.0)),
+            ),
         }
     )
     feasible = scored.withColumn("feasible", F.col("fairness_constraint_ok") & F.col("robustness_constraint_ok"))
     place = F.row_number().over(
-        w.orderBy(F.desc("feasible"), F.desc_nulls_last("reliability_score"), F.asc("constraint_violation"), order)
+        w.orderBy(F.desc("feasible"), F.desc_nulls_last("reliability_score"), F.asc_nulls_last("constraint_violation"), order)
     )
     role = (
         F.when((F.col("place") == 1) & F.col("feasible"), "feasible_candidate")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from scorelab.functions.hashing import uniform
 from scorelab.functions.numeric import add_months
 from scorelab.operators.ordering import numbered
+from scorelab.session import checked_broadcast
 
 
 def rolling_origin(cases: DataFrame, cutoffs: Sequence[str], window_months: int = 6) -> DataFrame:
@@ -203,6 +204,7 @@ def forward_membership(
 ) -> DataFrame:
     """(fold, row_id, part) for all folds; rows meet folds by equality on month numbers only."""
     keys = list(keys)
+    folds = checked_broadcast(folds.select(*keys, "fold", "month", "boundary"))
     rows = cases.select(
         *keys, row_id, "y", _month_start(F.col("orig")).alias("month"), available_from().alias("avail")
     )
@@ -217,7 +219,7 @@ def forward_membership(
     reach = calendar.alias("c").join(bounds.alias("b"), known).select(
         *[F.col(f"c.{x}") for x in keys], "c.avail", "b.fold"
     )
-    train = rows.join(reach, [*keys, "avail"]).select(*keys, "fold", row_id, "y", F.lit("train").alias("part"))
+    train = rows.join(checked_broadcast(reach), [*keys, "avail"]).select(*keys, "fold", row_id, "y", F.lit("train").alias("part"))
     return train.unionByName(validation)
 
 

@@ -32,6 +32,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the SQL twins read the times as UTC
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
