@@ -128,8 +128,8 @@ class Folds:
 
 def with_forward_flags(cases: DataFrame, k: int = 3, min_per_class: int = 6) -> DataFrame:
     """Add the forward folds that each row trains or validates."""
-    folds = splits.forward_folds(cases, k, min_per_class)
-    membership = splits.forward_membership(cases, folds)
+    folds = materialised(splits.forward_folds(cases, k, min_per_class))
+    membership = materialised(splits.forward_membership(cases, folds))
     splits.require_forward_folds(membership, folds, k)
     flags = membership.groupBy("row_id").agg(
         F.collect_set(F.when(F.col("part") == "train", F.col("fold"))).alias("train_folds"),
