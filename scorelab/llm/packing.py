@@ -17,8 +17,11 @@ of their own. Very long texts give as many pieces as they need.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +32,44 @@ from pyspark.sql.window import Window
 from scorelab.llm.common import stored, utf8
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Words, and stems of words, whose ids a worker remembers.
+REMEMBERED = 400_000
 BREAK = "<|endoftext|>"
 
 
+#: Letters whose lower case does not depend on their neighbours, then punctuation that makes one pre-token.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?()\[\]{}\"-]*)").fullmatch
+
+
+class Memory(dict):
+    """Remembers at least the last ``most`` keys used: when it is full, keys that are not met again are let go."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def __contains__(self, key):
+        return super().__contains__(key) or key in self.old
+
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordIds:
     """Ids of whole texts, word by word.
 
     The vocabulary's pre-tokeniser never joins characters across ASCII blanks
-    and drops them, so the ids of a text are those of its words in order. Words
-    not met before go to the library together, with a special token between
-    them; words that hold a special token's text go one by one.
+    and drops them, so the ids of a text are those of its words in order. The
+    vocabulary lower-cases, and letters and punctuation are separate pre-tokens,
+    so most words are a known lower-case stem and a known ending. Stems not met
+    before go to the library together, with a special token between them; what
+    holds a special token's text goes alone.
     """
 
     def __init__(self, path: str):
@@ -49,54 +78,76 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.stop = self.library.token_to_id(BREAK)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = list(words)
-        odd = [w for w in fresh if b"<|" in w or w.endswith(b"<")]
-        plain = [w for w in fresh if not (b"<|" in w or w.endswith(b"<"))]
+        self.words, self.stems = Memory(REMEMBERED), Memory(REMEMBERED)
+
+    def learn_stems(self, stems: list[str]) -> None:
+        odd = [w for w in stems if "<|" in w or w.endswith("<")]
+        plain = [w for w in stems if not ("<|" in w or w.endswith("<"))]
         for w in odd:
-            ids = self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self.known[w] = np.array(ids, "<u4").tobytes()
+            ids = self.library.encode(w, add_special_tokens=False).ids
+            self.stems[w] = np.array(ids, "<u4").tobytes()
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
-            line = BREAK.join(w.decode("utf-8", "replace") for w in part)
-            ids = np.array(self.library.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            line = self.library.encode_batch_fast([BREAK.join(part)], add_special_tokens=False)[0]
+            ids = np.array(line.ids, "<u4")
             cuts = np.flatnonzero(ids == self.stop)
             starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             if len(starts) != len(part):
                 raise RuntimeError("the vocabulary did not keep the separators apart")
             raw = ids.tobytes()
-            self.known.update({w: raw[4 * a : 4 * b] for w, a, b in zip(part, starts, ends, strict=True)})
-
-    def of(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
-
-
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens``: every document cut at multiples of ``size``."""
+            self.stems.update({w: raw[4 * a : 4 * b] for w, a, b in zip(part, starts, ends, strict=True)})
+
+    def learn(self, words: list[bytes]) -> None:
+        cut: dict[bytes, list[str]] = {}
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            plain = PLAIN(text)
+            cut[w] = [p for p in (plain[1].lower(), plain[2]) if p] if plain else [text]
+        self.learn_stems([s for s in set(chain.from_iterable(cut.values())) if s not in self.stems])
+        stem = self.stems.__getitem__
+        self.words.update({w: b"".join(map(stem, parts)) for w, parts in cut.items()})
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, as little-endian bytes; what is new in any of them is learned at once."""
+        self.words.turn()
+        self.stems.turn()
+        parts = [t.split() for t in texts]
+        known, old = self.words.keys(), self.words.old.keys()
+        fresh = set().union(*parts) - known - old
+        if fresh:
+            self.learn(list(fresh))
+        get = self.words.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One memory per worker process; workers serve many tasks."""
+    return WordIds(path)
+
+
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, step: int = 256) -> DataFrame:
+    """``doc_id, start, length, ids_crc32, doc_tokens``: every document cut at multiples of ``size``.
+
+    ``step`` documents are looked up together.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = words.of(utf8(text.as_py())) + end
-                total = len(raw) // 4
-                for start in range(0, total, size):
-                    part = raw[4 * start : 4 * (start + size)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIECE.replace(" long", "").split(", "))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                rows: list[tuple] = []
+                found = words.of([utf8(t) for t in some.column(1).to_pylist()])
+                for doc_id, ids in zip(some.column(0).to_pylist(), found, strict=True):
+                    raw = ids + end
+                    total = len(raw) // 4
+                    for start in range(0, total, size):
+                        part = raw[4 * start : 4 * (start + size)]
+                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIECE.replace(" long", "").split(", "))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)
 

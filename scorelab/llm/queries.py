@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import mixing, packing, simhash, tokens
+from scorelab.llm import mixing, packing, secrets, simhash, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base_spans, x -> x.kind = '{k}')) as long) as n_{k}") for k, _, _ in secrets.BASE]
+    base = F.sha2(F.expr(secrets.joined("base_spans")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, F.expr(secrets.joined("all_spans")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,14 +38,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(docs).select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_read(spark, sf_dir, "pages"), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_secrets": op6_secrets,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
 ORACLES = {
+    "op10_warc": r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+""",
     "op9_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,11 +159,17 @@ class PieceCounter:
         return [sum(map(self.known.__getitem__, p)) for p in parts]
 
 
+@cache
+def piece_counter(path: str) -> PieceCounter:
+    """One memory per worker process; workers serve many tasks."""
+    return PieceCounter(path)
+
+
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, step: int = 256) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row; ``step`` documents are merged together."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(model)
+        counter = piece_counter(model)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
