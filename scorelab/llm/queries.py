@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import mixing, packing, secrets, simhash, tokens, warc
+from scorelab.llm import mixing, packing, secrets, simhash, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.learned(docs, _read(spark, sf_dir, "labels")))
+    predicted = (F.col("_score") >= toxicity.THRESHOLD).cast("int")
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,6 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
     "op8_packing": op8_packing,
