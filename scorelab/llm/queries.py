@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import mixing, packing, secrets, simhash, tokens, toxicity, warc
+from scorelab.llm import ann, mixing, packing, secrets, simhash, tokens, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _asked(rows: DataFrame) -> DataFrame:
+    """The stated query set."""
+    return rows.where(F.col("vec_id") % 50 == 0)
+
+
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.quantised(_read(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, _asked(rows))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
@@ -36,6 +46,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, F.expr(secrets.joined("all_spans")).alias("spans"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable(_read(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, _asked(rows))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,16 +66,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
+    "op7_neighbours": op7_neighbours,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
 
 ORACLES = {
+    "op1_exact_topk": """
+WITH parts AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM parts q JOIN parts x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+""",
     "op10_warc": r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
