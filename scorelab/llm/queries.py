@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import ann, mixing, packing, secrets, simhash, tokens, topk, toxicity, warc
+from scorelab.llm import ann, mixing, packing, repeats, secrets, simhash, tokens, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op4_repeats": op4_repeats,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
     "op7_neighbours": op7_neighbours,
