@@ -33,7 +33,7 @@ from scorelab.llm.common import stored, utf8
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words, and stems of words, whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 BREAK = "<|endoftext|>"
 
 
@@ -52,8 +52,8 @@ class Memory(dict):
         self[key] = value = self.old[key]
         return value
 
-    def __contains__(self, key):
-        return super().__contains__(key) or key in self.old
+    def unknown(self, keys: set) -> set:
+        return keys.difference(self).difference(self.old)
 
     def turn(self) -> None:
         if len(self) >= self.most:
@@ -80,16 +80,16 @@ class WordIds:
         self.stop = self.library.token_to_id(BREAK)
         self.words, self.stems = Memory(REMEMBERED), Memory(REMEMBERED)
 
-    def learn_stems(self, stems: list[str]) -> None:
-        odd = [w for w in stems if "<|" in w or w.endswith("<")]
-        plain = [w for w in stems if not ("<|" in w or w.endswith("<"))]
+    def learn_stems(self, stems: list[bytes]) -> None:
+        odd = [w for w in stems if b"<|" in w or w.endswith(b"<")]
+        plain = [w for w in stems if not (b"<|" in w or w.endswith(b"<"))] if odd else stems
         for w in odd:
-            ids = self.library.encode(w, add_special_tokens=False).ids
+            ids = self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
             self.stems[w] = np.array(ids, "<u4").tobytes()
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
-            line = self.library.encode_batch_fast([BREAK.join(part)], add_special_tokens=False)[0]
-            ids = np.array(line.ids, "<u4")
+            line = BREAK.encode().join(part).decode("utf-8", "replace")
+            ids = np.array(self.library.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.stop)
             starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             if len(starts) != len(part):
@@ -98,22 +98,29 @@ class WordIds:
             self.stems.update({w: raw[4 * a : 4 * b] for w, a, b in zip(part, starts, ends, strict=True)})
 
     def learn(self, words: list[bytes]) -> None:
-        cut: dict[bytes, list[str]] = {}
+        heads, tails = [], []
         for w in words:
-            text = w.decode("utf-8", "replace")
-            plain = PLAIN(text)
-            cut[w] = [p for p in (plain[1].lower(), plain[2]) if p] if plain else [text]
-        self.learn_stems([s for s in set(chain.from_iterable(cut.values())) if s not in self.stems])
+            head = w.rstrip(b".,;:!?")
+            if head.isalpha():  # ASCII letters, in lower case already
+                heads.append(head)
+                tails.append(w[len(head) :])
+            elif plain := PLAIN(w.decode("utf-8", "replace")):
+                heads.append(plain[1].lower().encode())
+                tails.append(plain[2].encode())
+            else:
+                heads.append(w)
+                tails.append(b"")
+        self.learn_stems(list(self.stems.unknown({*heads, *tails})))
         stem = self.stems.__getitem__
-        self.words.update({w: b"".join(map(stem, parts)) for w, parts in cut.items()})
+        self.words.update({w: stem(p) + stem(q) if q else stem(p) for w, p, q in zip(words, heads, tails, strict=True)})
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian bytes; what is new in any of them is learned at once."""
         self.words.turn()
         self.stems.turn()
-        parts = [t.split() for t in texts]
-        known, old = self.words.keys(), self.words.old.keys()
-        fresh = set().union(*parts) - known - old
+        # lower-casing A-Z first saves most words twice over; it must not turn text into a special token
+        parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        fresh = self.words.unknown(set().union(*parts))
         if fresh:
             self.learn(list(fresh))
         get = self.words.__getitem__
@@ -126,7 +133,7 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, step: int = 256) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, step: int = 512) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: every document cut at multiples of ``size``.
 
     ``step`` documents are looked up together.
