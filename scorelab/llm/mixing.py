@@ -65,7 +65,8 @@ def source_targets(sources: DataFrame) -> DataFrame:
 def schedule(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, the source's words before it and its finish time.
 
-    ``docs`` needs ``doc_id``, ``source`` and ``size``; other columns pass through.
+    ``docs`` needs ``doc_id``, ``source`` and ``size``; other columns pass through, unless they have one of
+    the added names: those are replaced.
     """
     shuffled = docs.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn(
         "_chunk", F.substring("_key", 1, 3)
@@ -104,12 +105,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     were served, so a source ends within half a document of its target.
     Documents without words are taken once: they cost nothing.
     """
-    columns = docs.columns
-    timed = schedule(docs.withColumn("size", word_count()))
+    held = docs.select(F.struct("*").alias("_row"), "doc_id", "source", word_count().alias("size"))
     words = F.array(*[F.struct(F.lit(k).alias("pass"), served(k).alias("words")) for k in range(MAX_REPEATS)])
-    passes = timed.withColumn("_p", F.explode(words)).where(
+    passes = schedule(held).withColumn("_p", F.explode(words)).where(
         F.when(F.col("size") == 0, F.col("_p.pass") == 0).otherwise(2 * F.col("_p.words") >= F.col("size"))
     )
-    time = F.coalesce((F.col("_p.pass") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target"), F.lit(0.0))
+    words = F.col("_p.pass") * F.col("source_size") + F.col("before") + F.col("size")
+    time = F.coalesce(F.try_divide(words, F.col("target")), F.lit(0.0))
     ordered = passes.withColumn("_time", time)
-    return ordered.repartitionByRange("_time", "doc_id").sortWithinPartitions("_time", "doc_id").select(*columns)
+    return ordered.repartitionByRange("_time", "doc_id").sortWithinPartitions("_time", "doc_id").select("_row.*")

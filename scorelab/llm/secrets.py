@@ -8,7 +8,8 @@ Windows at or above the class's threshold are joined into one span, unless the
 candidate is on the allow-list or touches a base span.
 
 Nulls count as empty text; positions are code points, ends exclusive. Matches
-are found in whole texts. Other columns, whatever their names, are kept.
+are found in whole texts. ``redacted`` keeps all other columns, whatever their names;
+``scanned`` replaces columns that have one of its result names.
 """
 
 from __future__ import annotations
@@ -153,9 +154,11 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         "concat(transform(_merged, (x, i) -> substring(text, if(i = 0, 0, _merged[i - 1].end) + 1, "
         "x.start - if(i = 0, 0, _merged[i - 1].end))), array(substring(text, element_at(_merged, -1).end + 1)))"
     )
-    found = scanned(docs).withColumn("_merged", F.expr(merged))
-    clean = F.expr(f"if(size(_merged) = 0, text, array_join({kept}, {_quoted(mark)}))")
-    out = found.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_merged") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    held = docs.select(F.struct("*").alias("row"), "text")
+    found = scanned(held).withColumn("_merged", F.expr(merged))
+    out = found.withColumn("text", F.expr(f"if(size(_merged) = 0, text, array_join({kept}, {_quoted(mark)}))"))
+    changed = F.when(F.size("_merged") > 0, F.length("text").cast("long"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.coalesce(changed, columns["n_chars"])
+    return out.select(*[v.alias(c) for c, v in columns.items()])

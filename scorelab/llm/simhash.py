@@ -111,10 +111,7 @@ def hex_print(column: str = "fp"):
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: that with the smallest doc_id, then the smallest row."""
-    columns = docs.columns
-    printed = stored(docs.select("doc_id", fingerprint_of(text_or_empty()).alias("fp")), "prints")
-    groups = classes(printed)
-    marked = docs.withColumn("_fp", fingerprint_of(text_or_empty()))
-    first = marked.join(groups.withColumnRenamed("fp", "_fp"), "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = first.groupBy("root").agg(F.min(F.struct(*columns)).alias("row"))
-    return best.select("row.*")
+    held = docs.select(F.struct("*").alias("row"), "doc_id", fingerprint_of(text_or_empty()).alias("fp"))
+    groups = classes(stored(held.select("doc_id", "fp"), "prints"))
+    first = held.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
