@@ -323,6 +323,7 @@ def runs_of_starts(named: DataFrame) -> DataFrame:
     bucket, context = Window.partitionBy("k"), Window.partitionBy("k", "context")
     rows = (
         named.select("rid", "text").mapInArrow(_initial, ROWS)
+        .repartition("k")  # serves both windows
         .withColumns({"same": F.sum("n").over(context), "place": F.row_number().over(context.orderBy("rid", "at"))})
         .withColumns({
             "all": F.sum("n").over(bucket),
