@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorelab.functions.grids import Grid
 from scorelab.functions.numeric import clip, ratio
 from scorelab.operators.metrics import score_counts
-from scorelab.session import checked_broadcast, materialised
+from scorelab.operators.ordering import CHUNK, in_chunks, numbered
+from scorelab.session import BROADCAST_ROWS, materialised
 
 EPS = 2.220446049250313e-16
 
@@ -103,45 +107,93 @@ def calibration_summary(scores: DataFrame, keys: Sequence[str], bins: int = 10)
     )
 
 
-def _newton_step(cells: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    """One damped step for all keys: grouped score equations and a closed-form 2x2 solve."""
-    x, n, pos = F.col("_x"), F.col("_n"), F.col("pos")
+#: The parameters of a recalibration lie within +- this.
+BOUND = 30.0
+
+
+def _softplus(eta):
+    return F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+
+
+def _held(value, *pushes):
+    """True on a bound that the slope of the likelihood, or the step, pushes against."""
+    outward = [((value >= BOUND) & (p > 0)) | ((value <= -BOUND) & (p < 0)) for p in pushes]
+    return reduce(lambda a, b: a | b, outward)
+
+
+def _room(value, step):
+    """The share of a step that reaches the bound, 1 if it stays inside."""
+    ahead = F.when(step > 0, BOUND - value).otherwise(value + BOUND)
+    return F.when(F.abs(step) > ahead, ahead / F.abs(step)).otherwise(1.0)
+
 
-    def mean(eta):
-        return 1.0 / (1.0 + F.exp(-eta))
+def _newton_step(cells: DataFrame, params: DataFrame, keys: list[str], tol: float) -> DataFrame:
+    """One bounded step for all keys, from grouped score equations and losses.
 
-    mu = mean(F.col("a") + F.col("b") * x)
-    nu = mean(F.col("c") + x)
+    A step that raised the loss is halved from where it began. A parameter on its
+    bound stays there while the likelihood pushes outwards, and the other one is
+    solved alone. (a, b) and c are two fits side by side.
+    """
+    x, n, pos = F.col("_x"), F.col("_n"), F.col("pos")
+    eta, ceta = F.col("a") + F.col("b") * x, F.col("c") + x
+    mu, nu = 1.0 / (1.0 + F.exp(-eta)), 1.0 / (1.0 + F.exp(-ceta))
     w, v = n * mu * (1.0 - mu), n * nu * (1.0 - nu)
-    sums = cells.join(params, keys).groupBy(*keys, "a", "b", "c").agg(
-        F.sum(pos - n * mu).alias("g0"),
-        F.sum((pos - n * mu) * x).alias("g1"),
-        F.sum(w).alias("h00"),
-        F.sum(w * x).alias("h01"),
-        F.sum(w * x * x).alias("h11"),
-        F.sum(pos - n * nu).alias("k0"),
-        F.sum(v).alias("m0"),
+    state = [c for c in params.columns if c not in keys]
+    s = cells.join(params, keys).groupBy(*keys, *state).agg(
+        F.sum(n * _softplus(eta) - pos * eta).alias("loss"), F.sum(n * _softplus(ceta) - pos * ceta).alias("closs"),
+        F.sum(pos - n * mu).alias("g0"), F.sum((pos - n * mu) * x).alias("g1"),
+        F.sum(w).alias("h00"), F.sum(w * x).alias("h01"), F.sum(w * x * x).alias("h11"),
+        F.sum(pos - n * nu).alias("k0"), F.sum(v).alias("m0"),
     )
-    det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-    da = F.coalesce(ratio(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det), F.lit(0.0))
-    db = F.coalesce(ratio(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det), F.lit(0.0))
-    dc = F.coalesce(ratio(F.col("k0"), F.col("m0")), F.lit(0.0))
-    return sums.select(
-        *keys,
-        clip(F.col("a") + clip(da, -5.0, 5.0), -30.0, 30.0).alias("a"),
-        clip(F.col("b") + clip(db, -5.0, 5.0), -30.0, 30.0).alias("b"),
-        clip(F.col("c") + clip(dc, -5.0, 5.0), -30.0, 30.0).alias("c"),
-        F.greatest(F.abs(da), F.abs(db), F.abs(dc)).alias("_step"),
+    slack = 1e-12 * (1.0 + F.abs(F.col("_loss")))
+    s = s.withColumns({
+        "_ok": F.col("_loss").isNull() | (F.col("loss") <= F.col("_loss") + slack),
+        "_cok": F.col("_closs").isNull() | (F.col("closs") <= F.col("_closs") + 1e-12 * (1.0 + F.abs(F.col("_closs")))),
+    })
+    g0, g1, h00, h01, h11 = (F.col(c) for c in ("g0", "g1", "h00", "h01", "h11"))
+    det = h00 * h11 - h01 * h01
+    zero = F.lit(0.0)
+    singular = det <= 1e-14 * h00 * h11
+    fix_a = _held(F.col("a"), g0, F.coalesce(ratio(h11 * g0 - h01 * g1, det), zero))
+    fix_b = _held(F.col("b"), g1, F.coalesce(ratio(h00 * g1 - h01 * g0, det), zero))
+    da = F.when(fix_a, zero).when(fix_b | singular, ratio(g0, h00)).otherwise(ratio(h11 * g0 - h01 * g1, det))
+    db = F.when(fix_b, zero).when(fix_a, ratio(g1, h11)).when(singular, zero).otherwise(ratio(h00 * g1 - h01 * g0, det))
+    dc = F.when(_held(F.col("c"), F.col("k0")), zero).otherwise(ratio(F.col("k0"), F.col("m0")))
+
+    s = s.withColumns({"_na": F.coalesce(da, zero), "_nb": F.coalesce(db, zero), "_nc": F.coalesce(dc, zero)})
+    # one factor for both, so the step keeps its direction: at most 5, and not beyond a bound
+    longest = F.greatest(F.abs(F.col("_na")), F.abs(F.col("_nb")), F.lit(5.0))
+    s = s.withColumn("_scale", F.least(5.0 / longest, _room(F.col("a"), F.col("_na")), _room(F.col("b"), F.col("_nb"))))
+    s = s.withColumns({
+        "_da": F.when(F.col("_ok"), F.col("_na") * F.col("_scale")).otherwise(F.col("_da") / 2.0),
+        "_db": F.when(F.col("_ok"), F.col("_nb") * F.col("_scale")).otherwise(F.col("_db") / 2.0),
+        "_dc": F.when(F.col("_cok"), clip(F.col("_nc"), -5.0, 5.0)).otherwise(F.col("_dc") / 2.0),
+        "_a": F.when(F.col("_ok"), F.col("a")).otherwise(F.col("_a")),
+        "_b": F.when(F.col("_ok"), F.col("b")).otherwise(F.col("_b")),
+        "_c": F.when(F.col("_cok"), F.col("c")).otherwise(F.col("_c")),
+        "_loss": F.when(F.col("_ok"), F.col("loss")).otherwise(F.col("_loss")),
+        "_closs": F.when(F.col("_cok"), F.col("closs")).otherwise(F.col("_closs")),
+    })
+    moved = {p: clip(F.col(f"_{p}") + F.col(f"_d{p}"), -BOUND, BOUND) for p in "abc"}
+    step = F.greatest(*[F.abs(moved[p] - F.col(f"_{p}")) for p in "abc"])
+    done = F.col("_ok") & F.col("_cok") & (step < tol)
+    return s.select(
+        *keys, *[moved[p].alias(p) for p in "abc"],
+        *[F.col(c) for c in ("_a", "_b", "_c", "_da", "_db", "_dc", "_loss", "_closs", "_pos", "_neg")],
+        (F.col("_rounds") + F.when(F.col("_done"), 0).otherwise(1)).alias("_rounds"),
+        (F.col("_done") | done).alias("_done"),
     )
 
 
 def logistic_recalibration(
-    scores: DataFrame, keys: Sequence[str], max_iter: int = 24, tol: float = 1e-10, unrolled: int = 3
+    scores: DataFrame, keys: Sequence[str], max_iter: int = 60, tol: float = 1e-9, unrolled: int = 3
 ) -> DataFrame:
     """Calibration intercept and slope, and calibration in the large, for all keys at once.
 
-    Newton steps on distinct scores; the parameters (one row per key) are written
-    every few steps, which keeps the lineage short. They stay within +-30.
+    Bounded Newton steps on distinct scores; the parameters (one row per key) are
+    written every few steps, which keeps the lineage short. ``calibration_status``
+    is ok, one_class (no finite optimum) or not_converged; the values are NULL
+    unless it is ok. ``calibration_iterations`` counts the steps.
     """
     if not keys:
         one = logistic_recalibration(scores.withColumn("_all", F.lit(0)), ["_all"], max_iter, tol, unrolled)
@@ -153,32 +205,120 @@ def logistic_recalibration(
         .withColumn("_x", F.log(p / (1.0 - p)))
         .select(*keys, "_x", "pos", (F.col("pos") + F.col("neg")).alias("_n"))
     )
-    params = checked_broadcast(
-        cells.select(*keys).distinct().withColumns(
-            {"a": F.lit(0.0), "b": F.lit(1.0), "c": F.lit(0.0), "_step": F.lit(1.0)}
-        )
+    zero, unknown = F.lit(0.0), F.lit(None).cast("double")
+    first = materialised(
+        cells.groupBy(*keys).agg(F.sum("pos").alias("_pos"), F.sum(F.col("_n") - F.col("pos")).alias("_neg")).withColumns({
+            "a": zero, "b": F.lit(1.0), "c": zero, "_a": zero, "_b": F.lit(1.0), "_c": zero, "_da": zero, "_db": zero, "_dc": zero,
+            "_loss": unknown, "_closs": unknown, "_rounds": F.lit(0), "_done": F.lit(False),
+        })
     )
+    # one row of numbers per key; its size does not change from step to step
+    small = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    params = first.where((F.col("_pos") > 0) & (F.col("_neg") > 0))
     for done in range(0, max_iter, unrolled):
         for _ in range(min(unrolled, max_iter - done)):
-            params = _newton_step(cells, params, keys)
-        params = checked_broadcast(params)
-        if (params.agg(F.max("_step")).first()[0] or 0.0) < tol:
+            params = _newton_step(cells, F.broadcast(params) if small else params, keys, tol)
+        params = materialised(params)
+        if params.where(~F.col("_done")).isEmpty():
             break
-    return params.select(
+    found = params.select(*keys, "a", "b", "c", "_rounds", "_done", F.lit(False).alias("_one"))
+    one_class = first.where((F.col("_pos") == 0) | (F.col("_neg") == 0)).select(
+        *keys, "a", "b", "c", "_rounds", "_done", F.lit(True).alias("_one")
+    )
+    every = found.unionByName(one_class)
+    return every.select(
         *keys,
-        F.col("a").alias("calibration_intercept"),
-        F.col("b").alias("calibration_slope"),
-        F.col("c").alias("calibration_in_the_large"),
+        F.when(F.col("_done"), F.col("a")).alias("calibration_intercept"),
+        F.when(F.col("_done"), F.col("b")).alias("calibration_slope"),
+        F.when(F.col("_done"), F.col("c")).alias("calibration_in_the_large"),
+        F.when(F.col("_one"), "one_class").when(F.col("_done"), "ok").otherwise("not_converged").alias("calibration_status"),
+        F.col("_rounds").alias("calibration_iterations"),
     )
 
 
-def isotonic_map(fit_scores: DataFrame, apply_scores: DataFrame, name: str = "p") -> DataFrame:
-    """Fit a monotone map on one model's out-of-fold scores and apply it, clipped."""
-    from pyspark.ml.regression import IsotonicRegression
+#: Blocks that one task pools at a time.
+POOLED = 50_000
 
-    points = fit_scores.groupBy("p").agg(F.avg("y").alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    model = IsotonicRegression(
-        featuresCol="p", labelCol="_y", weightCol="_w", predictionCol="_mapped"
-    ).fit(points)
+
+def _pool(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pool adjacent violators of one run of blocks, sorted by score."""
+    frame = frame.sort_values("_lo")
+    out: list[list[float]] = []
+    for lo, hi, w, wy in zip(frame["_lo"], frame["_hi"], frame["_w"], frame["_wy"]):
+        out.append([lo, hi, w, wy])
+        while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+            lo_hi = out.pop()
+            out[-1][1] = lo_hi[1]
+            out[-1][2] += lo_hi[2]
+            out[-1][3] += lo_hi[3]
+    made = pd.DataFrame(out, columns=["_lo", "_hi", "_w", "_wy"])
+    for c in frame.columns:
+        if c not in made.columns:
+            made[c] = frame[c].iloc[0] if len(frame) else None
+    return made[frame.columns.tolist()]
+
+
+def isotonic_blocks(scores: DataFrame, keys: Sequence[str], pooled: int = POOLED) -> DataFrame:
+    """The monotone map of every key as a table: keys, _lo, _hi (scores) and _v (value on them).
+
+    Adjacent violators may be pooled in any order, so runs of at most ``pooled``
+    blocks are pooled side by side, with run borders that shift by half a run
+    each time, until a pass over both borders changes nothing.
+    """
+    keys = list(keys)
+    blocks = score_counts(scores, keys).select(
+        *keys, F.col("p").alias("_lo"), F.col("p").alias("_hi"),
+        (F.col("pos") + F.col("neg")).cast("double").alias("_w"), F.col("pos").cast("double").alias("_wy"),
+    )
+    blocks = materialised(blocks)
+    quiet, turn = 0, 0
+    while True:
+        size = blocks.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if size <= pooled:
+            runs = blocks.withColumn("_run", F.lit(0).cast("long"))
+        else:
+            place = F.col("_rn") + (pooled // 2 if turn % 2 else 0)
+            runs = numbered(blocks, keys, ["_lo"], "_rn").withColumn("_run", F.floor(place / pooled)).drop("_rn", "_rn_total")
+        before = blocks.count()
+        blocks = materialised(runs.groupBy(*keys, "_run").applyInPandas(_pool, runs.schema).drop("_run"))
+        quiet, turn = (quiet + 1 if blocks.count() == before else 0), turn + 1
+        if size <= pooled or quiet == 2:
+            return blocks.select(*keys, "_lo", "_hi", (F.col("_wy") / F.col("_w")).alias("_v"))
+
+
+def isotonic_map(fit_scores: DataFrame, apply_scores: DataFrame, keys: Sequence[str] = (), name: str = "p") -> DataFrame:
+    """Fit a monotone map per key on ``fit_scores`` and apply it, linear between blocks and clipped outside.
+
+    The map stays a table. Distinct scores and blocks are sorted together by range,
+    and each score meets the block before and the one after it.
+    """
+    keys = list(keys)
+    if not keys:
+        one = [df.withColumn("_all", F.lit(0)) for df in (fit_scores, apply_scores)]
+        return isotonic_map(*one, ["_all"], name).drop("_all")
+    none = F.lit(None).cast("double")
+    marks = isotonic_blocks(fit_scores, keys).select(*keys, F.col("_lo").alias("_at"), F.lit(0).alias("_kind"), "_lo", "_hi", "_v")
+    asked = apply_scores.select(*keys, F.col(name).cast("double").alias("_at")).distinct().select(
+        *keys, "_at", F.lit(1).alias("_kind"), none.alias("_lo"), none.alias("_hi"), none.alias("_v")
+    )
+    both = in_chunks(marks.unionByName(asked), keys, ["_at", "_kind"])
+    block = F.when(F.col("_kind") == 0, F.struct("_lo", "_hi", "_v"))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy("_at", "_kind")
+    ends = both.where(F.col("_kind") == 0).groupBy(*keys, CHUNK).agg(F.min(block).alias("_first"), F.max(block).alias("_last"))
+    chunks = both.select(*keys, CHUNK).distinct().join(ends, [*keys, CHUNK], "left")
+    order = Window.partitionBy(*keys).orderBy(CHUNK)
+    carried = chunks.select(
+        *keys, CHUNK,
+        F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_back"),
+        F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"),
+    )
+    met = both.hint("merge").join(carried, [*keys, CHUNK]).withColumns({
+        "_low": F.coalesce(F.last(block, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_back")),
+        "_high": F.coalesce(F.first(block, True).over(inside.rowsBetween(1, Window.unboundedFollowing)), F.col("_ahead")),
+    }).where(F.col("_kind") == 1)
+    x, low, high = F.col("_at"), F.col("_low"), F.col("_high")
+    between = low["_v"] + (high["_v"] - low["_v"]) * ratio(x - low["_hi"], high["_lo"] - low["_hi"])
+    value = F.when(low.isNull(), high["_v"]).when((x <= low["_hi"]) | high.isNull(), low["_v"]).otherwise(between)
+    mapped = met.select(*keys, F.col("_at").alias(name), value.alias("_mapped"))
     keep = [c for c in apply_scores.columns if c != name]
-    return model.transform(apply_scores).select(*keep, F.col("_mapped").alias(name))
+    return apply_scores.join(mapped, [*keys, name], "left").select(*keep, F.col("_mapped").alias(name))

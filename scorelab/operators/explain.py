@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -228,7 +229,8 @@ def concentration(attributions: DataFrame, keys: Sequence[str], mass: float = 0.
 def repeat_stability(attributions: DataFrame, keys: Sequence[str], top: int = 10) -> DataFrame:
     """Mean pairwise Spearman and top-k Jaccard over repeats of each key.
 
-    A key holds repeats x features rows; an undefined correlation counts as 0.
+    A key holds repeats x features rows; an undefined correlation counts as 0,
+    and a single repeat, which has no pair, is perfectly stable.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys, "repeat").orderBy(F.desc(F.abs("value")), F.desc("feature"))
@@ -260,8 +262,14 @@ def repeat_stability(attributions: DataFrame, keys: Sequence[str], top: int = 10
     overlap = both.groupBy(*pair_keys).agg(
         ratio(F.count_if(F.col("_ha") & F.col("_hb")), F.greatest(F.count_if(F.col("_ha") | F.col("_hb")), F.lit(1))).alias("jaccard")
     )
-    return rho.join(overlap, pair_keys).groupBy(*keys).agg(
-        F.avg("rho").alias("stability_rho"), F.avg("jaccard").alias("top_jaccard")
+    found = rho.join(overlap, pair_keys).groupBy(*keys).agg(F.avg("rho").alias("_rho"), F.avg("jaccard").alias("_jac"))
+    if not keys:
+        return found.select(F.coalesce("_rho", F.lit(1.0)).alias("stability_rho"), F.coalesce("_jac", F.lit(1.0)).alias("top_jaccard"))
+    every = attributions.select(*keys).distinct()
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    return every.alias("e").join(found.alias("f"), reduce(lambda a, b: a & b, same), "left").select(
+        *[F.col(f"e.{k}") for k in keys],
+        F.coalesce("_rho", F.lit(1.0)).alias("stability_rho"), F.coalesce("_jac", F.lit(1.0)).alias("top_jaccard"),
     )
 
 

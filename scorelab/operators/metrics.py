@@ -20,10 +20,15 @@ METRICS = ["AUROC", "AUPRC", "F1", "Precision", "Recall", "Specificity", "G-Mean
 COUNTS = ["TP", "FP", "FN", "TN"]
 
 
+def usable_score(p: Column) -> Column:
+    """The score; a missing one or one that is no number fails the job instead of taking a side."""
+    return F.when(p.isNull() | F.isnan(p), F.raise_error(F.lit("a score is missing or not a number"))).otherwise(p)
+
+
 def score_counts(scores: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
     """Class counts per distinct score: keys, p, pos, neg."""
     w = F.col(weight) if weight else F.lit(1)
-    return scores.groupBy(*keys, "p").agg(
+    return scores.withColumn("p", usable_score(F.col("p"))).groupBy(*keys, "p").agg(
         F.sum(F.col("y") * w).cast("long").alias("pos"),
         F.sum((1 - F.col("y")) * w).cast("long").alias("neg"),
     )
@@ -88,7 +93,7 @@ def confusion_columns(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[st
 def confusion(scores: DataFrame, keys: Sequence[str], threshold: Column | float = 0.5) -> DataFrame:
     """TP, FP, FN, TN at ``p >= threshold`` (a number or a column of the scores)."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    hit = F.col("p") >= t
+    hit = usable_score(F.col("p").cast("double")) >= t
     y = F.col("y") == 1
     return scores.groupBy(*keys).agg(
         F.count_if(hit & y).alias("TP"),

@@ -128,17 +128,26 @@ class Folds:
 
 def with_forward_flags(cases: DataFrame, k: int = 3, min_per_class: int = 6) -> DataFrame:
     """Add the forward folds that each row trains or validates."""
-    folds = materialised(splits.forward_folds(cases, k, min_per_class))
-    membership = materialised(splits.forward_membership(cases, folds))
-    splits.require_forward_folds(membership, folds, k)
-    flags = membership.groupBy("row_id").agg(
-        F.collect_set(F.when(F.col("part") == "train", F.col("fold"))).alias("train_folds"),
-        F.collect_set(F.when(F.col("part") == "validation", F.col("fold"))).alias("valid_folds"),
-    )
-    none = F.array().cast("array<int>")
-    return cases.join(flags, "row_id", "left").withColumns(
-        {c: F.coalesce(c, none) for c in ("train_folds", "valid_folds")}
-    )
+    splits.require_dates(cases)
+    # one row per month of the calendar
+    calendar = splits.forward_folds(cases, k, min_per_class).select("fold", "month", "boundary", "n_used").collect()
+    starts = sorted({(r["fold"], r["boundary"]) for r in calendar})
+    if k < 2 or not calendar or calendar[0]["n_used"] < k or len(starts) < k:
+        raise ValueError("too few months with observable training labels")
+
+    def folds_where(fits):
+        return F.array_compact(F.array(*[F.when(fits(F.lit(at)), F.lit(fold)).cast("int") for fold, at in starts]))
+
+    month = F.date_trunc("month", F.col("orig"))
+    first = F.create_map(*[x for r in calendar for x in (F.lit(r["month"]), F.lit(r["boundary"]))])
+    flagged = cases.withColumns({"_avail": splits.available_from(), "_block": F.try_element_at(first, month)})
+    out = flagged.withColumns(
+        {"train_folds": folds_where(lambda at: F.col("_avail") <= at), "valid_folds": folds_where(lambda at: F.col("_block") == at)}
+    ).drop("_avail", "_block")
+    classes = out.select(F.explode("valid_folds").alias("fold"), "y").groupBy("fold").agg(F.countDistinct("y").alias("c"))
+    if classes.where("c < 2").count():
+        raise ValueError("a validation block has fewer than two classes")
+    return out
 
 
 @dataclass
@@ -428,19 +437,16 @@ def threshold_rules(oof: DataFrame, test: DataFrame, keys: Sequence[str], criter
 def controlled_ablation(oof: DataFrame, test: DataFrame, key: str, criterion: str = "f1") -> DataFrame:
     """The two plain rules plus an isotonic map with its own tuned threshold, per ``key`` value.
 
-    One calibration map is fitted per strategy (a short list of names).
+    The calibration maps of all strategies are fitted together.
     """
     plain = threshold_rules(oof, test, [key], criterion)
     raw = calibrate.calibration_summary(test, [key]).select(key, "brier_skill", "ece", "mce")
-    tables = [plain.join(raw, key)]
-    for row in oof.select(key).distinct().orderBy(key).collect():
-        this = F.col(key) == F.lit(row[key])
-        mapped_oof = calibrate.isotonic_map(oof.where(this), oof.where(this))
-        mapped = calibrate.isotonic_map(oof.where(this), test.where(this))
-        cut = thresholds.optimal_thresholds(mapped_oof, [key], [criterion]).select(key, "threshold")
-        judged = metrics.metric_rows(mapped, [key], cut).withColumn("threshold_rule", F.lit("isotonic_oof"))
-        tables.append(judged.join(calibrate.calibration_summary(mapped, [key]).select(key, "brier_skill", "ece", "mce"), key))
-    return reduce(lambda a, b: a.unionByName(b), tables)
+    mapped_oof = calibrate.isotonic_map(oof, oof, [key])
+    mapped = materialised(calibrate.isotonic_map(oof, test, [key]))
+    cut = thresholds.optimal_thresholds(mapped_oof, [key], [criterion]).select(key, "threshold")
+    judged = metrics.metric_rows(mapped, [key], cut).withColumn("threshold_rule", F.lit("isotonic_oof"))
+    after = calibrate.calibration_summary(mapped, [key]).select(key, "brier_skill", "ece", "mce")
+    return plain.join(raw, key).unionByName(judged.join(after, key))
 
 
 def feature_ablation(

@@ -15,6 +15,10 @@ from scorelab.operators.ordering import numbered
 from scorelab.session import checked_broadcast
 
 
+def _first_day(cutoff: str) -> str:
+    return cutoff if len(cutoff) > 7 else f"{cutoff}-01"
+
+
 def rolling_origin(cases: DataFrame, cutoffs: Sequence[str], window_months: int = 6) -> DataFrame:
     """Rows of every cutoff with part = train / test; a row may serve several cutoffs.
 
@@ -25,7 +29,7 @@ def rolling_origin(cases: DataFrame, cutoffs: Sequence[str], window_months: int
         *[
             F.struct(
                 F.lit(c).alias("cutoff"),
-                F.to_timestamp(F.lit(c if len(c) > 7 else f"{c}-01")).alias("at"),
+                F.to_timestamp(F.lit(_first_day(c))).alias("at"),
             )
             for c in cutoffs
         ]
@@ -47,12 +51,20 @@ def rolling_origin(cases: DataFrame, cutoffs: Sequence[str], window_months: int
     return cases.withColumn("_s", F.explode(tagged)).select(*cases.columns, "_s.*")
 
 
-def split_guards(splits: DataFrame, snapshot: DataFrame, horizon: int, window_months: int = 6) -> DataFrame:
-    """Per cutoff: part sizes and why the cutoff is unusable, if it is."""
-    sizes = splits.groupBy("cutoff", "cutoff_at").agg(
+def split_guards(
+    splits: DataFrame, cutoffs: Sequence[str], snapshot: DataFrame, horizon: int, window_months: int = 6
+) -> DataFrame:
+    """Per cutoff asked for: part sizes and why the cutoff is unusable, if it is; one without rows shows too."""
+    asked = splits.sparkSession.createDataFrame([(c, _first_day(c)) for c in cutoffs], "cutoff string, _day string")
+    counts = splits.groupBy("cutoff").agg(
         F.count_if(F.col("part") == "train").alias("n_train"),
         F.count_if(F.col("part") == "test").alias("n_test"),
     )
+    none = F.lit(0).cast("long")
+    sizes = asked.join(counts, "cutoff", "left").select(
+        "cutoff", F.to_timestamp("_day").alias("cutoff_at"),
+        F.coalesce("n_train", none).alias("n_train"), F.coalesce("n_test", none).alias("n_test"),
+    )
     end = add_months(F.col("cutoff_at"), window_months)
     late = add_months(end, horizon) > F.col("snapshot")
     problem = (
@@ -116,16 +128,26 @@ def stratified_folds(
 
 
 def early_stopping_slice(
-    cases: DataFrame, fraction: float = 0.1, seed: int = 42, row_id: str = "row_id", method: str = "md5"
+    cases: DataFrame,
+    fraction: float = 0.1,
+    seed: int = 42,
+    row_id: str = "row_id",
+    method: str = "md5",
+    min_rows: int = 50,
+    min_per_class: int = 5,
 ) -> DataFrame:
-    """Mark ``is_stop`` rows of a fit; none when the fit is too small for a slice."""
+    """Mark ``is_stop`` rows of a fit; ``has_slice`` says whether a slice was made at all.
+
+    A fit with fewer than ``min_rows`` rows, or ``min_per_class`` of a class, is not
+    sliced: no row is marked and ``has_slice`` is false.
+    """
     sizes = cases.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b")
     ).first()
-    if fraction <= 0 or sizes["n"] < 50 or min(sizes["a"], sizes["b"]) < 5:
-        return cases.select(row_id, "y", F.lit(False).alias("is_stop"))
+    if fraction <= 0 or sizes["n"] < min_rows or min(sizes["a"], sizes["b"]) < min_per_class:
+        return cases.select(row_id, "y", F.lit(False).alias("is_stop"), F.lit(False).alias("has_slice"))
     parts = stratified_split(cases, fraction, seed, row_id=row_id, method=method)
-    return parts.select(row_id, "y", (F.col("part") == "test").alias("is_stop"))
+    return parts.select(row_id, "y", (F.col("part") == "test").alias("is_stop"), F.lit(True).alias("has_slice"))
 
 
 def exact_sample(cases: DataFrame, n: int, seed: int, row_id: str = "row_id", method: str = "md5") -> DataFrame:
@@ -156,8 +178,8 @@ def forward_folds(
     per_month = rows.groupBy(*keys, "month", "avail").agg(
         F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")
     )
-    present = per_month.select(*keys, "month").distinct()
-    matured = per_month.groupBy(*keys, F.col("avail").alias("month")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    present = per_month.where(F.col("month").isNotNull()).select(*keys, "month").distinct()
+    matured = per_month.where(F.col("avail").isNotNull()).groupBy(*keys, F.col("avail").alias("month")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     timeline = (
         present.withColumn("is_month", F.lit(1))
         .unionByName(matured, allowMissingColumns=True)
@@ -192,11 +214,14 @@ def forward_folds(
 
 
 def available_from():
-    """First month start at which a row may train: orig < B and observable_by <= B."""
+    """First month start at which a row may train: orig < B and observable_by <= B.
+
+    NULL, so never, when either date is unknown (``greatest`` alone would skip it).
+    """
     after_orig = add_months(_month_start(F.col("orig")), 1)
     floor = _month_start(F.col("observable_by"))
     known = F.when(floor == F.col("observable_by"), floor).otherwise(add_months(floor, 1))
-    return F.greatest(after_orig, known)
+    return F.when(after_orig.isNotNull() & known.isNotNull(), F.greatest(after_orig, known))
 
 
 def forward_membership(
@@ -223,8 +248,17 @@ def forward_membership(
     return train.unionByName(validation)
 
 
+def require_dates(cases: DataFrame) -> None:
+    """Fail when a case has no origination or no observation date."""
+    missing = cases.where(F.col("orig").isNull() | F.col("observable_by").isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} cases without origination or observation date")
+
+
 def require_forward_folds(membership: DataFrame, folds: DataFrame, k: int) -> None:
-    """Fail when months are too few or a validation block has one class."""
+    """Fail when there are fewer than two folds, months are too few or a validation block has one class."""
+    if k < 2:
+        raise ValueError("forward folds need k >= 2")
     used = folds.agg(F.min("n_used").alias("n"), F.countDistinct("fold").alias("k")).first()
     if used["n"] is None or used["n"] < k or used["k"] < k:
         raise ValueError("too few months with observable training labels")

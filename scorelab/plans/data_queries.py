@@ -242,13 +242,21 @@ def rolling_origin_split(spark, d):
     return tidy(splits.rolling_origin(cases(spark, d), CUTOFFS).select("cutoff", "part", "row_id", "y"))
 
 
-@query("split_guards", with_sql(SQL_ROLLING) + """SELECT cutoff, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test,
-  CASE WHEN count(*) FILTER (part = 'train') = 0 OR count(*) FILTER (part = 'test') = 0 THEN 'empty_part'
-       WHEN cut + INTERVAL 18 MONTH > max(snapshot) THEN 'test_labels_not_observable' ELSE 'ok' END AS status
-FROM rolled GROUP BY cutoff, cut""")
+OUTSIDE = "1980-01"  # a cutoff before all data
+
+
+@query("split_guards", with_sql(SQL_ROLLING) + f""", asked AS (SELECT cutoff, cut FROM cuts UNION ALL SELECT '{OUTSIDE}', '{OUTSIDE}-01'::TIMESTAMP),
+sized AS (
+  SELECT a.cutoff, a.cut, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test
+  FROM asked a LEFT JOIN rolled r ON a.cutoff = r.cutoff GROUP BY a.cutoff, a.cut)
+SELECT cutoff, n_train, n_test,
+  CASE WHEN n_train = 0 OR n_test = 0 THEN 'empty_part'
+       WHEN cut + INTERVAL 18 MONTH > (SELECT snapshot FROM snap) THEN 'test_labels_not_observable' ELSE 'ok' END AS status
+FROM sized""")
 def split_guards(spark, d):
-    s = splits.rolling_origin(cases(spark, d), CUTOFFS)
-    return tidy(splits.split_guards(s, labels.snapshot_of(loans(spark, d)), HORIZON))
+    asked = [*CUTOFFS, OUTSIDE]
+    s = splits.rolling_origin(cases(spark, d), asked)
+    return tidy(splits.split_guards(s, asked, labels.snapshot_of(loans(spark, d)), HORIZON))
 
 
 @query("split_summary", with_sql(SQL_ROLLING) + f"""SELECT cutoff, part, count(*) AS n, {r('avg(y)', 'default_rate')},
@@ -275,7 +283,7 @@ def stratified_folds(spark, d):
     return tidy(splits.stratified_folds(cases(spark, d)))
 
 
-@query("early_stopping_slice", with_sql(SQL_CASES, RANKED) + "SELECT row_id, y::BIGINT AS y, rn <= round(n * 0.1::DOUBLE) AS is_stop FROM ranked")
+@query("early_stopping_slice", with_sql(SQL_CASES, RANKED) + "SELECT row_id, y::BIGINT AS y, rn <= round(n * 0.1::DOUBLE) AS is_stop, true AS has_slice FROM ranked")
 def early_stopping_slice(spark, d):
     return tidy(splits.early_stopping_slice(cases(spark, d)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorelab.functions.grids import SWEEP, TUNING
 from scorelab.operators import calibrate, compare, metrics, thresholds
@@ -276,13 +277,29 @@ newton AS (
 
 
 @query("calibration_slope", NEWTON + f"""SELECT run_id, model, {r('a', 'calibration_intercept', 6)}, {r('b', 'calibration_slope', 6)},
-  {r('c', 'calibration_in_the_large', 6)} FROM newton WHERE it = 15""")
+  {r('c', 'calibration_in_the_large', 6)}, 'ok' AS calibration_status FROM newton WHERE it = 15""")
 def calibration_slope(spark, d):
-    return tidy(calibrate.logistic_recalibration(scores(spark, d), KEYS), digits=6)
+    return tidy(calibrate.logistic_recalibration(scores(spark, d), KEYS).drop("calibration_iterations"), digits=6)
 
 
 @query("isotonic_calibration")
 def isotonic_calibration(spark, d):
-    s = scores(spark, d).where(F.col("model") == "disc")
+    """The maps of all models, fitted on one run and applied to the other."""
+    s = scores(spark, d)
     fit, held = (s.where(F.col("run_id") == x) for x in ("run_F", "run_O"))
-    return calibrate.isotonic_map(fit, held).select("run_id", "model", "row_id", "y", "p")
+    return calibrate.isotonic_map(fit, held, ["model"]).select("run_id", "model", "row_id", "y", "p")
+
+
+@query("isotonic_invariants", with_sql(SQL_SCORES) + """SELECT model, true AS rises, true AS keeps_totals, true AS in_range
+FROM scores WHERE run_id = 'run_F' GROUP BY model""")
+def isotonic_invariants(spark, d):
+    """What makes a map isotonic: it rises, keeps the label total of its own fit, and stays in [0, 1]."""
+    own = scores(spark, d).where(F.col("run_id") == "run_F")
+    blocks = calibrate.isotonic_blocks(own, ["model"])
+    step = F.lag("_v").over(Window.partitionBy("model").orderBy("_lo"))
+    rising = blocks.withColumn("_up", F.col("_v") > F.coalesce(step, F.lit(-1.0))).groupBy("model").agg(F.min("_up").alias("rises"))
+    mapped = calibrate.isotonic_map(own, own, ["model"])
+    totals = mapped.groupBy("model").agg(
+        (F.abs(F.sum("p") - F.sum("y")) < 1e-6 * (1 + F.sum("y"))).alias("keeps_totals"), F.min((F.col("p") >= 0) & (F.col("p") <= 1)).alias("in_range")
+    )
+    return rising.join(totals, "model")

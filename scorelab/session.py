@@ -53,7 +53,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+#: Tables of parameters (one narrow row per key) are broadcast up to so many rows.
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write a table of parameters (one narrow row per key) and broadcast it if it is small.
 
     Above ``max_rows`` the plain table comes back, and the join shuffles (with

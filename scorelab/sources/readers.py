@@ -47,10 +47,14 @@ def split_whitespace(lines: DataFrame, names: Sequence[str], column: str = "valu
 
 
 def read_whitespace(spark: SparkSession, path: str, names: Sequence[str] = SOUTH_GERMAN_COLUMNS) -> DataFrame:
-    """Whitespace-separated file whose header line is replaced by ``names``."""
-    lines = spark.read.text(path)
-    header = lines.select(F.first("value").alias("h")).first()["h"] if not lines.isEmpty() else ""
-    body = lines.where((F.trim("value") != "") & (F.col("value") != F.lit(header)))
+    """Whitespace-separated files whose header lines (the first of each file) are replaced by ``names``."""
+    lines = with_file_order(spark.read.text(path), "_at")
+    # ids rise within a file's first block, so its least one is the file's first line: one row per file
+    heads = lines.where(F.col("_at.start") == 0).groupBy("_at.file").agg(F.min("_at.row").alias("_head"))
+    placed = lines.withColumn("file", F.col("_at.file")).join(heads, "file", "left")
+    head = F.coalesce((F.col("_at.start") == 0) & (F.col("_at.row") == F.col("_head")), F.lit(False))
+    # the header becomes NULL here, so no later filter on the numbers can reach its text
+    body = placed.select(F.when(~head, F.col("value")).alias("value")).where(F.trim("value") != "")
     return split_whitespace(body, names)
 
 

@@ -19,8 +19,20 @@ def write_run_table(df: DataFrame, root: str, name: str) -> None:
 
 
 def retract_runs(spark: SparkSession, root: str, run_ids: list[str]) -> None:
-    """Mark runs as incomplete before their tables are rewritten."""
+    """Mark runs as incomplete and drop their partitions before their tables are rewritten.
+
+    Dynamic overwrite replaces only partitions that get rows, so rows of an earlier
+    attempt would stay where the new table has none.
+    """
     _manifest(spark, root, [(r, False, None) for r in run_ids])
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(hadoop)
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for table in store.listStatus(top):
+        if table.isDirectory() and table.getPath().getName() != "run_manifest":
+            for r in run_ids:
+                store.delete(jvm.org.apache.hadoop.fs.Path(table.getPath(), "run_id=" + escape(r)), True)
 
 
 def complete_runs(spark: SparkSession, root: str, settings: Mapping[str, str]) -> None:

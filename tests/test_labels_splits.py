@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from scorelab.operators import labels, prep, splits
+from scorelab.operators import labels, prep, scoring, splits
 
 LOANS = [
     (1, "2011-01-15", "Defaulted", "2011-09-01", 7.0, 1),
@@ -83,16 +83,48 @@ def test_too_few_months_is_an_error(spark):
         splits.require_forward_folds(splits.forward_membership(cases, folds), folds, 3)
 
 
+def test_unknown_dates_never_train(spark):
+    late = datetime(2001, 2, 1)
+    cases = spark.createDataFrame(
+        [(1, datetime(2001, 1, 5), None, 0), (2, None, late, 1), (3, datetime(2001, 1, 5), late, 0)],
+        "row_id long, orig timestamp, observable_by timestamp, y int",
+    )
+    known = {r["row_id"]: r["a"] for r in cases.select("row_id", splits.available_from().alias("a")).collect()}
+    assert known == {1: None, 2: None, 3: late}
+    with pytest.raises(ValueError, match="2 cases"):
+        splits.require_dates(cases)
+    months = _months(spark)
+    hidden = months.where("row_id % 7 = 0").withColumn("observable_by", F.lit(None).cast("timestamp")).withColumn("row_id", F.col("row_id") + 10_000)
+    both = months.union(hidden)
+    folds = splits.forward_folds(both, 3)
+    members = splits.forward_membership(both, folds)
+    assert members.where("part = 'train' AND row_id >= 10000").count() == 0
+    with pytest.raises(ValueError, match="k >= 2"):
+        splits.require_forward_folds(members, folds, 1)
+
+
+def test_forward_flags_equal_the_membership(spark):
+    cases = _months(spark)
+    folds = splits.forward_folds(cases, 3)
+    want = {(r["row_id"], r["part"], r["fold"]) for r in splits.forward_membership(cases, folds).collect()}
+    got = set()
+    for r in scoring.with_forward_flags(cases).collect():
+        got |= {(r["row_id"], "train", f) for f in r["train_folds"]} | {(r["row_id"], "validation", f) for f in r["valid_folds"]}
+    assert got == want
+    with pytest.raises(ValueError):
+        scoring.with_forward_flags(cases.where("orig < timestamp'2005-03-01'"))
+
+
 def test_rolling_origin_parts_are_disjoint_and_guarded(spark):
     cases = _months(spark)
     s = splits.rolling_origin(cases, ["2007-01", "2008-06"], 6)
     assert s.groupBy("cutoff", "row_id").count().where("count > 1").count() == 0
     assert s.where("part = 'train' AND observable_by > cutoff_at").count() == 0
     snapshot = cases.agg(F.max("orig").alias("snapshot"))
-    guards = {r["cutoff"]: r["status"] for r in splits.split_guards(s, snapshot, 12).collect()}
-    assert guards == {"2007-01": "ok", "2008-06": "test_labels_not_observable"}
+    guards = {r["cutoff"]: r["status"] for r in splits.split_guards(s, ["1980-01", "2007-01", "2008-06"], snapshot, 12).collect()}
+    assert guards == {"1980-01": "empty_part", "2007-01": "ok", "2008-06": "test_labels_not_observable"}
     with pytest.raises(ValueError):
-        splits.require_usable(splits.split_guards(s, snapshot, 12))
+        splits.require_usable(splits.split_guards(s, ["1980-01", "2007-01"], snapshot, 12))
 
 
 def test_split_and_folds_do_not_depend_on_partitions(spark):
@@ -108,7 +140,8 @@ def test_split_and_folds_do_not_depend_on_partitions(spark):
 
 def test_small_fits_get_no_stopping_slice(spark):
     cases = _months(spark)
-    assert splits.early_stopping_slice(cases.where("row_id < 40")).where("is_stop").count() == 0
+    assert splits.early_stopping_slice(cases.where("row_id < 40")).where("is_stop OR has_slice").count() == 0
+    assert splits.early_stopping_slice(cases.where("row_id < 40"), min_rows=20, min_per_class=2).where("is_stop").count() > 0
     assert splits.early_stopping_slice(cases).where("is_stop").count() == round(76.8) + round(19.2)
 
 

@@ -96,6 +96,77 @@ def test_recalibration_solves_the_score_equations(spark):
     assert abs((y - mu).sum()) < 1e-6 and abs(((y - mu) * x).sum()) < 1e-6 and abs((y - nu).sum()) < 1e-6
 
 
+def _bounded_optimum(x, y):
+    """Intercept and slope within +-30 by a fine search, for small separable cases."""
+    best = None
+    for b in np.linspace(-30, 30, 241):
+        for a in np.linspace(-30, 30, 601):
+            eta = a + b * x
+            loss = (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta))) - y * eta).sum()
+            if best is None or loss < best[0]:
+                best = (loss, a, b)
+    return best
+
+
+def test_recalibration_at_its_bounds_and_undefined_cases(spark):
+    p = [0.2, 0.3, 0.35, 0.4, 0.42, 0.45, 0.47, 0.5, 0.6, 0.7]
+    rows = [("sep", i, int(v > 0.44), v) for i, v in enumerate(p)] + [("one", i, 1, v) for i, v in enumerate(p)]
+    rows += [("ok", i, i % 2, v) for i, v in enumerate(p)] + [("same", i, int(i < 3), 0.5) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, row_id long, y int, p double")
+    got = {r["k"]: r for r in calibrate.logistic_recalibration(df, ["k"]).collect()}
+    x, y = np.log(np.array(p) / (1 - np.array(p))), np.array([int(v > 0.44) for v in p])
+    loss, a, b = _bounded_optimum(x, y)
+    sep = got["sep"]
+    eta = sep["calibration_intercept"] + sep["calibration_slope"] * x
+    assert sep["calibration_status"] == "ok" and sep["calibration_slope"] == 30.0
+    assert (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta))) - y * eta).sum() <= loss + 1e-9
+    assert got["one"]["calibration_status"] == "one_class" and got["one"]["calibration_slope"] is None
+    assert got["ok"]["calibration_status"] == "ok" and got["ok"]["calibration_iterations"] < 30
+    assert got["same"]["calibration_intercept"] == pytest.approx(np.log(3 / 7))
+
+
+def test_scores_that_are_no_numbers_are_errors(spark):
+    for bad in (float("nan"), None):
+        df = spark.createDataFrame([(1, 1, 0.5), (2, 0, bad)], "row_id long, y int, p double")
+        with pytest.raises(Exception, match="missing or not a number"):
+            metrics.metric_rows(df, []).collect()
+        with pytest.raises(Exception, match="missing or not a number"):
+            metrics.confusion(df, []).collect()
+
+
+def _pav(p, y):
+    order = np.argsort(p, kind="stable")
+    out = []
+    for v in sorted(set(p)):
+        hit = [y[i] for i in order if p[i] == v]
+        out.append([v, v, len(hit), sum(hit)])
+        while len(out) > 1 and out[-2][3] / out[-2][2] >= out[-1][3] / out[-1][2]:
+            last = out.pop()
+            out[-1] = [out[-1][0], last[1], out[-1][2] + last[2], out[-1][3] + last[3]]
+    return [(a, b, s / n) for a, b, n, s in out]
+
+
+@pytest.mark.parametrize("pooled", [50_000, 6])
+def test_isotonic_maps_of_many_keys(many_partitions, pooled):
+    rng = np.random.default_rng(pooled)
+    rows = []
+    for k, n in (("a", 200), ("b", 30), ("c", 1)):
+        p = np.round(rng.random(n), 2)
+        rows += [(k, i, int(rng.random() < q), float(q)) for i, q in enumerate(p)]
+    df = many_partitions.createDataFrame(rows, "k string, row_id long, y int, p double")
+    got = {}
+    for r in calibrate.isotonic_blocks(df, ["k"], pooled).collect():
+        got.setdefault(r["k"], []).append((r["_lo"], r["_hi"], r["_v"]))
+    new = many_partitions.createDataFrame([(k, i, 0, i / 97) for k in "abc" for i in range(98)], "k string, row_id long, y int, p double")
+    mapped = {(r["k"], r["row_id"]): r["p"] for r in calibrate.isotonic_map(df, new, ["k"]).collect()}
+    for k in "abc":
+        want = _pav([r[3] for r in rows if r[0] == k], [r[2] for r in rows if r[0] == k])
+        assert sorted(got[k]) == [pytest.approx(w) for w in want]
+        xs, vs = [e for a, b, _ in want for e in (a, b)], [v for _, _, v in want for _ in range(2)]
+        for i in range(98):
+            assert mapped[k, i] == pytest.approx(float(np.interp(i / 97, xs, vs)))
+
+
 def test_isotonic_map_is_monotone_and_clipped(spark):
     fit = spark.createDataFrame([(0, 0.2), (0, 0.3), (1, 0.5), (0, 0.6), (1, 0.9)], "y int, p double")
     new = spark.createDataFrame([(1, 0.0), (2, 0.55), (3, 1.0)], "row_id long, p double")

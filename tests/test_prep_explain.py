@@ -118,3 +118,24 @@ def test_repair_needs_the_signed_column(spark):
 def test_winner_ties_follow_preference(spark):
     df = spark.createDataFrame([("r", "b", 0.8), ("r", "a", 0.8), ("r", "c", 0.7)], "run string, model string, AUROC double")
     assert summary.best_by_metric(df, ["run"], "model", "AUROC", ["c", "b", "a"]).first()["model"] == "b"
+
+
+def test_missing_inputs_make_missing_features(spark):
+    names = [f"{k}{i}" for k in "bpd" for i in range(3)]
+    full = {"lim": 10.0, "b0": 10.0, "b1": 20.0, "b2": 0.5, "p0": 5.0, "p1": 5.0, "p2": 5.0, "d0": 2.0, "d1": 0.0, "d2": 0.0}
+    rows = [full] + [full | {gone: None} for gone in ("lim", "b1", "p1", "d0", "d1")]
+    df = spark.createDataFrame([(i, *[r[c] for c in ("lim", *names)]) for i, r in enumerate(rows)], "i int, lim double, " + ", ".join(f"{n} double" for n in names))
+    got = features.period_features(df, "lim", names[:3], names[3:6], names[6:]).orderBy("i").collect()
+    made = ["util_rate_mean", "pay_ratio_mean", "avg_pay_delay", "max_pay_delay", "limit_ratio", "delay_spike"]
+    missing = [{c for c in made if r[c] is None} for r in got]
+    assert missing[:2] == [set(), {"util_rate_mean", "limit_ratio"}]
+    assert {"util_rate_mean", "limit_ratio"} <= missing[2]
+    assert missing[4] == missing[5] == {"avg_pay_delay", "max_pay_delay"}
+    assert [r["delay_spike"] for r in got] == [1, 1, 1, 1, 0, 0] and got[0]["max_pay_delay"] == 2.0
+
+
+def test_a_single_repeat_is_stable(spark):
+    rows = [("a", 1, "x", 0.5), ("a", 1, "y", 0.1), ("b", 1, "x", 0.5), ("b", 1, "y", 0.1), ("b", 2, "x", 0.1), ("b", 2, "y", 0.5)]
+    df = spark.createDataFrame(rows, "row_id string, repeat int, feature string, value double")
+    got = {r["row_id"]: (r["stability_rho"], r["top_jaccard"]) for r in explain.repeat_stability(df, ["row_id"], 1).collect()}
+    assert got["a"] == (1.0, 1.0) and got["b"][0] == pytest.approx(-1.0)

@@ -127,3 +127,26 @@ def test_draws_are_seeded_and_distinct():
     a, b = scoring.draw_params("boost_gain", 12, 1), scoring.draw_params("boost_gain", 12, 1)
     assert a == b and len({str(x) for x in a}) == 12 and a != scoring.draw_params("boost_gain", 12, 2)
     assert len(scoring.draw_params("logistic", 12, 1)) == 7
+
+
+def test_header_is_the_first_line_of_each_file(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.asc").write_text("h1 h2\n" + "".join(f"{i} {i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        out = readers.read_whitespace(spark, str(tmp_path), ["x", "y"])
+        assert out.count() == 6000 and out.where("x IS NULL").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rows_of_an_earlier_attempt_go(spark, tmp_path):
+    root = str(tmp_path / "again")
+    df = spark.createDataFrame([("r=1", 1.0), ("r2", 2.0)], "run_id string, v double")
+    sinks.retract_runs(spark, root, ["r=1", "r2"])
+    sinks.write_run_table(df, root, "m")
+    sinks.complete_runs(spark, root, {"r=1": "s", "r2": "s"})
+    sinks.retract_runs(spark, root, ["r=1"])
+    sinks.write_run_table(df.limit(0), root, "m")
+    sinks.complete_runs(spark, root, {"r=1": "s"})
+    assert [r["run_id"] for r in sinks.read_complete(spark, root, "m").collect()] == ["r2"]
