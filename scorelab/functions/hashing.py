@@ -35,15 +35,23 @@ def standard_normal(seed: int | str, *keys: Column | str, method: str = "md5") -
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * F.pi() * u2)
 
 
-def poisson_one(u: Column, terms: int = 12) -> Column:
-    """Poisson(1) draw by inverting its distribution function at ``u``."""
-    out = F.lit(0)
-    mass = 2.718281828459045 ** -1
-    total = mass
-    for k in range(1, terms + 1):
-        out = out + F.when(u >= F.lit(total), 1).otherwise(0)
+def poisson_steps(bits: int = 53) -> list[float]:
+    """Values of the Poisson(1) distribution function that a uniform of ``bits`` bits can reach."""
+    mass = total = 2.718281828459045 ** -1
+    steps, k = [], 0
+    while total <= 1.0 - 2.0**-bits:
+        steps.append(total)
+        k += 1
         mass /= k
         total += mass
+    return steps
+
+
+def poisson_one(u: Column, bits: int = 53) -> Column:
+    """Poisson(1) draw by inverting its distribution function at ``u``."""
+    out = F.lit(0)
+    for step in poisson_steps(bits):
+        out = out + F.when(u >= F.lit(step), 1).otherwise(0)
     return out
 
 

@@ -197,12 +197,15 @@ def friedman(blocks: DataFrame, keys: Sequence[str], block: str, higher_is_bette
 
 
 def significant_pairs(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Model pairs of a ``friedman`` result and whether they differ by more than the CD."""
+    """Model pairs of a ``friedman`` result and whether they differ by more than the CD.
+
+    NULL where the CD is unknown: too few runs, or more models than the table of quantiles has.
+    """
     pairs = model_pairs(ranks, keys, ["average_rank", "nemenyi_cd"])
     gap = F.abs(F.col("average_rank_a") - F.col("average_rank_b"))
     return pairs.select(
         *keys, "model_a", "model_b", gap.alias("rank_difference"),
-        F.coalesce(gap > F.col("nemenyi_cd_a"), F.lit(False)).alias("significant"),
+        (gap > F.col("nemenyi_cd_a")).alias("significant"),
     )
 
 

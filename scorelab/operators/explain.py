@@ -81,7 +81,6 @@ def local_surrogate(
     stds: Mapping[str, float],
     score: Scorer,
     samples: int = 200,
-    top: int = 15,
     ridge: float = 1.0,
     seed: int = 42,
     row_id: str = "row_id",
@@ -144,11 +143,9 @@ def local_surrogate(
     )
     fitted = sums.withColumn("_fit", F.pandas_udf(solve, out_type)("gram", "rhs", "yy"))
     entries = F.arrays_zip(F.array(*[F.lit(f) for f in names]).alias("feature"), F.col("_fit.coef").alias("value"))
-    long = fitted.select(row_id, F.col("_fit.r2").alias("r2"), F.explode(entries).alias("e")).select(
+    return fitted.select(row_id, F.col("_fit.r2").alias("r2"), F.explode(entries).alias("e")).select(
         row_id, F.col("e")["feature"].alias("feature"), F.col("e")["value"].alias("value"), "r2"
     )
-    place = F.row_number().over(Window.partitionBy(row_id).orderBy(F.desc(F.abs("value")), "feature"))
-    return long.withColumn("_r", place).where(F.col("_r") <= top).drop("_r")
 
 
 # --- summaries --------------------------------------------------------------------
@@ -168,16 +165,12 @@ def additivity(
     expected: float,
     tolerance: float = 0.05,
     row_id: str = "row_id",
-    first_rows: int | None = None,
 ) -> DataFrame:
     """Do attributions plus the expected value rebuild the prediction? n, mae, pass.
 
-    Sums outside [0, 1] are read as log-odds. ``first_rows`` limits the check to
-    the first rows by id, which is biased when ids follow time.
+    Sums outside [0, 1] are read as log-odds. All rows are checked.
     """
     sums = attributions.groupBy(row_id).agg((F.sum("value") + F.lit(float(expected))).alias("_f"))
-    if first_rows is not None:
-        sums = sums.orderBy(row_id).limit(first_rows)
     logodds = sums.agg((F.max("_f") > 1.0) | (F.min("_f") < 0.0))
     rebuilt = F.when(F.col("_lo"), 1.0 / (1.0 + F.exp(-F.col("_f")))).otherwise(F.col("_f"))
     joined = sums.join(predictions.select(row_id, "p"), row_id).withColumn("_lo", logodds.scalar())

@@ -149,12 +149,17 @@ def clean_loans(spark, d):
     return tidy(features.drop_leakage(raw.na.fill(0.0, prior).na.fill("Unknown", ["Occupation"])))
 
 
-YEARS = range(1995, 2001)
+PERIODS = 6
 
 
 def periods(spark, d):
-    """One row per customer: six yearly balances, payments and delay statuses."""
+    """One row per customer: balances, payments and delay statuses of the six newest years with orders.
+
+    Period 5 is the newest year. A customer without orders has zeros.
+    """
     o, year = table(spark, d, "orders"), F.year("o_orderdate")
+    newest = o.agg(F.max(year)).first()[0] or 0
+    YEARS = range(newest - PERIODS + 1, newest + 1)
     sums = o.groupBy("o_custkey").agg(
         *[F.sum(F.when(year == y, F.col("o_totalprice")).otherwise(0.0)).alias(f"bill_{i}") for i, y in enumerate(YEARS)],
         *[
@@ -167,18 +172,21 @@ def periods(spark, d):
         ],
     )
     c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") * 100.0).alias("credit_limit"))
-    return c.join(sums, c.c_custkey == sums.o_custkey).drop("o_custkey")
+    both = c.join(sums, c.c_custkey == sums.o_custkey, "left").drop("o_custkey")
+    none = {f"late_{i}": -1 for i in range(PERIODS)} | {f"{x}_{i}": 0.0 for x in ("bill", "pay") for i in range(PERIODS)}
+    return both.na.fill(none)
 
 
 def _sql_periods():
-    cols = [f"sum(CASE WHEN year(o_orderdate) = {y} THEN o_totalprice ELSE 0 END) AS b{i}" for i, y in enumerate(YEARS)]
+    years = [f"(SELECT max(year(o_orderdate)) - {PERIODS - 1 - i} FROM orders)" for i in range(PERIODS)]
+    cols = [f"sum(CASE WHEN year(o_orderdate) = {y} THEN o_totalprice ELSE 0 END) AS b{i}" for i, y in enumerate(years)]
     cols += [
         f"sum(CASE WHEN year(o_orderdate) = {y} AND o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS p{i}"
-        for i, y in enumerate(YEARS)
+        for i, y in enumerate(years)
     ]
     cols += [
         f"least(greatest(count(*) FILTER (year(o_orderdate) = {y} AND o_orderstatus = 'P') - 1, 0), 8)::DOUBLE AS d{i}"
-        for i, y in enumerate(YEARS)
+        for i, y in enumerate(years)
     ]
     def total(x):
         return "(" + " + ".join(f"{x}{i}" for i in range(6)) + ")"
@@ -189,7 +197,8 @@ def _sql_periods():
     shares = " + ".join(f"CASE WHEN b{i} > 0 THEN p{i} / b{i} ELSE 0 END" for i in range(6))
     late = ", ".join(f"d{i}" for i in range(6))
     return f"""WITH s AS (SELECT o_custkey, {", ".join(cols)} FROM orders GROUP BY o_custkey),
-t AS (SELECT c_custkey, c_acctbal * 100.0::DOUBLE AS lim, s.* FROM customer JOIN s ON c_custkey = o_custkey)
+t AS (SELECT c_custkey, c_acctbal * 100.0::DOUBLE AS lim, {", ".join(f"coalesce({x}{i}, 0) AS {x}{i}" for x in "bpd" for i in range(PERIODS))}
+  FROM customer LEFT JOIN s ON c_custkey = o_custkey)
 SELECT c_custkey, {r(f"{total('b')} / 6 / greatest(lim, 1)", 'util_rate_mean', 5)}, {r(f'({shares}) / 6', 'pay_ratio_mean')},
   {r(f"{total('d')} / 6", 'avg_pay_delay')}, {r(f'greatest({late})', 'max_pay_delay')}, {r(slope('b'), 'bill_trend', 4)},
   {r(slope('p'), 'pay_trend', 4)}, {r(f"lim / greatest({total('b')} / 6, 1)", 'limit_ratio', 5)},

@@ -51,12 +51,12 @@ drawn AS (SELECT syn_id, bs.id AS base_id, floor(un * 5) + 1 AS rank, gap FROM p
 
 
 def _first(step="gap"):
-    return ", ".join(r(f"va[{i + 1}] + {step} * (vb[{i + 1}] - va[{i + 1}])", f"x{i}", 7) for i in (0, 1, 31, 63))
+    return ", ".join(r(f"va[{i + 1}] + {step} * (vb[{i + 1}] - va[{i + 1}])", f"x{i}", 7) for i in range(64))
 
 
 def _shown(df):
     return tidy(
-        df.select("syn_id", "base_id", "nn_id", *[F.col("vec")[i].alias(f"x{i}") for i in (0, 1, 31, 63)]), digits=7
+        df.select("syn_id", "base_id", "nn_id", *[F.col("vec")[i].alias(f"x{i}") for i in range(64)]), digits=7
     )
 
 
@@ -119,14 +119,15 @@ def nominal_votes(spark, d):
 @query("class_balance", with_sql(SQL_POINTS) + """SELECT 'before' AS stage, y::BIGINT AS y, count(*) AS n FROM pts GROUP BY y
 UNION ALL SELECT 'after', g.y, (SELECT count(*) FROM pts WHERE y = 0) FROM (VALUES (0), (1)) g(y)""")
 def class_balance(spark, d):
-    """SMOTE on the first eight dimensions with nominal votes: equal classes afterwards."""
+    """SMOTE on all dimensions with nominal votes: equal classes afterwards."""
     p = points(spark, d)
-    names = [f"x{i}" for i in range(8)]
+    names = [f"x{i}" for i in range(64)]
     train = p.select("id", "y", *[F.col("vec")[i].alias(n) for i, n in enumerate(names)], "parity", "band")
     return tidy(resample.class_balance(train, resample.resample(train, "SMOTE", names, ["parity", "band"])))
 
 
-@query("unresampled_rows", with_sql(SQL_POINTS) + "SELECT id::VARCHAR AS id, y::BIGINT AS y, round(vec[1], 8) + 0.0 AS x0, false AS is_synthetic FROM pts")
+@query("unresampled_rows", with_sql(SQL_POINTS) + "SELECT id::VARCHAR AS id, y::BIGINT AS y, " + ", ".join(f"round(vec[{i + 1}], 8) + 0.0 AS x{i}" for i in range(64)) + ", false AS is_synthetic FROM pts")
 def unresampled_rows(spark, d):
-    train = points(spark, d).select("id", "y", F.col("vec")[0].alias("x0"))
-    return tidy(resample.resample(train, "ClassWeight", ["x0"]))
+    names = [f"x{i}" for i in range(64)]
+    train = points(spark, d).select("id", "y", *[F.col("vec")[i].alias(n) for i, n in enumerate(names)])
+    return tidy(resample.resample(train, "ClassWeight", names))

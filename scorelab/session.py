@@ -57,11 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 BROADCAST_ROWS = 100_000
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = 32_000_000) -> DataFrame:
     """Write a table of parameters (one narrow row per key) and broadcast it if it is small.
 
-    Above ``max_rows`` the plain table comes back, and the join shuffles (with
-    adaptive skew handling) instead.
+    Above ``max_rows`` rows or ``max_bytes`` the plain table comes back, and the
+    join shuffles (with adaptive skew handling) instead.
     """
     written = materialised(df)
-    return F.broadcast(written) if written.count() <= max_rows else written
+    texts = [F.sum(F.octet_length(n)) for n, t in written.dtypes if t in ("string", "binary")]
+    rows, *lengths = written.agg(F.count(F.lit(1)), *texts).first()
+    size = rows * 16 * len(written.columns) + sum(x or 0 for x in lengths)
+    return F.broadcast(written) if rows <= max_rows and size <= max_bytes else written
