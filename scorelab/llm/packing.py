@@ -17,28 +17,28 @@ of their own. Very long texts give as many pieces as they need.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelab.llm.common import stored, utf8
+from scorelab.llm.common import stored
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words, and stems of words, whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Stems whose ids a worker remembers (below 100 MB).
+STEMS = 250_000
 BREAK = "<|endoftext|>"
 
 
-#: Letters whose lower case does not depend on their neighbours, then punctuation that makes one pre-token.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?()\[\]{}\"-]*)").fullmatch
+#: Marks that are cut off words, and the bytes of ASCII letters and digits.
+MARKS = ".,;:!?"
+PLAIN = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 
 class Memory(dict):
@@ -67,7 +67,7 @@ class WordIds:
     The vocabulary's pre-tokeniser never joins characters across ASCII blanks
     and drops them, so the ids of a text are those of its words in order. The
     vocabulary lower-cases, and letters and punctuation are separate pre-tokens,
-    so most words are a known lower-case stem and a known ending. Stems not met
+    so a word with one mark behind it is a stem and that mark. Stems not met
     before go to the library together, with a special token between them; what
     holds a special token's text goes alone.
     """
@@ -78,53 +78,81 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.stop = self.library.token_to_id(BREAK)
-        self.words, self.stems = Memory(REMEMBERED), Memory(REMEMBERED)
-
-    def learn_stems(self, stems: list[bytes]) -> None:
+        vocabulary = self.library.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.stems = Memory(STEMS)
+        self.marks = np.zeros(256, np.uint32)  # the one id of each mark
+        for mark in MARKS:
+            ids = self.library.encode(mark, add_special_tokens=False).ids
+            if len(ids) == 1 and ids[0]:
+                self.marks[ord(mark)] = ids[0]
+
+    def learn(self, stems: list[bytes]) -> None:
         odd = [w for w in stems if b"<|" in w or w.endswith(b"<")]
-        plain = [w for w in stems if not (b"<|" in w or w.endswith(b"<"))] if odd else stems
+        letters = [w for w in stems if w.isalpha()]  # one pre-token each, so blanks are enough between them
+        plain = [w for w in stems if not (w.isalpha() or b"<|" in w or w.endswith(b"<"))]
         for w in odd:
             ids = self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
             self.stems[w] = np.array(ids, "<u4").tobytes()
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            line = BREAK.encode().join(part).decode("utf-8", "replace")
-            ids = np.array(self.library.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.stop)
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            if len(starts) != len(part):
-                raise RuntimeError("the vocabulary did not keep the separators apart")
-            raw = ids.tobytes()
-            self.stems.update({w: raw[4 * a : 4 * b] for w, a, b in zip(part, starts, ends, strict=True)})
-
-    def learn(self, words: list[bytes]) -> None:
-        heads, tails = [], []
-        for w in words:
-            head = w.rstrip(b".,;:!?")
-            if head.isalpha():  # ASCII letters, in lower case already
-                heads.append(head)
-                tails.append(w[len(head) :])
-            elif plain := PLAIN(w.decode("utf-8", "replace")):
-                heads.append(plain[1].lower().encode())
-                tails.append(plain[2].encode())
-            else:
-                heads.append(w)
-                tails.append(b"")
-        self.learn_stems(list(self.stems.unknown({*heads, *tails})))
-        stem = self.stems.__getitem__
-        self.words.update({w: stem(p) + stem(q) if q else stem(p) for w, p, q in zip(words, heads, tails, strict=True)})
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, as little-endian bytes; what is new in any of them is learned at once."""
-        self.words.turn()
+        for some, between in ((letters, b" "), (plain, BREAK.encode())):
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                line = between.join(part).decode("utf-8", "replace")
+                ids = np.array(self.library.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+                if some is letters:
+                    ends = np.flatnonzero(self.closing[ids]) + 1
+                    starts = np.append(0, ends[:-1])
+                else:
+                    cuts = np.flatnonzero(ids == self.stop)
+                    starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
+                if len(starts) != len(part):
+                    raise RuntimeError("the vocabulary did not keep the words apart")
+                raw = ids.tobytes()
+                self.stems.update({w: raw[4 * a : 4 * b] for w, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True)})
+
+    def trimmed(self, words: pa.StringArray) -> np.ndarray:
+        """True for words that end in one mark which the pre-tokeniser cuts off: it follows a letter or digit."""
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        size, stop = np.diff(ends), ends[1:].astype(np.int64)
+        if not len(raw):
+            return np.zeros(len(words), bool)
+        last, before, third = (raw[np.maximum(stop - k, 0)] for k in (1, 2, 3))
+        beyond = (size > 2) & (third == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        return (size > 1) & (self.marks[last] > 0) & (PLAIN[before] | beyond)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids end.
+
+        Each distinct word is looked up once; what is new is learned at once.
+        """
         self.stems.turn()
-        # lower-casing A-Z first saves most words twice over; it must not turn text into a special token
-        parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        fresh = self.words.unknown(set().union(*parts))
-        if fresh:
-            self.learn(list(fresh))
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        # lower-casing A-Z first saves many words twice over; it must not turn text into a special token
+        texts = pc.fill_null(texts, "")
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(low)
+        words = split.flatten()
+        trim = self.trimmed(words)
+        coded = pc.dictionary_encode(pc.if_else(pa.array(trim), pc.utf8_slice_codeunits(words, 0, -1), words))
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.learn(list(self.stems.unknown(set(distinct))))
+        found = list(map(self.stems.__getitem__, distinct))
+        table = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        stems = sizes[word]
+        upto = np.append(0, np.cumsum(stems + trim))
+        ids = np.empty(upto[-1], "<u4")
+        stem_at = np.ones(upto[-1], bool)
+        if trim.any():
+            marks = upto[1:][trim] - 1
+            stem_at[marks] = False
+            ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + len(words) + 1]
+            ids[marks] = self.marks[np.frombuffer(words.buffers()[2], np.uint8)[ends[trim] - 1]]
+        skip = np.append(0, np.cumsum(stems))
+        ids[stem_at] = table[np.repeat((np.cumsum(sizes) - sizes)[word] - skip[:-1], stems) + np.arange(skip[-1])]
+        return ids, upto[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
 
 
 @cache
@@ -133,7 +161,7 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, step: int = 512) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, step: int = 1024) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: every document cut at multiples of ``size``.
 
     ``step`` documents are looked up together.
@@ -146,9 +174,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, s
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 rows: list[tuple] = []
-                found = words.of([utf8(t) for t in some.column(1).to_pylist()])
-                for doc_id, ids in zip(some.column(0).to_pylist(), found, strict=True):
-                    raw = ids + end
+                ids, ends = words.of(some.column(1))
+                raw_ids, ends = ids.tobytes(), (4 * ends).tolist()
+                for doc_id, a, b in zip(some.column(0).to_pylist(), [0, *ends], ends, strict=False):
+                    raw = raw_ids[a:b] + end
                     total = len(raw) // 4
                     for start in range(0, total, size):
                         part = raw[4 * start : 4 * (start + size)]

@@ -238,12 +238,13 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
 
     def units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = []
-            for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                words = WORDS((text or "").lower())
-                line = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-                made.append((min(map(xxhash.xxh64_intdigest, line)) - 2**63, int(toxic), text, sorted(_units(set(words)))))
-            yield pd.DataFrame(made, columns=["same", "toxic", "text", "units"])
+            for at in range(0, len(frame), 50):  # a text has thousands of units
+                some, made = frame.iloc[at : at + 50], []
+                for text, toxic in zip(some["text"], some["toxic"], strict=True):
+                    words = WORDS((text or "").lower())
+                    line = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+                    made.append((min(map(xxhash.xxh64_intdigest, line)) - 2**63, int(toxic), text, sorted(_units(set(words)))))
+                yield pd.DataFrame(made, columns=["same", "toxic", "text", "units"])
 
     per_text = texts.mapInPandas(units, "same long, toxic int, text string, units array<string>")
     once = stored(per_text.groupBy("same").agg(F.max(F.struct("toxic", "units", "text")).alias("t")).select("t.*"), "toxic-units")

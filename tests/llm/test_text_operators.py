@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -234,11 +235,21 @@ def test_patterns_hold_the_histogram():
 
 def test_memory_lets_go_of_old_words():
     words = packing.WordIds(WORDS)
-    words.words.most = words.stems.most = 5
-    lines = [f"Word{i} again, common. {i}" .encode() for i in range(40)]
-    found = [words.of([t])[0] for t in lines]
-    want = [np.array(words.library.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in lines]
-    assert found == want and len(words.words) < 20
+    words.stems.most = 5
+    lines = [f"Word{i} again, common. {i}" for i in range(40)]
+    found = [words.of(pa.array([t]))[0].tolist() for t in lines]
+    assert found == [words.library.encode(t, add_special_tokens=False).ids for t in lines] and len(words.stems) < 20
+
+
+def test_word_by_word_ids_equal_the_library():
+    words, rng = packing.WordIds(WORDS), random.Random(3)
+    parts = ["a", "B", "ab", " ", "  ", "\n", "é", "É", "日", "E", "in", "\t", "\x0b", "\x1c", "\x85", "0", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "<",
+             "|>", "Σ", "ΑΣ", "'s", "'S", "İ", "\u0301", "ﬁ", "×", "ß", ".", ",", "...", "-", "(", '"', "_"]
+    lines = [None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for some in (pa.array(lines, pa.string()), pa.array(lines, pa.string()).slice(700, 900)):
+        ids, ends = words.of(some)
+        want = [words.library.encode(t or "", add_special_tokens=False).ids for t in some.to_pylist()]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
 
 
 # --- secrets -------------------------------------------------------------------
