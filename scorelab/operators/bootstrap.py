@@ -2,27 +2,39 @@
 
 Each row draws a Poisson(1) weight per replicate from hash(row, replicate), so
 all models share the draw (paired) and no row order or partition matters.
-Replicates run in batches that are written out, which bounds the expansion.
+
+Rows are never multiplied by replicates. A model's scores are sorted once, in
+range chunks; a task streams its chunk, draws the weights of a block of rows for
+all replicates as one matrix and keeps sums per replicate. What leaves a task is
+one row of arrays per chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from scorelab.functions.hashing import poisson_one, uniform
+from scorelab.functions.hashing import TWO_32, TWO_53, poisson_steps, uniform
 from scorelab.functions.numeric import ratio
 from scorelab.operators.compare import model_pairs
-from scorelab.operators.fairness import EVERYONE, MISSING, RATES, melt_groups
-from scorelab.operators.metrics import metric_rows
-from scorelab.operators.ordering import numbered
-from scorelab.session import materialised
+from scorelab.operators.fairness import EVERYONE, MISSING, RATES
+from scorelab.operators.metrics import metric_rows, usable_score
+from scorelab.operators.ordering import CHUNK, in_chunks, numbered
+from scorelab.session import checked_broadcast, materialised
 
 METRICS = ["AUROC", "AUPRC", "Brier", "F1", "MCC"]
+# Fixed value: the report's wording
 SCOPE = "conditional_on_fitted_models_and_selected_thresholds"
+#: Replicates drawn at once, and rows drawn at once: a block of weights is rows x replicates.
+BATCH, BLOCK = 2000, 1024
 
 
 def _batches(reps: int, batch: int) -> Iterator[tuple[int, int]]:
@@ -30,26 +42,47 @@ def _batches(reps: int, batch: int) -> Iterator[tuple[int, int]]:
         yield start, min(start + batch, reps) - 1
 
 
-def with_poisson_weights(
-    rows: DataFrame, first: int, last: int, seed: int, row_key: Sequence[str], method: str = "md5"
-) -> DataFrame:
-    """Rows x replicates first..last with weight ``w`` > 0."""
-    rep = rows.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    u = uniform(seed, *row_key, "rep", method=method)
-    return rep.withColumn("w", poisson_one(u)).where(F.col("w") > 0)
+def uniforms(seed: int | str, names: Sequence[str], first: int, last: int, method: str) -> np.ndarray:
+    """``functions.hashing.uniform(seed, name, rep)`` as a matrix of rows x replicates.
+
+    ``names`` are the row keys as text, joined by ``|``.
+    """
+    reps = [str(r).encode() for r in range(first, last + 1)]
+    out = np.empty((len(names), len(reps)))
+    if method == "md5":
+        for i, name in enumerate(names):
+            start = hashlib.md5(f"{seed}|{name}|".encode())
+            for j, rep in enumerate(reps):
+                h = start.copy()
+                h.update(rep)
+                out[i, j] = int.from_bytes(h.digest()[:4], "big")
+        return out / TWO_32
+    if method == "xxhash64":  # columns are hashed one after the other, each seeded by the one before
+        head = xxhash.xxh64_intdigest(str(seed).encode(), 42)
+        for i, name in enumerate(names):
+            mark = reduce(lambda at, part: xxhash.xxh64_intdigest(part.encode(), at), name.split("|"), head)
+            for j, rep in enumerate(reps):
+                out[i, j] = xxhash.xxh64_intdigest(rep, mark) >> 11
+        return out / TWO_53
+    raise ValueError(f"unknown hash method {method!r}")
+
+
+def poisson_weights(seed: int | str, names: Sequence[str], first: int, last: int, method: str) -> np.ndarray:
+    return np.searchsorted(poisson_steps(), uniforms(seed, names, first, last, method), side="right").astype(np.float64)
+
+
+def _row_name(keys: Sequence[str]):
+    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("_name")
 
 
 def with_multinomial_weights(
-    rows: DataFrame, first: int, last: int, seed: int, row_key: Sequence[str], method: str = "xxhash64"
+    rows: DataFrame, ids: DataFrame, total: int, first: int, last: int, seed: int, row_key: Sequence[str], method: str = "xxhash64"
 ) -> DataFrame:
     """Exactly n draws with replacement per replicate, as row weights ``w``.
 
-    Draw numbers meet row numbers by equality.
+    Draw numbers meet row numbers by equality; ``ids`` numbers the rows (``_rn``).
     """
-    ids = materialised(numbered(rows.select(*row_key).distinct(), [], list(row_key), "_rn"))
-    total = ids.agg(F.max("_rn_total")).first()[0] or 0
-    spark = rows.sparkSession
-    draws = spark.range(total).withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    draws = rows.sparkSession.range(total).withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(last))))
     picked = (
         draws.withColumn("_rn", F.floor(uniform(seed, "id", "rep", method=method) * total) + 1)
         .groupBy("rep", "_rn")
@@ -59,26 +92,182 @@ def with_multinomial_weights(
     return rows.join(weights, list(row_key))
 
 
+def _multinomial(scores, thresholds, keys, reps, seed, batch, method) -> DataFrame:
+    row_key = [*keys, "row_id"]
+    ids = materialised(numbered(scores.select(*row_key).distinct(), [], row_key, "_rn"))
+    total = ids.agg(F.max("_rn_total")).first()[0] or 0
+    parts = []
+    for first, last in _batches(reps, batch):
+        drawn = with_multinomial_weights(scores, ids, total, first, last, seed, row_key, method)
+        rows = metric_rows(drawn, [*keys, "model", "rep"], thresholds, weight="w")
+        parts.append(materialised(rows.where(F.col("AUROC").isNotNull()).select(*keys, "model", "rep", *METRICS)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _segments(frame: pd.DataFrame, by: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Blocks of rows that agree on ``by``; the frame is sorted by it."""
+    codes = frame.groupby(list(by), sort=False, dropna=False).ngroup().to_numpy()
+    cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(frame)]
+    for a, b in zip(cuts, cuts[1:]):
+        for at in range(a, b, BLOCK):
+            yield frame.iloc[at : min(at + BLOCK, b)]
+
+
+def _chunk_totals(draw: Callable, by: list[str]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            held: dict[tuple, list] = {}
+            for part in _segments(frame, by):
+                w, y = draw(part["_name"].tolist()), part["y"].to_numpy(float)
+                pos, every = y @ w, w.sum(axis=0)
+                at = held.setdefault(tuple(part.iloc[0][by]), [0.0, 0.0])
+                at[0], at[1] = at[0] + pos, at[1] + every - pos
+            if held:
+                yield pd.DataFrame([[*k, v[0], v[1]] for k, v in held.items()], columns=[*by, "pos", "neg"])
+
+    return run
+
+
+class _Sweep:
+    """Sums over one chunk's rows in score order, for all replicates; ``before`` and ``total`` are counts per replicate."""
+
+    def __init__(self, row: pd.Series, by: list[str]):
+        self.key = tuple(row[by])
+        self.pos, self.neg, self.all_pos, self.all_neg = (np.array(row[c], float) for c in ("_pos", "_neg", "_P", "_N"))
+        self.won, self.precision, self.square, self.tp, self.fp = (np.zeros(len(self.pos)) for _ in range(5))
+        self.tie, self.tie_pos, self.tie_neg = None, 0.0, 0.0
+
+    def close(self) -> None:
+        """Count the scores equal to ``tie``."""
+        self.won += self.tie_pos * (self.neg + 0.5 * self.tie_neg)
+        tp, fp = self.all_pos - self.pos, self.all_neg - self.neg
+        self.precision += np.divide(self.tie_pos * tp, tp + fp, out=np.zeros_like(tp), where=(tp + fp > 0))
+        self.pos, self.neg = self.pos + self.tie_pos, self.neg + self.tie_neg
+        self.tie = None
+
+    def add(self, part: pd.DataFrame, w: np.ndarray) -> None:
+        p, y = part["p"].to_numpy(float), part["y"].to_numpy(float)
+        over = p >= part["threshold"].to_numpy(float)
+        self.square += ((y - p) ** 2) @ w
+        self.tp += (over * y) @ w
+        self.fp += (over * (1 - y)) @ w
+        starts = np.append(0, np.flatnonzero(p[1:] != p[:-1]) + 1)
+        pos, every = np.add.reduceat(w * y[:, None], starts), np.add.reduceat(w, starts)
+        for s, a, b in zip(starts, pos, every - pos):
+            if self.tie is not None and self.tie != p[s]:
+                self.close()
+            if self.tie is None:
+                self.tie, self.tie_pos, self.tie_neg = p[s], a, b
+            else:
+                self.tie_pos, self.tie_neg = self.tie_pos + a, self.tie_neg + b
+
+    def row(self) -> list:
+        if self.tie is not None:
+            self.close()
+        return [*self.key, self.won, self.precision, self.square, self.tp, self.fp]
+
+
+def _chunk_sums(draw: Callable, by: list[str]):
+    names = [*by, "won", "precision", "square", "tp", "fp"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: _Sweep | None = None
+        for frame in frames:
+            for part in _segments(frame, by):
+                if now is not None and now.key != tuple(part.iloc[0][by]):
+                    yield pd.DataFrame([now.row()], columns=names)
+                    now = None
+                now = now or _Sweep(part.iloc[0], by)
+                now.add(part, draw(part["_name"].tolist()))
+        if now is not None:
+            yield pd.DataFrame([now.row()], columns=names)
+
+    return run
+
+
+def _summed(column: str):
+    """Element-wise sum of the arrays of a few chunks."""
+    total = F.aggregate(
+        F.collect_list(column),
+        F.array().cast("array<double>"),
+        lambda s, x: F.when(F.size(s) == 0, x).otherwise(F.zip_with(s, x, lambda a, b: a + b)),
+    )
+    return total.alias(column)
+
+
+def _poisson(scores, thresholds, keys, first, last, seed, method) -> DataFrame:
+    group = [*keys, "model"]
+    by = [*group, CHUNK]
+    on = [k for k in group if k in thresholds.columns]
+    cuts = checked_broadcast(thresholds.select(*on, "threshold"))
+    rows = scores.select(*group, _row_name([*keys, "row_id"]), "y", usable_score(F.col("p").cast("double")).alias("p"))
+    rows = rows.join(cuts, on) if on else rows.withColumn("threshold", cuts.select("threshold").scalar())
+    chunks = in_chunks(rows, group, ["p"])  # equal scores share a chunk
+
+    def draw(names: list[str]) -> np.ndarray:
+        return poisson_weights(seed, names, first, last, method)
+
+    kept = ", ".join(f"`{k}` {t}" for k, t in chunks.select(*by).dtypes)
+    totals = chunks.select(*by, "_name", "y").mapInPandas(_chunk_totals(draw, by), f"{kept}, pos array<double>, neg array<double>")
+    # one row of arrays per chunk and key
+    per_chunk = materialised(totals.groupBy(*by).agg(_summed("pos"), _summed("neg")))
+    before = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+
+    def over(column: str, window):
+        zero = F.transform(column, lambda x: F.lit(0.0))
+        return F.aggregate(F.collect_list(column).over(window), zero, lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+
+    offsets = per_chunk.select(
+        *by, over("pos", before).alias("_pos"), over("neg", before).alias("_neg"), over("pos", whole).alias("_P"), over("neg", whole).alias("_N")
+    )
+    ordered = chunks.join(offsets, by).repartition(*by).sortWithinPartitions(*by, "p")
+    sums = ordered.mapInPandas(
+        _chunk_sums(draw, by), kept + "".join(f", {c} array<double>" for c in ("won", "precision", "square", "tp", "fp"))
+    )
+    names = ("won", "precision", "square", "tp", "fp")
+    joined = sums.groupBy(*group).agg(*[_summed(c) for c in names]).join(
+        per_chunk.groupBy(*group).agg(_summed("pos"), _summed("neg")), group
+    )
+    each = joined.select(*group, F.posexplode(F.arrays_zip(*names, "pos", "neg")).alias("_i", "_v")).select(
+        *group, (F.col("_i") + first).alias("rep"), "_v.*"
+    )
+    pos, neg, tp, fp = (F.col(c) for c in ("pos", "neg", "tp", "fp"))
+    fn, tn = pos - tp, neg - fp
+    spread = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+    out = each.where((pos > 0) & (neg > 0)).select(
+        *group, "rep",
+        ratio(F.col("won"), pos * neg).alias("AUROC"), ratio(F.col("precision"), pos).alias("AUPRC"),
+        ratio(F.col("square"), pos + neg).alias("Brier"),
+        F.coalesce(ratio(2.0 * tp, 2.0 * tp + fp + fn), F.lit(0.0)).alias("F1"),
+        F.coalesce(ratio(tp * tn - fp * fn, spread), F.lit(0.0)).alias("MCC"),
+    )
+    return materialised(out)
+
+
 def replicate_metrics(
     scores: DataFrame,
     thresholds: DataFrame,
     keys: Sequence[str],
-    reps: int,
+    reps: int = 2000,
     seed: int = 42,
-    batch: int = 100,
+    batch: int | None = None,
     mode: str = "poisson",
     method: str = "md5",
 ) -> DataFrame:
-    """Metrics of every (key, model, replicate); replicates with one class are left out."""
+    """Metrics of every (key, model, replicate); replicates with one class are left out.
+
+    ``poisson`` draws row weights, ``multinomial`` exactly n rows (which multiplies
+    rows by replicates, ``batch`` at a time).
+    """
     keys = list(keys)
-    draw = {"poisson": with_poisson_weights, "multinomial": with_multinomial_weights}[mode]
-    parts = []
-    for first, last in _batches(reps, batch):
-        drawn = draw(scores, first, last, seed, [*keys, "row_id"], method)
-        rows = metric_rows(drawn, [*keys, "model", "rep"], thresholds, weight="w")
-        slim = rows.where(F.col("AUROC").isNotNull()).select(*keys, "model", "rep", *METRICS)
-        parts.append(materialised(slim))
-    wide = reduce(DataFrame.unionByName, parts)
+    if mode == "multinomial":
+        wide = _multinomial(scores, thresholds, keys, reps, seed, batch or 500, method)
+    elif mode == "poisson":
+        parts = [_poisson(scores, thresholds, keys, a, b, seed, method) for a, b in _batches(reps, batch or BATCH)]
+        wide = reduce(DataFrame.unionByName, parts)
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
     return wide.unpivot([*keys, "model", "rep"], METRICS, "metric", "value")
 
 
@@ -112,9 +301,9 @@ def policy_differences(
     rows: DataFrame,
     keys: Sequence[str],
     groups: Sequence[str],
-    reps: int,
+    reps: int = 2000,
     seed: int = 42,
-    batch: int = 100,
+    batch: int | None = None,
     cost_fp: float = 1.0,
     cost_fn: float = 5.0,
     method: str = "md5",
@@ -125,24 +314,35 @@ def policy_differences(
     a missing group is its own level.
     """
     keys = list(keys)
+    flags = ["n", "np", "tp_reference", "tp_candidate", "fp_reference", "fp_candidate"]
+    by = [*keys, "group_column", "level"]
+    slim = rows.select(*keys, _row_name([*keys, "row_id"]), "y", "reference", "candidate", *groups)
+    kept = ", ".join(f"`{k}` {t}" for k, t in slim.select(*keys).dtypes) + ", " * bool(keys) + "group_column string, level string"
     parts = []
-    for first, last in _batches(reps, batch):
-        drawn = with_poisson_weights(
-            rows.select(*keys, "row_id", "y", "reference", "candidate", *groups), first, last, seed, [*keys, "row_id"], method
-        )
-        long = melt_groups(drawn, groups, missing=MISSING, everyone=True)
-        w, y = F.col("w"), F.col("y") == 1
+    for first, last in _batches(reps, batch or BATCH):
 
-        def total(condition, name):
-            return F.sum(F.when(condition, w).otherwise(0)).alias(name)
+        def sums(frames: Iterator[pd.DataFrame], first=first, last=last) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                held: dict[tuple, np.ndarray] = {}
+                for at in range(0, len(frame), BLOCK):
+                    part = frame.iloc[at : at + BLOCK]
+                    w = poisson_weights(seed, part["_name"].tolist(), first, last, method)
+                    y, ref, cand = (part[c].to_numpy(float) for c in ("y", "reference", "candidate"))
+                    each = np.column_stack([np.ones(len(part)), y, ref * y, cand * y, ref * (1 - y), cand * (1 - y)])
+                    for g in [*groups, None]:
+                        level = part[g].map(lambda v: MISSING if pd.isna(v) else str(v)) if g else pd.Series(EVERYONE, part.index)
+                        own = part[keys].assign(_g=g or EVERYONE, _l=level.to_numpy())
+                        for key, places in own.groupby([*keys, "_g", "_l"], sort=False, dropna=False).indices.items():
+                            held[key] = held.get(key, 0.0) + each[places].T @ w[places]
+                out = [
+                    pd.DataFrame({**dict(zip(by, key)), "rep": np.arange(first, last + 1), **dict(zip(flags, m))})
+                    for key, m in held.items()
+                ]
+                if out:
+                    yield pd.concat(out)
 
-        cells = long.groupBy(*keys, "rep", "group_column", "level").agg(
-            F.sum("w").alias("n"),
-            total(y, "np"),
-            *[total(F.col(s) & y, f"tp_{s}") for s in ("reference", "candidate")],
-            *[total(F.col(s) & ~y, f"fp_{s}") for s in ("reference", "candidate")],
-        )
-        parts.append(materialised(cells))
+        partial = slim.mapInPandas(sums, f"{kept}, rep int" + "".join(f", {f} double" for f in flags))
+        parts.append(materialised(partial.groupBy(*by, "rep").agg(*[F.sum(f).alias(f) for f in flags]).where("n > 0")))
     cells = reduce(DataFrame.unionByName, parts)
     by_rep = [*keys, "rep"]
     n, np_ = F.col("n"), F.col("np")

@@ -210,7 +210,7 @@ def composite_score(spark, d):
 
 # --- bootstrap -------------------------------------------------------------------
 
-REPS = 40
+REPS = 2000
 
 
 def doc_scores(spark, d):
@@ -283,7 +283,7 @@ def bootstrap_differences(spark, d):
 def bootstrap_multinomial(spark, d):
     s = doc_scores(spark, d).drop("lang")
     half = s.select("model").distinct().withColumn("threshold", F.lit(0.5))
-    return bootstrap.metric_intervals(bootstrap.replicate_metrics(s, half, [], 10, mode="multinomial"), [])
+    return bootstrap.metric_intervals(bootstrap.replicate_metrics(s, half, [], REPS, mode="multinomial"), [])
 
 
 POLICY_BOOT = with_sql(SQL_DOCS, SQL_DRAWS) + """, pr AS (SELECT row_id, y, CASE WHEN lang <> 'de' THEN lang END AS lang, spread >= 0.5::DOUBLE AS ref, coarse >= 0.5::DOUBLE AS cand FROM dwide),

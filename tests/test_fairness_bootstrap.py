@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scorelab.operators.ordering import numbered
 from scorelab.operators import bootstrap, fairness, thresholds
 
 
@@ -91,12 +92,58 @@ def test_composite_without_gap_is_not_scored(spark):
     assert r["reliability_score"] is None and r["score_status"] == "not_scored_fairness_unavailable"
 
 
-def test_poisson_draws_are_paired_and_repeatable(spark, fixture_scores):
-    a = bootstrap.with_poisson_weights(fixture_scores, 0, 29, 7, ["row_id"])
-    b = bootstrap.with_poisson_weights(fixture_scores.repartition(5), 0, 29, 7, ["row_id"])
-    rows = {(r["model"], r["row_id"], r["rep"]): r["w"] for r in a.collect()}
-    assert rows == {(r["model"], r["row_id"], r["rep"]): r["w"] for r in b.collect()}
-    assert all(rows[("b", i, k)] == w for (m, i, k), w in rows.items() if m == "a")
+@pytest.mark.parametrize("method", ["md5", "xxhash64"])
+def test_drawn_weights_equal_the_column_form(spark, method):
+    from scorelab.functions.hashing import poisson_one, uniform
+
+    rows = spark.range(40).selectExpr("id as row_id", "concat('k', id % 3) as k")
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(3), F.lit(30))))
+    want = {(r["row_id"], r["rep"]): r["w"] for r in reps.withColumn("w", poisson_one(uniform(7, "k", "row_id", "rep", method=method))).collect()}
+    names = [(r["row_id"], f"{r['k']}|{r['row_id']}") for r in rows.collect()]
+    got = bootstrap.poisson_weights(7, [n for _, n in names], 3, 30, method)
+    assert {(i, 3 + j): got[x, j] for x, (i, _) in enumerate(names) for j in range(28)} == want
+    assert 0.8 < got.mean() < 1.2
+
+
+def _plain_replicates(rows, reps, seed, threshold):
+    """AUROC, AUPRC, Brier, F1, MCC per (k, model, rep), pair by pair."""
+    out = {}
+    for k, m in {(r[0], r[1]) for r in rows}:
+        own = [r for r in rows if (r[0], r[1]) == (k, m)]
+        w = bootstrap.poisson_weights(seed, [f"{k}|{r[2]}" for r in own], 0, reps - 1, "md5")
+        y, p = np.array([r[3] for r in own], float), np.array([r[4] for r in own])
+        for j in range(reps):
+            pos, neg = w[:, j] * y, w[:, j] * (1 - y)
+            if not pos.sum() or not neg.sum():
+                continue
+            won = sum(pos[i] * (neg[p < p[i]].sum() + 0.5 * neg[p == p[i]].sum()) for i in range(len(p)))
+            prec = sum(pos[i] * pos[p >= p[i]].sum() / (pos + neg)[p >= p[i]].sum() for i in range(len(p)) if pos[i])
+            tp, fp = pos[p >= threshold].sum(), neg[p >= threshold].sum()
+            fn, tn = pos.sum() - tp, neg.sum() - fp
+            spread = np.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+            out[k, m, j] = [
+                won / pos.sum() / neg.sum(), prec / pos.sum(), ((y - p) ** 2 @ w[:, j]) / w[:, j].sum(),
+                2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0, (tp * tn - fp * fn) / spread if spread else 0.0,
+            ]
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_replicates_equal_a_plain_loop(many_partitions, monkeypatch, block):
+    monkeypatch.setattr(bootstrap, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = [(k, m, i, int(rng.random() < 0.4), float(np.round(rng.random(), 1 if m == "coarse" else 6)))
+            for k in ("a", "b") for i in range(60) for m in ("coarse", "fine")]
+    df = many_partitions.createDataFrame(rows, "k string, model string, row_id long, y int, p double")
+    cut = df.select("model").distinct().withColumn("threshold", F.lit(0.5))
+    found = bootstrap.replicate_metrics(df, cut, ["k"], 25, 11)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r["k"], r["model"], r["rep"]), {})[r["metric"]] = r["value"]
+    want = _plain_replicates(rows, 25, 11, 0.5)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert [got[key][m] for m in bootstrap.METRICS] == pytest.approx(values)
 
 
 def test_batches_do_not_change_replicates(spark, fixture_scores):
@@ -108,6 +155,7 @@ def test_batches_do_not_change_replicates(spark, fixture_scores):
 
 
 def test_multinomial_draws_exactly_n(spark, fixture_scores):
-    drawn = bootstrap.with_multinomial_weights(fixture_scores, 0, 4, 1, ["row_id"])
+    ids = numbered(fixture_scores.select("row_id").distinct(), [], ["row_id"], "_rn")
+    drawn = bootstrap.with_multinomial_weights(fixture_scores, ids, ids.count(), 0, 4, 1, ["row_id"])
     sizes = drawn.groupBy("model", "rep").agg(F.sum("w").alias("n")).collect()
     assert len(sizes) == 10 and {r["n"] for r in sizes} == {8}
