@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_slices(texts: pa.Array, step: int = 256) -> Iterator[list]:
+    """A batch's texts as Python strings, some at a time; what Arrow holds unused goes back in between.
+
+    A worker keeps its process for many tasks and operators, so memory it holds on to adds up.
+    """
+    for at in range(0, len(texts), step):
+        yield texts.slice(at, step).to_pylist()
+        pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -183,6 +183,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, s
                         part = raw[4 * start : 4 * (start + size)]
                         rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
                 columns = zip(*rows, strict=True)
+                del ids, raw_ids
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIECE.replace(" long", "").split(", "))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)

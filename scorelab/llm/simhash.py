@@ -19,13 +19,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from scorelab.llm.common import stored, text_or_empty, utf8
+from scorelab.llm.common import in_slices, stored, text_or_empty, utf8
 from scorelab.llm.graph import components
 
 SEED = 42
@@ -51,9 +51,9 @@ def fingerprint(text: str | None, width: int = 3, digest=xxhash.xxh64_intdigest)
     return int(np.packbits(major, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprint_of(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+@F.arrow_udf(LongType())
+def fingerprint_of(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t) for some in in_slices(texts) for t in some], dtype=np.uint64).view(np.int64))
 
 
 def _block_keys() -> str:

@@ -177,6 +177,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, step: int = 256
                 tokens = np.array(counter.count(texts), np.int64)
                 sizes = pa.array([len(utf8(t)) for t in texts], pa.int64())
                 columns = [part.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)]
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"

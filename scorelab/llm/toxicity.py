@@ -28,16 +28,17 @@ import math
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelab.llm.common import stored
+from scorelab.llm.common import in_slices, stored
 
 #: Labelled training texts of each class at most; the fit's only bound.
 TRAINING_ROWS = {1: 2000, 0: 4000}
@@ -282,24 +283,24 @@ def minimal(found: dict[str, float]) -> dict[str, float]:
     return kept
 
 
-@cache
+@lru_cache(maxsize=2)
 def _grammar(lexicon: tuple[tuple[str, float], ...]) -> Grammar:
     return Grammar(dict(lexicon))
 
 
 def _features(lexicon: tuple[tuple[str, float], ...]):
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pa.Array) -> pa.Array:
         g = _grammar(lexicon)
-        return pd.Series([g.features(t) for t in texts])
+        return pa.array([g.features(t) for some in in_slices(texts) for t in some], pa.list_(pa.float64()))
 
-    return F.pandas_udf(run, "array<double>")
+    return F.arrow_udf(run, "array<double>")
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of ``docs`` with ``_score``, the probability of label 1."""
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pa.Array) -> pa.Array:
         g = _grammar(model.lexicon)
-        return pd.Series(model.scores(np.array([g.features(t) for t in texts], float)))
+        return pa.array(model.scores(np.array([g.features(t) for some in in_slices(texts) for t in some], float)))
 
-    return docs.withColumn("_score", F.pandas_udf(run, "double")(F.col("text")))
+    return docs.withColumn("_score", F.arrow_udf(run, "double")(F.col("text")))
