@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
@@ -68,6 +69,8 @@ SEARCH_SPACES: dict[str, dict[str, list]] = {
     },
 }
 FAMILY_ORDER = list(FAMILY_DEFAULTS)
+#: What unusable data raise; anything else (a lost cluster, a bug) goes on to the caller.
+EXPECTED = (ValueError, AnalysisException, IllegalArgumentException)
 
 
 @dataclass(frozen=True)
@@ -360,7 +363,7 @@ def strategy_ablation(
                 oof = oof_scores(prepared, folds, recipe, train)
                 _, scored = final_scores(prepared, recipe, train, test)
                 scored = materialised(scored)
-            except Exception as exc:  # noqa: BLE001 - the next probe takes over
+            except EXPECTED as exc:  # the next probe takes over
                 tables.append(_failed(prepared, probe.family, strategy, exc))
                 continue
             used = probe
@@ -376,7 +379,7 @@ def strategy_ablation(
 
 
 def _reason(exc: Exception) -> str:
-    return f"failed: {type(exc).__name__}"
+    return f"failed: {type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
 
 
 def _failed(prepared: Prepared, model: str, strategy: str, exc: Exception) -> DataFrame:
@@ -406,7 +409,7 @@ def external_validation(
             train, test = F.col("part") == "train", F.col("part") == "test"
             folds = Folds.partition("fold", k)
             prepared = prepare(rows, roles, folds, train)
-        except Exception as exc:  # noqa: BLE001
+        except EXPECTED as exc:
             tables.append(spark.createDataFrame([(name, "__dataset__", _reason(exc))], "dataset string, model string, status string"))
             continue
         for recipe in recipes:
@@ -416,7 +419,7 @@ def external_validation(
                 _, scored = final_scores(prepared, recipe, train, test)
                 row = metrics.metric_rows(scored, [], cut)
                 tables.append(materialised(row.select(*keys, F.lit(recipe.family).alias("model"), F.lit("ok").alias("status"), "*")))
-            except Exception as exc:  # noqa: BLE001
+            except EXPECTED as exc:
                 tables.append(spark.createDataFrame([(name, recipe.family, _reason(exc))], "dataset string, model string, status string"))
     return summary.stack_tables(tables)
 

@@ -4,25 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorelab.operators import compare, explain, metrics, prep, robust, scoring
+from scorelab.operators import compare, explain, metrics, prep, resample, robust, scoring
 from scorelab.plans.base import SQL_SCORES, query, r, scores, table, tidy, with_sql
 from scorelab.plans.data_queries import SQL_FEATURES, SQL_FORWARD, loan_features, periods
 from scorelab.operators.features import period_features
 from scorelab.plans.metric_queries import SQL_CURVE
 
 ROLES = scoring.Roles(("total", "balance", "months"), ("total", "balance"), ("segment", "priority"))
-SMALL = {
-    "logistic": {"maxIter": 30},
-    "forest": {"numTrees": 20, "maxDepth": 6},
-    "boost_gain": {"maxIter": 8, "maxDepth": 3, "minInfoGain": 0.0},
-    "boost_leaf": {"maxIter": 8, "maxDepth": 3},
-    "boost_plain": {"maxIter": 8, "maxDepth": 3},
-}
 CUT = "1999-01-01"
 
 
 def recipe(family, strategy="None", **params):
-    return scoring.Recipe(family, strategy, 42, {**SMALL[family], **params})
+    return scoring.Recipe(family, strategy, 42, params)
 
 
 def temporal(spark, d):
@@ -89,19 +82,17 @@ def feature_importances(spark, d):
 
 @query("random_search")
 def random_search(spark, d):
-    f = loan_features(spark, d).withColumn("fold", F.col("fold") % 3)
-    folds = scoring.Folds.partition("fold", 3)
-    p = scoring.prepare(f, ROLES, folds)
-    return scoring.random_search(p, folds, recipe("logistic"), scoring.draw_params("logistic", 3, 42))[1]
+    folds = scoring.Folds.partition("fold", 5)
+    p = scoring.prepare(loan_features(spark, d), ROLES, folds)
+    return scoring.random_search(p, folds, recipe("logistic"), scoring.draw_params("logistic", 12, 42))[1]
 
 
 @query("strategy_ablation")
 def strategy_ablation(spark, d):
     rows, train, test = temporal(spark, d)
-    rows = rows.withColumn("fold", F.col("fold") % 2)
-    folds = scoring.Folds.partition("fold", 2)
+    folds = scoring.Folds.partition("fold", 5)
     p = scoring.prepare(rows, ROLES, folds, train)
-    return scoring.strategy_ablation(p, folds, [recipe("logistic"), recipe("forest")], ["None", "ClassWeight", "SMOTE"], train, test)
+    return scoring.strategy_ablation(p, folds, [recipe("logistic"), recipe("forest")], list(resample.STRATEGIES), train, test)
 
 
 RULES = with_sql(SQL_SCORES, SQL_CURVE) + """, grid AS (SELECT i, 0.01::DOUBLE + i * 0.01::DOUBLE AS t FROM range(98) g(i)),
@@ -135,12 +126,12 @@ def controlled_ablation(spark, d):
 def feature_ablation(spark, d):
     """Raw yearly blocks against the engineered features, predicting a negative account balance."""
     six = [[f"{x}_{i}" for i in range(6)] for x in ("bill", "pay", "late")]
-    made = ["util_rate_mean", "pay_ratio_mean", "avg_pay_delay", "max_pay_delay", "bill_trend", "pay_trend"]
+    made = ["util_rate_mean", "pay_ratio_mean", "avg_pay_delay", "max_pay_delay", "bill_trend", "pay_trend", "limit_ratio", "delay_spike"]
     base = periods(spark, d).withColumn("y", (F.col("credit_limit") < 0).cast("int")).withColumn("credit_limit", F.lit(1000.0))
     rows = period_features(base, "credit_limit", *six).withColumn("row_id", F.col("c_custkey"))
-    rows = rows.withColumns({"part": F.when(F.col("row_id") % 4 == 0, "test").otherwise("train"), "fold": F.col("row_id") % 3})
+    rows = rows.withColumns({"part": F.when(F.col("row_id") % 4 == 0, "test").otherwise("train"), "fold": F.col("row_id") % 5})
     train, test = F.col("part") == "train", F.col("part") == "test"
-    folds = scoring.Folds.partition("fold", 3)
+    folds = scoring.Folds.partition("fold", 5)
     raw = tuple(c for block in six for c in block)
     sets = {"raw_features": scoring.Roles(raw), "engineered_features": scoring.Roles((*raw, *made))}
     prepared = {k: scoring.prepare(rows, v, folds, train) for k, v in sets.items()}
@@ -161,7 +152,7 @@ def external_validation(spark, d):
         "customers": (cust, scoring.Roles(("nation",), (), ("segment",))),
         "broken": (cust, scoring.Roles(("no_such_column",))),
     }
-    return scoring.external_validation(sets, [recipe("logistic")], k=3)
+    return scoring.external_validation(sets, [recipe("logistic"), recipe("boost_plain")], k=5)
 
 
 @query("model_robustness")
