@@ -34,7 +34,7 @@ def knn_join(
     k: int,
     exclude_self: bool = False,
     pivots: int = 64,
-    block_rows: int = 1024,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k nearest candidates of every query: query_id, id, distance, rank.
 
@@ -65,8 +65,31 @@ def knn_join(
     return ranked.where(F.col("rank") <= k)
 
 
+def closest(x: np.ndarray, y: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the ``need`` rows of y closest to each row of x; ties to the earlier row.
+
+    One matrix product picks what can be among them, with room for its rounding;
+    those are measured exactly.
+    """
+    long = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    fast = long - 2.0 * (x @ y.T)
+    last = min(need, len(y)) - 1
+    edge = np.partition(fast, last, axis=1)[:, last] + 1e-9 * long.max(axis=1)
+    row, place = np.nonzero(fast <= edge[:, None])
+    square = np.concatenate([((y[place[a : a + 65_536]] - x[row[a : a + 65_536]]) ** 2).sum(axis=1) for a in range(0, len(row), 65_536)])
+    order = np.lexsort((place, square, row))
+    row, place, square = row[order], place[order], square[order]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    kept = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < need
+    return row[kept], place[kept], np.sqrt(square[kept])
+
+
+#: Bytes of vectors in one block of the join.
+BLOCK_BYTES = 8_000_000
+
+
 def _nearest(
-    queries: DataFrame, candidates: DataFrame, need: int, pivots: int, block_rows: int
+    queries: DataFrame, candidates: DataFrame, need: int, pivots: int, block_rows: int | None
 ) -> DataFrame:
     """The ``need`` nearest candidates of every query: query_id, id, distance."""
     spark = queries.sparkSession
@@ -79,6 +102,8 @@ def _nearest(
         )
         return spark.createDataFrame([], schema)
 
+    block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * centres.shape[1]))
+
     def column(values: np.ndarray) -> pd.Series:
         return pd.Series(values) if values.dtype.kind in "iuf" else pd.Series(values.astype(object), dtype=object)
 
@@ -160,22 +185,14 @@ def _nearest(
             none = pd.Series([], dtype=object)
             return pd.DataFrame({"query_id": none, "id": none, "distance": pd.Series([], dtype=float)})
         c = c.sort_values("id", kind="stable")
-        ids = c["id"].to_numpy()
+        names, ids = q["query_id"].to_numpy(), c["id"].to_numpy()
         y = np.stack(c["vec"].to_numpy()).astype(float)
-        picks, dists = [], []
-        for vec in q["qvec"].to_numpy():
-            d = ((y - np.asarray(vec, dtype=float)) ** 2).sum(axis=1)
-            best = np.argsort(d, kind="stable")[:need]
-            picks.append(best)
-            dists.append(np.sqrt(d[best]))
-        each = [len(x) for x in picks]
-        return pd.DataFrame(
-            {
-                "query_id": column(np.repeat(q["query_id"].to_numpy(), each)),
-                "id": column(ids[np.concatenate(picks)]),
-                "distance": np.concatenate(dists),
-            }
-        )
+        found = [
+            [part + at if n == 0 else part for n, part in enumerate(closest(np.stack(q["qvec"].to_numpy()[at : at + 256]).astype(float), y, need))]
+            for at in range(0, len(q), 256)
+        ]
+        row, place, distance = (np.concatenate(parts) for parts in zip(*found))
+        return pd.DataFrame({"query_id": column(names[row]), "id": column(ids[place]), "distance": distance})
 
     pair_schema = T.StructType(
         [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())]
