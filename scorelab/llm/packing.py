@@ -32,7 +32,7 @@ from scorelab.llm.common import stored
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Stems whose ids a worker remembers (below 100 MB).
-STEMS = 150_000
+STEMS = 200_000
 BREAK = "<|endoftext|>"
 
 
@@ -161,7 +161,7 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, step: int = 512) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, step: int = 1024) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: every document cut at multiples of ``size``.
 
     ``step`` documents are looked up together.
