@@ -37,7 +37,7 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^sha(1|256|384|512)[-_=]",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T",
-    r"^/?([A-Za-z]+[0-9]{0,2}[/_-])+[A-Za-z]*[0-9]{0,2}$",
+    r"^/?(?:[A-Za-z]++[0-9]{0,2}+[/_-])++[A-Za-z]*+[0-9]{0,2}+$",
 )
 
 _NO_SPANS = "cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"

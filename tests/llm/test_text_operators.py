@@ -308,6 +308,16 @@ def test_allowed_strings_are_no_secrets(spark):
     assert [len(r[0]) for r in secrets.scanned(df).select("all_spans").collect()] == [0, 0, 0, 1]
 
 
+def test_long_candidates(spark):
+    """A path-like run of 100,000 characters is allowed or scanned like a short one; the regex keeps no stack per part."""
+    key = "A1b2C3d4E5f6G7h8I9j0K1l2M3"
+    rows = [(1, "Ab1/" * 25_000), (2, "Ab1_" * 25_000 + key), (3, "x " + "/Ab12-Cd" * 12_500 + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r[0]: [tuple(s) for s in r[1]] for r in secrets.scanned(df).select("doc_id", "all_spans").collect()}
+    assert found[1] == [] and found[3] == []
+    assert len(found[2]) == 1 and found[2][0][2] == 100_026 and found[2][0][3] == "entropy_base64"
+
+
 def test_redaction(spark, odd_secrets):
     df = spark.createDataFrame(odd_secrets, "doc_id long, text string").selectExpr(
         "*", "length(text) as n_chars", "'x' as all_spans", "'y' as _merged", "'z' as base_spans"
