@@ -99,7 +99,12 @@ def near_duplicates(docs: DataFrame, bucket: int = 64) -> DataFrame:
 def classes(printed: DataFrame, bucket: int = 64) -> DataFrame:
     """``fp, root, component_id`` per distinct print of ``printed`` (doc_id, fp)."""
     distinct = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    roots = components(close_links(distinct, bucket)).withColumnRenamed("node", "fp")
+    return named(distinct, close_links(distinct, bucket))
+
+
+def named(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``fp, root, component_id`` of ``distinct`` (fp, first_id) under ``links`` (u, v)."""
+    roots = components(links).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return stored(rooted.join(names, "root").select("fp", "root", "component_id"), "classes")
@@ -110,8 +115,15 @@ def hex_print(column: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: that with the smallest doc_id, then the smallest row."""
+    """One document of each group of close prints, with all its columns: that with the smallest doc_id, then the smallest row.
+
+    Prints within two bits are little more than copies; ``shingles.keep_one`` goes by similarity.
+    """
     held = docs.select(F.struct("*").alias("row"), "doc_id", fingerprint_of(text_or_empty()).alias("fp"))
-    groups = classes(stored(held.select("doc_id", "fp"), "prints"))
+    return first_of(held, classes(stored(held.select("doc_id", "fp"), "prints")))
+
+
+def first_of(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """The smallest row of each group's smallest doc_id; ``held`` has row, doc_id, fp."""
     first = held.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return first.groupBy("root").agg(F.min("row").alias("row")).select("row.*")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from scorelab.llm import graph, mixing, packing, repeats, secrets, simhash, tokens, toxicity
+from scorelab.llm import graph, mixing, packing, repeats, secrets, shingles, simhash, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -121,6 +121,44 @@ def test_one_of_each_group_stays(spark, docs, rows):
     assert all(tuple(r)[5:] == (1, 2, 3, 4) for r in kept.collect())
 
 
+def test_near_copies_by_shingles_go(spark):
+    """Changed words cost some bits of a print but little of the shingles; below 0.8 both stay."""
+    rng = random.Random(8)
+    rows, sets = [], []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words), "en", "src0", 1))
+        sets.append({tuple(w.lower() for w in words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+
+    for k in range(40):
+        words = [f"w{k}x{rng.randint(0, 10**6)}" for _ in range(rng.choice([4, 60, 200]))]
+        add(words)
+        for n in (0, 1, 2, 3, 8):
+            add([f"new{rng.random()}" if i in set(rng.sample(range(len(words)), min(n, len(words)))) else w.upper() for i, w in enumerate(words)])
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                linked += a != sets[j]
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert linked > 40
+    assert got(shingles.keep_one(spark.createDataFrame([], SCHEMA))) == []
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert sorted(r["doc_id"] for r in shingles.keep_one(docs).collect()) == sorted({find(i) for i in range(len(rows))})
+    # parts of a bucket meet pair by pair: the same components from small groups
+    distinct = shingles.signatures(docs)
+    parts = simhash.named(distinct.select("fp", "first_id"), shingles.links(docs, distinct, block=100))
+    assert {r[0] for r in parts.select("component_id").distinct().collect()} == {find(i) for i in range(len(rows))}
+
+
 def test_no_documents(empty):
     assert got(simhash.near_duplicates(empty)) == [] and got(simhash.keep_one(empty)) == []
     assert got(tokens.token_counts(empty, PIECES)) == [] and got(packing.packed(empty, WORDS)) == []
