@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelab.operators import compare, explain, metrics, prep, resample, robust, scoring
+from scorelab.operators import compare, explain, metrics, prep, resample, robust, scoring, summary
 from scorelab.plans.base import SQL_SCORES, query, r, scores, table, tidy, with_sql
-from scorelab.plans.data_queries import SQL_FEATURES, SQL_FORWARD, loan_features, periods
+from scorelab.plans.data_queries import CUTOFFS, SQL_FEATURES, SQL_FORWARD, loan_features, periods
 from scorelab.operators.features import period_features
 from scorelab.plans.metric_queries import SQL_CURVE
+from scorelab.session import materialised
 
 ROLES = scoring.Roles(("total", "balance", "months"), ("total", "balance"), ("segment", "priority"))
-CUT = "1999-01-01"
 
 
 def recipe(family, strategy="None", **params):
     return scoring.Recipe(family, strategy, 42, params)
 
 
-def temporal(spark, d):
-    """Train: label known by the cutoff; test: the half year after it."""
-    at = F.lit(CUT).cast("timestamp")
+def temporal(spark, d, cutoff: str):
+    """Train: label known by the cutoff (a month); test: the half year after it."""
+    at = F.lit(f"{cutoff}-01").cast("timestamp")
     f = loan_features(spark, d).withColumn("observable_by", F.col("orig") + F.make_interval(months=F.lit(12)))
     train = F.col("observable_by") <= at
     test = (F.col("orig") >= at) & (F.col("orig") < at + F.make_interval(months=F.lit(6)))
     return f.where(train | test), train, test
 
 
+def per_cutoff(spark, d, judged: Callable[[DataFrame, Column, Column], DataFrame]) -> DataFrame:
+    """The results of ``judged(rows, train, test)`` for every cutoff, each kept before the next is fitted."""
+    tables = []
+    for c in CUTOFFS:
+        tables.append(materialised(judged(*temporal(spark, d, c)).select(F.lit(c).alias("cutoff"), "*")))
+    return summary.stack_tables(tables)
+
+
 @query("oof_scores")
 def oof_scores(spark, d):
     folds = scoring.Folds.partition("fold", 5)
@@ -60,10 +71,12 @@ def fold_metrics(spark, d):
 
 def _family(name):
     def run(spark, d):
-        rows, train, test = temporal(spark, d)
-        p = scoring.prepare(rows, ROLES, None, train)
-        _, scored = scoring.final_scores(p, recipe(name, "ClassWeight"), train, test)
-        return metrics.metric_rows(scored.withColumn("model", F.lit(name)), ["model"], 0.5)
+        def judged(rows, train, test):
+            p = scoring.prepare(rows, ROLES, None, train)
+            _, scored = scoring.final_scores(p, recipe(name, "ClassWeight"), train, test)
+            return metrics.metric_rows(scored.withColumn("model", F.lit(name)), ["model"], 0.5)
+
+        return per_cutoff(spark, d, judged)
 
     return run
 
@@ -74,25 +87,34 @@ for _name in scoring.FAMILY_ORDER:
 
 @query("feature_importances")
 def feature_importances(spark, d):
-    rows, train, test = temporal(spark, d)
-    p = scoring.prepare(rows, ROLES, None, train)
-    model, _ = scoring.final_scores(p, recipe("forest"), train, test)
-    return explain.global_ranking(spark.createDataFrame(model.importances(), "feature string, value double"), [])
+    def judged(rows, train, test):
+        p = scoring.prepare(rows, ROLES, None, train)
+        model, _ = scoring.final_scores(p, recipe("forest"), train, test)
+        return explain.global_ranking(spark.createDataFrame(model.importances(), "feature string, value double"), [])
+
+    return per_cutoff(spark, d, judged)
 
 
 @query("random_search")
 def random_search(spark, d):
     folds = scoring.Folds.partition("fold", 5)
     p = scoring.prepare(loan_features(spark, d), ROLES, folds)
-    return scoring.random_search(p, folds, recipe("logistic"), scoring.draw_params("logistic", 12, 42))[1]
+    tables = []
+    for name in scoring.FAMILY_ORDER:
+        _, found = scoring.random_search(p, folds, recipe(name), scoring.draw_params(name, 12, 42))
+        tables.append(found.select(F.lit(name).alias("model"), "*"))
+    return summary.stack_tables(tables)
 
 
 @query("strategy_ablation")
 def strategy_ablation(spark, d):
-    rows, train, test = temporal(spark, d)
     folds = scoring.Folds.partition("fold", 5)
-    p = scoring.prepare(rows, ROLES, folds, train)
-    return scoring.strategy_ablation(p, folds, [recipe("logistic"), recipe("forest")], list(resample.STRATEGIES), train, test)
+
+    def judged(rows, train, test):
+        p = scoring.prepare(rows, ROLES, folds, train)
+        return scoring.strategy_ablation(p, folds, [recipe("logistic"), recipe("forest")], list(resample.STRATEGIES), train, test)
+
+    return per_cutoff(spark, d, judged)
 
 
 RULES = with_sql(SQL_SCORES, SQL_CURVE) + """, grid AS (SELECT i, 0.01::DOUBLE + i * 0.01::DOUBLE AS t FROM range(98) g(i)),
@@ -135,7 +157,11 @@ def feature_ablation(spark, d):
     raw = tuple(c for block in six for c in block)
     sets = {"raw_features": scoring.Roles(raw), "engineered_features": scoring.Roles((*raw, *made))}
     prepared = {k: scoring.prepare(rows, v, folds, train) for k, v in sets.items()}
-    return scoring.feature_ablation(prepared, folds, recipe("logistic"), train, test)
+    tables = []
+    for name in scoring.FAMILY_ORDER:
+        found = scoring.feature_ablation(prepared, folds, recipe(name), train, test)
+        tables.append(found.select(F.lit(name).alias("model"), "*"))
+    return summary.stack_tables(tables)
 
 
 @query("external_validation")
@@ -158,31 +184,35 @@ def external_validation(spark, d):
 @query("model_robustness")
 def model_robustness(spark, d):
     """A fitted forest rescored under all perturbations of the raw features."""
-    rows, train, test = temporal(spark, d)
-    p = scoring.prepare(rows, ROLES, None, train)
-    model, _ = scoring.final_scores(p, recipe("forest"), train, test)
+    def judged(rows, train, test):
+        p = scoring.prepare(rows, ROLES, None, train)
+        model, _ = scoring.final_scores(p, recipe("forest"), train, test)
+
+        def score(df):
+            kept = df.withColumn("fit", F.lit("all"))
+            others = [c for c in df.columns if c not in ROLES.inputs and c not in ("row_id", "y")]
+            ready = prep.apply_statistics(kept, p.stats, ROLES.continuous, ROLES.indicators, ROLES.nominals,
+                                          keep=["row_id", "y", *others, *[F.col(c).alias(f"_raw_{c}") for c in ROLES.continuous]])
+            out = model(ready)
+            return out.select("row_id", "y", *others, *[F.col(f"_raw_{c}").alias(c) for c in ROLES.continuous], *ROLES.nominals, "p")
 
-    def score(df):
-        kept = df.withColumn("fit", F.lit("all"))
-        others = [c for c in df.columns if c not in ROLES.inputs and c not in ("row_id", "y")]
-        ready = prep.apply_statistics(kept, p.stats, ROLES.continuous, ROLES.indicators, ROLES.nominals,
-                                      keep=["row_id", "y", *others, *[F.col(c).alias(f"_raw_{c}") for c in ROLES.continuous]])
-        out = model(ready)
-        return out.select("row_id", "y", *others, *[F.col(f"_raw_{c}").alias(c) for c in ROLES.continuous], *ROLES.nominals, "p")
+        profile = robust.train_profile(p.rows.where(train), ROLES.continuous)
+        held = p.rows.where(test).select("row_id", "y", *ROLES.continuous, *ROLES.nominals)
+        return robust.robustness_table(held, profile, ROLES.continuous, score, 0.3, 42, protected=ROLES.nominals, method="xxhash64")
 
-    profile = robust.train_profile(p.rows.where(train), ROLES.continuous)
-    held = p.rows.where(test).select("row_id", "y", *ROLES.continuous, *ROLES.nominals)
-    return robust.robustness_table(held, profile, ROLES.continuous, score, 0.3, 42, protected=ROLES.nominals, method="xxhash64")
+    return per_cutoff(spark, d, judged)
 
 
 @query("model_comparison")
 def model_comparison(spark, d):
     """Two families on the same test rows: DeLong, McNemar and Holm in one table."""
-    rows, train, test = temporal(spark, d)
-    p = scoring.prepare(rows, ROLES, None, train)
-    parts = []
-    for name in ("logistic", "forest"):
-        _, s = scoring.final_scores(p, recipe(name), train, test)
-        parts.append(s.select(F.lit("loans").alias("run_id"), F.lit(name).alias("model"), "row_id", "y", "p"))
-    both = parts[0].unionByName(parts[1])
-    return compare.pairwise_matrix(both, ["run_id"], 0.3)
+    def judged(rows, train, test):
+        p = scoring.prepare(rows, ROLES, None, train)
+        parts = []
+        for name in ("logistic", "forest"):
+            _, s = scoring.final_scores(p, recipe(name), train, test)
+            parts.append(s.select(F.lit("loans").alias("run_id"), F.lit(name).alias("model"), "row_id", "y", "p"))
+        both = parts[0].unionByName(parts[1])
+        return compare.pairwise_matrix(both, ["run_id"], 0.3)
+
+    return per_cutoff(spark, d, judged)
