@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import ann, mixing, packing, repeats, secrets, simhash, tokens, topk, toxicity, warc
+from scorelab.llm import ann, collocations, lines, mixing, packing, repeats, secrets, simhash, tokens, topk, toxicity, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.without_common_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(_read(spark, sf_dir, "embeddings"))
+    deviation = F.expr("try_cast(deviation as bigint)").alias("deviation")
+    return found.select("vec_id", "component", "n", deviation, "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_simhash": op2_simhash,
@@ -80,6 +95,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
@@ -131,5 +149,60 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(floor(target)::BIGINT - source_size - before, size))
         + greatest(0, least(floor(target)::BIGINT - 2 * source_size - before, size)))::BIGINT AS taken
 FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+""",
+    "op11_collocations": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+pieces AS (
+  SELECT lang, d, generate_subscripts(ps, 1) AS p, unnest(ps) AS piece
+  FROM (SELECT lang, d, string_split_regex(t, '[.,;:!?\x0A-\x0D]') AS ps FROM docs)),
+words AS (
+  SELECT lang, d, p, generate_subscripts(ws, 1) AS i, unnest(ws) AS w
+  FROM (SELECT lang, d, p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces)),
+runs AS (
+  SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY d, p ORDER BY i)),
+counts AS (
+  SELECT lang, phrase, words, count(*)::BIGINT AS f FROM (
+    SELECT lang, w AS phrase, 1 AS words FROM runs
+    UNION ALL SELECT lang, w || ' ' || w2, 2 FROM runs WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3, 3 FROM runs WHERE w3 IS NOT NULL)
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE words = 1 GROUP BY lang),
+found AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE words > 1 AND f >= 10),
+longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM found WHERE words = 3
+    UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM found WHERE words = 3)
+  GROUP BY ALL),
+alone AS (
+  SELECT found.* FROM found LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest
+  FROM alone, range(1, 3) t(k) WHERE k < words),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = head JOIN counts y ON y.lang = cuts.lang AND y.phrase = rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest JOIN totals USING (lang) QUALIFY rank <= 2000
+""",
+    "op12_line_dedup": r"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT d, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM docs),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+common AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT d) >= 3),
+marked AS (
+  SELECT d, doc_id, i, line, common.k IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone
+  FROM keyed LEFT JOIN common USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY d, doc_id
 """,
 }
