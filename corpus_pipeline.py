@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import mixing, packing, secrets, shingles, toxicity
+from scorelab.llm import mixing, packing, secrets, simhash, toxicity
 from scorelab.session import scratch_path
 
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingle sets with a similarity of at least 0.8."""
-    return shingles.keep_one(docs)
+    """One document of each group whose fingerprints link (three-word shingles, at most two differing bits), the smallest doc_id."""
+    return simhash.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
