@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelab.llm.common import stored, text_or_empty
+from scorelab.operators.ordering import numbered
 
 #: Occurrences a phrase needs, the share (percent) of them inside one longer phrase that drops it, rows per language.
 LEAST, ABSORBED, TOP = 10, 50, 2000
 #: Entries of a container before it bursts, of a trie before it spills, and words a task numbers before it starts anew.
 BURST, ENTRIES, WORDS = 16_384, 2_000_000, 1 << 20
 #: Bytes of text counted at once, and bytes of text whose phrases one merge holds.
-STEP, PART_BYTES = 1 << 20, 16 << 20
+STEP, PART_BYTES = 4 << 20, 16 << 20
 #: Buckets that a language's candidates are ranked in before their best meet.
 RANK_BUCKETS = 256
 
@@ -159,7 +160,7 @@ def sorted_runs(words: list[bytes], keys: np.ndarray, counts: np.ndarray, lang:
     known = np.flatnonzero(used)
     chosen = pa.array([words[i] for i in known.tolist()], pa.binary())
     order = pc.sort_indices(chosen).to_numpy()
-    chosen = chosen.take(pa.array(order)).to_pylist()
+    chosen = np.array(chosen.take(pa.array(order)).to_pylist(), object)
     rank, digest = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
     rank[known[order]] = np.arange(1, len(known) + 1)
     digest[known[order]] = np.fromiter(map(xxhash.xxh64_intdigest, chosen), np.uint64, len(chosen))
@@ -177,7 +178,7 @@ def sorted_runs(words: list[bytes], keys: np.ndarray, counts: np.ndarray, lang:
         seen[0] = False
         here = np.flatnonzero(seen)
         place[here] = np.arange(1, len(here) + 1)
-        vocabulary = b" ".join(chosen[i - 1] for i in here.tolist())
+        vocabulary = b" ".join(chosen[here - 1].tolist())
         head = np.array([b - a, len(vocabulary)], np.int64).tobytes()
         yield int(part[a]), head + vocabulary + b"".join(_planes(place[column]) for column in own) + _planes(counts[a:b])
 
@@ -310,16 +311,21 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, **limits: int) -> DataFra
         counter = Counter(parts, **limits)
 
         def rows() -> Iterator[tuple]:
+            waiting: dict[str, list[bytes]] = {}
+            held = 0
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     some = batch.slice(at, 256)
-                    texts = some.column("text").cast(pa.binary()).to_pylist()
-                    by: dict[str, list[bytes]] = {}
-                    for lang, text in zip(some.column("lang").to_pylist(), texts):
-                        by.setdefault(lang, []).append(text)
-                    for lang, own in by.items():
-                        yield from counter.feed(lang, b"\n".join(own).translate(TABLE) + b"\n")
-                    pa.default_memory_pool().release_unused()
+                    for lang, text in zip(some.column("lang").to_pylist(), some.column("text").cast(pa.binary()).to_pylist()):
+                        waiting.setdefault(lang, []).append(text)
+                        held += len(text)
+                    if held >= counter.step:  # a larger piece repeats more of its phrases
+                        for lang, own in waiting.items():
+                            yield from counter.feed(lang, b"\n".join(own).translate(TABLE) + b"\n")
+                        waiting, held = {}, 0
+                        pa.default_memory_pool().release_unused()
+            for lang, own in waiting.items():
+                yield from counter.feed(lang, b"\n".join(own).translate(TABLE) + b"\n")
             yield from counter.flush()
 
         yield from _batches(rows(), RUNS, 8)
@@ -372,10 +378,10 @@ def collocations(docs: DataFrame, least: int = LEAST, absorbed: int = ABSORBED,
     score = F.expr(f"(cast({wide['a']} * {wide['a']} as decimal(31,0)) * 1000000BD) div ({wide['l']} * {wide['r']})")
     weakest = both.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("w"))
     scored = weakest.select("lang", "phrase", "a", "w.l", "w.r", "w.score")
-    order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    bucket = F.pmod(F.xxhash64("phrase"), F.lit(RANK_BUCKETS))
-    best = scored.withColumn("_bucket", bucket)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_bucket").orderBy(*order))).where(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    # a phrase among the best of its language is among the best of its bucket; the rest are numbered by range partitions
+    best = scored.withColumns({"_bucket": F.pmod(F.xxhash64("phrase"), F.lit(RANK_BUCKETS)), "_s": -F.col("score"), "_a": -F.col("a")})
+    inside = Window.partitionBy("lang", "_bucket").orderBy("_s", "_a", "phrase")
+    best = best.withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= top)
+    best = numbered(best.drop("rank", "_bucket"), ["lang"], ["_s", "_a", "phrase"], "rank").where(F.col("rank") <= top)
     totals = counts.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
