@@ -5,11 +5,19 @@ finish time is the source's words up to and including it, divided by the
 source's target, so at virtual time 1 every source has been served exactly its
 target. A source may be passed through up to three times; pass k adds k times
 the source's size before the division. Sorting all passes of all documents by
-finish time interleaves the sources in proportion at every point, and cutting
-at the total budget (the sum of the targets) is cutting at virtual time 1.
+finish time interleaves the sources in proportion at every point.
+
+The mix is what the total budget (the sum of the targets) reaches in that order:
+all passes are range-sorted by finish time, words are summed over the range
+partitions, and the sum is cut at the budget. A pass in service at virtual time
+1 is two packets there, the words served by then and the rest, so the cut never
+gives one source the words of another. Inside a source the order is that of its
+passes, so what the cut leaves of a source is one number, its words served, and
+every row's share follows from its place.
 
 Running totals never put a source into one task: sums per (source, hash chunk)
-give offsets, and the ordered sum runs inside a chunk only.
+give offsets, and the ordered sum runs inside a chunk only. The global sort holds
+sizes and times only, no texts.
 
 Rows: null text has size 0; null doc_id and null source are ordinary values
 (null source sorts last); repeated rows are documents of their own, equal rows
@@ -23,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelab.llm.common import WORD, stored, text_or_empty
+from scorelab.operators.ordering import prefix_sums
+from scorelab.session import checked_broadcast
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -88,26 +98,64 @@ def schedule(docs: DataFrame) -> DataFrame:
     ).drop("_key", "_chunk", "_inside", "_offset", "_s", "_c")
 
 
-def served(k: int) -> Column:
-    """Words of pass ``k`` of a scheduled row that are served by virtual time 1."""
-    left = F.floor("target") - F.lit(k) * F.col("source_size") - F.col("before")
+def packets(scheduled: DataFrame) -> DataFrame:
+    """``source, words, finish`` of all passes of all rows; a pass in service at virtual time 1 is cut in two there.
+
+    Rows without words have no packet.
+    """
+    begin = [F.lit(k) * F.col("source_size") + F.col("before") for k in range(MAX_REPEATS)]
+    early = [F.greatest(F.lit(0), F.least(F.floor("target") - b, F.col("size"))).cast("long") for b in begin]
+    both = [
+        F.array(
+            F.struct((b + e).alias("end"), e.alias("words")),
+            F.struct((b + F.col("size")).alias("end"), (F.col("size") - e).alias("words")),
+        )
+        for b, e in zip(begin, early)
+    ]
+    cut = scheduled.where((F.col("size") > 0) & (F.col("target") > 0)).select("source", "target", F.explode(F.concat(*both)).alias("p"))
+    return cut.where("p.words > 0").select("source", "p.end", "p.words", (F.col("p.end") / F.col("target")).alias("finish"))
+
+
+def served_words(scheduled: DataFrame) -> DataFrame:
+    """``_of, served``: the words of each source that the budget reaches in the order of finish times.
+
+    The budget is the sum of the targets, each in whole words; sources from which it reaches nothing are absent.
+    """
+    budgets = scheduled.groupBy("source").agg(F.floor(F.max("target")).alias("whole")).agg(F.sum("whole").alias("budget"))
+    budget = F.coalesce(stored(budgets, "mix-budget").scalar(), F.lit(0))
+    ordered = prefix_sums(packets(scheduled), [], ["finish", "source", "end"], {"run": "words"})
+    left = F.greatest(F.lit(0), F.least(F.col("words"), budget - F.col("run_before")))
+    found = ordered.withColumn("left", left).where("left > 0").groupBy(F.col("source").alias("_of")).agg(F.sum("left").alias("served"))
+    return checked_broadcast(found)
+
+
+def with_served(scheduled: DataFrame, served: DataFrame) -> DataFrame:
+    """Add ``served``, the words of the row's source that the mix takes."""
+    met = scheduled.drop("served").join(served, F.col("source").eqNullSafe(F.col("_of")), "left")
+    return met.withColumn("served", F.coalesce("served", F.lit(0))).drop("_of")
+
+
+def taken_of_pass(k: int) -> Column:
+    """Words of pass ``k`` of a row that the mix takes."""
+    left = F.col("served") - F.lit(k) * F.col("source_size") - F.col("before")
     return F.greatest(F.lit(0), F.least(left, F.col("size"))).cast("long")
 
 
 def taken() -> Column:
-    return sum((served(k) for k in range(1, MAX_REPEATS)), served(0))
+    return sum((taken_of_pass(k) for k in range(1, MAX_REPEATS)), taken_of_pass(0))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, as whole documents in virtual time order; repeated documents are repeated rows.
 
-    A pass that virtual time 1 cuts goes in when at least half of its words
+    A pass that the budget cuts goes in when at least half of its words
     were served, so a source ends within half a document of its target.
     Documents without words are taken once: they cost nothing.
     """
     held = docs.select(F.struct("*").alias("_row"), "doc_id", "source", word_count().alias("size"))
-    words = F.array(*[F.struct(F.lit(k).alias("pass"), served(k).alias("words")) for k in range(MAX_REPEATS)])
-    passes = schedule(held).withColumn("_p", F.explode(words)).where(
+    sizes = stored(schedule(held.drop("_row")), "mix-sizes")
+    words = F.array(*[F.struct(F.lit(k).alias("pass"), taken_of_pass(k).alias("words")) for k in range(MAX_REPEATS)])
+    passes = with_served(schedule(held), served_words(sizes)).withColumn("_p", F.explode(words)).where(
         F.when(F.col("size") == 0, F.col("_p.pass") == 0).otherwise(2 * F.col("_p.words") >= F.col("size"))
     )
     words = F.col("_p.pass") * F.col("source_size") + F.col("before") + F.col("size")
