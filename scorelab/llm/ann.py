@@ -2,19 +2,22 @@
 
 Fitted on a bounded sample: a neighbour graph of the sample is cut into
 partitions of equal size with few cut edges, and a small network learns to
-predict, for a vector, the partitions of its neighbours. Every row is indexed in
-its most probable partition. A query goes to the most probable ones - as many as
-the sample needs for the recall asked for - and all rows there are ranked by
-exact cosine in double precision on the original vectors.
+predict, for a vector, the partitions of its neighbours. A third of the sample
+is held out of both. Every row is indexed in its most probable partition. A query
+goes to the most probable ones - as many as held-out queries need among held-out
+rows for the recall asked for - and all rows there are ranked by exact cosine in
+double precision on the original vectors.
 
 Partitions of any size are split by a hash of the id into groups of a bounded
-size, and routed queries into slices, so a partition that holds a third of all
-rows (a very common vector) is many tasks. A group returns at most k rows per
+size, so a partition that holds a third of all rows (a very common vector) is
+many tasks. A group is held by one task, past which the queries routed to it stream;
+only when very many queries meet it is it sent more than once (lanes). A task returns at most k rows per
 query; nothing is dropped before ranking.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
-nor do rows with a null id. Rows that repeat an id are rows of their own; a query
-leaves out every row with its own id.
+nor do rows with a null id or with a length that is not the most common one
+(ties: the longer). Rows that repeat an id are rows of their own; a query
+leaves out every row with its own id. Other columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.llm import vectors
@@ -37,8 +41,8 @@ SAMPLE = 8_192
 RECALL = 0.97
 #: Neighbours in the graph, hidden units, training rounds.
 GRAPH, HIDDEN, ROUNDS = 10, 128, 60
-#: Rows of a group, queries of a slice.
-CHUNK, SLICE = 32_768, 8_192
+#: Rows of a group, queries of a lane.
+CHUNK, LANE = 32_768, 262_144
 FOUND = "query_id long, query_no long, vec_id long, score double"
 
 
@@ -137,21 +141,27 @@ def train(rows: np.ndarray, target: np.ndarray, hidden: int = HIDDEN, rounds: in
 
 
 def fit(sample: np.ndarray, parts: int, k: int, recall: float = RECALL) -> tuple[Router, int]:
-    """The router and how many partitions a query must visit for ``recall`` on the sample."""
+    """The router and how many partitions a query must visit for ``recall``, both from ``sample``.
+
+    Every third row is held out: the graph and the router never see it, and the
+    visits are chosen for held-out rows as queries against all held-out rows.
+    """
     rows = unit(sample)
-    if len(rows) <= 2 * parts:
+    held = np.arange(len(rows)) % 3 == 2
+    own = rows[~held]
+    if len(own) <= 2 * parts or held.sum() <= 4 * k:
         return train(rows, np.full((len(rows), parts), 1.0 / parts), rounds=1), parts
-    edges = graph(rows, GRAPH)
-    label = balanced(rows, edges, parts)
-    share = np.zeros((len(rows), parts))
-    np.add.at(share, (np.repeat(np.arange(len(rows)), edges.shape[1]), label[edges].ravel()), 1.0 / edges.shape[1])
-    share[np.arange(len(rows)), label] += 1.0  # a row's own part and those of its neighbours
-    router = train(rows, share / share.sum(axis=1, keepdims=True))
-    logits = router.logits(rows)
+    edges = graph(own, GRAPH)
+    label = balanced(own, edges, parts)
+    share = np.zeros((len(own), parts))
+    np.add.at(share, (np.repeat(np.arange(len(own)), edges.shape[1]), label[edges].ravel()), 1.0 / edges.shape[1])
+    share[np.arange(len(own)), label] += 1.0  # a row's own part and those of its neighbours
+    router = train(own, share / share.sum(axis=1, keepdims=True))
+    others = rows[held]
+    logits = router.logits(others)
     home = logits.argmax(axis=1)
-    asked = np.arange(0, len(rows), max(1, len(rows) // 1000))
-    near = graph(rows, k)[asked]
-    order = np.argsort(-logits[asked], axis=1)
+    near = graph(others, k)
+    order = np.argsort(-logits, axis=1)
     place = (order[:, None, :] == home[near][:, :, None]).argmax(axis=2)
     for visits in range(1, parts + 1):
         if (place < visits).mean() >= recall:
@@ -184,7 +194,9 @@ def rank_exactly(asked: np.ndarray, own: np.ndarray, rows: np.ndarray, names: np
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, parts: int | None = None, recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found; inputs as ``usable`` gives them."""
     spark = rows.sparkSession
-    total, dims = rows.count(), vectors.width(rows, "v")
+    dims = vectors.common_width(rows, "v")
+    rows, queries = rows.where(F.size("v") == dims), queries.where(F.size("v") == dims)
+    total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     parts = parts or min(256, max(16, 2 ** math.ceil(math.log2(max(1, total / 65_536)))))
@@ -204,32 +216,49 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, parts: int | None =
     schema = "vec_id long, v array<double>, parts array<long>"
     placed = rows.mapInPandas(routed(1), schema).select("vec_id", "v", F.col("parts")[0].alias("part"))
     index = stored(placed, "ann-index")
-    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # at most ``parts`` rows
-    groups = {p: math.ceil(n / CHUNK) for p, n in sizes.items()}
-    how_many = F.create_map(*[F.lit(x).cast("long") for pair in groups.items() for x in pair])
     asked = stored(queries.mapInPandas(routed(visits), schema).withColumn("query_no", F.monotonically_increasing_id()), "ann-queries")
-    slices = max(1, math.ceil(asked.count() / SLICE))
+    visited = asked.select("vec_id", "v", "query_no", F.explode("parts").alias("part"))
+    # at most ``parts`` rows each
+    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    meets = {r["part"]: r["count"] for r in visited.groupBy("part").count().collect()}
+
+    def per_part(numbers: dict) -> Column:
+        return F.create_map(*[F.lit(x).cast("long") for pair in numbers.items() for x in pair])[F.col("part")]
+
+    groups = per_part({p: math.ceil(n / CHUNK) for p, n in sizes.items()})
+    lanes = per_part({p: math.ceil(meets.get(p, 0) / LANE) for p in sizes})
     zero = F.lit(0).cast("long")
-    left = index.withColumns(
-        {"sub": F.pmod(F.xxhash64("vec_id"), how_many[F.col("part")]),
-         "slice": F.explode(F.sequence(zero, F.lit(slices - 1).cast("long")))}
-    )
-    visited = asked.select("vec_id", "v", "query_no", F.explode("parts").alias("part")).where(how_many[F.col("part")].isNotNull())
-    right = visited.withColumn("sub", F.explode(F.sequence(zero, how_many[F.col("part")] - 1))).withColumn(
-        "slice", F.pmod(F.xxhash64("query_no"), F.lit(slices))
-    )
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            names, held = left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy())
-            for at in range(0, len(right), 128):
-                part = right.iloc[at : at + 128]
-                own, no = part["vec_id"].to_numpy(), part["query_no"].to_numpy()
-                i, found, score = rank_exactly(np.stack(part["v"].to_numpy()), own, held, names, k)
-                out.append(pd.DataFrame({"query_id": own[i], "query_no": no[i], "vec_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_no": [], "vec_id": [], "score": []})
-
-    keys = ["part", "sub", "slice"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, FOUND)
-    return vectors.ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    held = index.withColumn("sub", F.pmod(F.xxhash64("vec_id"), groups)).where(lanes > 0)
+    held = held.withColumn("lane", F.explode(F.sequence(zero, lanes - 1)))
+    streamed = visited.where(groups.isNotNull()).withColumn("lane", F.pmod(F.xxhash64("query_no"), lanes))
+    streamed = streamed.withColumn("sub", F.explode(F.sequence(zero, groups - 1)))
+    keys = ["part", "sub", "lane"]
+    both = held.select(*keys, F.lit(-1).cast("long").alias("query_no"), "vec_id", "v").union(streamed.select(*keys, "query_no", "vec_id", "v"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, names, parts_held, rows_held = None, [], [], np.empty((0, 0))
+        for batch in batches:
+            code = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys])
+            no, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("query_no", "vec_id"))
+            data = vectors.matrix(batch, "v")
+            side = no >= 0
+            cuts = np.flatnonzero((code[1:] != code[:-1]).any(axis=1) | (side[1:] != side[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(no)], strict=True):
+                if a == b:
+                    continue
+                if group is None or (code[a] != group).any():
+                    group, names, parts_held, rows_held = code[a], [], [], None
+                if not side[a]:  # the group's rows come first
+                    names.append(ids[a:b])
+                    parts_held.append(data[a:b])
+                    continue
+                if rows_held is None:
+                    rows_held, all_names = np.concatenate(parts_held), np.concatenate(names)
+                for at in range(a, b, 128):
+                    to = min(b, at + 128)
+                    i, found, score = rank_exactly(data[at:to], ids[at:to], rows_held, all_names, k)
+                    columns = [pa.array(ids[at:to][i], pa.int64()), pa.array(no[at:to][i], pa.int64()), pa.array(found, pa.int64()), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "query_no", "vec_id", "score"])
+
+    met = both.repartition(*keys).sortWithinPartitions(*keys, "query_no").mapInArrow(compare, FOUND)
+    return vectors.ranked(met, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

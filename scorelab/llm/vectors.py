@@ -1,18 +1,12 @@
-"""Blocks of vectors: how op 1 and op 7 move rows of numbers to where they are compared."""
+"""What op 1, op 7 and op 13 share: which vectors take part, arrays of numbers, ranking."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: One row is a block: ``n`` ids and ``n`` rows of numbers, as raw bytes.
-BLOCK = "ids binary, data binary"
-
-
 def finite(column: str = "embedding") -> Column:
     """True where a vector is there and every component is a finite number."""
     bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -26,40 +20,11 @@ def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
-def width(rows: DataFrame, column: str) -> int:
-    """The one length of all vectors; 0 if there are none. Different lengths are an error."""
-    found = rows.agg(F.min(F.size(column)), F.max(F.size(column))).first()
-    if found[0] is None:
-        return 0
-    if found[0] != found[1]:
-        raise ValueError(f"vectors of {found[0]} and of {found[1]} components")
-    return int(found[0])
-
-
-def blocks(rows: DataFrame, group: list[str], rows_per_block: int = 1024) -> DataFrame:
-    """Pack ``vec_id`` and ``v`` (array of doubles) of rows that lie together into blocks.
-
-    Rows must already be sorted by ``group`` inside their partitions; a block
-    never mixes two groups. Only runs of at most ``rows_per_block`` rows are held.
-    """
-    schema = ", ".join(f"{g} long" for g in group) + ", " + BLOCK
-    names = [*group, "ids", "data"]
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.column_stack([batch.column(g).to_numpy(zero_copy_only=False) for g in group])
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            data = matrix(batch, "v").astype(np.float64)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            out = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                for at in range(a, b, rows_per_block):
-                    to = min(b, at + rows_per_block)
-                    out.append([*map(int, keys[at]), ids[at:to].astype(np.int64).tobytes(), data[at:to].tobytes()])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
-
-    return rows.select(*[F.col(g).cast("long").alias(g) for g in group], "vec_id", "v").mapInArrow(packed, schema)
+def common_width(rows: DataFrame, column: str) -> int:
+    """The most common length of the vectors, of equally common ones the largest; 0 if there are none."""
+    lengths = rows.groupBy(F.size(column).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    first = lengths.orderBy(F.desc("n"), F.desc("d")).first()
+    return int(first["d"]) if first else 0
 
 
 def unpacked(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
