@@ -19,13 +19,17 @@ bucketed in two stages.
 
 Copies are collapsed before anything is shuffled: contexts that repeat inside a
 batch are known at once and send one row for their bucket, so a passage that a
-third of all documents hold sends a row per batch. Buckets with more than
+third of all documents hold sends a row per batch. What a bucket holds is
+counted per context first and then per bucket, as partial sums, so a bucket with very
+many contexts is no one's group. Buckets with more than
 ``HOT`` different contexts send their windows' 128-bit hashes to an aggregate
 instead of meeting in one task. Nothing is capped or dropped.
 
+Rows are named by two 64-bit hashes of doc_id and text, so different rows do not share a name.
+
 Null text is empty. Repeated rows are documents of their own and remove each
-other. Texts shorter than ``LENGTH`` keep all bytes. Matches never cross
-documents; very long texts are scanned in stretches.
+other; null doc_ids are ordinary values. Texts shorter than ``LENGTH`` keep all bytes. Matches never cross
+documents; very long texts are scanned in stretches. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,15 +118,15 @@ def _stretches(texts: list[bytes], limit: int = STRETCH) -> Iterator[list[tuple[
         yield group
 
 
-ROWS = "k long, context long, rid long, at long, n int"
+ROWS = "k long, context long, rid long, rid2 long, at long, n int"
 
 
 def _initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``ROWS``: ``n`` is 1 for a context met once in the batch, 2 for one row of a repeated context,
     and 0 for runs that are known to repeat (``at`` is the first start, ``context`` the number of starts)."""
     for batch in batches:
-        texts = [utf8(t) for t in batch.column(1).to_pylist()]
-        rid = batch.column(0).to_numpy(zero_copy_only=False)
+        texts = [utf8(t) for t in batch.column(2).to_pylist()]
+        rid, rid2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
         found = []
         for group in _stretches(texts):
             sizes = np.array([len(g[2]) for g in group])
@@ -144,7 +148,7 @@ def _initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.bincount(group_no)[group_no]
         lead = order[~same]
         n = np.where(size[~same] > 1, 2, 1)
-        yield _rows(k[lead], context[lead], rid[owner[lead]], at[lead], n)
+        yield _rows(k[lead], context[lead], rid[owner[lead]], rid2[owner[lead]], at[lead], n)
         known = np.zeros(len(order), bool)
         known[order[size > 1]] = True
         places = np.flatnonzero(known)  # in text order: neighbouring runs become one
@@ -154,12 +158,12 @@ def _initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh[1:] = (of[1:] != of[:-1]) | (begin[1:] != begin[:-1] + many[:-1])
             heads = np.flatnonzero(fresh)
             total = np.add.reduceat(many, heads)
-            yield _rows(rid[of[heads]], total, rid[of[heads]], begin[heads] << 16, np.zeros(len(heads)))
+            yield _rows(rid[of[heads]], total, rid[of[heads]], rid2[of[heads]], begin[heads] << 16, np.zeros(len(heads)))
 
 
-def _rows(k, context, rid, at, n) -> pa.RecordBatch:
-    columns = [pa.array(np.asarray(c, np.int64)) for c in (k, context, rid, at)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(np.asarray(n, np.int32))], ["k", "context", "rid", "at", "n"])
+def _rows(k, context, rid, rid2, at, n) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(c, np.int64)) for c in (k, context, rid, rid2, at)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.asarray(n, np.int32))], ["k", "context", "rid", "rid2", "at", "n"])
 
 
 def removed(n: int, runs: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -186,12 +190,12 @@ def digest(text: bytes, runs: list[tuple[int, int]]) -> tuple[int, int, str]:
 
 _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("count", pa.int64())]))
 _MIXED = pa.schema([
-    ("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+    ("kind", pa.int32()), ("rid", pa.int64()), ("rid2", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
     ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary()), ("runs", _RUNS), ("k", pa.int64()),
     ("k2", pa.int64()), ("first", pa.int64()), ("count", pa.int64()), ("judged", pa.bool_()), ("bytes", pa.binary()),
 ])
 MIXED = (
-    "kind int, rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, packed binary, "
+    "kind int, rid long, rid2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, packed binary, "
     "runs array<struct<first:long,count:long>>, k long, k2 long, first long, count long, judged boolean, bytes binary"
 )
 DONE, OPEN, CONTEXT, WINDOW = range(4)
@@ -202,11 +206,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unzip = zstandard.ZstdDecompressor()
     for batch in batches:
         rows, held = [], 0
-        for rid, doc_id, packed, runs in zip(*[batch.column(c) for c in ("rid", "doc_id", "packed", "runs")], strict=True):
-            rid, doc_id, packed, runs = rid.as_py(), doc_id.as_py(), packed.as_py(), runs.as_py() or []
+        for row in zip(*[batch.column(c) for c in ("rid", "rid2", "doc_id", "packed", "runs")], strict=True):
+            rid, rid2, doc_id, packed, runs = (c.as_py() for c in row)
+            name, runs = {"rid": rid, "rid2": rid2}, runs or []
             text = unzip.decompress(packed)
             whole = [(r["first"], r["count"]) for r in runs if r["status"] & WHOLE]
-            base = {"rid": rid, "doc_id": doc_id, "n_bytes": len(text)}
+            base = name | {"doc_id": doc_id, "n_bytes": len(text)}
             if any(r["status"] & JUDGED for r in runs):
                 merged = [{"first": a, "count": b - a - LENGTH + 1} for a, b in removed(len(text), whole)]
                 rows.append(base | {"kind": OPEN, "packed": packed, "runs": merged})
@@ -220,10 +225,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if r["status"] & CROWDED:
                     for i in range(first, first + count):
                         both = np.frombuffer(xxhash.xxh3_128_digest(text[i : i + LENGTH]), np.int64).tolist()
-                        rows.append({"kind": WINDOW, "rid": rid, "k": both[0], "k2": both[1], "first": i, "judged": judged})
+                        rows.append(name | {"kind": WINDOW, "k": both[0], "k2": both[1], "first": i, "judged": judged})
                 else:
                     part = text[first : first + count - 1 + LENGTH]
-                    rows.append({"kind": CONTEXT, "rid": rid, "k": r["k"], "first": first, "count": count, "judged": judged, "bytes": part})
+                    rows.append(name | {"kind": CONTEXT, "k": r["k"], "first": first, "count": count, "judged": judged, "bytes": part})
             held += len(packed)
             if held > 8_000_000 or len(rows) > 20_000:
                 yield pa.RecordBatch.from_pylist(rows, _MIXED)
@@ -276,15 +281,15 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def judge(rows: list[tuple]) -> pa.RecordBatch:
         found = repeated_starts([r[5] for r in rows], [r[3] for r in rows])
         out = []
-        for (_, rid, first, _, judged, _), again in zip(rows, found, strict=True):
+        for (_, rid, first, _, judged, _, rid2), again in zip(rows, found, strict=True):
             if judged and again.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
-                out += [(rid, first + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rid", "first", "count"])
+                out += [(rid, rid2, first + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rid", "rid2", "first", "count"])
 
     for batch in batches:
-        kept += zip(*[batch.column(c).to_pylist() for c in ("k", "rid", "first", "count", "judged", "bytes")], strict=True)
+        kept += zip(*[batch.column(c).to_pylist() for c in ("k", "rid", "first", "count", "judged", "bytes", "rid2")], strict=True)
         if len(kept) >= 8192:
             last, cut = kept[-1][0], len(kept)
             while cut and kept[cut - 1][0] == last:
@@ -314,53 +319,52 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = pa.array([press.compress(utf8(t)) for t in batch.column(2).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["rid", "doc_id", "packed"])
+        packed = pa.array([press.compress(utf8(t)) for t in batch.column(3).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["rid", "rid2", "doc_id", "packed"])
 
 
 def runs_of_starts(named: DataFrame) -> DataFrame:
-    """``rid, first, count, status, k`` of the runs of starts that repeat or may."""
-    bucket, context = Window.partitionBy("k"), Window.partitionBy("k", "context")
-    rows = (
-        named.select("rid", "text").mapInArrow(_initial, ROWS)
-        .repartition("k")  # serves both windows
-        .withColumns({"same": F.sum("n").over(context), "place": F.row_number().over(context.orderBy("rid", "at"))})
-        .withColumns({
-            "all": F.sum("n").over(bucket),
-            "alone": F.max(F.when((F.col("n") > 0) & (F.col("same") == 1), 1).otherwise(0)).over(bucket),
-            "kinds": F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(bucket),
-        })
+    """``rid, rid2, first, count, status, k`` of the runs of starts that repeat or may."""
+    context = Window.partitionBy("k", "context")
+    rows = stored(
+        named.select("rid", "rid2", "text").mapInArrow(_initial, ROWS)
+        .withColumns({"same": F.sum("n").over(context), "place": F.row_number().over(context.orderBy("rid", "rid2", "at"))}),
+        "repeat-contexts",
+    )
+    alone = F.max(F.when(F.col("same") == 1, 1).otherwise(0))
+    buckets = rows.where("n > 0").groupBy("k").agg(
+        F.sum("n").alias("all"), alone.alias("alone"), F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).alias("kinds")
     )
-    judged = (F.col("same") == 1) & (F.col("all") > 1)
-    sent = judged | ((F.col("alone") == 1) & (F.col("all") > 1) & (F.col("place") == 1))
+    shared = rows.where("n > 0").join(buckets.where("all > 1"), "k")
+    judged = F.col("same") == 1
+    sent = judged | ((F.col("alone") == 1) & (F.col("place") == 1))
     status = (
         F.when(F.col("same") > 1, WHOLE).otherwise(0) + F.when(sent, SENT).otherwise(0) + F.when(judged, JUDGED).otherwise(0)
         + F.when(F.col("kinds") > HOT, CROWDED).otherwise(0)
     )
-    known = F.col("n") == 0
-    return rows.where(known | (F.col("all") > 1)).select(
-        "rid", F.shiftright("at", 16).alias("first"),
-        F.when(known, F.col("context")).otherwise(F.expr("(shiftright(at, 8) & 255) - (at & 255) + 1")).alias("count"),
-        F.when(known, WHOLE).otherwise(status).alias("status"), "k",
-    )
+    first, count = F.shiftright("at", 16).alias("first"), F.expr("(shiftright(at, 8) & 255) - (at & 255) + 1").alias("count")
+    found = shared.select("rid", "rid2", first, count, status.alias("status"), "k")
+    return found.union(rows.where("n = 0").select("rid", "rid2", first, F.col("context"), F.lit(WHOLE), "k"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs`` (doc_id, text)."""
-    text = text_or_empty().alias("text")
-    named = docs.select(F.xxhash64("doc_id", text_or_empty()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text)
-    runs = runs_of_starts(named).groupBy("rid").agg(F.collect_list(F.struct("first", "count", "status", "k")).alias("runs"))
-    texts = named.mapInArrow(_packed, "rid long, doc_id long, packed binary")
-    mixed = stored(texts.join(runs, "rid", "left").mapInArrow(_met, MIXED), "repeats")
-
-    contexts = mixed.where(F.col("kind") == CONTEXT).select("k", "rid", "first", "count", "judged", "bytes")
-    found = contexts.repartition("k").sortWithinPartitions("k").mapInArrow(_refined, "rid long, first long, count long")
-    windows = mixed.where(F.col("kind") == WINDOW).select("k", "k2", "rid", "first", "judged")
+    name = ["rid", "rid2"]
+    text = text_or_empty()
+    names = [F.xxhash64("doc_id", text).alias("rid"), F.xxhash64(F.lit(1), text, F.col("doc_id")).alias("rid2")]
+    named = docs.select(*names, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    runs = runs_of_starts(named).groupBy(*name).agg(F.collect_list(F.struct("first", "count", "status", "k")).alias("runs"))
+    texts = named.mapInArrow(_packed, "rid long, rid2 long, doc_id long, packed binary")
+    mixed = stored(texts.join(runs, name, "left").mapInArrow(_met, MIXED), "repeats")
+
+    contexts = mixed.where(F.col("kind") == CONTEXT).select("k", *name, "first", "count", "judged", "bytes")
+    found = contexts.repartition("k").sortWithinPartitions("k").mapInArrow(_refined, "rid long, rid2 long, first long, count long")
+    windows = mixed.where(F.col("kind") == WINDOW).select("k", "k2", *name, "first", "judged")
     again = windows.groupBy("k", "k2").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = windows.where("judged").join(again, ["k", "k2"]).select("rid", "first", F.lit(1).cast("long").alias("count"))
-    more = found.union(crowded).groupBy("rid").agg(F.collect_list(F.struct("first", "count")).alias("more"))
+    crowded = windows.where("judged").join(again, ["k", "k2"]).select(*name, "first", F.lit(1).cast("long").alias("count"))
+    more = found.union(crowded).groupBy(*name).agg(F.collect_list(F.struct("first", "count")).alias("more"))
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    waiting = mixed.where(F.col("kind") == OPEN).select("rid", "doc_id", "packed", "runs").join(more, "rid", "left")
+    waiting = mixed.where(F.col("kind") == OPEN).select(*name, "doc_id", "packed", "runs").join(more, name, "left")
     done = mixed.where(F.col("kind") == DONE).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return done.union(waiting.mapInArrow(_closed, result))
