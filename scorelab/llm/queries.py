@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from scorelab.llm import ann, collocations, lines, mixing, packing, repeats, secrets, simhash, tokens, topk, toxicity, warc, whitening
 
+from scorelab.llm.common import stored
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,7 +63,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
-    return mixing.schedule(docs).select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
+    placed = stored(mixing.schedule(docs), "mix-places")
+    mix = mixing.with_served(placed, mixing.served_words(placed))
+    return mix.select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

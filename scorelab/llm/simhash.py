@@ -115,15 +115,21 @@ def hex_print(column: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of close prints, with all its columns: that with the smallest doc_id, then the smallest row.
+    """One document of each group of close prints, with all its columns.
 
-    Prints within two bits are little more than copies; ``shingles.keep_one`` goes by similarity.
+    That with the smallest doc_id (null ones last) stays; of rows that share it, the one whose text has the
+    smallest hash, then the smallest row. Groups are decided on narrow rows; texts move once, to meet the
+    (doc_id, hash of the text) of those that stay, so copies of one text never meet in one task.
     """
-    held = docs.select(F.struct("*").alias("row"), "doc_id", fingerprint_of(text_or_empty()).alias("fp"))
-    return first_of(held, classes(stored(held.select("doc_id", "fp"), "prints")))
-
-
-def first_of(held: DataFrame, groups: DataFrame) -> DataFrame:
-    """The smallest row of each group's smallest doc_id; ``held`` has row, doc_id, fp."""
-    first = held.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return first.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    mark = F.xxhash64("text")
+    printed = stored(docs.select("doc_id", mark.alias("mark"), fingerprint_of(text_or_empty()).alias("fp")), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first")
+    firsts = printed.groupBy("fp").agg(first).join(classes(printed), "fp")
+    chosen = firsts.groupBy("root").agg(F.min("first").alias("first"))
+    stays = chosen.select("root", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), mark.alias("own_mark"))
+    met = held.join(stays, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_mark") == F.col("_mark")))
+    maps = [n for n, t in docs.dtypes if "map<" in t]
+    order = [F.to_json(F.struct(F.col("row")[n])) if n in maps else F.col("row")[n] for n in docs.columns]
+    least = F.min_by("row", F.struct(*order)) if maps else F.min("row")
+    return met.groupBy("root").agg(least.alias("row")).select("row.*")

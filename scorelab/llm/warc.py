@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.llm.common import stored, utf8
-from scorelab.session import scratch_path
+from scorelab.session import opened_store, scratch_path
 
 #: Fixed by the formats: the dictionary's skippable frame, zstd's frame, a zstd dictionary.
 DICTIONARY_MAGIC, FRAME_MAGIC, TRAINED_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -100,9 +100,7 @@ def write_archives(rows: DataFrame, folder: str, trained: bytes, archive_bytes:
     names = ["page_id", "url", "payload", "digest", "record_type", "refers_to"]
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, root = opened_store(folder)
         store.create_dir(root, recursive=True)
         press = zstandard.ZstdCompressor(
             level=3, write_content_size=True, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None

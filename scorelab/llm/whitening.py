@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.llm.common import stored
-from scorelab.llm.vectors import finite, matrix
+from scorelab.llm.vectors import common_width, finite, matrix
 
 COMPONENTS = 4
 SCALE = 256
@@ -172,9 +172,7 @@ def quantised(column: str = "embedding") -> Column:
 def usable(rows: DataFrame, column: str = "embedding") -> DataFrame:
     """``vec_id, x`` of the rows that take part."""
     whole = rows.where(finite(column)).select("vec_id", quantised(column).alias("x"))
-    lengths = whole.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    first = lengths.orderBy(F.desc("n"), F.desc("d")).first()
-    return whole.where(F.size("x") == (first["d"] if first else 0))
+    return whole.where(F.size("x") == common_width(whole, "x"))
 
 
 def _matrix_rows(batches: Iterator[pa.RecordBatch], size: int, total) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,8 @@ def want(score, ids, k):
 def test_exact_top_k(table, monkeypatch):
     df, data = table
     monkeypatch.setattr(topk, "CHUNK", 100)
-    monkeypatch.setattr(topk, "SLICE", 1)
+    monkeypatch.setattr(topk, "SLICE", 7)
+    monkeypatch.setattr(topk, "LANE", 2)
     rows = topk.quantised(df)
     found = topk.top_k(rows, rows.where("vec_id % 50 = 0"))
     v = np.floor(256 * data.astype(float))
@@ -129,12 +130,60 @@ def test_elimination_leaves_most_rows_of_clustered_data():
     rows = centres[rng.integers(0, 20, 4000)] + rng.integers(-5, 6, size=(4000, 16))
     queries, names = rows[:20], np.arange(4000)
     pivots = rows[topk.choose_pivots(rows[:1000], 24)]
-    score, found, products = topk.search(queries, names[:20], rows, names, pivots, np.full(20, -np.inf), 5)
+    to_query, to_row = topk.distances(queries, pivots), topk.distances(rows, pivots)
+    score, found, products = topk.search(queries, names[:20], to_query, rows, names, to_row, np.full(20, -np.inf), 5)
     exact = queries @ rows.T
     exact[np.arange(20), np.arange(20)] = -np.inf
     assert np.array_equal(score, -np.sort(-exact, axis=1)[:, :5]) and products < 0.7 * exact.size
 
 
+def test_far_chunks_never_meet_a_slice():
+    """Bounds of chunks and slices: no pair is dropped that holds one of the best, most of clustered data's are."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    centres *= 3000 / np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = np.floor(np.repeat(centres, 50, axis=0) + rng.integers(-20, 21, size=(600, 16)))
+    pivots, ids = rows[::50], np.arange(0, 600, 50)
+    gaps = topk.distances(rows, pivots)
+
+    def bounds(part):
+        kth = topk._first_kth(rows[part], part, pivots, ids, 5).min()
+        return np.concatenate([gaps[part].min(axis=0), gaps[part].max(axis=0), [(rows[part] ** 2).sum(axis=1).max(), kth]])
+
+    parts = np.arange(600).reshape(12, 50)
+    edges = np.array([bounds(p) for p in parts])
+    exact = rows @ rows.T
+    np.fill_diagonal(exact, -np.inf)
+    best = np.argsort(-exact, axis=1)[:, :5]
+    met = np.array([topk.may_meet(bounds(p), edges, 12) for p in parts])  # chunk x slice
+    for s, p in enumerate(parts):
+        assert all(met[c // 50, s] for c in best[p].ravel())
+    assert met.sum() < 100
+
+
+@pytest.mark.parametrize("parts", [16, 64, 256])
+def test_visits_are_chosen_for_rows_the_router_never_saw(parts):
+    """Recall of new queries among new rows, for few and many partitions."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    rows = ann.unit(centres[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 24)))
+    router, visits = ann.fit(rows[:3000], parts, 5)
+    fresh = rows[3000:]
+    logits = router.logits(fresh)
+    home, order = logits.argmax(axis=1), np.argsort(-logits[:300], axis=1)[:, :visits]
+    near = ann.graph(fresh, 5)[:300]
+    hit = (order[:, None, :] == home[near][:, :, None]).any(axis=2).mean()
+    assert hit >= 0.9 and (visits < parts or parts == 16)
+
+
+def test_odd_lengths_take_no_part(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(60)] + [(100, [1.0]), (150, [1.0, 2.0]), (200, [0.0, 0.0, 5.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v, use = topk.quantised(df), ann.usable(df)
+    assert {r["query_id"] for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect()} == {0, 50}
+    assert {r["query_id"] for r in ann.nearest(use, use.where("vec_id % 50 = 0")).collect()} == {0, 50}
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (50, [1.0, 2.0])], "vec_id long, embedding array<double>")
     rows = topk.quantised(few)
@@ -149,7 +198,7 @@ def test_few_or_no_vectors(spark):
 def test_neighbours_of_learned_partitions(table, monkeypatch):
     df, data = table
     monkeypatch.setattr(ann, "CHUNK", 120)
-    monkeypatch.setattr(ann, "SLICE", 16)
+    monkeypatch.setattr(ann, "LANE", 16)
     rows = ann.usable(df)
     found = {tuple(r) for r in ann.nearest(rows, rows.where("vec_id % 50 = 0")).collect()}
     v = data.astype(float)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from scorelab.llm import graph, mixing, packing, repeats, secrets, shingles, simhash, tokens, toxicity
+from scorelab.llm import graph, mixing, packing, repeats, secrets, simhash, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -121,42 +121,13 @@ def test_one_of_each_group_stays(spark, docs, rows):
     assert all(tuple(r)[5:] == (1, 2, 3, 4) for r in kept.collect())
 
 
-def test_near_copies_by_shingles_go(spark):
-    """Changed words cost some bits of a print but little of the shingles; below 0.8 both stay."""
-    rng = random.Random(8)
-    rows, sets = [], []
-
-    def add(words):
-        rows.append((len(rows), " ".join(words), "en", "src0", 1))
-        sets.append({tuple(w.lower() for w in words[i : i + 5]) for i in range(max(1, len(words) - 4))})
-
-    for k in range(40):
-        words = [f"w{k}x{rng.randint(0, 10**6)}" for _ in range(rng.choice([4, 60, 200]))]
-        add(words)
-        for n in (0, 1, 2, 3, 8):
-            add([f"new{rng.random()}" if i in set(rng.sample(range(len(words)), min(n, len(words)))) else w.upper() for i, w in enumerate(words)])
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    linked = 0
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
-                linked += a != sets[j]
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    assert linked > 40
-    assert got(shingles.keep_one(spark.createDataFrame([], SCHEMA))) == []
-    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    assert sorted(r["doc_id"] for r in shingles.keep_one(docs).collect()) == sorted({find(i) for i in range(len(rows))})
-    # parts of a bucket meet pair by pair: the same components from small groups
-    distinct = shingles.signatures(docs)
-    parts = simhash.named(distinct.select("fp", "first_id"), shingles.links(docs, distinct, block=100))
-    assert {r[0] for r in parts.select("component_id").distinct().collect()} == {find(i) for i in range(len(rows))}
+def test_which_near_copy_stays(spark):
+    """Maps, repeated rows, shared and null doc_ids: the smallest doc_id, then the smallest row of one text."""
+    rows = [(2, "one two three four", {"a": 1}), (1, "ONE two  three four", {"b": 1}), (1, "ONE two  three four", {"a": 1}), (None, "one two three four", {}),
+            (None, "alone and without a name", {}), (None, "alone and without a name", {}), (7, None, None), (8, " \t", None), (9, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>").repartition(3)
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "ONE two  three four", {"a": 1}), (None, "alone and without a name", {}), (7, None, None)], key=str)
 
 
 def test_no_documents(empty):
@@ -302,20 +273,28 @@ def plain_base(text):
 
 
 def plain_added(text, base):
+    """What hot windows cover, joined where it touches, less the base spans; rests of 8 and more."""
+
     def bits(w):
         return -sum(c / len(w) * math.log2(c / len(w)) for c in Counter(w).values())
 
+    taken = {i for s, _, e, _ in base for i in range(s, e)}
     out = []
     for rank, (kind, pattern, needs, width, least) in enumerate(secrets.ENTROPY, 3):
         for m in re.finditer(pattern, text):
             c = m[0]
             if not re.search(needs, c) or any(re.search(p, c) for p in secrets.ALLOWED):
                 continue
-            hot = [i for i in range(len(c) - width + 1) if bits(c[i : i + width]) >= least - 1e-10]
-            if hot:
-                a, b = m.start() + hot[0], m.start() + hot[-1] + width
-                if not any(s < b and a < e for s, _, e, _ in base):
-                    out.append((a, rank, b, kind))
+            hot = set()
+            for i in range(len(c) - width + 1):
+                if bits(c[i : i + width]) >= least - 1e-10:
+                    hot |= set(range(m.start() + i, m.start() + i + width))
+            places = sorted(hot - taken)
+            while places:
+                n = next((i for i in range(1, len(places)) if places[i] != places[0] + i), len(places))
+                if n >= 8:
+                    out.append((places[0], rank, places[n - 1] + 1, kind))
+                places = places[n:]
     return out
 
 
@@ -356,6 +335,39 @@ def test_long_candidates(spark):
     assert len(found[2]) == 1 and found[2][0][2] == 100_026 and found[2][0][3] == "entropy_base64"
 
 
+def test_candidates_across_stretches(spark):
+    """Hot and cold places and base spans around the borders of stretches, against every window on its own."""
+    rng = random.Random(9)
+    hot = secrets.ALPHABET
+    rows = [(0, "x " + hot + "0123456789abcdef" * 2 + hot[::-1] + " y")]
+    for i in range(1, 9):
+        text = ""
+        while len(text) < 2 * secrets.STRETCH + 300:
+            text += rng.choice(["".join(rng.choice(hot) for _ in range(rng.randint(5, 300))), "a" * rng.randint(1, 60), "0123456789abcdef" * 2, "AKIAABCDEFGH1234567", "\ue005" if i == 3 else "b"])
+        rows.append((i, rng.choice(["", "é\ue001 ", "token="]) + text))
+    found = secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).select("text", "all_spans").collect()
+    for r in found:
+        base = plain_base(r["text"])
+        want = sorted(base + plain_added(r["text"], base))
+        assert [tuple(s) for s in r["all_spans"]] == want and len(want) > 2
+    first = [tuple(s) for s in found[0]["all_spans"]] if found[0]["text"][0] == "x" else []
+    assert not first or [s[3] for s in first] == ["entropy_base64", "hex", "entropy_base64"]
+
+
+def test_one_string_of_a_million_characters(spark):
+    import time
+
+    rng = random.Random(4)
+    text = "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(1_000_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    spans = secrets.scanned(df).select("all_spans").first()[0]
+    assert time.monotonic() - start < 60
+    assert sum(s["end"] - s["start"] for s in spans) > 900_000
+    plan = secrets.scanned(df)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan.replace("LogicalRDD", ""))
+
+
 def test_redaction(spark, odd_secrets):
     df = spark.createDataFrame(odd_secrets, "doc_id long, text string").selectExpr(
         "*", "length(text) as n_chars", "'x' as all_spans", "'y' as _merged", "'z' as base_spans"
@@ -417,7 +429,12 @@ def plain_mix(rows):
 def test_mixing(docs, rows):
     total, target, taken = plain_mix(rows)
     sized = docs.select("doc_id", "source", mixing.word_count().alias("size"))
-    found = mixing.schedule(sized).select("doc_id", "source", "size", "source_size", "target", mixing.taken().alias("taken")).collect()
+    placed = mixing.schedule(sized)
+    served = mixing.served_words(placed)
+    # the budget's cut of the global order gives each source its target in whole words
+    assert {r["_of"]: r["served"] for r in served.collect()} == {s: math.floor(t + 1e-9) for s, t in target.items() if t >= 1}
+    mix = mixing.with_served(placed, served)
+    found = mix.select("doc_id", "source", "size", "source_size", "target", mixing.taken().alias("taken")).collect()
     assert len(found) == len(rows)
     mine = {}
     for r in found:
