@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ def uniform(seed: int | str, *keys: Column | str, method: str = "md5") -> Column
     """A uniform number in [0, 1) for (seed, keys).
 
     ``md5`` can be repeated by any SQL engine; ``xxhash64`` is several times
-    cheaper and the one to use on large inputs.
+    cheaper and the one to use on large inputs. ``counter`` hashes all keys but
+    the last once and mixes the last, a whole number, into that: the one to use
+    for many numbers a row, and SQL can repeat it too.
     """
     parts = [F.lit(str(seed)), *[col(k).cast("string") for k in keys]]
     if method == "md5":
@@ -25,9 +28,55 @@ def uniform(seed: int | str, *keys: Column | str, method: str = "md5") -> Column
         return F.conv(digits, 16, 10).cast("double") / F.lit(TWO_32)
     if method == "xxhash64":
         return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(TWO_53)
+    if method == "counter":
+        first, second = stream_key(seed, *keys[:-1])
+        return counter_bits(first, second, col(keys[-1]).cast("long")).cast("double") / F.lit(TWO_32)
     raise ValueError(f"unknown hash method {method!r}")
 
 
+# The increment of the counter, and shifts and factors of a public 32-bit mixing function
+STEP_32, MIX_32 = 0x9E3779B9, ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1))
+
+
+def stream_key(seed: int | str, *keys: Column | str) -> tuple[Column, Column]:
+    """Two 32-bit numbers (as long) that name the stream of (seed, keys)."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
+    return tuple(F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+
+
+def _times_32(x: Column, factor: int) -> Column:
+    """The low 32 bits of a product, in 16-bit limbs so that no product passes 63 bits."""
+    low, high = x.bitwiseAND(F.lit(0xFFFF)), F.shiftright(x, 16)
+    return (low * factor + (high * factor).bitwiseAND(F.lit(0xFFFF)) * 65536).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _mixed_32(x: Column) -> Column:
+    for shift, factor in MIX_32:
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+        x = x if factor == 1 else _times_32(x, factor)
+    return x
+
+
+def counter_bits(first: Column, second: Column, at: Column) -> Column:
+    """Number ``at`` of a stream: 32 bits, as long."""
+    start = (first + (at * STEP_32).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFFFFFFFF))
+    return _mixed_32(_mixed_32(start).bitwiseXOR(second))
+
+
+def counter_block(first: np.ndarray, second: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Numbers ``start`` to ``end`` (inclusive) of many streams at once: a uint32 matrix of streams x numbers."""
+    steps = (np.arange(start, end + 1, dtype=np.uint64) * np.uint64(STEP_32)).astype(np.uint32)
+    x = first.astype(np.uint32)[:, None] + steps
+    for turn in range(2):
+        if turn:
+            x ^= second.astype(np.uint32)[:, None]
+        for shift, factor in MIX_32:
+            x ^= x >> np.uint32(shift)
+            if factor != 1:
+                x *= np.uint32(factor)
+    return x
+
+
 def standard_normal(seed: int | str, *keys: Column | str, method: str = "md5") -> Column:
     """Box-Muller on two hashed uniforms; u1 is moved off zero."""
     u1 = 1.0 - uniform(f"{seed}a", *keys, method=method)
@@ -55,5 +104,13 @@ def poisson_one(u: Column, bits: int = 53) -> Column:
     return out
 
 
+def poisson_block(bits: np.ndarray) -> np.ndarray:
+    """Poisson(1) draws of a matrix of 32-bit numbers."""
+    out = np.zeros(bits.shape, np.uint8)
+    for step in poisson_steps(32):
+        out += bits >= np.uint32(np.ceil(step * TWO_32))
+    return out
+
+
 def row_fingerprint(columns: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])

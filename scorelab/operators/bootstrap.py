@@ -1,33 +1,36 @@
-"""Bootstrap intervals from hashed row weights.
+"""Bootstrap intervals from row weights that depend on the row alone.
 
-Each row draws a Poisson(1) weight per replicate from hash(row, replicate), so
-all models share the draw (paired) and no row order or partition matters.
+``poisson``: each row is a stream of 32-bit numbers, named by one hash of its key;
+number i of the stream draws the Poisson(1) weight of replicate i. All models
+and both passes share the streams (paired), and no row order or partition
+matters. ``multinomial``: exactly n draws with replacement. Rows stand in range
+chunks; n splits down the binary tree of chunks by conditional binomials, each
+seeded by its node, so every chunk finds its number of draws by itself, and goes
+on splitting down to blocks of rows. A row's weights are one byte a replicate.
 
 Rows are never multiplied by replicates. A model's scores are sorted once, in
 range chunks; a task streams its chunk, draws the weights of a block of rows for
 all replicates as one matrix and keeps sums per replicate. What leaves a task is
-one row of arrays per chunk.
+one row of arrays per chunk; sums over chunks run per replicate, as numbers.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelab.functions.hashing import TWO_32, TWO_53, poisson_steps, uniform
+from scorelab.functions.hashing import counter_block, poisson_block, stream_key
 from scorelab.functions.numeric import ratio
 from scorelab.operators.compare import model_pairs
 from scorelab.operators.fairness import EVERYONE, MISSING, RATES
-from scorelab.operators.metrics import metric_rows, usable_score
-from scorelab.operators.ordering import CHUNK, in_chunks, numbered
+from scorelab.operators.metrics import usable_score
+from scorelab.operators.ordering import CHUNK, in_chunks
 from scorelab.session import checked_broadcast, materialised
 
 METRICS = ["AUROC", "AUPRC", "Brier", "F1", "MCC"]
@@ -42,66 +45,66 @@ def _batches(reps: int, batch: int) -> Iterator[tuple[int, int]]:
         yield start, min(start + batch, reps) - 1
 
 
-def uniforms(seed: int | str, names: Sequence[str], first: int, last: int, method: str) -> np.ndarray:
-    """``functions.hashing.uniform(seed, name, rep)`` as a matrix of rows x replicates.
+def poisson_weights(first: np.ndarray, second: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Weights of replicates ``start`` to ``end`` (inclusive) of the rows whose streams have these keys."""
+    return poisson_block(counter_block(first, second, start, end))
 
-    ``names`` are the row keys as text, joined by ``|``.
-    """
-    reps = [str(r).encode() for r in range(first, last + 1)]
-    out = np.empty((len(names), len(reps)))
-    if method == "md5":
-        for i, name in enumerate(names):
-            start = hashlib.md5(f"{seed}|{name}|".encode())
-            for j, rep in enumerate(reps):
-                h = start.copy()
-                h.update(rep)
-                out[i, j] = int.from_bytes(h.digest()[:4], "big")
-        return out / TWO_32
-    if method == "xxhash64":  # columns are hashed one after the other, each seeded by the one before
-        head = xxhash.xxh64_intdigest(str(seed).encode(), 42)
-        for i, name in enumerate(names):
-            mark = reduce(lambda at, part: xxhash.xxh64_intdigest(part.encode(), at), name.split("|"), head)
-            for j, rep in enumerate(reps):
-                out[i, j] = xxhash.xxh64_intdigest(rep, mark) >> 11
-        return out / TWO_53
-    raise ValueError(f"unknown hash method {method!r}")
-
-
-def poisson_weights(seed: int | str, names: Sequence[str], first: int, last: int, method: str) -> np.ndarray:
-    return np.searchsorted(poisson_steps(), uniforms(seed, names, first, last, method), side="right").astype(np.float64)
-
-
-def _row_name(keys: Sequence[str]):
-    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("_name")
-
-
-def with_multinomial_weights(
-    rows: DataFrame, ids: DataFrame, total: int, first: int, last: int, seed: int, row_key: Sequence[str], method: str = "xxhash64"
-) -> DataFrame:
-    """Exactly n draws with replacement per replicate, as row weights ``w``.
 
-    Draw numbers meet row numbers by equality; ``ids`` numbers the rows (``_rn``).
-    """
-    draws = rows.sparkSession.range(total).withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    picked = (
-        draws.withColumn("_rn", F.floor(uniform(seed, "id", "rep", method=method) * total) + 1)
-        .groupBy("rep", "_rn")
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
-    weights = picked.join(ids, "_rn").select("rep", "w", *row_key)
-    return rows.join(weights, list(row_key))
+def _streams(seed: int | str, keys: Sequence[str]) -> list:
+    first, second = stream_key(seed, *keys)
+    return [first.alias("_k0"), second.alias("_k1")]
 
 
-def _multinomial(scores, thresholds, keys, reps, seed, batch, method) -> DataFrame:
-    row_key = [*keys, "row_id"]
-    ids = materialised(numbered(scores.select(*row_key).distinct(), [], row_key, "_rn"))
-    total = ids.agg(F.max("_rn_total")).first()[0] or 0
-    parts = []
-    for first, last in _batches(reps, batch):
-        drawn = with_multinomial_weights(scores, ids, total, first, last, seed, row_key, method)
-        rows = metric_rows(drawn, [*keys, "model", "rep"], thresholds, weight="w")
-        parts.append(materialised(rows.where(F.col("AUROC").isNotNull()).select(*keys, "model", "rep", *METRICS)))
-    return reduce(DataFrame.unionByName, parts)
+def draws_below(seed: int, sizes: np.ndarray, wanted: int, m: np.ndarray, name: Sequence[int]) -> np.ndarray:
+    """Draws on leaf ``wanted`` when ``m`` draws (one number a replicate) split down the binary tree over leaves of
+    ``sizes`` rows. A node's split is seeded by its place, so all leaves below agree on it."""
+    a, b = 0, len(sizes)
+    while b - a > 1:
+        middle = (a + b) // 2
+        whole, left = int(sizes[a:b].sum()), int(sizes[a:middle].sum())
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, *name, a, b])))
+        first = rng.binomial(m, left / whole)
+        a, b, m = (a, middle, first) if wanted < middle else (middle, b, m - first)
+    return m
+
+
+def with_multinomial_weights(rows: DataFrame, row_key: Sequence[str], first: int, last: int, seed: int) -> DataFrame:
+    """The distinct ``row_key`` of ``rows`` with ``_w``: a byte a replicate, in all exactly n draws per replicate."""
+    keys = list(row_key)
+    ids = in_chunks(rows.select(*keys).distinct(), [], keys)
+    # one number per range partition
+    sizes = {r[CHUNK]: r["n"] for r in ids.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("n")).collect()}
+    order, reps = sorted(sizes), last - first + 1
+    counts = np.array([sizes[c] for c in order], np.int64)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, at = None, 0
+        for frame in frames:
+            codes = frame[CHUNK].to_numpy()
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and codes[a] != chunk:
+                    chunk, at = int(codes[a]), 0
+                    n = sizes[chunk]
+                    mine = draws_below(seed, counts, order.index(chunk), np.full(reps, counts.sum()), [first])
+                    blocks = np.diff(np.append(np.arange(0, n, BLOCK), n))
+                while a < b:
+                    if at % BLOCK == 0:
+                        size = int(blocks[at // BLOCK])
+                        m = draws_below(seed, blocks, at // BLOCK, mine, [first, chunk])
+                        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, first, chunk, at, 0, 0])))
+                        picks = rng.integers(0, size, int(m.sum())) * reps + np.repeat(np.arange(reps), m)
+                        block = np.bincount(picks, minlength=size * reps).reshape(size, reps)
+                    here = block[at % BLOCK :][: b - a].astype(np.uint8)
+                    part = frame.iloc[a : a + len(here)][keys].copy()
+                    part["_w"] = [w.tobytes() for w in here]
+                    yield part
+                    a, at = a + len(here), at + len(here)
+
+    # sorted inside its chunk, a row stands in the same block in every run
+    ordered = ids.repartition(CHUNK).sortWithinPartitions(CHUNK, *keys)
+    kept = ", ".join(f"`{k}` {t}" for k, t in ids.select(*keys).dtypes)
+    return ordered.mapInPandas(draw, f"{kept}, _w binary")
 
 
 def _segments(frame: pd.DataFrame, by: Sequence[str]) -> Iterator[pd.DataFrame]:
@@ -118,7 +121,7 @@ def _chunk_totals(draw: Callable, by: list[str]):
         for frame in frames:
             held: dict[tuple, list] = {}
             for part in _segments(frame, by):
-                w, y = draw(part["_name"].tolist()), part["y"].to_numpy(float)
+                w, y = draw(part), part["y"].to_numpy(float)
                 pos, every = y @ w, w.sum(axis=0)
                 at = held.setdefault(tuple(part.iloc[0][by]), [0.0, 0.0])
                 at[0], at[1] = at[0] + pos, at[1] + every - pos
@@ -178,60 +181,44 @@ def _chunk_sums(draw: Callable, by: list[str]):
                     yield pd.DataFrame([now.row()], columns=names)
                     now = None
                 now = now or _Sweep(part.iloc[0], by)
-                now.add(part, draw(part["_name"].tolist()))
+                now.add(part, draw(part))
         if now is not None:
             yield pd.DataFrame([now.row()], columns=names)
 
     return run
 
 
-def _summed(column: str):
-    """Element-wise sum of the arrays of a few chunks."""
-    total = F.aggregate(
-        F.collect_list(column),
-        F.array().cast("array<double>"),
-        lambda s, x: F.when(F.size(s) == 0, x).otherwise(F.zip_with(s, x, lambda a, b: a + b)),
-    )
-    return total.alias(column)
+def _per_replicate(rows: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Sums of arrays over rows, as one row per ``by`` and replicate (``_i`` from 0): partial sums before any shuffle."""
+    each = rows.select(*by, F.posexplode(F.arrays_zip(*names)).alias("_i", "_v")).select(*by, "_i", "_v.*")
+    return each.groupBy(*by, "_i").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _poisson(scores, thresholds, keys, first, last, seed, method) -> DataFrame:
+def _swept(rows: DataFrame, thresholds: DataFrame, keys: Sequence[str], first: int, draw: Callable, weights: list[str]) -> DataFrame:
+    """Metrics per key, model and replicate; ``draw`` gives a block's weights (rows x replicates) from its ``weights`` columns."""
     group = [*keys, "model"]
     by = [*group, CHUNK]
     on = [k for k in group if k in thresholds.columns]
     cuts = checked_broadcast(thresholds.select(*on, "threshold"))
-    rows = scores.select(*group, _row_name([*keys, "row_id"]), "y", usable_score(F.col("p").cast("double")).alias("p"))
-    rows = rows.join(cuts, on) if on else rows.withColumn("threshold", cuts.select("threshold").scalar())
-    chunks = in_chunks(rows, group, ["p"])  # equal scores share a chunk
-
-    def draw(names: list[str]) -> np.ndarray:
-        return poisson_weights(seed, names, first, last, method)
-
+    slim = rows.select(*group, *weights, "y", usable_score(F.col("p").cast("double")).alias("p"))
+    slim = slim.join(cuts, on) if on else slim.withColumn("threshold", cuts.select("threshold").scalar())
+    chunks = in_chunks(slim, group, ["p"])  # equal scores share a chunk
     kept = ", ".join(f"`{k}` {t}" for k, t in chunks.select(*by).dtypes)
-    totals = chunks.select(*by, "_name", "y").mapInPandas(_chunk_totals(draw, by), f"{kept}, pos array<double>, neg array<double>")
-    # one row of arrays per chunk and key
-    per_chunk = materialised(totals.groupBy(*by).agg(_summed("pos"), _summed("neg")))
-    before = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-
-    def over(column: str, window):
-        zero = F.transform(column, lambda x: F.lit(0.0))
-        return F.aggregate(F.collect_list(column).over(window), zero, lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-
-    offsets = per_chunk.select(
-        *by, over("pos", before).alias("_pos"), over("neg", before).alias("_neg"), over("pos", whole).alias("_P"), over("neg", whole).alias("_N")
-    )
+    totals = chunks.select(*by, *weights, "y").mapInPandas(_chunk_totals(draw, by), f"{kept}, pos array<double>, neg array<double>")
+    per_chunk = materialised(_per_replicate(totals, by, ["pos", "neg"]))
+    before = Window.partitionBy(*group, "_i").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group, "_i")
+    # one row per chunk and replicate; a chunk's arrays are as long as there are replicates
+    sums_before = {f"_{n}": F.coalesce(F.sum(n).over(before), F.lit(0.0)) for n in ("pos", "neg")}
+    placed = per_chunk.withColumns({**sums_before, "_P": F.sum("pos").over(whole), "_N": F.sum("neg").over(whole)})
+    four = ["_pos", "_neg", "_P", "_N"]
+    lists = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", *four))).alias("_l"))
+    offsets = lists.select(*by, *[F.col("_l")[n].alias(n) for n in four])
     ordered = chunks.join(offsets, by).repartition(*by).sortWithinPartitions(*by, "p")
-    sums = ordered.mapInPandas(
-        _chunk_sums(draw, by), kept + "".join(f", {c} array<double>" for c in ("won", "precision", "square", "tp", "fp"))
-    )
-    names = ("won", "precision", "square", "tp", "fp")
-    joined = sums.groupBy(*group).agg(*[_summed(c) for c in names]).join(
-        per_chunk.groupBy(*group).agg(_summed("pos"), _summed("neg")), group
-    )
-    each = joined.select(*group, F.posexplode(F.arrays_zip(*names, "pos", "neg")).alias("_i", "_v")).select(
-        *group, (F.col("_i") + first).alias("rep"), "_v.*"
-    )
+    names = ["won", "precision", "square", "tp", "fp"]
+    sums = ordered.mapInPandas(_chunk_sums(draw, by), kept + "".join(f", {c} array<double>" for c in names))
+    ends = per_chunk.groupBy(*group, "_i").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    each = _per_replicate(sums, group, names).join(ends, [*group, "_i"]).withColumn("rep", F.col("_i") + first)
     pos, neg, tp, fp = (F.col(c) for c in ("pos", "neg", "tp", "fp"))
     fn, tn = pos - tp, neg - fp
     spread = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
@@ -245,6 +232,26 @@ def _poisson(scores, thresholds, keys, first, last, seed, method) -> DataFrame:
     return materialised(out)
 
 
+def _poisson(scores, thresholds, keys, first, last, seed) -> DataFrame:
+    rows = scores.select("*", *_streams(seed, [*keys, "row_id"]))
+
+    def draw(part: pd.DataFrame) -> np.ndarray:
+        return poisson_weights(part["_k0"].to_numpy(), part["_k1"].to_numpy(), first, last).astype(np.float64)
+
+    return _swept(rows, thresholds, keys, first, draw, ["_k0", "_k1"])
+
+
+def _multinomial(scores, thresholds, keys, first, last, seed) -> DataFrame:
+    row_key = [*keys, "row_id"]
+    weights = materialised(with_multinomial_weights(scores, row_key, first, last, seed))
+    rows = scores.join(weights, row_key)
+
+    def draw(part: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(part["_w"]), np.uint8).reshape(len(part), -1).astype(np.float64)
+
+    return _swept(rows, thresholds, keys, first, draw, ["_w"])
+
+
 def replicate_metrics(
     scores: DataFrame,
     thresholds: DataFrame,
@@ -253,22 +260,17 @@ def replicate_metrics(
     seed: int = 42,
     batch: int | None = None,
     mode: str = "poisson",
-    method: str = "md5",
 ) -> DataFrame:
     """Metrics of every (key, model, replicate); replicates with one class are left out.
 
-    ``poisson`` draws row weights, ``multinomial`` exactly n rows (which multiplies
-    rows by replicates, ``batch`` at a time).
+    ``poisson`` draws a weight for each row, ``multinomial`` exactly n rows; ``batch`` replicates are held at once.
     """
     keys = list(keys)
-    if mode == "multinomial":
-        wide = _multinomial(scores, thresholds, keys, reps, seed, batch or 500, method)
-    elif mode == "poisson":
-        parts = [_poisson(scores, thresholds, keys, a, b, seed, method) for a, b in _batches(reps, batch or BATCH)]
-        wide = reduce(DataFrame.unionByName, parts)
-    else:
+    modes = {"poisson": _poisson, "multinomial": _multinomial}
+    if mode not in modes:
         raise ValueError(f"unknown mode {mode!r}")
-    return wide.unpivot([*keys, "model", "rep"], METRICS, "metric", "value")
+    parts = [modes[mode](scores, thresholds, keys, a, b, seed) for a, b in _batches(reps, batch or BATCH)]
+    return reduce(DataFrame.unionByName, parts).unpivot([*keys, "model", "rep"], METRICS, "metric", "value")
 
 
 def _interval(value: str) -> list:
@@ -306,7 +308,6 @@ def policy_differences(
     batch: int | None = None,
     cost_fp: float = 1.0,
     cost_fn: float = 5.0,
-    method: str = "md5",
 ) -> DataFrame:
     """Candidate minus reference decisions: accuracy, utility and group gaps with intervals.
 
@@ -316,7 +317,7 @@ def policy_differences(
     keys = list(keys)
     flags = ["n", "np", "tp_reference", "tp_candidate", "fp_reference", "fp_candidate"]
     by = [*keys, "group_column", "level"]
-    slim = rows.select(*keys, _row_name([*keys, "row_id"]), "y", "reference", "candidate", *groups)
+    slim = rows.select(*keys, *_streams(seed, [*keys, "row_id"]), "y", "reference", "candidate", *groups)
     kept = ", ".join(f"`{k}` {t}" for k, t in slim.select(*keys).dtypes) + ", " * bool(keys) + "group_column string, level string"
     parts = []
     for first, last in _batches(reps, batch or BATCH):
@@ -326,7 +327,7 @@ def policy_differences(
                 held: dict[tuple, np.ndarray] = {}
                 for at in range(0, len(frame), BLOCK):
                     part = frame.iloc[at : at + BLOCK]
-                    w = poisson_weights(seed, part["_name"].tolist(), first, last, method)
+                    w = poisson_weights(part["_k0"].to_numpy(), part["_k1"].to_numpy(), first, last).astype(np.float64)
                     y, ref, cand = (part[c].to_numpy(float) for c in ("y", "reference", "candidate"))
                     each = np.column_stack([np.ones(len(part)), y, ref * y, cand * y, ref * (1 - y), cand * (1 - y)])
                     for g in [*groups, None]:

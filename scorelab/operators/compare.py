@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelab.functions.numeric import ratio, ratio_or_zero
 from scorelab.functions.pvalues import chi_square_tail, normal_two_sided
 from scorelab.operators.metrics import score_curve
-from scorelab.session import checked_broadcast
+from scorelab.operators.ordering import join_on_value
+from scorelab.session import checked_broadcast, materialised
 
 # Studentised range quantile (alpha 0.05) over sqrt(2), for 2 to 10 models.
 NEMENYI_Q05 = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
@@ -39,63 +40,68 @@ def model_pairs(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) ->
     return out.select(*keys, *both)
 
 
-def mcnemar(scores: DataFrame, keys: Sequence[str], thresholds: DataFrame | float = 0.5) -> DataFrame:
-    """Continuity-corrected McNemar test of every model pair in each key."""
-    keys = list(keys)
-    if isinstance(thresholds, DataFrame):
-        on = [k for k in (*keys, "model") if k in thresholds.columns]
-        scored = scores.join(checked_broadcast(thresholds.select(*on, "threshold")), on)
-        cut = F.col("threshold")
-    else:
-        scored, cut = scores, F.lit(float(thresholds))
-    right = ((F.col("p") >= cut).cast("int") == F.col("y")).alias("right")
-    pairs = model_pairs(scored.select(*keys, "row_id", "model", right), [*keys, "row_id"], ["right"])
-    counts = pairs.groupBy(*keys, "model_a", "model_b").agg(
-        F.count_if(F.col("right_a") & ~F.col("right_b")).alias("b"),
-        F.count_if(~F.col("right_a") & F.col("right_b")).alias("c"),
-    )
-    gap = (F.abs(F.col("b") - F.col("c")) - 1).cast("double")
-    return counts.withColumn("chi2", ratio_or_zero(gap * gap, F.col("b") + F.col("c"))).withColumn(
-        "p_value",
-        F.when(F.col("b") + F.col("c") == 0, 1.0).otherwise(chi_square_tail("chi2", F.lit(1))),
-    )
-
-
-def delong(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """DeLong test of every model pair: auc_a, auc_b, z, p_value.
+def _placed(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``v``, the share of the other class below (y = 1) or above (y = 0) their score, ties half.
 
-    Placement values come from the cumulative class counts (N log N) and meet the
-    rows again on (keys, model, p).
+    Shares come from the cumulative class counts (N log N) of the distinct scores.
     """
-    keys = list(keys)
     curve = score_curve(scores, [*keys, "model"])
     above = F.col("pos_total") - F.col("pos_before") - F.col("pos")
-    placed = curve.select(
+    shares = curve.select(
         *keys,
         "model",
         "p",
+        (F.col("pos") + F.col("neg")).alias("_n"),
         ratio(F.col("neg_before") + 0.5 * F.col("neg"), F.col("neg_total")).alias("_vp"),
         ratio(above + 0.5 * F.col("pos"), F.col("pos_total")).alias("_vn"),
     )
-    rows = (
-        scores.select(*keys, "model", "row_id", "y", "p")
-        .join(placed, [*keys, "model", "p"])
-        .withColumn("v", F.when(F.col("y") == 1, F.col("_vp")).otherwise(F.col("_vn")))
-    )
-    pairs = model_pairs(rows, [*keys, "row_id", "y"], ["v"])
-    by_class = pairs.groupBy(*keys, "model_a", "model_b", "y").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("v_a").alias("mean_a"),
-        F.avg("v_b").alias("mean_b"),
-        F.var_samp("v_a").alias("vaa"),
-        F.var_samp("v_b").alias("vbb"),
-        F.covar_samp("v_a", "v_b").alias("vab"),
-    )
-    var_part = (F.col("vaa") + F.col("vbb") - 2.0 * F.col("vab")) / F.col("n")
-    out = by_class.groupBy(*keys, "model_a", "model_b").agg(
+    met = join_on_value(scores, shares, [*keys, "model", "p"], "_n")
+    return met.withColumn("v", F.when(F.col("y") == 1, F.col("_vp")).otherwise(F.col("_vn"))).drop("_vp", "_vn")
+
+
+def _pair_sums(rows: DataFrame, keys: Sequence[str], sums: Callable[[str, str], Mapping[str, Column]], fields: Sequence[str]) -> DataFrame:
+    """Aggregates of every model pair (a < b) in one pass: keys, y, model_a, model_b and what ``sums`` names.
+
+    A case's models stand side by side in one row (their number is a parameter), so what is read and shuffled
+    grows with the models and not with their pairs.
+    """
+    models = [r["model"] for r in rows.select("model").distinct().orderBy("model").collect()]
+    side = {
+        f"{f}{i}": F.max(F.when(F.col("model") == m, F.col(f))).alias(f"{f}{i}") for i, m in enumerate(models) for f in fields
+    }
+    wide = rows.groupBy(*keys, "row_id", "y").agg(*side.values()) if side else rows.select(*keys, "row_id", "y")
+    pairs = [(i, j) for i in range(len(models)) for j in range(i + 1, len(models))]
+    if not pairs:
+        some = sums("0", "1")
+        empty = rows.select(*keys, "y", F.col("model").alias("model_a"), F.col("model").alias("model_b")).limit(0)
+        return empty.withColumns({n: F.lit(None).cast("double") for n in some})
+    entries = [
+        F.struct(F.lit(models[i]).alias("model_a"), F.lit(models[j]).alias("model_b"), *[c.alias(n) for n, c in sums(str(i), str(j)).items()])
+        for i, j in pairs
+    ]
+    out = wide.groupBy(*keys, "y").agg(F.array(*entries).alias("_pairs"))
+    return out.select(*keys, "y", F.explode("_pairs").alias("_x")).select(*keys, "y", "_x.*")
+
+
+def _delong_sums(i: str, j: str) -> dict[str, Column]:
+    a, b = f"v{i}", f"v{j}"  # regr_*: cases that both models have scored
+    n = F.regr_count(a, b)
+    return {
+        "n": n, "mean_a": F.regr_avgy(a, b), "mean_b": F.regr_avgx(a, b),
+        "var_part": (F.regr_syy(a, b) + F.regr_sxx(a, b) - 2.0 * F.regr_sxy(a, b)) / F.when(n > 1, n - 1) / n,
+    }
+
+
+def _mcnemar_sums(i: str, j: str) -> dict[str, Column]:
+    a, b = F.col(f"right{i}"), F.col(f"right{j}")
+    return {"b": F.count_if(a & ~b), "c": F.count_if(~a & b), "n_both": F.count_if(a.isNotNull() & b.isNotNull())}
+
+
+def _delong_test(by_class: DataFrame, on: Sequence[str]) -> DataFrame:
+    out = by_class.where(F.col("n") > 0).groupBy(*on).agg(
         F.max(F.when(F.col("y") == 1, F.col("mean_a"))).alias("auc_a"),
         F.max(F.when(F.col("y") == 1, F.col("mean_b"))).alias("auc_b"),
-        F.sum(var_part).alias("var_diff"),
+        F.sum("var_part").alias("var_diff"),
     )
     degenerate = F.col("var_diff") <= 0
     z = F.when(degenerate, 0.0).otherwise(
@@ -104,6 +110,39 @@ def delong(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("z", z).withColumn("p_value", normal_two_sided("z")).drop("var_diff")
 
 
+def _mcnemar_test(counts: DataFrame) -> DataFrame:
+    gap = (F.abs(F.col("b") - F.col("c")) - 1).cast("double")
+    return counts.withColumn("chi2", ratio_or_zero(gap * gap, F.col("b") + F.col("c"))).withColumn(
+        "p_value",
+        F.when(F.col("b") + F.col("c") == 0, 1.0).otherwise(chi_square_tail("chi2", F.lit(1))),
+    )
+
+
+def _judged(scores: DataFrame, keys: Sequence[str], thresholds: DataFrame | float) -> DataFrame:
+    """Rows with ``right``: the decision at the threshold meets the label."""
+    if isinstance(thresholds, DataFrame):
+        on = [k for k in (*keys, "model") if k in thresholds.columns]
+        scores = scores.join(checked_broadcast(thresholds.select(*on, "threshold")), on)
+        cut = F.col("threshold")
+    else:
+        cut = F.lit(float(thresholds))
+    return scores.withColumn("right", (F.col("p") >= cut).cast("int") == F.col("y"))
+
+
+def mcnemar(scores: DataFrame, keys: Sequence[str], thresholds: DataFrame | float = 0.5) -> DataFrame:
+    """Continuity-corrected McNemar test of every model pair in each key."""
+    keys = list(keys)
+    found = _pair_sums(_judged(scores, keys, thresholds), keys, _mcnemar_sums, ["right"]).where("n_both > 0")
+    return _mcnemar_test(found.groupBy(*keys, "model_a", "model_b").agg(F.sum("b").alias("b"), F.sum("c").alias("c")))
+
+
+def delong(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """DeLong test of every model pair: auc_a, auc_b, z, p_value."""
+    keys = list(keys)
+    rows = _placed(scores.select(*keys, "model", "row_id", "y", "p"), keys)
+    return _delong_test(_pair_sums(rows, keys, _delong_sums, ["v"]), [*keys, "model_a", "model_b"])
+
+
 def holm(tests: DataFrame, keys: Sequence[str], p: str, name: str) -> DataFrame:
     """Holm step-down inside each key (one row per model pair)."""
     w = Window.partitionBy(*keys)
@@ -114,11 +153,18 @@ def holm(tests: DataFrame, keys: Sequence[str], p: str, name: str) -> DataFrame:
 
 
 def pairwise_matrix(scores: DataFrame, keys: Sequence[str], thresholds: DataFrame | float = 0.5) -> DataFrame:
-    """DeLong and McNemar for all pairs, the model with the larger AUROC as side a."""
+    """DeLong and McNemar for all pairs, both from one pass, the model with the larger AUROC as side a."""
     keys = list(keys)
     on = [*keys, "model_a", "model_b"]
-    joined = delong(scores, keys).join(
-        mcnemar(scores, keys, thresholds).select(
+    rows = _judged(_placed(scores.select(*keys, "model", "row_id", "y", "p"), keys), keys, thresholds)
+
+    def both(i: str, j: str) -> dict[str, Column]:
+        return {**_delong_sums(i, j), **_mcnemar_sums(i, j)}
+
+    sums = materialised(_pair_sums(rows, keys, both, ["v", "right"]))
+    counts = sums.where("n_both > 0").groupBy(*on).agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    joined = _delong_test(sums, on).join(
+        _mcnemar_test(counts).select(
             *on, F.col("chi2").alias("mcnemar_chi2"), F.col("p_value").alias("mcnemar_p"),
             F.col("b").alias("mcnemar_b"), F.col("c").alias("mcnemar_c"),
         ),

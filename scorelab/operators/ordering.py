@@ -124,8 +124,12 @@ def weighted_quantiles(
     so e.g. every fold's training rows are served by the same pass. Result:
     keys, weight, q, value.
     """
+    return quantiles_of_ranked(prefix_sums(counts, list(keys), [value], weights), keys, value, weights, probs)
+
+
+def quantiles_of_ranked(ranked: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, str], probs: Sequence[float]) -> DataFrame:
+    """``weighted_quantiles`` of value counts that have been through ``prefix_sums`` already."""
     keys = list(keys)
-    ranked = prefix_sums(counts, keys, [value], weights)
     pieces = ", ".join(_quantile_hits(label, column, probs) for label, column in weights.items())
     hit = ranked.select(
         *keys, F.col(value).alias("_v"), F.expr(f"explode(concat({pieces}))").alias("h")
@@ -152,6 +156,34 @@ def exact_quantiles(
     return weighted_quantiles(counts, keys, "_value", {"all": "_n"}, probs).drop("weight")
 
 
+#: A value with more rows than this, and than one ten-thousandth of all, is met by a broadcast of such values.
+HOT_ROWS = 100_000
+
+
+def join_on_value(df: DataFrame, table: DataFrame, keys: Sequence[str], count: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Join rows with a table of their distinct ``keys`` (a score or other value among them); null keys meet too.
+
+    ``count`` in ``table`` is the number of rows of a key. A value that very many rows share would be one
+    task; keys of more than ``hot`` rows and of at least one in 10,000 of all rows - so never more than 10,000
+    keys - are broadcast to the rows instead, and only the others are shuffled.
+    """
+    keys = list(keys)
+    known = materialised(table.withColumnRenamed(count, "_rows"))
+    total = known.agg(F.sum("_rows")).first()[0] or 0
+    least = max(hot, total // 10_000)
+    many = known.where(F.col("_rows") > least)
+
+    def met(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+        on = [left[k].eqNullSafe(other[f"_of_{k}"]) for k in keys]
+        return left.join(other, on, how).drop(*[f"_of_{k}" for k in keys], "_rows")
+
+    if not many.limit(1).count():
+        return met(df, known, "inner")
+    rare = met(df, F.broadcast(many.select(*keys, "_rows")), "left_anti")
+    return met(df, F.broadcast(many), "inner").unionByName(met(rare, known.where(F.col("_rows") <= least), "inner"))
+
+
 def average_ranks(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", descending: bool = False
 ) -> DataFrame:
@@ -164,5 +196,5 @@ def average_ranks(
     ranked = prefix_sums(counts, keys, ["_rv"], {"c": "_n"})
     up = F.col("c_before") + (F.col("_n") + 1) / F.lit(2.0)
     rank = F.col("c_total") + 1 - up if descending else up
-    ranks = ranked.select(*keys, F.col("_rv").alias(value), rank.alias(name))
-    return df.join(ranks, [*keys, value])
+    ranks = ranked.select(*keys, F.col("_rv").alias(value), rank.alias(name), F.col("_n").alias("_ties"))
+    return join_on_value(df, ranks, [*keys, value], "_ties")

@@ -11,8 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelab.functions.numeric import clip, ratio
-from scorelab.operators.ordering import weighted_quantiles
+from scorelab.functions.numeric import clip, lerp, ratio
+from scorelab.operators.ordering import prefix_sums, quantiles_of_ranked, weighted_quantiles
 from scorelab.session import materialised
 
 
@@ -26,6 +26,51 @@ def value_counts(df: DataFrame, features: Sequence[str], fits: Mapping[str, Colu
     return long.groupBy("feature", "value").agg(*[F.sum(m).alias(f"n_{m[4:]}") for m in marks])
 
 
+def _bounds_after_filling(ranked: DataFrame, centre: DataFrame, weights: Mapping[str, str], quantiles: tuple[float, float]) -> DataFrame:
+    """feature, fit, lower, upper: quantiles of the values with the missing ones filled by the median, without another sort.
+
+    Filling puts ``n_missing`` equal values at one place of the order: positions below it stay, positions above
+    it move up by that number. So an order statistic is the median or a known value at a position
+    that ``ranked`` can tell.
+    """
+    long = F.explode(
+        F.array(*[F.struct(F.lit(k).alias("fit"), F.col(w).alias("n"), F.col(f"{k}_before").alias("before")) for k, w in weights.items()])
+    )
+    # features x fits rows: bounded by parameters
+    each = ranked.select("feature", "value", long.alias("_r")).select("feature", "value", "_r.*").where("n > 0")
+    placed = each.join(F.broadcast(centre), ["feature", "fit"])
+    counts = placed.groupBy("feature", "fit").agg(
+        F.sum("n").alias("known"), F.sum(F.when(F.col("value") < F.col("median"), F.col("n")).otherwise(0)).alias("under")
+    )
+    total = F.coalesce("known", F.lit(0)) + F.col("n_missing")
+    wanted = centre.join(counts, ["feature", "fit"], "left").where(total > 0).select(
+        "feature", "fit", "median", "n_missing", F.coalesce("under", F.lit(0)).alias("under"),
+        F.explode(F.array(*[F.struct(F.lit(x).alias("side"), ((total - 1) * F.lit(float(q))).alias("at"), (total - 1).alias("last")) for x, q in zip(("lower", "upper"), quantiles)])).alias("_q"),
+    )
+    low = F.floor("_q.at")
+    ends = wanted.select(
+        "feature", "fit", "median", "n_missing", "under", "_q.side", (F.col("_q.at") - low).alias("share"),
+        F.explode(F.array(F.struct(F.lit(0).alias("end"), low.alias("at")), F.struct(F.lit(1).alias("end"), F.least(low + 1, F.col("_q.last")).alias("at")))).alias("_e"),
+    ).select("*", "_e.*")
+    after = F.col("at") >= F.col("under") + F.col("n_missing")
+    # the place among the known values; a filled place has none
+    place = F.when(F.col("at") < F.col("under"), F.col("at")).when(after, F.col("at") - F.col("n_missing"))
+    asked = materialised(ends.select("feature", "fit", "side", "end", "share", "median", place.alias("place")))
+    hit = (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))
+    found = each.join(F.broadcast(asked.where(F.col("place").isNotNull())), ["feature", "fit"]).where(hit)
+    values = asked.where(F.col("place").isNull()).select("feature", "fit", "side", "end", "share", F.col("median").alias("value")).unionByName(
+        found.select("feature", "fit", "side", "end", "share", "value")
+    )
+
+    def end(i: int) -> Column:
+        return F.max(F.when(F.col("end") == i, F.col("value")))
+
+    both = values.groupBy("feature", "fit", "side").agg(lerp(end(0), end(1), F.max("share")).alias("value"))
+    return both.groupBy("feature", "fit").agg(
+        *[F.max(F.when(F.col("side") == x, F.col("value"))).alias(x) for x in ("lower", "upper")]
+    )
+
+
 def fit_statistics(
     df: DataFrame,
     features: Sequence[str],
@@ -38,8 +83,9 @@ def fit_statistics(
     """
     weights = {k: f"n_{k}" for k in fits}
     counts = materialised(value_counts(df, features, fits))
-    known = counts.where(F.col("value").isNotNull())
-    med = weighted_quantiles(known, ["feature"], "value", weights, [0.5]).select(
+    # the one sort: every known value with the number of values below it, per fit
+    ranked = materialised(prefix_sums(counts.where(F.col("value").isNotNull()), ["feature"], ["value"], weights))
+    med = quantiles_of_ranked(ranked, ["feature"], "value", weights, [0.5]).select(
         "feature", F.col("weight").alias("fit"), F.col("value").alias("median")
     )
     missing = counts.where(F.col("value").isNull()).drop("value").unpivot(
@@ -58,23 +104,14 @@ def fit_statistics(
             F.coalesce("n_missing", F.lit(0)).alias("n_missing"),
         )
     )
+    known = ranked.select("feature", "value", *weights.values())
+    bounds = _bounds_after_filling(ranked, centre, weights, quantiles)
     imputed = centre.where(F.col("n_missing") > 0).select(
         "feature",
         F.col("median").alias("value"),
         *[F.when(F.col("fit") == k, F.col("n_missing")).otherwise(0).alias(w) for k, w in weights.items()],
     )
-    filled = materialised(
-        known.unionByName(imputed).groupBy("feature", "value").agg(*[F.sum(w).alias(w) for w in weights.values()])
-    )
-    lo, hi = quantiles
-    bounds = (
-        weighted_quantiles(filled, ["feature"], "value", weights, [lo, hi])
-        .groupBy("feature", F.col("weight").alias("fit"))
-        .agg(
-            F.max(F.when(F.col("q") == lo, F.col("value"))).alias("lower"),
-            F.max(F.when(F.col("q") == hi, F.col("value"))).alias("upper"),
-        )
-    )
+    filled = known.unionByName(imputed)
     limits = centre.join(bounds, ["feature", "fit"])
     long = filled.unpivot(["feature", "value"], list(weights.values()), "fit", "n").withColumn(
         "fit", F.expr("substring(fit, 3)")

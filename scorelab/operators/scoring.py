@@ -1,41 +1,54 @@
-"""Model families as Spark ML stages, fold-local fitting and out-of-fold scores.
+"""Model families, fold-local fitting and out-of-fold scores.
 
-Fits are distributed jobs; the driver only walks over folds and recipes. A fit
-sees rows of its own training part: statistics, rebalancing, early-stopping slice
-and model are all learnt inside it.
+A plan holds many fits (fold, strategy, recipe). What they share is made once:
+statistics of all folds in one sort, and per (fold, strategy) the rebalanced rows
+with their early-stopping slice. Boosting fits of a plan grow together, one
+aggregate a level for all of them (``boosting``); the Spark ML families run side by
+side in a bounded pool. A fit sees rows of its own training part only.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelab.operators import calibrate, metrics, prep, resample, splits, summary, thresholds
-from scorelab.session import materialised
+from scorelab.operators import boosting, calibrate, metrics, prep, resample, splits, summary, thresholds
+from scorelab.session import materialised, scratch_path
+from scorelab.sources import readers, sinks
 
 # Starting parameters of the families
 FAMILY_DEFAULTS: dict[str, dict] = {
     "logistic": {"C": 1.0, "maxIter": 200},
     "forest": {"numTrees": 300, "maxDepth": 12},
     "boost_gain": {
-        "maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
-        "featureSubsetStrategy": "0.8", "minInfoGain": 0.1,
+        "rounds": 500, "depth": 6, "rate": 0.05, "rows": 0.8, "columns": 0.8,
+        "gamma": 0.1, "alpha": 0.1, "l2": 1.0, "patience": 30,
     },
     "boost_leaf": {
-        "maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
-        "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20,
+        "rounds": 500, "depth": 6, "rate": 0.05, "leaves": 63, "rows": 0.8, "columns": 0.8,
+        "alpha": 0.1, "l2": 1.0, "min_rows": 20, "patience": 50,
     },
-    "boost_plain": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05},
+    "boost_plain": {"rounds": 500, "depth": 6, "rate": 0.05, "l2": 3.0, "patience": 30},
+}
+#: How the boosting families differ apart from their parameters.
+BOOSTING: dict[str, dict] = {
+    "boost_gain": {"growth": "level"},
+    "boost_leaf": {"growth": "leaf", "min_hessian": 0.001},
+    "boost_plain": {"growth": "symmetric", "from_mean": False},
 }
 # Search spaces
 SEARCH_SPACES: dict[str, dict[str, list]] = {
@@ -47,30 +60,46 @@ SEARCH_SPACES: dict[str, dict[str, list]] = {
         "featureSubsetStrategy": ["sqrt", "log2", "all"],
     },
     "boost_gain": {
-        "maxIter": [300, 500, 800],
-        "maxDepth": [3, 4, 5, 6, 8],
-        "stepSize": [0.01, 0.03, 0.05, 0.08, 0.1],
-        "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
-        "featureSubsetStrategy": ["0.7", "0.8", "0.9", "1.0"],
-        "minInfoGain": [0.0, 0.05, 0.1, 0.2],
+        "rounds": [300, 500, 800],
+        "depth": [3, 4, 5, 6, 8],
+        "rate": [0.01, 0.03, 0.05, 0.08, 0.1],
+        "rows": [0.7, 0.8, 0.9, 1.0],
+        "columns": [0.7, 0.8, 0.9, 1.0],
+        "gamma": [0.0, 0.05, 0.1, 0.2],
+        "alpha": [0.0, 0.05, 0.1, 0.5],
+        "l2": [0.5, 1.0, 2.0, 5.0],
     },
     "boost_leaf": {
-        "maxIter": [300, 500, 800],
-        "maxDepth": [3, 4, 5, 6, 8],
-        "stepSize": [0.01, 0.03, 0.05, 0.08, 0.1],
-        "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
-        "featureSubsetStrategy": ["0.7", "0.8", "0.9", "1.0"],
-        "minInstancesPerNode": [10, 20, 40, 80],
+        "rounds": [300, 500, 800],
+        "depth": [3, 4, 5, 6, 8, -1],
+        "rate": [0.01, 0.03, 0.05, 0.08, 0.1],
+        "leaves": [15, 31, 63, 127],
+        "rows": [0.7, 0.8, 0.9, 1.0],
+        "columns": [0.7, 0.8, 0.9, 1.0],
+        "alpha": [0.0, 0.05, 0.1, 0.5],
+        "l2": [0.5, 1.0, 2.0, 5.0],
+        "min_rows": [10, 20, 40, 80],
     },
     "boost_plain": {
-        "maxIter": [300, 500, 800],
-        "maxDepth": [4, 5, 6, 8],
-        "stepSize": [0.01, 0.03, 0.05, 0.08, 0.1],
+        "rounds": [300, 500, 800],
+        "depth": [4, 5, 6, 8],
+        "rate": [0.01, 0.03, 0.05, 0.08, 0.1],
+        "l2": [1.0, 3.0, 5.0, 7.0, 10.0],
     },
 }
 FAMILY_ORDER = list(FAMILY_DEFAULTS)
 #: What unusable data raise; anything else (a lost cluster, a bug) goes on to the caller.
 EXPECTED = (ValueError, AnalysisException, IllegalArgumentException)
+#: Jobs of a plan that are handed to Spark at once.
+AT_ONCE = 8
+
+
+def side_by_side(jobs: Sequence[Callable], at_once: int = AT_ONCE) -> list:
+    """Results of jobs that run at the same time, ``at_once`` of them; the first error goes on to the caller."""
+    if len(jobs) < 2 or at_once < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(min(at_once, len(jobs))) as pool:
+        return list(pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs]))
 
 
 @dataclass(frozen=True)
@@ -161,6 +190,7 @@ class Prepared:
     stats: DataFrame
     roles: Roles
     levels: Mapping[str, int]
+    sets: dict = field(default_factory=dict)
 
     def view(self, fit: str, condition: Column) -> DataFrame:
         """Rows of a part, prepared with the statistics of ``fit``: row_id, y, inputs."""
@@ -191,33 +221,58 @@ def prepare(cases: DataFrame, roles: Roles, folds: Folds | None, train: Column |
     return Prepared(rows, stats, roles, levels)
 
 
-def _weights(train: DataFrame, recipe: Recipe) -> Column:
-    if recipe.strategy != "ClassWeight":
-        return F.lit(1.0)
-    a, b = resample.class_sizes(train)
-    a, b = max(a, 1), max(b, 1)
-    if recipe.family.startswith("boost"):
-        return F.when(F.col("y") == 1, F.lit(a / b)).otherwise(1.0)
-    return F.when(F.col("y") == 1, F.lit((a + b) / (2.0 * b))).otherwise(F.lit((a + b) / (2.0 * a)))
+@dataclass
+class TrainingSet:
+    """Rebalanced training rows of one part (id, y, inputs, _stop); every recipe with this strategy and seed uses them."""
+
+    rows: DataFrame
+    sizes: tuple[int, int]
+    has_stop: bool
+
+    def weighted(self, recipe: Recipe) -> tuple[DataFrame, float]:
+        """Rows with ``_w``, and the sum of the weights."""
+        a, b = (max(n, 1) for n in self.sizes)
+        if recipe.strategy != "ClassWeight":
+            w, total = F.lit(1.0), sum(self.sizes)
+        elif recipe.family.startswith("boost"):
+            w, total = F.when(F.col("y") == 1, F.lit(a / b)).otherwise(1.0), self.sizes[0] + self.sizes[1] * a / b
+        else:
+            each = ((a + b) / (2.0 * a), (a + b) / (2.0 * b))
+            w, total = F.when(F.col("y") == 1, F.lit(each[1])).otherwise(F.lit(each[0])), self.sizes[0] * each[0] + self.sizes[1] * each[1]
+        return self.rows.withColumn("_w", w), float(total)
+
+
+def training_set(train: DataFrame, roles: Roles, strategy: str, seed: int) -> TrainingSet:
+    """Rebalance and slice prepared training rows (row_id, y, inputs)."""
+    rows = resample.resample(train.withColumnRenamed("row_id", "id"), strategy, roles.numeric, roles.nominals, seed).drop("is_synthetic")
+    rows = materialised(rows)
+    slices = splits.early_stopping_slice(rows, 0.1, seed, row_id="id", method="xxhash64")
+    rows = materialised(rows.join(slices.select("id", F.col("is_stop").alias("_stop")), "id"))
+    found = rows.agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"), F.max("_stop").alias("stop")).first()
+    return TrainingSet(rows, (found["a"], found["b"]), bool(found["stop"]))
 
 
-def _classifier(recipe: Recipe, n: float, stop: bool):
-    return _bare_classifier(recipe, n, stop).setProbabilityCol("_prob").setRawPredictionCol("_raw")
+def shared_set(prepared: Prepared, part: str, condition: Column, recipe: Recipe) -> TrainingSet:
+    """The training set of a part, made once per (part, strategy, seed)."""
+    strategy = "None" if recipe.strategy == "ClassWeight" else recipe.strategy  # weights come later
+    key = (part, str(condition), strategy, recipe.seed)
+    if key not in prepared.sets:
+        prepared.sets[key] = training_set(prepared.view(part, condition), prepared.roles, strategy, recipe.seed)
+    return prepared.sets[key]
 
 
-def _bare_classifier(recipe: Recipe, n: float, stop: bool):
+def _classifier(recipe: Recipe, n: float):
     s = dict(recipe.settings)
     common = {"featuresCol": "_features", "labelCol": "y", "weightCol": "_w", "predictionCol": "_pred"}
     if recipe.family == "logistic":
         c = float(s.pop("C"))
         # MLlib averages the loss over rows, so the penalty of a summed loss is divided by n
-        return LogisticRegression(elasticNetParam=0.0, regParam=1.0 / (c * n), standardization=False, **common, **s)
-    if recipe.family == "forest":
-        return RandomForestClassifier(seed=recipe.seed, **common, **s)
-    if recipe.family.startswith("boost"):
-        extra = {"validationIndicatorCol": "_stop", "validationTol": 0.001} if stop else {}
-        return GBTClassifier(seed=recipe.seed, **common, **s, **extra)
-    raise ValueError(f"unknown family {recipe.family!r}")
+        made = LogisticRegression(elasticNetParam=0.0, regParam=1.0 / (c * n), standardization=False, **common, **s)
+    elif recipe.family == "forest":
+        made = RandomForestClassifier(seed=recipe.seed, **common, **s)
+    else:
+        raise ValueError(f"unknown family {recipe.family!r}")
+    return made.setProbabilityCol("_prob").setRawPredictionCol("_raw")
 
 
 def _tagged(df: DataFrame, roles: Roles, levels: Mapping[str, int]) -> DataFrame:
@@ -255,47 +310,157 @@ class Fitted:
         return list(zip(names, values))
 
 
-def fit(train: DataFrame, roles: Roles, levels: Mapping[str, int], recipe: Recipe) -> Fitted:
-    """Rebalance, weigh, slice and fit on prepared training rows (row_id, y, inputs)."""
-    rows = resample.resample(
-        train.withColumnRenamed("row_id", "id"), recipe.strategy, roles.numeric, roles.nominals, recipe.seed
-    ).drop("is_synthetic")
-    boost = recipe.family.startswith("boost")
-    if boost:
-        slices = splits.early_stopping_slice(rows, 0.1, recipe.seed, row_id="id", method="xxhash64")
-        rows = rows.join(slices.select("id", F.col("is_stop").alias("_stop")), "id")
-    rows = materialised(rows.withColumn("_w", _weights(rows, recipe)))
-    totals = rows.agg(F.sum("_w").alias("w"), *([F.max("_stop").alias("stop")] if boost else [])).first()
+@dataclass
+class Boosted:
+    """A fitted boosting model; called with prepared rows it adds column ``p``."""
+
+    model: boosting.Model
+    roles: Roles
+
+    def column(self) -> Column:
+        return self.model.score(*[F.col(c) for c in self.roles.inputs])
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[c for c in rows.columns if c != "p"], self.column().alias("p"))
+
+    def importances(self) -> list[tuple[str, float]]:
+        """(input, share of the total gain)."""
+        return self.model.importances()
+
+
+def _ml_fit(own: TrainingSet, roles: Roles, levels: Mapping[str, int], recipe: Recipe) -> Fitted:
+    rows, total = own.weighted(recipe)
     stages: list = []
+    inputs = roles.inputs
     if recipe.family == "logistic":
         rows = _tagged(rows, roles, levels)
         names = [f"_hot_{c}" for c in roles.nominals]
         if names:
             stages.append(OneHotEncoder(inputCols=list(roles.nominals), outputCols=names, dropLast=True, handleInvalid="error"))
         inputs = [*roles.numeric, *names]
-    else:
-        inputs = roles.inputs
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="error"))
-    stages.append(_classifier(recipe, float(totals["w"]), boost and bool(totals["stop"])))
+    stages.append(_classifier(recipe, total))
     return Fitted(Pipeline(stages=stages).fit(rows), roles, levels, recipe)
 
 
+def fit_plan(wanted: Mapping, roles: Roles, levels: Mapping[str, int], at_once: int = AT_ONCE) -> dict:
+    """Models of many fits: ``wanted`` maps a name to (training set, recipe).
+
+    Boosting fits go through their levels together, the others run side by side.
+    """
+    names = list(wanted)
+    boost = [n for n in names if wanted[n][1].family.startswith("boost")]
+    others = [n for n in names if n not in set(boost)]
+    out = dict(zip(others, side_by_side([lambda n=n: _ml_fit(wanted[n][0], roles, levels, wanted[n][1]) for n in others], at_once)))
+    sets: dict[tuple, str] = {}
+    frames, fits = [], []
+    for n in boost:
+        own, recipe = wanted[n]
+        weighs = recipe.strategy == "ClassWeight"
+        key = (id(own), weighs, recipe.seed)
+        if key not in sets:
+            sets[key] = f"set{len(sets)}"
+            frames.append(boosting.row_set(own.weighted(recipe)[0], sets[key], recipe.seed))
+        settings = boosting.Settings(**{**BOOSTING[recipe.family], **recipe.settings})
+        fits.append(boosting.Fit(str(len(fits)), sets[key], settings, recipe.seed))
+    if fits:
+        models = boosting.fit_many(frames, roles.inputs, fits)
+        out.update({n: Boosted(models[f.name], roles) for n, f in zip(boost, fits)})
+    return out
+
+
+def fit(train: DataFrame, roles: Roles, levels: Mapping[str, int], recipe: Recipe) -> Fitted | Boosted:
+    """Rebalance, weigh, slice and fit on prepared training rows (row_id, y, inputs)."""
+    strategy = "None" if recipe.strategy == "ClassWeight" else recipe.strategy
+    return fit_plan({0: (training_set(train, roles, strategy, recipe.seed), recipe)}, roles, levels)[0]
+
+
+def oof_plan(
+    prepared: Prepared, folds: Folds, recipes: Mapping[str, Recipe], train: Column | None = None, at_once: int = AT_ONCE,
+    only: Sequence[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """Scores of held-out rows for many recipes: recipe, fold, row_id, y, p. Each result is kept when it is done.
+
+    ``only`` names the (recipe, fold) pairs to fit, default all.
+    """
+    train = F.lit(True) if train is None else train
+    parts = folds.parts
+    names = [(k, f) for f in parts for k in recipes] if only is None else list(only)
+    kinds = {(f, recipes[k].strategy, recipes[k].seed): recipes[k] for k, f in names}
+    side_by_side([lambda f=f, r=r: shared_set(prepared, f, train & parts[f][0], r) for (f, _, _), r in kinds.items()], at_once)
+    wanted = {(k, f): (shared_set(prepared, f, train & parts[f][0], recipes[k]), recipes[k]) for k, f in names}
+    spark = prepared.rows.sparkSession
+
+    def kept(rows: DataFrame) -> str:
+        path = scratch_path(spark, "oof-scores")  # writers at the same time need folders of their own
+        rows.write.parquet(path)
+        return path
+
+    def alone(key: str, f: str) -> str:
+        own, recipe = wanted[key, f]
+        model = _ml_fit(own, prepared.roles, prepared.levels, recipe)
+        scored = model(prepared.view(f, train & parts[f][1]))
+        return kept(scored.select(F.lit(key).alias("recipe"), F.lit(f).alias("fold"), "row_id", "y", "p"))
+
+    boost = {n: w for n, w in wanted.items() if w[1].family.startswith("boost")}
+    paths = side_by_side([lambda n=n: alone(*n) for n in wanted if n not in boost], at_once)
+    models = fit_plan(boost, prepared.roles, prepared.levels)
+    for f in parts:  # one pass over a fold's rows scores all its models
+        own = [(k, m) for (k, g), m in models.items() if g == f]
+        if own:
+            each = F.array(*[F.struct(F.lit(k).alias("recipe"), m.column().alias("p")) for k, m in own])
+            rows = prepared.view(f, train & parts[f][1]).select("row_id", "y", F.explode(each).alias("s"))
+            paths.append(kept(rows.select("s.recipe", F.lit(f).alias("fold"), "row_id", "y", "s.p")))
+    schema = f"recipe string, fold string, row_id {dict(prepared.rows.dtypes)['row_id']}, y {dict(prepared.rows.dtypes)['y']}, p double"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def table_key(prepared: Prepared) -> str:
+    """Names the rows of a prepared table: any changed, added or missing row gives another one."""
+    return "|".join(str(v) for v in readers.fingerprint(prepared.rows).first())
+
+
+def store_key(recipe: Recipe, fold: str, rows: str, train: Column | None = None) -> str:
+    """Names one out-of-fold result: everything that decides it."""
+    said = [recipe.family, recipe.strategy, recipe.seed, sorted((k, repr(v)) for k, v in recipe.settings.items()), fold, rows, str(train)]
+    return hashlib.sha256(json.dumps(said).encode()).hexdigest()
+
+
+def oof_from_store(
+    prepared: Prepared, folds: Folds, recipes: Mapping[str, Recipe], root: str, train: Column | None = None
+) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``oof_plan`` over a store of finished scores: (recipe, fold, row_id, y, p; the (recipe, fold) pairs that were fitted).
+
+    Scores lie under a hash of recipe, rows and fold, and count once the manifest says so; only pairs that it
+    lacks are fitted.
+    """
+    spark = prepared.rows.sparkSession
+    rows = table_key(prepared)
+    keys = {(k, f): store_key(r, f, rows, train) for f in folds.parts for k, r in recipes.items()}
+    done = sinks.completed_runs(spark, root)
+    missing = [n for n, key in keys.items() if key not in done]
+    if missing:
+        named = spark.createDataFrame([(*n, keys[n]) for n in missing], "recipe string, fold string, run_id string")
+        fresh = oof_plan(prepared, folds, recipes, train, only=missing).join(F.broadcast(named), ["recipe", "fold"])
+        sinks.retract_runs(spark, root, [keys[n] for n in missing])
+        sinks.write_run_table(fresh.select("run_id", "row_id", "y", "p"), root, "oof_scores")
+        sinks.complete_runs(spark, root, {keys[n]: f"{recipes[n[0]].family} {n[1]}" for n in missing})
+    wanted = spark.createDataFrame([(*n, key) for n, key in keys.items()], "recipe string, fold string, run_id string")
+    saved = sinks.read_complete(spark, root, "oof_scores").join(F.broadcast(wanted), "run_id")
+    return saved.select("recipe", "fold", "row_id", "y", "p"), missing
+
+
 def oof_scores(prepared: Prepared, folds: Folds, recipe: Recipe, train: Column | None = None) -> DataFrame:
     """Scores of held-out rows: fold, row_id, y, p. Rows that no fold validates are absent."""
-    train = F.lit(True) if train is None else train
-    parts = []
-    for name, (inside, held) in folds.parts.items():
-        model = fit(prepared.view(name, train & inside), prepared.roles, prepared.levels, recipe)
-        scored = model(prepared.view(name, train & held)).select(F.lit(name).alias("fold"), "row_id", "y", "p")
-        parts.append(materialised(scored))
-    return reduce(DataFrame.unionByName, parts)
+    return oof_plan(prepared, folds, {"": recipe}, train).drop("recipe")
 
 
 def final_scores(
     prepared: Prepared, recipe: Recipe, train: Column, test: Column
 ) -> tuple[Fitted, DataFrame]:
     """Refit on the whole training part and score the test part: (model, row_id, y, p)."""
-    model = fit(prepared.view("all", train), prepared.roles, prepared.levels, recipe)
+    own = shared_set(prepared, "all", train, recipe)
+    model = fit_plan({0: (own, recipe)}, prepared.roles, prepared.levels)[0]
     return model, model(prepared.view("all", test)).select("row_id", "y", "p")
 
 
@@ -327,19 +492,31 @@ def draw_params(family: str, n: int, seed: int, space: Mapping[str, Sequence] |
     return out
 
 
+def search_plan(
+    prepared: Prepared, folds: Folds, bases: Sequence[Recipe], draws: Mapping[str, Sequence[Mapping]], train: Column | None = None
+) -> DataFrame:
+    """Mean and deviation of the folds' AUROC for every draw of every family: model, draw, params, mean_auroc, std_auroc.
+
+    All fits of all families and draws are one plan.
+    """
+    names, recipes = [], {}
+    for base in bases:
+        for i, params in enumerate(draws[base.family]):
+            recipes[f"{base.family}|{i}"] = Recipe(base.family, base.strategy, base.seed, {**base.params, **params})
+            names.append((f"{base.family}|{i}", base.family, i, str(dict(params))))
+    oof = oof_plan(prepared, folds, recipes, train)
+    ranked = metrics.ranking_metrics(oof, ["recipe", "fold"]).groupBy("recipe").agg(
+        F.avg("AUROC").alias("mean_auroc"), F.stddev_samp("AUROC").alias("std_auroc")
+    )
+    drawn = prepared.rows.sparkSession.createDataFrame(names, "recipe string, model string, draw int, params string")
+    return materialised(drawn.join(ranked, "recipe", "left").drop("recipe"))
+
+
 def random_search(
     prepared: Prepared, folds: Folds, base: Recipe, draws: Sequence[Mapping], train: Column | None = None
 ) -> tuple[Recipe, DataFrame]:
     """Mean fold AUROC of every draw; the first best one wins. (recipe, table of results)."""
-    tables = []
-    for i, params in enumerate(draws):
-        recipe = Recipe(base.family, base.strategy, base.seed, {**base.params, **params})
-        oof = oof_scores(prepared, folds, recipe, train)
-        ranked = metrics.ranking_metrics(oof, ["fold"]).agg(
-            F.avg("AUROC").alias("mean_auroc"), F.stddev_samp("AUROC").alias("std_auroc")
-        )
-        tables.append(ranked.select(F.lit(i).alias("draw"), F.lit(str(dict(params))).alias("params"), "*"))
-    results = materialised(reduce(DataFrame.unionByName, tables))
+    results = search_plan(prepared, folds, [base], {base.family: draws}, train).drop("model")
     top = results.orderBy(F.desc_nulls_last("mean_auroc"), "draw").first()
     best = draws[top["draw"]]
     return Recipe(base.family, base.strategy, base.seed, {**base.params, **best}), results
@@ -351,8 +528,17 @@ def strategy_ablation(
     """Out-of-fold and test metrics per strategy at threshold 0.5.
 
     A probe that fails for a strategy is replaced by the next one; the probe that
-    worked last is tried first.
+    worked last is tried first. Sets of all strategies and folds are made side by side.
     """
+    parts = [(f, train & inside) for f, (inside, _) in folds.parts.items()] + [("all", train)]
+
+    def ready(part: str, condition: Column, strategy: str) -> None:
+        try:
+            shared_set(prepared, part, condition, Recipe(probes[0].family, strategy, probes[0].seed))
+        except EXPECTED:  # told when the strategy's turn comes
+            pass
+
+    side_by_side([lambda p=p, c=c, s=s: ready(p, c, s) for s in strategies if s != "ClassWeight" for p, c in parts])
     used: Recipe | None = None
     tables = []
     for strategy in strategies:
@@ -360,8 +546,7 @@ def strategy_ablation(
         for probe in order:
             recipe = Recipe(probe.family, strategy, probe.seed, probe.params)
             try:
-                oof = oof_scores(prepared, folds, recipe, train)
-                _, scored = final_scores(prepared, recipe, train, test)
+                oof, (_, scored) = side_by_side([lambda r=recipe: oof_scores(prepared, folds, r, train), lambda r=recipe: final_scores(prepared, r, train, test)])
                 scored = materialised(scored)
             except EXPECTED as exc:  # the next probe takes over
                 tables.append(_failed(prepared, probe.family, strategy, exc))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +11,7 @@ from scorelab.operators import features, labels, metrics, prep, splits, threshol
 from scorelab.plans.base import (
     SQL_LABELS, SQL_LOANS, SQL_SCORES, loans, query, r, scores, table, tidy, with_sql,
 )
-from scorelab.session import scratch_path
+from scorelab.session import materialised, scratch_path
 from scorelab.sources import readers, sinks
 
 HORIZON = 12
@@ -74,15 +75,64 @@ def file_checksums(spark, d):
     return readers.file_checksums(spark, d, "*.parquet")
 
 
-@query("table_fingerprint")
+HASHED = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+LINE_TEXT = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))"
+
+
+@query("table_fingerprint", f"""SELECT count(*) AS n_rows, sum(h)::VARCHAR AS hash_sum, bit_xor(h) AS hash_xor,
+  'struct<l_orderkey:bigint,l_linenumber:bigint,l_partkey:bigint,l_suppkey:bigint,l_returnflag:string,l_linestatus:string,l_shipdate:string>' AS schema
+FROM (SELECT {HASHED.format(LINE_TEXT)} AS h FROM lineitem)""")
 def table_fingerprint(spark, d):
-    return readers.fingerprint(table(spark, d, "lineitem"))
+    keys = [F.col(c).cast("long").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    shipped = F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("l_shipdate")
+    return readers.fingerprint(table(spark, d, "lineitem").select(*keys, "l_returnflag", "l_linestatus", shipped), "md5")
 
 
-@query("run_record")
+@query("run_record", f"""SELECT '12' AS horizon_months, '6' AS test_window_months, count(*) AS n_rows, sum(h)::VARCHAR AS hash_sum, bit_xor(h) AS hash_xor
+FROM (SELECT {HASHED.format("concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)")} AS h FROM orders)""")
 def run_record(spark, d):
-    prints = readers.fingerprint(table(spark, d, "orders"))
-    return sinks.run_record(spark, {"horizon_months": "12", "test_window_months": "6"}, prints)
+    """The options and the input's fingerprint of a run, one column each (the engine's version is checked by a test)."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    record = sinks.run_record(spark, {"horizon_months": "12", "test_window_months": "6"}, readers.fingerprint(rows, "md5"))
+    options = [F.col("options")[o].alias(o) for o in ("horizon_months", "test_window_months")]
+    return record.select(*options, "n_rows", "hash_sum", "hash_xor")
+
+
+@query("saved_files_by_glob", """SELECT 'run_' || l_linestatus || l_returnflag AS run_id, l_linestatus AS status, count(*) AS n, sum(l_orderkey)::BIGINT AS keys
+FROM lineitem GROUP BY ALL""")
+def saved_files_by_glob(spark, d):
+    """Every run saves its own files below its folder; one glob reads them all, the folder names the run."""
+    root = scratch_path(spark, "saved")
+    li = table(spark, d, "lineitem").withColumn("run_id", F.concat(F.lit("run_"), "l_linestatus", "l_returnflag"))
+    per_run = materialised(li.groupBy("run_id", F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys")))
+    for r in per_run.select("run_id").distinct().collect():
+        sinks.write_new(per_run.where(F.col("run_id") == r["run_id"]).drop("run_id"), f"{root}/{r['run_id']}/results", "json")
+    return tidy(readers.read_saved_runs(spark, f"{root}/*/results/*.json", schema="status string, n long, keys long"))
+
+
+@query("summary_rewritten", "SELECT o_orderstatus AS status, count(*) AS n, count(*) * 2 AS twice FROM orders GROUP BY ALL")
+def summary_rewritten(spark, d):
+    """A summary over all runs replaces the stale one, whose rows and columns are gone."""
+    root = scratch_path(spark, "summary")
+    per = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_summary(per.withColumns({"stale": F.lit(1), "n": F.lit(0)}).union(per.withColumns({"stale": F.lit(2), "n": F.lit(0)})), root, "s")
+    sinks.write_summary(per.withColumn("twice", F.col("n") * 2), root, "s")
+    return tidy(spark.read.parquet(f"{root}/s"))
+
+
+@query("csv_export", "SELECT o_orderstatus AS status, count(*) AS n, true AS refused FROM orders GROUP BY ALL")
+def csv_export(spark, d):
+    """A table goes to a new path with a header and comes back; an existing path is refused."""
+    path = scratch_path(spark, "export")
+    per = materialised(table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n")))
+    sinks.export_csv(per, path)
+    try:
+        sinks.export_csv(per.limit(0), path)
+        refused = False
+    except AnalysisException as e:
+        refused = "PATH_ALREADY_EXISTS" in str(e)
+    back = readers.read_delimited(spark, path)
+    return tidy(back.select("status", F.col("n").cast("long").alias("n"), F.lit(refused).alias("refused")))
 
 
 @query("saved_runs_roundtrip", """SELECT 'run_' || l_linestatus AS run_id, count(*) AS n, round(avg(l_discount), 8) + 0.0 AS mean_discount

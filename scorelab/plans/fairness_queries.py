@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelab.functions.grids import FAIRNESS
+from scorelab.functions.hashing import MIX_32, STEP_32
 from scorelab.operators import bootstrap, fairness, metrics, thresholds
 from scorelab.plans.base import SQL_LINE_ID, SQL_SCORES, line_id, query, r, scores, table, tidy, with_sql
 
@@ -243,7 +244,24 @@ def _poisson_sql(u):
     return " + ".join(out)
 
 
-SQL_DRAWS = f"""uu AS (SELECT row_id, rep, ('0x' || substr(md5(concat_ws('|', '42', row_id, rep)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM dwide, range({REPS}) g(rep)),
+def _mixing_sql(start: str, extra: str) -> tuple[str, str]:
+    """The counter hash as a chain of tables; ``start`` has row_id, rep, x and k1."""
+    out, last = [], start
+    for turn in range(2):
+        for i, (shift, factor) in enumerate(MIX_32):
+            name = f"{extra}{turn}{i}"
+            x = "xor(x, k1)" if turn and not i else "x"
+            out.append(f"{name}x AS (SELECT row_id, rep, k1, xor({x}, ({x}) >> {shift}) AS x FROM {last})")
+            out.append(f"{name} AS (SELECT row_id, rep, k1, ((x & 65535) * {factor} + (((x >> 16) * {factor}) & 65535) * 65536) & 4294967295 AS x FROM {name}x)")
+            last = name
+    return ",\n".join(out), last
+
+
+_MIXED, _LAST = _mixing_sql("k_start", "mix")
+SQL_DRAWS = f"""k_rows AS (SELECT row_id, md5(concat_ws('|', '42', row_id)) AS h FROM dwide),
+k_start AS (SELECT row_id, rep, (('0x' || substr(h, 1, 8))::BIGINT + rep * {STEP_32}) & 4294967295 AS x, ('0x' || substr(h, 9, 8))::BIGINT AS k1 FROM k_rows, range({REPS}) g(rep)),
+{_MIXED},
+uu AS (SELECT row_id, rep, x / 4294967296.0::DOUBLE AS u FROM {_LAST}),
 ww AS (SELECT row_id, rep, {_poisson_sql('u')} AS w FROM uu)"""
 
 SQL_REPS = SQL_DOCS + ",\n" + SQL_DRAWS + """,
@@ -279,6 +297,15 @@ def bootstrap_differences(spark, d):
     return tidy(bootstrap.paired_differences(_replicates(spark, d), []), digits=7)
 
 
+@query("bootstrap_exact_draws", with_sql(SQL_DOCS) + f"""SELECT rep, count(*) AS draws, count(*) AS rows_in_all FROM dwide, range({REPS}) g(rep) GROUP BY rep""")
+def bootstrap_exact_draws(spark, d):
+    """Every replicate draws exactly as many rows as there are; each row keeps one weight per replicate."""
+    w = bootstrap.with_multinomial_weights(doc_scores(spark, d), ["row_id"], 0, REPS - 1, 42)
+    places = F.sequence(F.lit(1), F.length("_w"))
+    each = w.select(F.posexplode(F.transform(places, lambda i: F.conv(F.hex(F.substring(F.col("_w"), i, F.lit(1))), 16, 10).cast("long"))).alias("rep", "w"))
+    return tidy(each.groupBy("rep").agg(F.sum("w").alias("draws"), F.count(F.lit(1)).alias("rows_in_all")))
+
+
 @query("bootstrap_multinomial")
 def bootstrap_multinomial(spark, d):
     s = doc_scores(spark, d).drop("lang")

@@ -53,6 +53,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def opened_store(uri: str):
+    """An Arrow file system and the path in it, for a URI as Spark writes it."""
+    from pyarrow.fs import FileSystem
+
+    scheme, colon, rest = uri.partition("://")
+    if colon and scheme in ("s3a", "s3n"):  # Hadoop's names of the same store
+        uri = f"s3://{rest}"
+    elif uri.startswith("file:") and not uri.startswith("file://"):
+        uri = f"file://{uri[5:]}"
+    return FileSystem.from_uri(uri) if ":" in uri else FileSystem.from_uri(f"file://{uri}")
+
+
 #: Tables of parameters (one narrow row per key) are broadcast up to so many rows.
 BROADCAST_ROWS = 100_000
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorelab.session import materialised, opened_store
+
+DIGESTS = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())])
+
 # Column names of the whitespace-separated credit file, by position
 SOUTH_GERMAN_COLUMNS = [
     "status", "duration", "credit_history", "purpose", "amount", "savings",
@@ -96,22 +102,56 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*df.columns)
 
 
+#: Bytes of a file that are held at once.
+PIECE = 8 << 20
+
+
 def file_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 and size per file (part files, each within one task's memory)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """SHA-256 and size per file, of any size: each file is one running digest over pieces of 8 MB.
 
+    Spark lists the files; a digest is sequential, so a file is one task. Where Arrow does not know the store's
+    scheme the content comes through Spark's reader, which holds a whole file (up to 2 GB).
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
-def fingerprint(df: DataFrame) -> DataFrame:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                try:
+                    store, place = opened_store(uri)
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                    yield pa.RecordBatch.from_pylist([{"path": uri, "bytes": length, "sha256": None}], DIGESTS)
+                    continue
+                digest, size = hashlib.sha256(), 0
+                with store.open_input_stream(place, buffer_size=0) as stream:
+                    while piece := stream.read(PIECE):
+                        digest.update(piece)
+                        size += len(piece)
+                yield pa.RecordBatch.from_pylist([{"path": uri, "bytes": size, "sha256": digest.hexdigest()}], DIGESTS)
+
+    listed = materialised(files.select("path", "length"))
+    spread = listed.repartition(max(1, min(listed.count(), 4 * spark.sparkContext.defaultParallelism)), "path")
+    found = materialised(spread.mapInArrow(digests, "path string, bytes long, sha256 string"))
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    known = found.where(F.col("sha256").isNotNull()).select(name, "bytes", "sha256")
+    others = found.where(F.col("sha256").isNull()).select("path")
+    if not others.limit(1).count():
+        return known
+    whole = files.join(F.broadcast(others), "path", "left_semi")
+    return known.unionByName(whole.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+
+
+def fingerprint(df: DataFrame, method: str = "xxhash64") -> DataFrame:
     """Order-independent staleness key of a table: rows, two hash sums and the schema.
 
-    Exact 128-bit-safe sums: hashes are added as decimals.
+    Exact 128-bit-safe sums: hashes are added as decimals. ``md5`` (15 hex digits of the row's text, nulls as
+    an empty field) is slower, takes simple columns only and can be repeated by any SQL engine.
     """
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    if method == "md5":
+        text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
+        h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    else:
+        h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash_sum"),

@@ -45,6 +45,14 @@ def _manifest(spark: SparkSession, root: str, rows: list[tuple]) -> None:
     write_run_table(spark.createDataFrame(rows, schema), root, "run_manifest")
 
 
+def completed_runs(spark: SparkSession, root: str) -> set[str]:
+    """The runs whose completion row is there; none where nothing was written yet. One name per run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/run_manifest")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return set()
+    return {r["run_id"] for r in spark.read.parquet(f"{root}/run_manifest").where("complete").select("run_id").collect()}
+
+
 def read_complete(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of completed runs only (semi join with the manifest)."""
     done = spark.read.parquet(f"{root}/run_manifest").where("complete").select("run_id")

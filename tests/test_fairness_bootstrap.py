@@ -1,8 +1,9 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorelab.operators.ordering import numbered
 from scorelab.operators import bootstrap, fairness, thresholds
 
 
@@ -92,17 +93,26 @@ def test_composite_without_gap_is_not_scored(spark):
     assert r["reliability_score"] is None and r["score_status"] == "not_scored_fairness_unavailable"
 
 
-@pytest.mark.parametrize("method", ["md5", "xxhash64"])
-def test_drawn_weights_equal_the_column_form(spark, method):
+def _keys(seed, *names):
+    """The two stream numbers of rows, by md5 on its own."""
+    digests = [hashlib.md5("|".join([str(seed), *map(str, n)]).encode()).hexdigest() for n in names]
+    return [np.array([int(d[a : a + 8], 16) for d in digests]) for a in (0, 8)]
+
+
+def test_drawn_weights_equal_the_column_form(spark):
     from scorelab.functions.hashing import poisson_one, uniform
 
     rows = spark.range(40).selectExpr("id as row_id", "concat('k', id % 3) as k")
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(3), F.lit(30))))
-    want = {(r["row_id"], r["rep"]): r["w"] for r in reps.withColumn("w", poisson_one(uniform(7, "k", "row_id", "rep", method=method))).collect()}
-    names = [(r["row_id"], f"{r['k']}|{r['row_id']}") for r in rows.collect()]
-    got = bootstrap.poisson_weights(7, [n for _, n in names], 3, 30, method)
-    assert {(i, 3 + j): got[x, j] for x, (i, _) in enumerate(names) for j in range(28)} == want
-    assert 0.8 < got.mean() < 1.2
+    want = {(r["row_id"], r["rep"]): r["w"] for r in reps.withColumn("w", poisson_one(uniform(7, "k", "row_id", "rep", method="counter"))).collect()}
+    names = [(r["k"], r["row_id"]) for r in rows.collect()]
+    got = bootstrap.poisson_weights(*_keys(7, *names), 3, 30)
+    assert {(i, 3 + j): got[x, j] for x, (_, i) in enumerate(names) for j in range(28)} == want
+    many = bootstrap.poisson_weights(*_keys(1, *[(i,) for i in range(500)]), 0, 1999).astype(float)
+    assert abs(many.mean() - 1) < 0.01 and abs(many.var() - 1) < 0.01
+    # rows and replicates go together no more than chance
+    assert abs(np.corrcoef(many[:60])[np.triu_indices(60, 1)]).max() < 0.12
+    assert abs(np.corrcoef(many.T[:60])[np.triu_indices(60, 1)]).max() < 0.25
 
 
 def _plain_replicates(rows, reps, seed, threshold):
@@ -110,7 +120,7 @@ def _plain_replicates(rows, reps, seed, threshold):
     out = {}
     for k, m in {(r[0], r[1]) for r in rows}:
         own = [r for r in rows if (r[0], r[1]) == (k, m)]
-        w = bootstrap.poisson_weights(seed, [f"{k}|{r[2]}" for r in own], 0, reps - 1, "md5")
+        w = bootstrap.poisson_weights(*_keys(seed, *[(k, r[2]) for r in own]), 0, reps - 1).astype(float)
         y, p = np.array([r[3] for r in own], float), np.array([r[4] for r in own])
         for j in range(reps):
             pos, neg = w[:, j] * y, w[:, j] * (1 - y)
@@ -154,8 +164,28 @@ def test_batches_do_not_change_replicates(spark, fixture_scores):
     assert key(one) == key(many)
 
 
-def test_multinomial_draws_exactly_n(spark, fixture_scores):
-    ids = numbered(fixture_scores.select("row_id").distinct(), [], ["row_id"], "_rn")
-    drawn = bootstrap.with_multinomial_weights(fixture_scores, ids, ids.count(), 0, 4, 1, ["row_id"])
-    sizes = drawn.groupBy("model", "rep").agg(F.sum("w").alias("n")).collect()
-    assert len(sizes) == 10 and {r["n"] for r in sizes} == {8}
+@pytest.mark.parametrize("block", [1024, 5])
+def test_multinomial_draws_exactly_n(many_partitions, monkeypatch, block):
+    monkeypatch.setattr(bootstrap, "BLOCK", block)
+    rows = many_partitions.range(300).selectExpr("id as row_id", "'x' as k", "explode(array('a', 'b')) as model")
+    found = bootstrap.with_multinomial_weights(rows, ["k", "row_id"], 0, 399, 9).collect()
+    again = bootstrap.with_multinomial_weights(rows, ["k", "row_id"], 0, 399, 9).collect()
+    w = np.array([list(r["_w"]) for r in found], float)
+    assert w.shape == (300, 400) and (w.sum(axis=0) == 300).all()
+    assert {r["row_id"]: bytes(r["_w"]) for r in found} == {r["row_id"]: bytes(r["_w"]) for r in again}
+    # each row's number of draws is binomial: mean 1, variance near 1, no part of the rows is favoured
+    assert abs(w.var() - 1) < 0.03 and abs(w.mean(axis=1) - 1).max() < 0.3
+    halves = w[np.argsort([r["row_id"] for r in found])][:150].sum(axis=0)
+    assert abs(halves.mean() - 150) < 3 and 50 < halves.var() < 110
+
+
+def test_multinomial_metrics_equal_weighted_ones(many_partitions):
+    rng = np.random.default_rng(5)
+    rows = [(m, i, int(rng.random() < 0.4), float(np.round(rng.random(), 2))) for i in range(80) for m in ("a", "b")]
+    df = many_partitions.createDataFrame(rows, "model string, row_id long, y int, p double")
+    cut = df.select("model").distinct().withColumn("threshold", F.lit(0.5))
+    got = {(r["model"], r["rep"]): r["value"] for r in bootstrap.replicate_metrics(df, cut, [], 10, 3, mode="multinomial").where("metric = 'Brier'").collect()}
+    weights = {r["row_id"]: list(r["_w"]) for r in bootstrap.with_multinomial_weights(df, ["row_id"], 0, 9, 3).collect()}
+    for m in ("a", "b"):
+        for j in range(10):
+            assert got[m, j] == pytest.approx(sum(weights[i][j] * (y - p) ** 2 for n, i, y, p in rows if n == m) / 80)

@@ -26,11 +26,11 @@ def test_every_cutoff_is_scored(spark, monkeypatch):
 def test_search_and_ablation_take_every_family(spark, monkeypatch):
     draws = {}
 
-    def search(prepared, folds, base, params, train=None):
-        draws[base.family] = len(params)
-        return base, spark.range(1)
+    def search(prepared, folds, bases, params, train=None):
+        draws.update({b.family: len(params[b.family]) for b in bases})
+        return spark.createDataFrame([(b.family,) for b in bases], "model string")
 
-    monkeypatch.setattr(scoring, "random_search", search)
+    monkeypatch.setattr(scoring, "search_plan", search)
     monkeypatch.setattr(scoring, "feature_ablation", lambda prepared, folds, recipe, train, test: spark.range(len(prepared)))
     assert [r["model"] for r in model_queries.random_search(spark, SF_DIR).collect()] == scoring.FAMILY_ORDER
     assert draws == {f: 7 if f == "logistic" else 12 for f in scoring.FAMILY_ORDER}

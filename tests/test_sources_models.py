@@ -112,7 +112,7 @@ def test_unseen_nominal_is_all_zero(spark, cases):
     assert v.size == 3 and v.numNonzeros() == 0
 
 
-@pytest.mark.parametrize("family,params", [("forest", {"numTrees": 5, "maxDepth": 3}), ("boost_leaf", {"maxIter": 4, "maxDepth": 2})])
+@pytest.mark.parametrize("family,params", [("forest", {"numTrees": 5, "maxDepth": 3}), ("boost_gain", {"rounds": 9, "depth": 2}), ("boost_leaf", {"rounds": 9, "depth": 2, "min_rows": 5}), ("boost_plain", {"rounds": 9, "depth": 2})])
 def test_tree_families_learn(spark, cases, family, params):
     from scorelab.operators.metrics import ranking_metrics
 
