@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from scorelab.functions.grids import Grid
 from scorelab.functions.numeric import clip, ratio
 from scorelab.operators.metrics import score_counts
-from scorelab.operators.ordering import CHUNK, in_chunks, numbered
+from scorelab.operators.ordering import CHUNK, in_chunks, join_on_value, numbered
 from scorelab.session import BROADCAST_ROWS, materialised
 
 EPS = 2.220446049250313e-16
@@ -286,6 +286,12 @@ def isotonic_blocks(scores: DataFrame, keys: Sequence[str], pooled: int = POOLED
             return blocks.select(*keys, "_lo", "_hi", (F.col("_wy") / F.col("_w")).alias("_v"))
 
 
+def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """A join in which missing keys meet each other."""
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in on})
+    return left.join(other, [left[k].eqNullSafe(other[f"_of_{k}"]) for k in on], how).drop(*[f"_of_{k}" for k in on])
+
+
 def isotonic_map(fit_scores: DataFrame, apply_scores: DataFrame, keys: Sequence[str] = (), name: str = "p") -> DataFrame:
     """Fit a monotone map per key on ``fit_scores`` and apply it, linear between blocks and clipped outside.
 
@@ -298,27 +304,29 @@ def isotonic_map(fit_scores: DataFrame, apply_scores: DataFrame, keys: Sequence[
         return isotonic_map(*one, ["_all"], name).drop("_all")
     none = F.lit(None).cast("double")
     marks = isotonic_blocks(fit_scores, keys).select(*keys, F.col("_lo").alias("_at"), F.lit(0).alias("_kind"), "_lo", "_hi", "_v")
-    asked = apply_scores.select(*keys, F.col(name).cast("double").alias("_at")).distinct().select(
-        *keys, "_at", F.lit(1).alias("_kind"), none.alias("_lo"), none.alias("_hi"), none.alias("_v")
+    rows = apply_scores.withColumn(name, F.col(name).cast("double"))
+    asked = rows.groupBy(*keys, F.col(name).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_at", F.lit(1).alias("_kind"), none.alias("_lo"), none.alias("_hi"), none.alias("_v"), "_n"
     )
-    both = in_chunks(marks.unionByName(asked), keys, ["_at", "_kind"])
+    both = in_chunks(marks.withColumn("_n", F.lit(0).cast("long")).unionByName(asked), keys, ["_at", "_kind"])
     block = F.when(F.col("_kind") == 0, F.struct("_lo", "_hi", "_v"))
     inside = Window.partitionBy(*keys, CHUNK).orderBy("_at", "_kind")
     ends = both.where(F.col("_kind") == 0).groupBy(*keys, CHUNK).agg(F.min(block).alias("_first"), F.max(block).alias("_last"))
-    chunks = both.select(*keys, CHUNK).distinct().join(ends, [*keys, CHUNK], "left")
+    chunks = _null_safe(both.select(*keys, CHUNK).distinct(), ends, [*keys, CHUNK], "left")
     order = Window.partitionBy(*keys).orderBy(CHUNK)
     carried = chunks.select(
         *keys, CHUNK,
         F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_back"),
         F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"),
     )
-    met = both.hint("merge").join(carried, [*keys, CHUNK]).withColumns({
+    met = _null_safe(both.hint("merge"), carried, [*keys, CHUNK], "inner").withColumns({
         "_low": F.coalesce(F.last(block, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_back")),
         "_high": F.coalesce(F.first(block, True).over(inside.rowsBetween(1, Window.unboundedFollowing)), F.col("_ahead")),
     }).where(F.col("_kind") == 1)
     x, low, high = F.col("_at"), F.col("_low"), F.col("_high")
     between = low["_v"] + (high["_v"] - low["_v"]) * ratio(x - low["_hi"], high["_lo"] - low["_hi"])
     value = F.when(low.isNull(), high["_v"]).when((x <= low["_hi"]) | high.isNull(), low["_v"]).otherwise(between)
-    mapped = met.select(*keys, F.col("_at").alias(name), value.alias("_mapped"))
+    # every score of the rows was asked for, null keys included; a score that very many rows share is broadcast to them
+    mapped = met.select(*keys, F.col("_at").alias(name), value.alias("_mapped"), "_n")
     keep = [c for c in apply_scores.columns if c != name]
-    return apply_scores.join(mapped, [*keys, name], "left").select(*keep, F.col("_mapped").alias(name))
+    return join_on_value(rows, mapped, [*keys, name], "_n").select(*keep, F.col("_mapped").alias(name))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scorelab.functions.numeric import clip, lerp, ratio
 from scorelab.operators.ordering import prefix_sums, quantiles_of_ranked, weighted_quantiles
-from scorelab.session import materialised
+from scorelab.session import checked_broadcast, materialised
 
 
 def value_counts(df: DataFrame, features: Sequence[str], fits: Mapping[str, Column]) -> DataFrame:
@@ -261,9 +261,10 @@ def encode(df: DataFrame, words: DataFrame, nominals: Sequence[str]) -> DataFram
         F.struct(*[F.max(F.when(F.col("feature") == c, F.col("n_levels"))).alias(c) for c in nominals])
     )
     for c in nominals:
-        part = words.where(F.col("feature") == c).select(
+        # a short vocabulary goes to the rows, so a level that very many rows share is no one's task
+        part = checked_broadcast(words.where(F.col("feature") == c).select(
             F.col("level").alias(f"_l_{c}"), F.col("code").alias(f"_c_{c}")
-        )
+        ))
         out = out.join(part, F.col(c).cast("string") == F.col(f"_l_{c}"), "left").drop(f"_l_{c}")
     out = out.withColumn("_sizes", sizes.scalar())
     codes = {

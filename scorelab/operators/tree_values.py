@@ -18,7 +18,7 @@ from math import factorial
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -87,10 +87,7 @@ def forest_leaves(model: RandomForestClassificationModel) -> list[Leaf]:
 
     The trees are read from the model's own files: one row per node, as many as the parameters allow.
     """
-    spark = model._sc._jvm.org.apache.spark.sql.SparkSession.active()
-    from pyspark.sql import SparkSession
-
-    session = SparkSession.getActiveSession() or SparkSession(model._sc, spark)
+    session = SparkSession.active()
     path = scratch_path(session, "forest")
     model.write().save(path)
     trees: dict[int, dict[int, Node]] = {}

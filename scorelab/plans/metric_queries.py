@@ -290,16 +290,29 @@ def isotonic_calibration(spark, d):
     return calibrate.isotonic_map(fit, held, ["model"]).select("run_id", "model", "row_id", "y", "p")
 
 
-@query("isotonic_invariants", with_sql(SQL_SCORES) + """SELECT model, true AS rises, true AS keeps_totals, true AS in_range
-FROM scores WHERE run_id = 'run_F' GROUP BY model""")
+@query("isotonic_invariants", with_sql(SQL_SCORES) + """SELECT run_id, model, true AS rises, true AS keeps_totals, true AS in_range
+FROM scores GROUP BY run_id, model""")
 def isotonic_invariants(spark, d):
     """What makes a map isotonic: it rises, keeps the label total of its own fit, and stays in [0, 1]."""
-    own = scores(spark, d).where(F.col("run_id") == "run_F")
-    blocks = calibrate.isotonic_blocks(own, ["model"])
-    step = F.lag("_v").over(Window.partitionBy("model").orderBy("_lo"))
-    rising = blocks.withColumn("_up", F.col("_v") > F.coalesce(step, F.lit(-1.0))).groupBy("model").agg(F.min("_up").alias("rises"))
-    mapped = calibrate.isotonic_map(own, own, ["model"])
-    totals = mapped.groupBy("model").agg(
+    own, keys = scores(spark, d), ["run_id", "model"]
+    blocks = calibrate.isotonic_blocks(own, keys)
+    step = F.lag("_v").over(Window.partitionBy(*keys).orderBy("_lo"))
+    rising = blocks.withColumn("_up", F.col("_v") > F.coalesce(step, F.lit(-1.0))).groupBy(*keys).agg(F.min("_up").alias("rises"))
+    mapped = calibrate.isotonic_map(own, own, keys)
+    totals = mapped.groupBy(*keys).agg(
         (F.abs(F.sum("p") - F.sum("y")) < 1e-6 * (1 + F.sum("y"))).alias("keeps_totals"), F.min((F.col("p") >= 0) & (F.col("p") <= 1)).alias("in_range")
     )
-    return rising.join(totals, "model")
+    return rising.join(totals, keys)
+
+
+@query("isotonic_values", with_sql(SQL_SCORES) + f""", c AS (SELECT run_id, model, floor(p * 100) / 100.0::DOUBLE AS raw, count(*) AS n, sum(y) AS ys FROM scores GROUP BY ALL),
+o AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(ys) OVER w AS cy FROM c WINDOW w AS (PARTITION BY run_id, model ORDER BY raw)),
+m AS (SELECT a.run_id, a.model, a.i AS a, b.i AS b, (b.cy - a.cy + a.ys)::DOUBLE / (b.cn - a.cn + a.n) AS v FROM o a JOIN o b ON a.run_id = b.run_id AND a.model = b.model AND a.i <= b.i),
+l AS (SELECT o.run_id, o.model, o.raw, m.a, min(v) AS v FROM o JOIN m ON o.run_id = m.run_id AND o.model = m.model AND m.a <= o.i AND m.b >= o.i GROUP BY ALL)
+SELECT run_id, model, {r('raw', 'raw')}, {r('max(v)', 'value')} FROM l GROUP BY run_id, model, raw""")
+def isotonic_values(spark, d):
+    """The fitted value of every score in steps of 0.01, for all rows; the SQL takes the largest of the least means."""
+    raw = F.floor(F.col("p") * 100) / F.lit(100.0)
+    own = scores(spark, d).withColumns({"p": raw, "raw": raw})
+    mapped = calibrate.isotonic_map(own, own, ["run_id", "model"])
+    return tidy(mapped.groupBy("run_id", "model", "raw").agg(F.max("p").alias("value")))

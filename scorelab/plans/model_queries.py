@@ -106,6 +106,20 @@ def random_search(spark, d):
     return scoring.search_plan(p, folds, [recipe(name) for name in scoring.FAMILY_ORDER], draws)
 
 
+@query("plan_sizes", with_sql(SQL_FEATURES) + """SELECT recipe, 'fold' || fold AS fold, count(*) AS n, sum(y)::BIGINT AS positives, true AS scored
+FROM feats, (VALUES ('logistic 1'), ('logistic 0.1'), ('boost'), ('weighted boost')) t(recipe) GROUP BY ALL""")
+def plan_sizes(spark, d):
+    """Several recipes in one plan: each scores every row once, in the fold that holds it out."""
+    folds = scoring.Folds.partition("fold", 5)
+    p = scoring.prepare(loan_features(spark, d), ROLES, folds)
+    small = {"rounds": 8, "depth": 3, "rate": 0.3}
+    recipes = {"logistic 1": recipe("logistic", maxIter=10), "logistic 0.1": recipe("logistic", C=0.1, maxIter=10),
+               "boost": recipe("boost_plain", **small), "weighted boost": recipe("boost_gain", "ClassWeight", **small)}
+    s = scoring.oof_plan(p, folds, recipes)
+    ok = F.min((F.col("p") > 0) & (F.col("p") < 1)).alias("scored")
+    return tidy(s.groupBy("recipe", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"), ok))
+
+
 @query("strategy_ablation")
 def strategy_ablation(spark, d):
     folds = scoring.Folds.partition("fold", 5)
