@@ -512,3 +512,77 @@ def test_grammar_reads_clauses():
     assert g.evidence("Idiots! Scum. Scumbag, nonidiot")[1] == 2
     assert g.evidence("I will kill you.")[0] > 0 == g.evidence("They kill time.")[0] == g.evidence("")[0]
     assert g.evidence(None) == (0.0, 0)
+
+
+def plain_evidence(text, lexicon):
+    """The grammar read clause by clause with rules in place of transducers."""
+    total, matched = 0.0, 0
+    kinds = {w: s for s, words in (("T", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS), ("M", toxicity.INTENTS), ("H", toxicity.THREATS)) for w in words}
+    for clause in re.split(r"[.!?;:\n|]", (text or "").lower()):
+        marks, weight = [], 0.0
+        for word in re.findall(r"[^\W\d_]+", clause):
+            stems = [lexicon[word[:n]] for n in range(3, min(len(word), 10) + 1) if lexicon.get(word[:n])]
+            own = max([*stems[-1:], lexicon.get(word + "$", 0.0)])
+            weight += own
+            marks.append("I" if own else kinds.get(word, "o"))
+        read = list(marks)
+        for j, mark in enumerate(marks):
+            if mark not in "IH":
+                continue
+            for back in (1, 2, 3):  # a negation governs what follows with at most two words between
+                before = marks[j - back] if j >= back else "I"
+                if before in "IH":
+                    break
+                if before == "N":
+                    read[j], weight = ("i", weight - 4.0) if mark == "I" else ("o", weight)
+                    break
+        for j, mark in enumerate(read):
+            if "R" in read[:j] and mark in "IH":
+                read[j], weight = ("q", weight - 2.0) if mark == "I" else ("o", weight)
+        said = [m for m in read if m in "iq"]
+        last, intent, threat = "", False, False  # the last of target and insult, what is open since
+        for mark in read:
+            if mark == "I":
+                if threat:
+                    said, weight, last = [*said, "threat"], weight + 2.5, "I"
+                elif intent or last == "T":
+                    said, weight, last = [*said, "direct"], weight + 1.0, "I"
+                else:
+                    said, last = [*said, "insult"], "I"
+                intent = threat = False
+            elif mark == "T":
+                if threat:
+                    said, weight, last = [*said, "threat"], weight + 1.5, "T"
+                    threat = False
+                elif not intent:
+                    if last == "I":
+                        said, weight = [*said, "direct"], weight + 1.0
+                    last = "T"
+            elif mark == "M" and not threat:
+                intent, last = True, ""
+            elif mark == "H" and not threat:
+                if intent:
+                    weight, intent, threat = weight + 0.5, False, True
+                elif last == "I":
+                    said, weight = [*said, "threat"], weight + 2.5
+                else:
+                    threat, last = True, ""
+        if said:
+            total, matched = total + max(0.0, weight), matched + 1
+    return total, matched
+
+
+def test_grammar_equals_a_plain_reading():
+    rng = random.Random(17)
+    lexicon = {"idiot": 4.0, "scum$": 3.5, "zorb": 2.5, "zorblimu": 5.0, "ärg": 2.0, "scumm": 1.0}
+    g = toxicity.Grammar(lexicon)
+    words = ["idiot", "Idiots", "scum", "scummy", "zorbl", "zorblimus", "ärger", "nonidiot", "the", "a", "you", "they", "not", "never", "said", "claimed", "will", "must", "kill", "kills",
+             "töten", "he", "1idiot", "id_iot", "Ⅷidiot", "über", "SCUM", "日本", "'idiot'", "-zorb-", "İdiot"]
+    for _ in range(3000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", ". ", "!", "\n", ":", "|", "  "]) for _ in range(rng.randint(0, 14)))
+        got, want = g.evidence(text), plain_evidence(text, lexicon)
+        assert got[1] == want[1] and got[0] == pytest.approx(want[0]), text
+        features = g.features(text)
+        assert features == pytest.approx([math.log1p(want[0]), math.log1p(100 * want[0] / (text.count(" ") + 51)), math.log1p(want[1])])
+    assert g.evidence("you are an idiot and " * 300) == pytest.approx(plain_evidence("you are an idiot and " * 300, lexicon))
+    assert g.evidence("you are an idiot and " * 50_000)[1] == 1
