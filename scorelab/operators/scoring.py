@@ -23,7 +23,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelab.operators import boosting, calibrate, metrics, prep, resample, splits, summary, thresholds
@@ -98,8 +98,9 @@ def side_by_side(jobs: Sequence[Callable], at_once: int = AT_ONCE) -> list:
     """Results of jobs that run at the same time, ``at_once`` of them; the first error goes on to the caller."""
     if len(jobs) < 2 or at_once < 2:
         return [job() for job in jobs]
+    inherits = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(min(at_once, len(jobs))) as pool:
-        return list(pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs]))
+        return list(pool.map(lambda job: job(), [inherits(job) for job in jobs]))
 
 
 @dataclass(frozen=True)

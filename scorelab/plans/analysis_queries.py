@@ -281,10 +281,26 @@ def describe_columns(spark, d):
     return tidy(explain.describe(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), digits=5)
 
 
-@query("sampled_shapley")
+SHAP_BASE = {"total": 2e5, "balance": 4e3, "months": 1e3, "fold": 2.0}
+
+
+def _hybrid_sql(places):
+    """The score with the row's value of every feature that ``places`` lets in, else the baseline's."""
+    return _eta_sql(*[f"CASE WHEN {places.format(f=f)} THEN {f} ELSE {v!r}::DOUBLE END" for f, v in SHAP_BASE.items()])
+
+
+SQL_SHAP = with_sql(SQL_FID) + ", dr AS (SELECT row_id, perm, feature, " + _u("42", "row_id", "perm", "feature") + """ AS u
+  FROM ff, range(10) g(perm), (VALUES ('total'), ('balance'), ('months'), ('fold')) t(feature)),
+od AS (SELECT row_id, perm, feature, row_number() OVER (PARTITION BY row_id, perm ORDER BY u, feature) AS at FROM dr),
+pl AS (SELECT row_id, perm, """ + ", ".join(f"max(at) FILTER (feature = '{f}') AS at_{f}" for f in FID) + f""" FROM od GROUP BY ALL),
+gn AS (SELECT od.row_id, od.feature, {_hybrid_sql('at_{f} <= at')} - {_hybrid_sql('at_{f} < at')} AS gain FROM od JOIN pl USING (row_id, perm) JOIN ff USING (row_id))
+"""
+
+
+@query("sampled_shapley", SQL_SHAP + f"SELECT row_id, feature, {r('avg(gain)', 'value', 7)} FROM gn GROUP BY ALL")
 def sampled_shapley(spark, d):
     f, _ = _fid_inputs(spark, d)
-    return explain.shapley_samples(f.select("row_id", *FID), {"total": 2e5, "balance": 4e3, "months": 1e3, "fold": 2.0}, fid_score)
+    return tidy(explain.shapley_samples(f.select("row_id", *FID), SHAP_BASE, fid_score, method="md5"), value=7)
 
 
 @query("shapley_sums_to_score", with_sql(SQL_FID) + f"""SELECT row_id, {r(f"full_p - {_eta_sql('200000.0::DOUBLE', '4000.0::DOUBLE', '1000.0::DOUBLE', '2.0::DOUBLE')}", 'value')} FROM fp""")
@@ -292,12 +308,41 @@ def shapley_sums_to_score(spark, d):
     return tidy(sampled_shapley(spark, d).groupBy("row_id").agg(F.sum("value").alias("value")))
 
 
-@query("local_surrogate")
+LOCAL_MEANS = {"total": 2.5e5, "balance": 4e3, "months": 1e3, "fold": 2.0}
+LOCAL_STDS = {"total": 1.4e5, "balance": 3e3, "months": 6e2, "fold": 1.4}
+
+
+def _solved_sql():
+    """Weighted ridge per row: the normal equations, then Gauss-Jordan steps on a 5 x 6 table of columns."""
+    terms = ["1.0::DOUBLE", *[f"b_{f}" for f in FID]]
+    sums = [f"sum(w * {x} * {y}) + {0.0 if i != j or not i else 1.0}::DOUBLE AS m_{i}_{j}" for i, x in enumerate(terms) for j, y in enumerate(terms)]
+    sums += [f"sum(w * {x} * p) AS m_{i}_5" for i, x in enumerate(terms)]
+    out, last = [f"n0 AS (SELECT row_id, sum(w * p * p) AS yy, sum(w) AS ww, {', '.join(sums)} FROM sw GROUP BY row_id)"], "n0"
+    for step in range(5):
+        cells = [
+            (f"m_{step}_{j} / m_{step}_{step}" if i == step else f"m_{i}_{j} - m_{i}_{step} * m_{step}_{j} / m_{step}_{step}") + f" AS m_{i}_{j}"
+            for i in range(5) for j in range(6)
+        ]
+        out.append(f"n{step + 1} AS (SELECT row_id, {', '.join(cells)} FROM {last})")
+        last = f"n{step + 1}"
+    return ",\n".join(out)
+
+
+SQL_LOCAL = with_sql(SQL_FID) + ", sm AS (SELECT ff.*, m, " + ", ".join(
+    f"CASE WHEN m = 0 OR {_u('42', 'row_id', 'm', chr(39) + f + chr(39))} < 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS b_{f}, "
+    f"{LOCAL_MEANS[f]!r}::DOUBLE + {LOCAL_STDS[f]!r}::DOUBLE * sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_u('42na', 'row_id', 'm', chr(39) + f + chr(39))})) * cos(2.0::DOUBLE * pi() * {_u('42nb', 'row_id', 'm', chr(39) + f + chr(39))}) AS d_{f}"
+    for f in FID) + f""" FROM ff, range(200) g(m)),
+sw AS (SELECT row_id, {', '.join(f'b_{f}' for f in FID)}, {_eta_sql(*[f'CASE WHEN b_{f} = 1 THEN {f} ELSE d_{f} END' for f in FID])} AS p,
+  exp(-(4.0::DOUBLE - {' - '.join(f'b_{f}' for f in FID)}) / (1.5::DOUBLE * 1.5::DOUBLE)) AS w FROM sm),
+{_solved_sql()}
+"""
+
+
+@query("local_surrogate", SQL_LOCAL + " UNION ALL ".join(f"SELECT row_id, '{f}' AS feature, {r(f'm_{i}_5', 'value', 6)} FROM n5" for i, f in enumerate(FID, 1)))
 def local_surrogate(spark, d):
     f, _ = _fid_inputs(spark, d)
-    means = {"total": 2.5e5, "balance": 4e3, "months": 1e3, "fold": 2.0}
-    stds = {"total": 1.4e5, "balance": 3e3, "months": 6e2, "fold": 1.4}
-    return explain.local_surrogate(f.select("row_id", *FID), means, stds, fid_score)
+    found = explain.local_surrogate(f.select("row_id", *FID), LOCAL_MEANS, LOCAL_STDS, fid_score, method="md5")
+    return tidy(found.select("row_id", "feature", "value"), value=6)
 
 
 # --- cross-run summaries ---------------------------------------------------------------
