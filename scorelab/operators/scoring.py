@@ -90,8 +90,8 @@ SEARCH_SPACES: dict[str, dict[str, list]] = {
 FAMILY_ORDER = list(FAMILY_DEFAULTS)
 #: What unusable data raise; anything else (a lost cluster, a bug) goes on to the caller.
 EXPECTED = (ValueError, AnalysisException, IllegalArgumentException)
-#: Jobs of a plan that are handed to Spark at once.
-AT_ONCE = 8
+#: Jobs of a plan that are handed to Spark at once, and training rows of a task at least.
+AT_ONCE, ROWS_A_TASK = 8, 16_384
 
 
 def side_by_side(jobs: Sequence[Callable], at_once: int = AT_ONCE) -> list:
@@ -250,7 +250,9 @@ def training_set(train: DataFrame, roles: Roles, strategy: str, seed: int) -> Tr
     slices = splits.early_stopping_slice(rows, 0.1, seed, row_id="id", method="xxhash64")
     rows = materialised(rows.join(slices.select("id", F.col("is_stop").alias("_stop")), "id"))
     found = rows.agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"), F.max("_stop").alias("stop")).first()
-    return TrainingSet(rows, (found["a"], found["b"]), bool(found["stop"]))
+    # a fit passes over its rows hundreds of times; tasks of a few rows would be all overhead
+    parts = -(-(found["a"] + found["b"]) // ROWS_A_TASK)
+    return TrainingSet(rows.coalesce(max(1, parts)), (found["a"], found["b"]), bool(found["stop"]))
 
 
 def shared_set(prepared: Prepared, part: str, condition: Column, recipe: Recipe) -> TrainingSet:
@@ -270,7 +272,7 @@ def _classifier(recipe: Recipe, n: float):
         # MLlib averages the loss over rows, so the penalty of a summed loss is divided by n
         made = LogisticRegression(elasticNetParam=0.0, regParam=1.0 / (c * n), standardization=False, **common, **s)
     elif recipe.family == "forest":
-        made = RandomForestClassifier(seed=recipe.seed, **common, **s)
+        made = RandomForestClassifier(seed=recipe.seed, maxMemoryInMB=1024, **common, **s)
     else:
         raise ValueError(f"unknown family {recipe.family!r}")
     return made.setProbabilityCol("_prob").setRawPredictionCol("_raw")

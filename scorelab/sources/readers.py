@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from scorelab.session import materialised, opened_store
 
-DIGESTS = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())])
+DIGESTS = pa.schema([("path", pa.string()), ("file", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
 # Column names of the whitespace-separated credit file, by position
 SOUTH_GERMAN_COLUMNS = [
@@ -116,29 +117,30 @@ def file_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+            for uri in batch.column("path").to_pylist():
                 try:
                     store, place = opened_store(uri)
                 except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
-                    yield pa.RecordBatch.from_pylist([{"path": uri, "bytes": length, "sha256": None}], DIGESTS)
+                    yield pa.RecordBatch.from_pylist([{"path": uri, "file": None, "bytes": None, "sha256": None}], DIGESTS)
                     continue
                 digest, size = hashlib.sha256(), 0
                 with store.open_input_stream(place, buffer_size=0) as stream:
                     while piece := stream.read(PIECE):
                         digest.update(piece)
                         size += len(piece)
-                yield pa.RecordBatch.from_pylist([{"path": uri, "bytes": size, "sha256": digest.hexdigest()}], DIGESTS)
-
-    listed = materialised(files.select("path", "length"))
-    spread = listed.repartition(max(1, min(listed.count(), 4 * spark.sparkContext.defaultParallelism)), "path")
-    found = materialised(spread.mapInArrow(digests, "path string, bytes long, sha256 string"))
-    name = F.element_at(F.split("path", "/"), -1).alias("file")
-    known = found.where(F.col("sha256").isNotNull()).select(name, "bytes", "sha256")
-    others = found.where(F.col("sha256").isNull()).select("path")
-    if not others.limit(1).count():
+                yield pa.RecordBatch.from_pylist([{"path": uri, "file": unquote(uri.rsplit("/", 1)[-1]), "bytes": size, "sha256": digest.hexdigest()}], DIGESTS)
+
+    names = files.inputFiles()  # with empty files, which a scan leaves out
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    spread = listed.repartition(max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism)), "path")
+    found = materialised(spread.mapInArrow(digests, "path string, file string, bytes long, sha256 string"))
+    known = found.where(F.col("sha256").isNotNull()).select("file", "bytes", "sha256")
+    others = [r["path"] for r in found.where(F.col("sha256").isNull()).select("path").collect()]
+    if not others:
         return known
-    whole = files.join(F.broadcast(others), "path", "left_semi")
-    return known.unionByName(whole.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+    whole = spark.read.format("binaryFile").load(others)
+    own = F.element_at(F.split("path", "/"), -1).alias("file")
+    return known.unionByName(whole.select(own, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
 
 
 def fingerprint(df: DataFrame, method: str = "xxhash64") -> DataFrame:

@@ -150,3 +150,38 @@ def test_rows_of_an_earlier_attempt_go(spark, tmp_path):
     sinks.write_run_table(df.limit(0), root, "m")
     sinks.complete_runs(spark, root, {"r=1": "s"})
     assert [r["run_id"] for r in sinks.read_complete(spark, root, "m").collect()] == ["r2"]
+
+
+def test_checksums_of_files_of_any_size(spark, tmp_path):
+    """A sparse file above the 2 GB that one binary value can hold, beside a small and an empty one."""
+    import hashlib
+
+    size = (2 << 30) + 12_345
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(size)
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    (tmp_path / "none.bin").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"left out")
+    zeros, whole, left = bytes(8 << 20), hashlib.sha256(), size
+    while left:
+        whole.update(zeros[: min(left, len(zeros))])
+        left -= min(left, len(zeros))
+    found = {r["file"]: (r["bytes"], r["sha256"]) for r in readers.file_checksums(spark, str(tmp_path), "*.bin").collect()}
+    assert found == {"big.bin": (size, whole.hexdigest()), "small.bin": (3, hashlib.sha256(b"abc").hexdigest()), "none.bin": (0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_run_record_names_the_engine(spark):
+    r = sinks.run_record(spark, {"b": "2", "a": "1"}, readers.fingerprint(spark.range(3))).first()
+    assert r["options"] == {"a": "1", "b": "2"} and r["spark_version"] == spark.version and r["n_rows"] == 3
+
+
+def test_scores_are_fitted_once(spark, cases, tmp_path):
+    folds = scoring.Folds.partition("fold", 3)
+    prepared, root = scoring.prepare(cases, ROLES, folds), str(tmp_path / "store")
+    recipes = {"x": scoring.Recipe("logistic", params={"maxIter": 5}), "y": scoring.Recipe("boost_plain", params={"rounds": 3, "depth": 2})}
+    first, fitted = scoring.oof_from_store(prepared, folds, recipes, root)
+    assert len(fitted) == 6 and first.count() == 2 * cases.count()
+    again, none = scoring.oof_from_store(prepared, folds, recipes, root)
+    assert none == [] and sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+    more = recipes | {"z": scoring.Recipe("logistic", "ClassWeight", params={"maxIter": 5})}
+    assert {k for k, _ in scoring.oof_from_store(prepared, folds, more, root)[1]} == {"z"}
