@@ -291,21 +291,25 @@ def _hybrid_sql(places):
 
 SQL_SHAP = with_sql(SQL_FID) + ", dr AS (SELECT row_id, perm, feature, " + _u("42", "row_id", "perm", "feature") + """ AS u
   FROM ff, range(10) g(perm), (VALUES ('total'), ('balance'), ('months'), ('fold')) t(feature)),
-od AS (SELECT row_id, perm, feature, row_number() OVER (PARTITION BY row_id, perm ORDER BY u, feature) AS at FROM dr),
-pl AS (SELECT row_id, perm, """ + ", ".join(f"max(at) FILTER (feature = '{f}') AS at_{f}" for f in FID) + f""" FROM od GROUP BY ALL),
-gn AS (SELECT od.row_id, od.feature, {_hybrid_sql('at_{f} <= at')} - {_hybrid_sql('at_{f} < at')} AS gain FROM od JOIN pl USING (row_id, perm) JOIN ff USING (row_id))
+od AS (SELECT row_id, perm, feature, row_number() OVER (PARTITION BY row_id, perm ORDER BY u, feature) AS place FROM dr),
+pl AS (SELECT row_id, perm, """ + ", ".join(f"max(place) FILTER (feature = '{f}') AS at_{f}" for f in FID) + f""" FROM od GROUP BY ALL),
+gn AS (SELECT od.row_id, od.feature, {_hybrid_sql('at_{f} <= place')} - {_hybrid_sql('at_{f} < place')} AS gain FROM od JOIN pl USING (row_id, perm) JOIN ff USING (row_id))
 """
 
 
 @query("sampled_shapley", SQL_SHAP + f"SELECT row_id, feature, {r('avg(gain)', 'value', 7)} FROM gn GROUP BY ALL")
 def sampled_shapley(spark, d):
+    return tidy(_sampled(spark, d), value=7)
+
+
+def _sampled(spark, d):
     f, _ = _fid_inputs(spark, d)
-    return tidy(explain.shapley_samples(f.select("row_id", *FID), SHAP_BASE, fid_score, method="md5"), value=7)
+    return explain.shapley_samples(f.select("row_id", *FID), SHAP_BASE, fid_score, method="md5")
 
 
 @query("shapley_sums_to_score", with_sql(SQL_FID) + f"""SELECT row_id, {r(f"full_p - {_eta_sql('200000.0::DOUBLE', '4000.0::DOUBLE', '1000.0::DOUBLE', '2.0::DOUBLE')}", 'value')} FROM fp""")
 def shapley_sums_to_score(spark, d):
-    return tidy(sampled_shapley(spark, d).groupBy("row_id").agg(F.sum("value").alias("value")))
+    return tidy(_sampled(spark, d).groupBy("row_id").agg(F.sum("value").alias("value")))
 
 
 LOCAL_MEANS = {"total": 2.5e5, "balance": 4e3, "months": 1e3, "fold": 2.0}
