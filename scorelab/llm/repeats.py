@@ -19,9 +19,7 @@ bucketed in two stages.
 
 Copies are collapsed before anything is shuffled: contexts that repeat inside a
 batch are known at once and send one row for their bucket, so a passage that a
-third of all documents hold sends a row per batch. What a bucket holds is
-counted per context first and then per bucket, as partial sums, so a bucket with very
-many contexts is no one's group. Buckets with more than
+third of all documents hold sends a row per batch. Buckets with more than
 ``HOT`` different contexts send their windows' 128-bit hashes to an aggregate
 instead of meeting in one task. Nothing is capped or dropped.
 
@@ -325,26 +323,29 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def runs_of_starts(named: DataFrame) -> DataFrame:
     """``rid, rid2, first, count, status, k`` of the runs of starts that repeat or may."""
-    context = Window.partitionBy("k", "context")
-    rows = stored(
+    bucket, context = Window.partitionBy("k"), Window.partitionBy("k", "context")
+    rows = (
         named.select("rid", "rid2", "text").mapInArrow(_initial, ROWS)
-        .withColumns({"same": F.sum("n").over(context), "place": F.row_number().over(context.orderBy("rid", "rid2", "at"))}),
-        "repeat-contexts",
+        .repartition("k")  # serves both windows
+        .withColumns({"same": F.sum("n").over(context), "place": F.row_number().over(context.orderBy("rid", "rid2", "at"))})
+        .withColumns({
+            "all": F.sum("n").over(bucket),
+            "alone": F.max(F.when((F.col("n") > 0) & (F.col("same") == 1), 1).otherwise(0)).over(bucket),
+            "kinds": F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(bucket),
+        })
     )
-    alone = F.max(F.when(F.col("same") == 1, 1).otherwise(0))
-    buckets = rows.where("n > 0").groupBy("k").agg(
-        F.sum("n").alias("all"), alone.alias("alone"), F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).alias("kinds")
-    )
-    shared = rows.where("n > 0").join(buckets.where("all > 1"), "k")
-    judged = F.col("same") == 1
-    sent = judged | ((F.col("alone") == 1) & (F.col("place") == 1))
+    judged = (F.col("same") == 1) & (F.col("all") > 1)
+    sent = judged | ((F.col("alone") == 1) & (F.col("all") > 1) & (F.col("place") == 1))
     status = (
         F.when(F.col("same") > 1, WHOLE).otherwise(0) + F.when(sent, SENT).otherwise(0) + F.when(judged, JUDGED).otherwise(0)
         + F.when(F.col("kinds") > HOT, CROWDED).otherwise(0)
     )
-    first, count = F.shiftright("at", 16).alias("first"), F.expr("(shiftright(at, 8) & 255) - (at & 255) + 1").alias("count")
-    found = shared.select("rid", "rid2", first, count, status.alias("status"), "k")
-    return found.union(rows.where("n = 0").select("rid", "rid2", first, F.col("context"), F.lit(WHOLE), "k"))
+    known = F.col("n") == 0
+    return rows.where(known | (F.col("all") > 1)).select(
+        "rid", "rid2", F.shiftright("at", 16).alias("first"),
+        F.when(known, F.col("context")).otherwise(F.expr("(shiftright(at, 8) & 255) - (at & 255) + 1")).alias("count"),
+        F.when(known, WHOLE).otherwise(status).alias("status"), "k",
+    )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
