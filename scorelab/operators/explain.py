@@ -34,6 +34,12 @@ def linear_attributions(df: DataFrame, coefficients: Mapping[str, float], row_id
     return wide.unpivot([row_id], names, "feature", "value")
 
 
+def _spread(df: DataFrame, row_id: str) -> DataFrame:
+    """Rows dealt by their id before each becomes very many: no task makes most of them, and a row's sums need no exchange."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), row_id)
+
+
 def shapley_samples(
     df: DataFrame,
     baseline: Mapping[str, float],
@@ -47,7 +53,7 @@ def shapley_samples(
 
     Each (row, permutation) becomes features + 1 hybrid rows that move from the
     baseline to the row one feature at a time. All hybrids are scored in bulk and
-    differenced. The attributions of a row sum to score(row) - score(baseline).
+    differenced where they are made. The attributions of a row sum to score(row) - score(baseline).
     """
     names = list(baseline)
     order = F.array_sort(
@@ -55,7 +61,7 @@ def shapley_samples(
             *[F.struct(uniform(seed, row_id, "_perm", F.lit(f), method=method).alias("u"), F.lit(f).alias("f")) for f in names]
         )
     )
-    perms = df.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn(
+    perms = _spread(df, row_id).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn(
         "_order", F.transform(order, lambda x: x["f"])
     )
     steps = perms.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
@@ -67,13 +73,14 @@ def shapley_samples(
             for f in names
         }
     )
-    scored = score(hybrid).select(row_id, "_perm", "_step", "_order", "p")
-    # features + 1 rows per window
-    before = F.lag("p").over(Window.partitionBy(row_id, "_perm").orderBy("_step"))
-    gains = scored.withColumn("_gain", F.col("p") - before).where(F.col("_step") > 0)
-    return gains.groupBy(row_id, F.element_at("_order", F.col("_step")).alias("feature")).agg(
-        F.avg("_gain").alias("value")
+    # a hybrid's score ends the step of one feature and begins the next one's: a permutation's scores meet by feature
+    ended, begun = F.get("_order", F.col("_step") - 1), F.get("_order", F.col("_step"))
+    ends = [F.max(F.when(at == f, F.col("p"))).alias(f"{end}{f}") for f in names for end, at in (("_a_", ended), ("_b_", begun))]
+    sums = score(hybrid).groupBy(row_id, "_perm").agg(*ends).groupBy(row_id).agg(
+        *[F.avg(F.col(f"_a_{f}") - F.col(f"_b_{f}")).alias(f"_v_{f}") for f in names]
     )
+    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_v_{f}").alias("value")) for f in names])
+    return sums.select(row_id, F.explode(entries).alias("_e")).select(row_id, "_e.feature", "_e.value")
 
 
 #: Samples that a task draws at once.
@@ -155,9 +162,7 @@ def local_surrogate(
     names = list(means)
     k = len(names)
     width = 0.75 * float(np.sqrt(k))
-    # a few rows become very many samples: spread before, and a row's sums need no further exchange
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    spread = df.repartition(parts, row_id)
+    spread = _spread(df, row_id)
     if method == "md5":
         sampled = _md5_samples(spread, means, stds, samples, seed, row_id)
     else:

@@ -39,3 +39,17 @@ def test_samples_of_few_rows_are_spread(spark, method):
 
     out = explain.local_surrogate(df, {"a": 0.0}, {"a": 1.0}, score, samples=50, method=method)
     assert out.count() == 40 and seen[0] > 1
+
+
+def test_hybrids_never_travel(spark):
+    df = spark.createDataFrame([(i, float(i), 1.0) for i in range(20)], "row_id long, a double, b double")
+    out = explain.shapley_samples(df, {"a": 1.0, "b": 0.0}, lambda d: d.withColumn("p", F.col("a") * F.col("b")), permutations=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan  # the rows, before they become hybrids
+
+
+def test_undefined_scores_leave_out_their_permutations_only(spark):
+    df = spark.createDataFrame([(1, 2.0, None), (2, 2.0, 3.0)], "row_id long, a double, b double")
+    out = explain.shapley_samples(df, {"a": 0.0, "b": 0.0}, lambda d: d.withColumn("p", F.col("a") + F.col("b")), permutations=8)
+    got = {(r["row_id"], r["feature"]): r["value"] for r in out.collect()}
+    assert got == {(1, "a"): 2.0, (1, "b"): None, (2, "a"): 2.0, (2, "b"): 3.0}
