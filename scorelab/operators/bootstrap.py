@@ -116,17 +116,29 @@ def _segments(frame: pd.DataFrame, by: Sequence[str]) -> Iterator[pd.DataFrame]:
             yield frame.iloc[at : min(at + BLOCK, b)]
 
 
+#: Keys whose totals a task holds before it hands them on.
+HELD = 256
+
+
 def _chunk_totals(draw: Callable, by: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame([[*k, v[0], v[1]] for k, v in held.items()], columns=[*by, "pos", "neg"])
+            held.clear()
+            return made
+
         for frame in frames:
-            held: dict[tuple, list] = {}
-            for part in _segments(frame, by):
+            for part in _segments(frame.sort_values(by, kind="stable"), by):
                 w, y = draw(part), part["y"].to_numpy(float)
                 pos, every = y @ w, w.sum(axis=0)
                 at = held.setdefault(tuple(part.iloc[0][by]), [0.0, 0.0])
                 at[0], at[1] = at[0] + pos, at[1] + every - pos
-            if held:
-                yield pd.DataFrame([[*k, v[0], v[1]] for k, v in held.items()], columns=[*by, "pos", "neg"])
+                if len(held) == HELD:
+                    yield out()
+        if held:
+            yield out()
 
     return run
 
@@ -177,11 +189,12 @@ def _chunk_sums(draw: Callable, by: list[str]):
         now: _Sweep | None = None
         for frame in frames:
             for part in _segments(frame, by):
-                if now is not None and now.key != tuple(part.iloc[0][by]):
-                    yield pd.DataFrame([now.row()], columns=names)
-                    now = None
-                now = now or _Sweep(part.iloc[0], by)
-                now.add(part, draw(part))
+                if part["_row"].iloc[0] == 0:  # the head of the next chunk
+                    if now is not None:
+                        yield pd.DataFrame([now.row()], columns=names)
+                    now, part = _Sweep(part.iloc[0], by), part.iloc[1:]
+                if len(part):
+                    now.add(part, draw(part))
         if now is not None:
             yield pd.DataFrame([now.row()], columns=names)
 
@@ -194,15 +207,21 @@ def _per_replicate(rows: DataFrame, by: Sequence[str], names: Sequence[str]) ->
     return each.groupBy(*by, "_i").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _swept(rows: DataFrame, thresholds: DataFrame, keys: Sequence[str], first: int, draw: Callable, weights: list[str]) -> DataFrame:
-    """Metrics per key, model and replicate; ``draw`` gives a block's weights (rows x replicates) from its ``weights`` columns."""
+def _swept(
+    rows: DataFrame, thresholds: DataFrame, keys: Sequence[str], first: int, draw: Callable, weights: list[str], weighed: Callable = lambda chunks: chunks
+) -> DataFrame:
+    """Metrics per key, model and replicate; ``draw`` gives a block's weights (rows x replicates) from its ``weights`` columns.
+
+    ``weighed`` adds these columns to rows that know their chunk, so wide ones move once, to the sweep.
+    """
     group = [*keys, "model"]
     by = [*group, CHUNK]
     on = [k for k in group if k in thresholds.columns]
     cuts = checked_broadcast(thresholds.select(*on, "threshold"))
-    slim = rows.select(*group, *weights, "y", usable_score(F.col("p").cast("double")).alias("p"))
+    slim = rows.withColumn("p", usable_score(F.col("p").cast("double"))).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in group]))
     slim = slim.join(cuts, on) if on else slim.withColumn("threshold", cuts.select("threshold").scalar())
-    chunks = in_chunks(slim, group, ["p"])  # equal scores share a chunk
+    # equal scores share a chunk
+    chunks = weighed(in_chunks(slim, group, ["p"])).select(*by, *weights, "y", "p", "threshold")
     kept = ", ".join(f"`{k}` {t}" for k, t in chunks.select(*by).dtypes)
     totals = chunks.select(*by, *weights, "y").mapInPandas(_chunk_totals(draw, by), f"{kept}, pos array<double>, neg array<double>")
     per_chunk = materialised(_per_replicate(totals, by, ["pos", "neg"]))
@@ -213,8 +232,10 @@ def _swept(rows: DataFrame, thresholds: DataFrame, keys: Sequence[str], first: i
     placed = per_chunk.withColumns({**sums_before, "_P": F.sum("pos").over(whole), "_N": F.sum("neg").over(whole)})
     four = ["_pos", "_neg", "_P", "_N"]
     lists = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", *four))).alias("_l"))
-    offsets = lists.select(*by, *[F.col("_l")[n].alias(n) for n in four])
-    ordered = chunks.join(offsets, by).repartition(*by).sortWithinPartitions(*by, "p")
+    # a chunk's arrays stand in one row at its head, not beside each of its rows
+    heads = lists.select(*by, F.lit(0).alias("_row"), *[F.col("_l")[n].alias(n) for n in four])
+    both = chunks.withColumn("_row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    ordered = both.repartition(*by).sortWithinPartitions(*by, "_row", "p")
     names = ["won", "precision", "square", "tp", "fp"]
     sums = ordered.mapInPandas(_chunk_sums(draw, by), kept + "".join(f", {c} array<double>" for c in names))
     ends = per_chunk.groupBy(*group, "_i").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -241,15 +262,58 @@ def _poisson(scores, thresholds, keys, first, last, seed) -> DataFrame:
     return _swept(rows, thresholds, keys, first, draw, ["_k0", "_k1"])
 
 
+def _packed(w: np.ndarray) -> list[bytes]:
+    """Two weights a byte; rows with one above 15 keep a byte a weight."""
+    even = np.pad(w, ((0, 0), (0, w.shape[1] % 2)))
+    small = even[:, ::2] | even[:, 1::2] << 4
+    return [s.tobytes() if most < 16 else row.tobytes() for s, row, most in zip(small, w, w.max(axis=1))]
+
+
+def _unpacked(rows: Sequence[bytes], reps: int) -> np.ndarray:
+    out = np.empty((len(rows), reps), np.uint8)
+    for i, row in enumerate(rows):
+        w = np.frombuffer(row, np.uint8)
+        if len(w) == reps and reps > 1:
+            out[i] = w
+        else:
+            out[i, ::2], out[i, 1::2] = (w & 15), (w >> 4)[: reps // 2]
+    return out
+
+
 def _multinomial(scores, thresholds, keys, first, last, seed) -> DataFrame:
-    row_key = [*keys, "row_id"]
-    weights = materialised(with_multinomial_weights(scores, row_key, first, last, seed))
-    rows = scores.join(weights, row_key)
+    row_key, reps = [*keys, "row_id"], last - first + 1
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            w = np.frombuffer(b"".join(frame["_w"]), np.uint8).reshape(len(frame), reps)
+            yield frame.assign(_w=_packed(w))
+
+    drawn = with_multinomial_weights(scores, row_key, first, last, seed)
+    weights = materialised(drawn.mapInPandas(pack, drawn.schema)) if reps > 1 else materialised(drawn)
 
     def draw(part: pd.DataFrame) -> np.ndarray:
-        return np.frombuffer(b"".join(part["_w"]), np.uint8).reshape(len(part), -1).astype(np.float64)
+        rows = part["_w"].tolist()
+        w = _unpacked(rows, reps) if reps > 1 else np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), 1)
+        return w.astype(np.float64)
 
-    return _swept(rows, thresholds, keys, first, draw, ["_w"])
+    return _swept(scores, thresholds, keys, first, draw, ["_w"], lambda chunks: chunks.join(weights, row_key))
+
+
+def draw_totals(weights: DataFrame) -> DataFrame:
+    """Draws per replicate over all rows of ``with_multinomial_weights``: rep, draws, rows_in_all (rows that carry a weight for it)."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = None, 0
+        for frame in frames:
+            for at in range(0, len(frame), BLOCK):
+                rows = frame["_w"].iloc[at : at + BLOCK].tolist()
+                part = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1).sum(axis=0, dtype=np.int64)
+                total, n = part if total is None else total + part, n + len(rows)
+        if n:
+            yield pd.DataFrame({"draws": [total], "rows_in_all": [np.full(len(total), n)]})
+
+    sums = weights.select("_w").mapInPandas(add, "draws array<long>, rows_in_all array<long>")
+    return _per_replicate(sums, [], ["draws", "rows_in_all"]).withColumnRenamed("_i", "rep")
 
 
 def replicate_metrics(
