@@ -301,9 +301,7 @@ def bootstrap_differences(spark, d):
 def bootstrap_exact_draws(spark, d):
     """Every replicate draws exactly as many rows as there are; each row keeps one weight per replicate."""
     w = bootstrap.with_multinomial_weights(doc_scores(spark, d), ["row_id"], 0, REPS - 1, 42)
-    places = F.sequence(F.lit(1), F.length("_w"))
-    each = w.select(F.posexplode(F.transform(places, lambda i: F.conv(F.hex(F.substring(F.col("_w"), i, F.lit(1))), 16, 10).cast("long"))).alias("rep", "w"))
-    return tidy(each.groupBy("rep").agg(F.sum("w").alias("draws"), F.count(F.lit(1)).alias("rows_in_all")))
+    return tidy(bootstrap.draw_totals(w))
 
 
 @query("bootstrap_multinomial")
