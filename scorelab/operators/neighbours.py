@@ -84,8 +84,8 @@ def closest(x: np.ndarray, y: np.ndarray, need: int) -> tuple[np.ndarray, np.nda
     return row[kept], place[kept], np.sqrt(square[kept])
 
 
-#: Bytes of vectors in one block of the join.
-BLOCK_BYTES = 8_000_000
+#: Bytes of vectors in one block of the join, and queries that a task routes at a time.
+BLOCK_BYTES, ROUTED = 8_000_000, 128
 
 
 def _nearest(
@@ -147,19 +147,18 @@ def _nearest(
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slack = 1e-9
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["vec"].to_numpy()).astype(float)
-            dist = np.stack([np.sqrt(((x - centres[c]) ** 2).sum(axis=1)) for c in used], axis=1)
-            reach = (dist[:, :, None] + known[None, :, :]).reshape(len(x), -1)
-            position = min(need, reach.shape[1]) - 1
-            bound = np.partition(reach, position, axis=1)[:, position]
-            bound = bound + slack * (1.0 + np.abs(np.where(np.isfinite(bound), bound, 0.0)))
-            visit = (dist - high[None, :] <= bound[:, None]) & (low[None, :] - dist <= bound[:, None])
-            row, col = np.nonzero(visit)
-            yield pd.DataFrame(
-                {"query_id": column(pdf["id"].to_numpy()[row]), "qvec": column(pdf["vec"].to_numpy()[row]), "cell": used[col].astype("int32")}
-            )
+            # a query leaves as one row per cell, with its vector: a few queries at a time bound what a task holds
+            for at in range(0, len(pdf), ROUTED):
+                ids, vecs = (pdf[c].iloc[at : at + ROUTED].to_numpy() for c in ("id", "vec"))
+                x = np.stack(vecs).astype(float)
+                dist = np.stack([np.sqrt(((x - centres[c]) ** 2).sum(axis=1)) for c in used], axis=1)
+                reach = (dist[:, :, None] + known[None, :, :]).reshape(len(x), -1)
+                position = min(need, reach.shape[1]) - 1
+                bound = np.partition(reach, position, axis=1)[:, position]
+                bound = bound + slack * (1.0 + np.abs(np.where(np.isfinite(bound), bound, 0.0)))
+                visit = (dist - high[None, :] <= bound[:, None]) & (low[None, :] - dist <= bound[:, None])
+                row, col = np.nonzero(visit)
+                yield pd.DataFrame({"query_id": column(ids[row]), "qvec": column(vecs[row]), "cell": used[col].astype("int32")})
 
     query_type = queries.schema["id"].dataType
     route_schema = T.StructType(
