@@ -311,17 +311,19 @@ def isotonic_map(fit_scores: DataFrame, apply_scores: DataFrame, keys: Sequence[
     both = in_chunks(marks.withColumn("_n", F.lit(0).cast("long")).unionByName(asked), keys, ["_at", "_kind"])
     block = F.when(F.col("_kind") == 0, F.struct("_lo", "_hi", "_v"))
     inside = Window.partitionBy(*keys, CHUNK).orderBy("_at", "_kind")
+    # what follows is looked up backwards: a frame to the end of its partition is walked again for every row
+    behind = Window.partitionBy(*keys, CHUNK).orderBy(F.desc("_at"), F.desc("_kind"))
     ends = both.where(F.col("_kind") == 0).groupBy(*keys, CHUNK).agg(F.min(block).alias("_first"), F.max(block).alias("_last"))
     chunks = _null_safe(both.select(*keys, CHUNK).distinct(), ends, [*keys, CHUNK], "left")
-    order = Window.partitionBy(*keys).orderBy(CHUNK)
+    before = Window.unboundedPreceding, -1
     carried = chunks.select(
         *keys, CHUNK,
-        F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_back"),
-        F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"),
+        F.last("_last", True).over(Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*before)).alias("_back"),
+        F.last("_first", True).over(Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(*before)).alias("_ahead"),
     )
     met = _null_safe(both.hint("merge"), carried, [*keys, CHUNK], "inner").withColumns({
         "_low": F.coalesce(F.last(block, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_back")),
-        "_high": F.coalesce(F.first(block, True).over(inside.rowsBetween(1, Window.unboundedFollowing)), F.col("_ahead")),
+        "_high": F.coalesce(F.last(block, True).over(behind.rowsBetween(Window.unboundedPreceding, -1)), F.col("_ahead")),
     }).where(F.col("_kind") == 1)
     x, low, high = F.col("_at"), F.col("_low"), F.col("_high")
     between = low["_v"] + (high["_v"] - low["_v"]) * ratio(x - low["_hi"], high["_lo"] - low["_hi"])
