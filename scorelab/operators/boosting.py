@@ -86,8 +86,9 @@ class Tree:
     gain: np.ndarray
     cover: np.ndarray
 
-    def nodes(self, bins: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(bins), np.int32)
+    def nodes(self, bins: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of every row; ``known`` are the rows' nodes in an earlier stage of this tree."""
+        at = np.zeros(len(bins), np.int32) if known is None else known.copy()
         open_ = np.flatnonzero(self.feature[at] >= 0)
         while len(open_):
             now = at[open_]
@@ -277,13 +278,13 @@ class Growth:
 # --- the jobs ------------------------------------------------------------------
 
 
-def _node_sums(block: dict, margin: np.ndarray, plan: dict, width: int) -> np.ndarray:
+def _node_sums(block: dict, margin: np.ndarray, plan: dict, width: int, nodes: np.ndarray | None = None) -> np.ndarray:
     """Sums of one block for one fit: wanted nodes x bins x (gradient, Hessian, rows)."""
     use = ~block["stop"]
     if plan["rows"] < 1.0:
         at = plan["draw"]
         use &= counter_block(block["k0"], block["k1"], at, at)[:, 0] < np.uint32(plan["rows"] * 2.0**32)
-    nodes = plan["tree"].nodes(block["bins"])
+    nodes = plan["tree"].nodes(block["bins"]) if nodes is None else nodes
     slot = np.full(len(plan["tree"].feature), -1, np.int64)
     slot[plan["small"]] = np.arange(len(plan["small"]))
     place = np.where(use, slot[nodes], -1)
@@ -334,9 +335,11 @@ def _with_siblings(wanted: Sequence[tuple[int, int, int]], own: np.ndarray, befo
 
 def _tree_of_block(block: dict, margin: np.ndarray, fit: Fit, turn: int, sizes: Sequence[int], width: int) -> Tree:
     growth, columns = Growth(fit.settings), _columns(fit, turn, len(sizes))
-    wanted, sums = [(-1, 0, -1)], None
+    wanted, sums, nodes = [(-1, 0, -1)], None, None
     while wanted:
-        own = _node_sums(block, margin, _plan(growth, wanted, fit, turn), width)
+        plan = _plan(growth, wanted, fit, turn)
+        nodes = plan["tree"].nodes(block["bins"], nodes)
+        own = _node_sums(block, margin, plan, width, nodes)
         sums = {0: own[0]} if sums is None else _with_siblings(wanted, own, sums, fit.settings.growth == "leaf")
         growth.learn(best_splits(np.stack([sums[n] for n in growth.fresh]), sizes, columns, fit.settings))
         wanted = growth.wanted()
@@ -506,7 +509,7 @@ def fit_many(
     state = None
     if fits:
         numbered = packed.rdd.filter(lambda r: r["set"] in wanted_sets).zipWithIndex().map(lambda x: (x[1], x[0]))
-        spread = max(1, min(sum(blocks_of[k] for k in wanted_sets), 4 * cores))
+        spread = max(1, min(sum(blocks_of[k] for k in wanted_sets), cores))
         state = numbered.partitionBy(spread, lambda i: i).map(lambda x: begin(x[1])).persist(StorageLevel.MEMORY_AND_DISK)
 
     running = {f.name: f for f in fits if f.settings.rounds > 0}

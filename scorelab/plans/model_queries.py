@@ -33,12 +33,18 @@ def temporal(spark, d, cutoff: str):
     return f.where(train | test), train, test
 
 
-def per_cutoff(spark, d, judged: Callable[[DataFrame, Column, Column], DataFrame]) -> DataFrame:
-    """The results of ``judged(rows, train, test)`` for every cutoff, each kept before the next is fitted."""
-    tables = []
-    for c in CUTOFFS:
-        tables.append(materialised(judged(*temporal(spark, d, c)).select(F.lit(c).alias("cutoff"), "*")))
-    return summary.stack_tables(tables)
+def per_cutoff(spark, d, judged: Callable[[scoring.Prepared, Column, Column], DataFrame], folds=None, finals=()) -> DataFrame:
+    """The results of ``judged(prepared, train, test)`` for every cutoff; tables are prepared side by side.
+
+    The final fits of the recipes ``finals`` are one plan for all cutoffs.
+    """
+    def prepared(cutoff):
+        rows, train, test = temporal(spark, d, cutoff)
+        return scoring.prepare(rows, ROLES, folds, train), train, test
+
+    parts = scoring.side_by_side([lambda c=c: prepared(c) for c in CUTOFFS])
+    scoring.fit_together([(p, recipe, train) for p, train, _ in parts for recipe in finals])
+    return summary.stack_tables([materialised(judged(*x).select(F.lit(c).alias("cutoff"), "*")) for c, x in zip(CUTOFFS, parts)])
 
 
 @query("oof_scores")
@@ -74,12 +80,13 @@ def fold_metrics(spark, d):
 
 def _family(name):
     def run(spark, d):
-        def judged(rows, train, test):
-            p = scoring.prepare(rows, ROLES, None, train)
-            _, scored = scoring.final_scores(p, recipe(name, "ClassWeight"), train, test)
+        wanted = recipe(name, "ClassWeight")
+
+        def judged(p, train, test):
+            _, scored = scoring.final_scores(p, wanted, train, test)
             return metrics.metric_rows(scored.withColumn("model", F.lit(name)), ["model"], 0.5)
 
-        return per_cutoff(spark, d, judged)
+        return per_cutoff(spark, d, judged, finals=() if name == "forest" else [wanted])  # a forest's nodes fill the driver of one fit
 
     return run
 
@@ -90,8 +97,7 @@ for _name in scoring.FAMILY_ORDER:
 
 @query("feature_importances")
 def feature_importances(spark, d):
-    def judged(rows, train, test):
-        p = scoring.prepare(rows, ROLES, None, train)
+    def judged(p, train, test):
         model, _ = scoring.final_scores(p, recipe("forest"), train, test)
         return explain.global_ranking(spark.createDataFrame(model.importances(), "feature string, value double"), [])
 
@@ -124,11 +130,10 @@ def plan_sizes(spark, d):
 def strategy_ablation(spark, d):
     folds = scoring.Folds.partition("fold", 5)
 
-    def judged(rows, train, test):
-        p = scoring.prepare(rows, ROLES, folds, train)
+    def judged(p, train, test):
         return scoring.strategy_ablation(p, folds, [recipe("logistic"), recipe("forest")], list(resample.STRATEGIES), train, test)
 
-    return per_cutoff(spark, d, judged)
+    return per_cutoff(spark, d, judged, folds)
 
 
 @query("one_hot_columns", with_sql(SQL_FEATURES) + """, long AS (SELECT fold, 'segment' AS feature, segment AS level FROM feats UNION ALL SELECT fold, 'priority', priority FROM feats),
@@ -342,8 +347,7 @@ def external_validation(spark, d):
 @query("model_robustness")
 def model_robustness(spark, d):
     """A fitted forest rescored under all perturbations of the raw features."""
-    def judged(rows, train, test):
-        p = scoring.prepare(rows, ROLES, None, train)
+    def judged(p, train, test):
         model, _ = scoring.final_scores(p, recipe("forest"), train, test)
 
         def score(df):
@@ -364,8 +368,7 @@ def model_robustness(spark, d):
 @query("model_comparison")
 def model_comparison(spark, d):
     """Two families on the same test rows: DeLong, McNemar and Holm in one table."""
-    def judged(rows, train, test):
-        p = scoring.prepare(rows, ROLES, None, train)
+    def judged(p, train, test):
         parts = []
         for name in ("logistic", "forest"):
             _, s = scoring.final_scores(p, recipe(name), train, test)
