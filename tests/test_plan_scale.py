@@ -1,5 +1,7 @@
 """Final fits of several tables are one plan, and levels go on from the nodes that are known."""
 
+import threading
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -37,3 +39,17 @@ def test_nodes_go_on_from_an_earlier_stage():
     known = early.nodes(bins)
     kept = known.copy()
     assert np.array_equal(grown.nodes(bins, known), grown.nodes(bins)) and np.array_equal(known, kept)
+
+
+def test_boosting_families_are_ablated_side_by_side(spark, monkeypatch):
+    meet = threading.Barrier(3)
+
+    def found(prepared, folds, recipe, train, test):
+        if recipe.family.startswith("boost"):
+            meet.wait(60)
+        return spark.range(len(prepared))
+
+    monkeypatch.setattr(scoring, "prepare", lambda *a: None)
+    monkeypatch.setattr(scoring, "feature_ablation", found)
+    rows = model_queries.feature_ablation(spark, SF_DIR).groupBy("model").count().collect()
+    assert {tuple(r) for r in rows} == {(f, 2) for f in scoring.FAMILY_ORDER}
