@@ -17,13 +17,11 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from scorelab.operators import boosting
-from scorelab.session import scratch_path
+from scorelab.operators import boosting, forest
 
 
 @dataclass(frozen=True)
@@ -72,36 +70,21 @@ def leaves(nodes: Sequence[Node]) -> list[Leaf]:
     return out
 
 
+def _tree_nodes(model: boosting.Model, t: boosting.Tree, share: float = 1.0) -> list[Node]:
+    cuts = [float(model.edges[f][c]) if f >= 0 else 0.0 for f, c in zip(t.feature, t.cut)]
+    rows = zip(t.feature.tolist(), cuts, t.left.tolist(), t.right.tolist(), (t.value * share).tolist(), t.cover.tolist())
+    return [Node(*r) for r in rows]
+
+
 def boosted_leaves(model: boosting.Model) -> list[Leaf]:
     """Leaf paths of a boosting model; the sum of values is the margin less the start."""
-    out: list[Leaf] = []
-    for t in model.trees:
-        cuts = [float(model.edges[f][c]) if f >= 0 else 0.0 for f, c in zip(t.feature, t.cut)]
-        rows = zip(t.feature.tolist(), cuts, t.left.tolist(), t.right.tolist(), t.value.tolist(), t.cover.tolist())
-        out += leaves([Node(*r) for r in rows])
-    return out
-
+    return [x for t in model.trees for x in leaves(_tree_nodes(model, t))]
 
-def forest_leaves(model: RandomForestClassificationModel) -> list[Leaf]:
-    """Leaf paths of a Spark ML forest with continuous features; the sum of values is the probability of class 1.
 
-    The trees are read from the model's own files: one row per node, as many as the parameters allow.
-    """
-    session = SparkSession.active()
-    path = scratch_path(session, "forest")
-    model.write().save(path)
-    trees: dict[int, dict[int, Node]] = {}
-    share = 1.0 / model.getNumTrees
-    for r in session.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
-        stats = np.array(r["impurityStats"], float)
-        split = r["split"]
-        leaf = r["leftChild"] < 0
-        if not leaf and split["numCategories"] != -1:
-            raise ValueError("categorical splits have no interval")
-        value = share * float(stats[1] / stats.sum()) if stats.sum() else 0.0
-        cut = 0.0 if leaf else float(split["leftCategoriesOrThreshold"][0])
-        trees.setdefault(r["treeID"], {})[r["id"]] = Node(-1 if leaf else split["featureIndex"], cut, r["leftChild"], r["rightChild"], value, float(stats.sum()))
-    return [x for t in trees.values() for x in leaves([t[i] for i in range(len(t))])]
+def forest_leaves(model: forest.Forest) -> list[Leaf]:
+    """Leaf paths of a forest; the sum of values is the probability of class 1."""
+    share = 1.0 / max(1, len(model.trees))
+    return [x for t in model.trees for x in leaves(_tree_nodes(model, t, share))]
 
 
 def _weights(most: int) -> np.ndarray:

@@ -86,7 +86,7 @@ def _family(name):
             _, scored = scoring.final_scores(p, wanted, train, test)
             return metrics.metric_rows(scored.withColumn("model", F.lit(name)), ["model"], 0.5)
 
-        return per_cutoff(spark, d, judged, finals=() if name == "forest" else [wanted])  # a forest's nodes fill the driver of one fit
+        return per_cutoff(spark, d, judged, finals=[wanted])
 
     return run
 
@@ -371,9 +371,11 @@ def model_robustness(spark, d):
 @query("model_comparison")
 def model_comparison(spark, d):
     """Two families on the same test rows: DeLong, McNemar and Holm in one table."""
+    names = ("logistic", "forest")
+
     def judged(p, train, test):
         parts = []
-        for name in ("logistic", "forest"):
+        for name in names:
             _, s = scoring.final_scores(p, recipe(name), train, test)
             parts.append(s.select(F.lit("loans").alias("run_id"), F.lit(name).alias("model"), "row_id", "y", "p"))
         both = parts[0].unionByName(parts[1])
