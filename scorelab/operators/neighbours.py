@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,8 +85,20 @@ def closest(x: np.ndarray, y: np.ndarray, need: int) -> tuple[np.ndarray, np.nda
     return row[kept], place[kept], np.sqrt(square[kept])
 
 
-#: Bytes of vectors in one block of the join, and queries that a task routes at a time.
-BLOCK_BYTES, ROUTED = 8_000_000, 128
+#: Bytes of vectors in one block of the join, rows that a task assigns and queries that it routes at a time, and products of a block that it holds at once.
+BLOCK_BYTES, ASSIGNED, ROUTED, PRODUCTS = 8_000_000, 1024, 128, 524_288
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).astype(float, copy=False)
+
+
+def closest_of_block(x: np.ndarray, y: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``closest`` for a whole block, so many queries at a time that the products stay within ``PRODUCTS``."""
+    step = max(1, PRODUCTS // len(y))
+    found = [closest(x[at : at + step], y, need) for at in range(0, len(x), step)]
+    return np.concatenate([row + i * step for i, (row, _, _) in enumerate(found)]), *(np.concatenate([f[i] for f in found]) for i in (1, 2))
 
 
 def _nearest(
@@ -107,26 +120,20 @@ def _nearest(
     def column(values: np.ndarray) -> pd.Series:
         return pd.Series(values) if values.dtype.kind in "iuf" else pd.Series(values.astype(object), dtype=object)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["vec"].to_numpy()).astype(float)
-            dist = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres], axis=1)
-            cell = dist.argmin(axis=1)
-            yield pd.DataFrame(
-                {
-                    "id": column(pdf["id"].to_numpy()),
-                    "vec": column(pdf["vec"].to_numpy()),
-                    "cell": cell.astype("int32"),
-                    "dist": dist[np.arange(len(x)), cell],
-                }
-            )
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), ASSIGNED):
+                batch = whole.slice(at, ASSIGNED)
+                x = _vectors(pa.chunked_array([batch["vec"]]))
+                dist = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres], axis=1)
+                cell = dist.argmin(axis=1)
+                near = pa.array(dist[np.arange(len(x)), cell])
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["vec"], pa.array(cell, pa.int32()), near], ["id", "vec", "cell", "dist"])
 
     cell_schema = T.StructType(
         [*candidates.select("id", "vec").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())]
     )
-    cells = materialised(candidates.select("id", "vec").mapInPandas(assign, cell_schema))
+    cells = materialised(candidates.select("id", "vec").mapInArrow(assign, cell_schema))
 
     # statistics of at most ``pivots`` cells, k distances each
     nearest = cells.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("dist"))).where(
@@ -179,24 +186,17 @@ def _nearest(
         "qb", F.explode(F.sequence(F.lit(0).cast("long"), (lookup(query_blocks) - 1).cast("long")))
     )
 
-    def nearest_in_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
-            none = pd.Series([], dtype=object)
-            return pd.DataFrame({"query_id": none, "id": none, "distance": pd.Series([], dtype=float)})
-        c = c.sort_values("id", kind="stable")
-        names, ids = q["query_id"].to_numpy(), c["id"].to_numpy()
-        y = np.stack(c["vec"].to_numpy()).astype(float)
-        found = [
-            [part + at if n == 0 else part for n, part in enumerate(closest(np.stack(q["qvec"].to_numpy()[at : at + 256]).astype(float), y, need))]
-            for at in range(0, len(q), 256)
-        ]
-        row, place, distance = (np.concatenate(parts) for parts in zip(*found))
-        return pd.DataFrame({"query_id": column(names[row]), "id": column(ids[place]), "distance": distance})
+    def nearest_in_block(q: pa.Table, c: pa.Table) -> pa.Table:
+        c = c.sort_by("id")
+        row, place, distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(q) and len(c):
+            row, place, distance = closest_of_block(_vectors(q["qvec"]), _vectors(c["vec"]), need)
+        return pa.table({"query_id": q["query_id"].take(pa.array(row)), "id": c["id"].take(pa.array(place)), "distance": pa.array(distance, pa.float64())})
 
     pair_schema = T.StructType(
         [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())]
     )
-    found = left.groupBy("cell", "cb", "qb").cogroup(right.groupBy("cell", "cb", "qb")).applyInPandas(
+    found = left.groupBy("cell", "cb", "qb").cogroup(right.groupBy("cell", "cb", "qb")).applyInArrow(
         lambda q, c: nearest_in_block(q, c), pair_schema
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))

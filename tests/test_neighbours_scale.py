@@ -26,3 +26,21 @@ def test_routed_queries_leave_in_small_pieces(spark, monkeypatch):
     want = np.argsort(square, axis=1, kind="stable")[:, :3]
     got = {(r["query_id"], r["rank"]): r["id"] for r in found}
     assert len(got) == 1800 and all(got[i, j + 1] == want[i, j] for i in range(600) for j in range(3))
+
+
+def test_products_of_a_block_are_bounded(monkeypatch):
+    """A block's memory does not grow with its queries times its candidates."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(900, 4)), rng.normal(size=(700, 4))
+    y[100] = y[3]
+    seen, plain = [], neighbours.closest
+
+    def watched(a, b, need):
+        seen.append(len(a) * len(b))
+        return plain(a, b, need)
+
+    want = plain(x, y, 5)
+    monkeypatch.setattr(neighbours, "closest", watched)
+    monkeypatch.setattr(neighbours, "PRODUCTS", 10_000)
+    found = neighbours.closest_of_block(x, y, 5)
+    assert max(seen) <= 10_000 and all(np.array_equal(a, b) for a, b in zip(found[:2], want)) and np.allclose(found[2], want[2])
