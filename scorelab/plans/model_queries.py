@@ -365,7 +365,7 @@ def model_robustness(spark, d):
         held = p.rows.where(test).select("row_id", "y", *ROLES.continuous, *ROLES.nominals)
         return robust.robustness_table(held, profile, ROLES.continuous, score, 0.3, 42, protected=ROLES.nominals, method="xxhash64")
 
-    return per_cutoff(spark, d, judged)
+    return per_cutoff(spark, d, judged, finals=[recipe("forest")])
 
 
 @query("model_comparison")
