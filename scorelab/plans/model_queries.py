@@ -381,4 +381,4 @@ def model_comparison(spark, d):
         both = parts[0].unionByName(parts[1])
         return compare.pairwise_matrix(both, ["run_id"], 0.3)
 
-    return per_cutoff(spark, d, judged)
+    return per_cutoff(spark, d, judged, finals=[recipe(name) for name in names])
