@@ -1,13 +1,14 @@
 """Gradient boosting over histograms: many fits grow their trees side by side.
 
-Training rows are binned once per row set and kept in blocks. In each round every
+Training rows are binned once per row set and kept in blocks, where rows of equal bins, label, weight
+and part are one cell with its number of rows; the bins bound the cells, however many rows there are. In each round every
 fit adds one tree, level by level: a job sums gradients, Hessians and rows of
 its nodes by (fit, node, feature, bin), so one aggregate a level serves all fits. Only the smaller
 child of a split is summed; the larger is its parent less the smaller. Splits
 are chosen where the sums meet, and what reaches the driver is one split per node.
 
-A row set of at most ``HELD`` rows is one block and needs no such jobs: its fits are spread over tasks that
-hold the block and take the same steps there, each by the same functions.
+A row set of at most ``HELD`` rows, or of few cells, needs no such jobs: its fits are spread over tasks that
+hold its blocks and take the same steps there, each by the same functions.
 
 Three ways to grow: ``level`` splits every node that gains, ``leaf`` splits the leaf
 that gains most until there are enough leaves, ``symmetric`` splits a whole level by
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,13 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from scorelab.functions.hashing import counter_block, stream_key
-from scorelab.operators.ordering import exact_quantiles
+from scorelab.operators.ordering import weighted_quantiles
 from scorelab.session import ensure_checkpoint_dir, materialised
 
 #: Bins per feature, rows of a block, rounds between checkpoints, and steps of the probability in which held rows are ranked.
 BINS, BLOCK, CUT, RANKS = 64, 65_536, 20, 65_536
-#: Rows of a set that one task holds, and cells at most of features whose bins are summed together.
-HELD, CELLS = 524_288, 1024
+#: Rows (or cells) of a set that one task holds, keys of rows that it holds beside cells, and joint bins at most of features that are summed together.
+HELD, KEYS, CELLS = 524_288, 8_388_608, 1024
+#: Rows that are dealt to blocks at once, and rows of one cell that go to the same block.
+DEALT, PIECE = 262_144, 4096
 #: Gains closer than this part of the largest are equal; the earlier feature and cut win.
 SAME = 1e-9
 
@@ -291,14 +294,24 @@ def _cells(bins: np.ndarray, sizes: Sequence[int]) -> list[tuple[np.ndarray, lis
     return [(np.ravel_multi_index(tuple(bins[:, g].T.astype(np.intp)), [sizes[f] for f in g]).astype(np.uint16), g) for g in groups]
 
 
+def per_cell(block: Mapping, of_rows: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over the rows of each cell of what ``of_rows`` says of their keys."""
+    starts = np.cumsum(block["n"], dtype=np.int64) - block["n"]
+    found = np.empty(len(block["k0"]), np.uint32)
+    for at in range(0, len(found), DEALT):
+        found[at : at + DEALT] = of_rows(block["k0"][at : at + DEALT], block["k1"][at : at + DEALT])
+    return np.add.reduceat(found, starts) if len(found) else found
+
+
 def _gradients(block: dict, margin: np.ndarray, plan: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row of a block: whether the tree uses it, gradient and Hessian."""
-    use = ~block["stop"]
+    """Per cell of a block: how many of its rows the tree uses, gradient and Hessian."""
+    use = block.get("n", 1)
     if plan["rows"] < 1.0:
-        at = plan["draw"]
-        use &= counter_block(block["k0"], block["k1"], at, at)[:, 0] < np.uint32(plan["rows"] * 2.0**32)
-    p = _sigmoid(margin)
-    return use, block["w"] * (p - block["y"]), block["w"] * p * (1 - p)
+        at, below = plan["draw"], np.uint32(plan["rows"] * 2.0**32)
+        use = per_cell(block, lambda k0, k1: counter_block(k0, k1, at, at)[:, 0] < below)
+    use = np.where(block["stop"], 0, use)
+    p, w = _sigmoid(margin), block["w"] * use
+    return use, w * (p - block["y"]), w * p * (1 - p)
 
 
 def _node_sums(
@@ -310,16 +323,16 @@ def _node_sums(
     many = len(plan["small"])
     slot = np.full(len(plan["tree"].feature), -1, np.int64)
     slot[plan["small"]] = np.arange(many)
-    place = np.where(use, slot[nodes], -1)
+    place = np.where(use > 0, slot[nodes], -1)
     rows = np.flatnonzero(place >= 0)
-    place, g, h = place[rows], g[rows], h[rows]
+    place, g, h, use = place[rows], g[rows], h[rows], use[rows]
     ends = np.cumsum(sizes)
     out = np.empty((many, ends[-1], 3))
     for cells, features in block["cells"]:
         shape = [sizes[f] for f in features]
         size = int(np.prod(shape))
         at = place * size + cells[rows]
-        joint = [x.reshape(many, *shape) for x in (np.bincount(at, g, many * size), np.bincount(at, h, many * size), np.bincount(at, minlength=many * size))]
+        joint = [x.reshape(many, *shape) for x in (np.bincount(at, g, many * size), np.bincount(at, h, many * size), np.bincount(at, use, many * size))]
         for i, f in enumerate(features):
             others = tuple(1 + j for j in range(len(features)) if j != i)
             for kind, x in enumerate(joint):
@@ -331,8 +344,8 @@ def _ranked(block: dict, margin: np.ndarray) -> np.ndarray:
     """Held rows by step of their probability: steps, positives, negatives."""
     steps = np.minimum((_sigmoid(margin[block["stop"]]) * RANKS).astype(np.int64), RANKS - 1)
     known, place = np.unique(steps, return_inverse=True)
-    y = block["y"][block["stop"]]
-    return np.stack([known, np.bincount(place, y, len(known)), np.bincount(place, 1 - y, len(known))])
+    y, n = block["y"][block["stop"]], block["n"][block["stop"]]
+    return np.stack([known, np.bincount(place, y * n, len(known)), np.bincount(place, (1 - y) * n, len(known))])
 
 
 def _rank_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -395,62 +408,185 @@ def _met(a, b):
     return a + b if a.ndim == 3 else _rank_sum(a, b)
 
 
-def _edges(sets: DataFrame, features: Sequence[str], bins: int) -> dict[tuple[str, str], np.ndarray]:
-    """Cuts per row set and feature: distinct quantiles of its training rows, at most ``bins`` - 1 of them."""
-    train = sets.where(~F.col("_stop")).select("_set", *[F.col(f).cast("double").alias(f) for f in features])
-    long = train.unpivot(["_set"], list(features), "feature", "value")
+def value_counts(sets: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Training rows by set, feature and value: _set, feature, _value, _n. Tasks count before anything moves."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        many = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, parts in held.items():
+                values = np.concatenate(parts)
+                for i, f in enumerate(features):
+                    found, n = np.unique(values[:, i][~np.isnan(values[:, i])] + 0.0, return_counts=True)
+                    for at in range(0, len(found), BLOCK):
+                        own = found[at : at + BLOCK]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([f] * len(own)), pa.array(own), pa.array(n[at : at + BLOCK])], ["_set", "feature", "_value", "_n"])
+            held.clear()
+
+        for batch in batches:
+            names = np.array(batch.column("_set").to_pylist(), object)
+            values = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(names), len(features))
+            for name in dict.fromkeys(names.tolist()):
+                held.setdefault(name, []).append(values[names == name])
+            many += len(names)
+            if many >= DEALT:
+                yield from out()
+                many = 0
+        yield from out()
+
+    train = sets.where(~F.col("_stop")).select("_set", F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    counted = train.mapInArrow(count, "_set string, feature string, _value double, _n long")
+    return materialised(counted.groupBy("_set", "feature", "_value").agg(F.sum("_n").alias("_n")))
+
+
+def _edges(counts: DataFrame, bins: int) -> dict[tuple[str, str], np.ndarray]:
+    """Cuts per row set and feature: distinct quantiles of its training rows (``value_counts``), at most ``bins`` - 1 of them."""
     probs = [i / bins for i in range(1, bins)]
-    rows = exact_quantiles(long, ["_set", "feature"], "value", probs).collect()  # sets x features x bins numbers
+    rows = weighted_quantiles(counts, ["_set", "feature"], "_value", {"all": "_n"}, probs).collect()  # sets x features x bins numbers
     out: dict[tuple[str, str], set] = {}
     for r in rows:
         out.setdefault((r["_set"], r["feature"]), set()).add(r["value"] + 0.0)
     return {k: np.array(sorted(v)) for k, v in out.items()}
 
 
-def _packed(sets: DataFrame, features: Sequence[str], edges: Mapping, chunks: Mapping[str, int], block_rows: int) -> DataFrame:
-    """Rows as blocks of bytes: one Spark row for about ``block_rows`` rows of one set, one for a set of no more."""
-    schema = "set string, bins binary, y binary, w binary, stop binary, k0 binary, k1 binary"
+#: The columns of a block in bytes: what names a cell, its number of rows, and the keys of its rows, cell by cell.
+NAMED = {"y": np.float64, "w": np.float64, "stop": bool}
+BYTES = {"bins": np.uint8, **NAMED, "n": np.uint32, "k0": np.uint32, "k1": np.uint32}
+
+
+def _cell_names(part: Mapping) -> np.ndarray:
+    """Bytes that name each cell, as rows of whole 64-bit words."""
+    width = part["bins"].shape[1]
+    size = width + sum(np.dtype(k).itemsize for k in NAMED.values())
+    out = np.zeros((len(part["y"]), -(-size // 8) * 8), np.uint8)
+    out[:, :width] = part["bins"]
+    for name, kind in NAMED.items():
+        own = np.ascontiguousarray(part[name], kind).view(np.uint8).reshape(len(out), -1)
+        out[:, width : width + own.shape[1]] = own
+        width += own.shape[1]
+    return out.view(np.uint64)
+
+
+def _mixed(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of words."""
+    out = np.zeros(len(words), np.uint64)
+    for i in range(words.shape[1]):
+        out = (out ^ words[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def collapsed(parts: Sequence[Mapping]) -> tuple[dict, np.ndarray]:
+    """Parts (blocks, or rows with ``n`` of 1) as one block, equal cells as one, and the cells' hashes."""
+    whole = {c: np.concatenate([p[c] for p in parts]) for c in BYTES}
+    words = _cell_names(whole)
+    hashes = _mixed(words)
+    found, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    if (words[first][place] != words).any():  # two cells with one hash
+        _, first, place = np.unique(words, axis=0, return_index=True, return_inverse=True)
+        place, found = place.reshape(-1), hashes[first]
+    out = {c: whole[c][first] for c in ("bins", *NAMED)}
+    out["n"] = np.bincount(place, whole["n"], len(first)).astype(np.uint32)
+    order = np.argsort(np.repeat(place, whole["n"]), kind="stable") if len(whole["k0"]) else np.zeros(0, np.intp)
+    return out | {k: whole[k][order] for k in ("k0", "k1")}, found
+
+
+def _dealt(block: Mapping, hashes: np.ndarray, chunks: int) -> Iterator[tuple[int, dict]]:
+    """A block's cells by chunk; a cell of many rows is dealt in pieces of ``PIECE``."""
+    if chunks == 1:
+        yield 0, dict(block)
+        return
+    pieces = -(-block["n"].astype(np.int64) // PIECE)
+    cell = np.repeat(np.arange(len(pieces)), pieces)
+    turn = np.arange(len(cell)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    n = np.minimum(block["n"][cell] - turn * PIECE, PIECE).astype(np.uint32)
+    chunk = (_mixed(np.stack([hashes[cell], turn.astype(np.uint64)], axis=1)) >> np.uint64(11)) % np.uint64(chunks)
+    keyed, row_chunk = len(block["k0"]) > 0, np.repeat(chunk, n) if len(block["k0"]) else None
+    for c in np.unique(chunk):
+        own = np.flatnonzero(chunk == c)
+        rows = np.flatnonzero(row_chunk == c) if keyed else np.zeros(0, np.intp)
+        yield int(c), {**{x: block[x][cell[own]] for x in ("bins", *NAMED)}, "n": n[own], **{k: block[k][rows] for k in ("k0", "k1")}}
+
+
+def _row_of(block: Mapping, **others) -> pa.RecordBatch:
+    columns = {k: pa.array([v], pa.int32() if k == "place" else pa.string()) for k, v in others.items()}
+    columns |= {c: pa.array([np.ascontiguousarray(block[c], kind).tobytes()], pa.binary()) for c, kind in BYTES.items()}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _packed(
+    sets: DataFrame, features: Sequence[str], edges: Mapping, chunks: Mapping[str, int], keyed: bool = True
+) -> DataFrame:
+    """Rows as blocks of bytes, one Spark row a chunk: its cells, and the keys of their rows if ``keyed``.
+
+    Rows are counted by cell before they move; those of a cell meet in one chunk as far as a chunk can hold them.
+    """
+    columns = ", ".join(f"{c} binary" for c in BYTES)
     cuts = {s: [edges.get((s, f), np.zeros(0)) for f in features] for s in {k[0] for k in edges}}
+    first = dict(zip(chunks, np.cumsum([0, *chunks.values()]).tolist()))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+        many: dict[str, int] = {}
 
-        def block(name: str) -> pa.RecordBatch:
-            parts = [np.concatenate(c) for c in zip(*held.pop(name))]
-            return pa.RecordBatch.from_arrays([pa.array([name]), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], schema.replace(" string", "").replace(" binary", "").split(", "))
+        def out(name: str) -> Iterator[pa.RecordBatch]:
+            many.pop(name)
+            block, hashes = collapsed(held.pop(name))
+            for c, part in _dealt(block, hashes, chunks[name]):
+                yield _row_of(part, set=name, place=first[name] + c)
 
         for batch in batches:
             names = np.array(batch.column("_set").to_pylist(), object)
             values = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(names), len(features))
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "_w", "_stop", "_k0", "_k1")]
+            rows = {"y": "y", "w": "_w", "stop": "_stop"} | ({"k0": "_k0", "k1": "_k1"} if keyed else {})
+            rows = {c: batch.column(x).to_numpy(zero_copy_only=False).astype(BYTES[c]) for c, x in rows.items()}
+            rows = {"k0": np.zeros(0, np.uint32), "k1": np.zeros(0, np.uint32), "n": np.ones(len(names), np.uint32), **rows}
             for name in dict.fromkeys(names.tolist()):
                 own = np.flatnonzero(names == name)
                 bins = binned(values[own], cuts.get(name, [np.zeros(0)] * len(features)))
-                kinds = (np.float64, np.float64, bool, np.uint32, np.uint32)
-                held.setdefault(name, []).append([bins, *[c[own].astype(k) for c, k in zip(columns, kinds)]])
-                if chunks[name] > 1 and sum(len(h[1]) for h in held[name]) >= block_rows:
-                    yield block(name)
+                held.setdefault(name, []).append({"bins": bins, **{c: x[own] if len(x) else x for c, x in rows.items()}})
+                many[name] = many.get(name, 0) + len(own)
+                if many[name] >= DEALT:
+                    yield from out(name)
         for name in list(held):
-            yield block(name)
+            yield from out(name)
 
-    rows = sets.select("_set", F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), "y", "_w", "_stop", "_k0", "_k1")
-    parts = F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair])[F.col("_set")]
-    dealt = rows.repartition(max(1, sum(chunks.values())), "_set", F.pmod(F.xxhash64("_k0", "_k1"), parts))
-    return materialised(dealt.mapInArrow(pack, schema))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts.append((row["set"], _unpacked(row, len(features))))
+        if parts:
+            yield _row_of(collapsed([p for _, p in parts])[0], set=parts[0][0])
+
+    rows = sets.select("_set", F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), "y", "_w", "_stop", *(["_k0", "_k1"] if keyed else []))
+    dealt = rows.mapInArrow(deal, f"set string, place int, {columns}").repartitionById(sum(chunks.values()), F.col("place"))
+    return materialised(dealt.mapInArrow(meet, f"set string, {columns}"))
+
+
+def _together(blocks: Sequence[Mapping]) -> dict:
+    """Blocks of a set as one."""
+    return blocks[0] if len(blocks) == 1 else {"set": blocks[0]["set"], **{c: np.concatenate([b[c] for b in blocks]) for c in BYTES}}
 
 
 def _fitted_where_they_lie(packed: DataFrame, fits: Mapping[str, Fit], starts: Mapping[str, float], sizes: Sequence[int]):
-    """(name, trees, history) of fits whose set is one block: a task a fit holds that block."""
+    """(name, trees, history) of fits whose set a task can hold: a task a fit holds its blocks."""
     names: dict[str, list[str]] = {}
     for name, f in fits.items():
         names.setdefault(f.rows, []).append(name)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, blocks = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                fit = fits[row["name"]]
-                found = _fit_of_block(_with_cells(_unpacked(row, len(sizes)), sizes), fit, starts[fit.name], sizes)
-                yield pa.RecordBatch.from_arrays([pa.array([fit.name]), pa.array([pickle.dumps(found)], pa.binary())], ["name", "model"])
+                name = row["name"]
+                blocks.append(_unpacked(row, len(sizes)))
+        if blocks:
+            block, fit = _together(blocks), fits[name]
+            found = _fit_of_block(_with_cells(block, sizes), fit, starts[name], sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([pickle.dumps(found)], pa.binary())], ["name", "model"])
 
     each = F.create_map(*[x for k, own in names.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in own]))])[F.col("set")]
     order = {n: i for i, n in enumerate(fits)}
@@ -462,12 +598,8 @@ def _fitted_where_they_lie(packed: DataFrame, fits: Mapping[str, Fit], starts: M
 
 
 def _unpacked(row, width: int) -> dict:
-    y = np.frombuffer(row["y"], np.float64)
-    return {
-        "set": row["set"], "bins": np.frombuffer(row["bins"], np.uint8).reshape(len(y), width), "y": y,
-        "w": np.frombuffer(row["w"], np.float64), "stop": np.frombuffer(row["stop"], bool),
-        "k0": np.frombuffer(row["k0"], np.uint32), "k1": np.frombuffer(row["k1"], np.uint32),
-    }
+    block = {c: np.frombuffer(row[c], kind) for c, kind in BYTES.items()}
+    return {**block, "set": row["set"], "bins": block["bins"].reshape(len(block["y"]), width)}
 
 
 def _with_cells(block: dict, sizes: Sequence[int]) -> dict:
@@ -495,7 +627,8 @@ def fit_many(
 ) -> dict[str, Model]:
     """Fit all ``fits`` together; ``sets`` come from ``row_set``. Models by name.
 
-    Sets of at most ``HELD`` rows (``block_rows``, if given) are one block, larger ones are cut into blocks.
+    Sets of at most ``HELD`` rows (``block_rows``, if given) are one block, larger ones are cut into blocks. A larger set
+    that is no more cells is held by tasks as well, if no fit draws rows of it or their keys are at most ``KEYS``.
     Bounded by parameters on the driver: cuts, trees, and one split per open node.
     """
     held, block_rows = (HELD, BLOCK) if block_rows is None else (block_rows, block_rows)
@@ -504,7 +637,7 @@ def fit_many(
     every = sets[0]
     wide = ["_set", "y", *features, "_w", "_stop", "_k0", "_k1"]
     every = materialised(_stacked([s.select(*wide) for s in sets]))
-    edges = _edges(every, features, bins)
+    edges = _edges(value_counts(every, features), bins)
     heads = {
         r["_set"]: r
         for r in every.groupBy("_set").agg(
@@ -517,7 +650,8 @@ def fit_many(
     ensure_checkpoint_dir(spark)
     cores = max(1, context.defaultParallelism)
     chunks = {name: 1 if r["n"] <= held else -(-r["n"] // block_rows) for name, r in heads.items()}
-    packed = _packed(every, features, edges, chunks, block_rows)
+    drawn = {f.rows for f in fits if f.settings.rows < 1.0}
+    packed = _packed(every, features, edges, chunks, bool(drawn))
 
     models: dict[str, Model] = {}
     by_set: dict[str, list[str]] = {}
@@ -529,8 +663,10 @@ def fit_many(
         by_set.setdefault(f.rows, []).append(f.name)
     starts = {f.name: models[f.name].start for f in fits}
     count = len(features)
-    blocks_of = {r["set"]: r["count"] for r in packed.groupBy("set").count().collect()}
-    small = {f.name: f for f in fits if blocks_of.get(f.rows, 0) == 1 and f.settings.rounds > 0}
+    lies = {r["set"]: r for r in packed.groupBy("set").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.octet_length("n") / 4).alias("cells")).collect()}
+    blocks_of = {k: r["blocks"] for k, r in lies.items()}
+    few = {k for k, r in lies.items() if r["blocks"] == 1 or r["cells"] <= held and (k not in drawn or heads[k]["n"] <= KEYS)}
+    small = {f.name: f for f in fits if f.rows in few and f.settings.rounds > 0}
     if small:
         for name, trees, history in _fitted_where_they_lie(packed, small, starts, sizes):
             models[name].trees, models[name].history = trees, history

@@ -1,12 +1,12 @@
 """Random forests over histograms: trees grow in tasks, each by the same functions wherever its rows lie.
 
-Training rows are binned once per row set and kept in blocks. A row's number of
+Training rows are binned once per row set and kept in blocks of cells (rows of equal bins, label and weight). A row's number of
 draws for a tree (Poisson) and the features a node may use are hashes of the row, the tree and
-the node's place, so a tree does not depend on tasks.
+the node's place, so a tree does not depend on tasks; a cell's draws are the sum of its rows'.
 
-A set of at most ``HELD`` rows is one block; its trees are spread over tasks that hold it.
+The trees of a set of at most ``HELD`` cells are spread over tasks that hold its cells and their draws, summed where the rows lie.
 Larger sets stay in their blocks: nodes of more than ``HELD`` draws are split by one aggregate a level, keyed by tree,
-and the rows of each smaller node then meet in one task, which grows the rest of the
+and the cells of each smaller node then meet in one task, which grows the rest of the
 tree below it. The driver holds the trees.
 
 Where only scores of held-out rows are asked for (``held_out_scores``), the task that grows a tree of a one-block set
@@ -30,10 +30,12 @@ from scorelab.operators import boosting
 from scorelab.operators.boosting import Tree
 from scorelab.session import materialised
 
-#: Bins per feature; draws from which one task grows a tree; rows of a block of a larger set.
+#: Bins per feature; cells (or draws of a node of a larger set) from which one task grows a tree; rows of a block.
 BINS, HELD, BLOCK = 32, 524_288, 65_536
 #: Trees of a task, trees of a larger set that grow together, nodes whose sums are held at once.
 GROUP, TOGETHER, NODES = 16, 32, 4096
+#: Scored cells that a task remembers.
+KNOWN = 200_000
 #: Tasks a core of a plan whose trees stay in their tasks.
 WAVES = 16
 
@@ -72,7 +74,10 @@ class Forest(boosting.Model):
 
     def scores(self, values: np.ndarray) -> np.ndarray:
         """The mean of the trees' shares."""
-        bins, total = self.bins(values), np.zeros(len(values))
+        return self.of_bins(self.bins(values))
+
+    def of_bins(self, bins: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(bins))
         for tree in self.trees:
             total += tree.scores(bins)
         return total / max(1, len(self.trees))
@@ -81,11 +86,20 @@ class Forest(boosting.Model):
         """The probability of class 1, from the features in order."""
         none = np.zeros(0)
         model = Forest(self.features, self.edges, 0.0, [replace(t, gain=none, cover=none) for t in self.trees])
+        known: dict[bytes, float] = {}  # of a task: rows of equal bins are scored once
 
         @F.arrow_udf(DoubleType())
         def predicted(values: pa.Array) -> pa.Array:
             rows = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
-            return pa.array(model.scores(rows))
+            bins = model.bins(rows)
+            cells = bins.view(f"V{bins.shape[1]}")[:, 0].tolist()
+            new = {c: i for i, c in enumerate(cells) if c not in known}
+            if new:
+                if len(known) > KNOWN:
+                    known.clear()
+                    new = {c: i for i, c in enumerate(cells)}
+                known.update(zip(new, model.of_bins(bins[list(new.values())]).tolist()))
+            return pa.array([known[c] for c in cells], pa.float64())
 
         return predicted(F.array(*[c.cast("double") for c in columns]))
 
@@ -117,28 +131,34 @@ def _sums(bins: np.ndarray, y: np.ndarray, w: np.ndarray, draws: np.ndarray, slo
     """Weights by node, used feature, bin and class; with ``count`` also draws by node, used feature and bin."""
     nodes, m = used.shape
     weights, rows = np.empty((nodes, m, width, 2)), np.empty((nodes, m, width)) if count else None
-    each = np.arange(len(slot))
+    cells, first = np.ascontiguousarray(bins).reshape(-1), np.arange(len(slot)) * bins.shape[1]
+    place = slot * (2 * width) + y
     for j in range(m):
-        at = slot * width + bins[each, used[slot, j]]
-        weights[:, j] = np.bincount(2 * at + y, w, nodes * width * 2).reshape(nodes, width, 2)
+        at = np.left_shift(cells.take(first + used[:, j].take(slot)), 1, dtype=np.intp) + place
+        weights[:, j] = np.bincount(at, w, nodes * width * 2).reshape(nodes, width, 2)
         if count:
-            rows[:, j] = np.bincount(at, draws, nodes * width).reshape(nodes, width)
+            rows[:, j] = np.bincount(at, draws, nodes * width * 2).reshape(nodes, width, 2).sum(axis=2)
     return weights, rows
 
 
 def best_splits(weights: np.ndarray, rows: np.ndarray | None, used: np.ndarray, s: Settings):
     """Per node: gain (decrease of the Gini impurity; 0 for none), feature, cut. Ties go to the earlier feature and cut."""
-    left = np.cumsum(weights, axis=2)
-    total, left = left[:, :, -1:], left[:, :, :-1]
-    right = total - left
-    nl, nr, n = left.sum(axis=-1), right.sum(axis=-1), total.sum(axis=-1)
+    # each class on its own: sums over an axis of two are slow
+    low = [np.cumsum(weights[..., k], axis=2) for k in (0, 1)]
+    high = [x[:, :, -1:] - x[:, :, :-1] for x in low]
+    total, low = [x[:, :, -1:] for x in low], [x[:, :, :-1] for x in low]
+    nl, nr, n = (x[0] + x[1] for x in (low, high, total))
     fine = (nl > 0) & (nr > 0)
     if rows is not None:
         below = np.cumsum(rows, axis=2)
         fine &= np.minimum(below[:, :, :-1], below[:, :, -1:] - below[:, :, :-1]) >= s.min_rows
+
+    def squares(x):
+        return x[0] ** 2 + x[1] ** 2
+
     with np.errstate(divide="ignore", invalid="ignore"):
-        kept = (left**2).sum(axis=-1) / nl + (right**2).sum(axis=-1) / nr
-        gain = np.where(fine, (kept - (total**2).sum(axis=-1) / n) / n, 0.0).reshape(len(used), -1)
+        kept = squares(low) / nl + squares(high) / nr
+        gain = np.where(fine, (kept - squares(total) / n) / n, 0.0).reshape(len(used), -1)
     top = gain.max(axis=1)
     at = np.argmax(gain >= (top * (1 - 1e-9))[:, None], axis=1)
     place, cut = np.divmod(at, weights.shape[2] - 1)
@@ -154,26 +174,29 @@ def grown(
 ) -> Tree:
     """A tree, or what lies below the node at ``path``, from its rows (``w``: draws times weight). Nodes are numbered level by level."""
     s, n = fit.settings, bins.shape[1]
-    order, paths, ends = np.arange(len(y)), np.array([path], np.int64), np.array([len(y)])
+    paths, slot = np.array([path], np.int64), np.zeros(len(y), np.intp)  # rows lie by node
     y, known = y.astype(np.int64), 1
     out: list[tuple] = []
     while len(paths):
-        sizes = np.diff(ends, prepend=0)
-        slot = np.repeat(np.arange(len(paths)), sizes)
-        total = np.bincount(2 * slot + y[order], w[order], 2 * len(paths)).reshape(-1, 2)
+        ends = np.cumsum(np.bincount(slot, minlength=len(paths)))
+        total = np.bincount(2 * slot + y, w, 2 * len(paths)).reshape(-1, 2)
         cover = total.sum(axis=1)
         gain, feature, cut = np.zeros(len(paths)), np.full(len(paths), -1), np.zeros(len(paths), np.int64)
-        drawn = np.bincount(slot, draws[order], len(paths))
-        open_ = (total > 0).all(axis=1) & (drawn >= 2 * s.min_rows) if level < s.depth and width > 1 else np.zeros(len(paths), bool)
+        open_ = (total > 0).all(axis=1) if level < s.depth and width > 1 else np.zeros(len(paths), bool)
+        if s.min_rows > 1:
+            open_ &= np.bincount(slot, draws, len(paths)) >= 2 * s.min_rows
         for at in range(0, len(paths), NODES):
             own = at + np.flatnonzero(open_[at : at + NODES])
             if not len(own):
                 continue
-            first = ends[at - 1] if at else 0
-            rows, place = order[first : ends[min(at + NODES, len(paths)) - 1]], np.full(NODES, -1)
-            place[own - at] = np.arange(len(own))
-            now = place[slot[first : first + len(rows)] - at]
-            rows, now = (rows, now) if len(own) == min(NODES, len(paths) - at) else (rows[now >= 0], now[now >= 0])
+            first, last = ends[at - 1] if at else 0, ends[min(at + NODES, len(paths)) - 1]
+            rows, now = slice(first, last), slot[first:last] - at
+            if len(own) < min(NODES, len(paths) - at):
+                place = np.full(NODES, -1)
+                place[own - at] = np.arange(len(own))
+                now = place.take(now)
+                inside = np.flatnonzero(now >= 0)
+                rows, now = first + inside, now.take(inside)
             used = _may_use(paths[own], tree, fit.seed, n, s.drawn(n))
             sums = _sums(bins[rows], y[rows], w[rows], draws[rows], now, used, width, s.min_rows > 1)
             gain[own], f, cut[own] = best_splits(*sums, used, s)
@@ -184,19 +207,16 @@ def grown(
         value = np.divide(total[:, 1], cover, out=np.zeros(len(cover)), where=cover > 0)
         out.append((feature, cut, left, value, gain, cover))
         # rows of a split stay together: those that go left first
-        rows, at = order[split[slot]], slot[split[slot]]
-        rank = (np.cumsum(split) - 1)[at]
-        low = bins[rows, feature[at]] <= cut[at]
-        child = 2 * rank + ~low
-        lengths = np.bincount(child, minlength=2 * int(split.sum()))
-        ends = np.cumsum(lengths)
-        begin = (ends - lengths)[child]
-        before = np.cumsum(low) - low
-        group = np.flatnonzero(np.diff(rank, prepend=-1))
-        shift = before[group][rank] if len(rank) else rank
-        inside = np.where(low, before - shift, np.arange(len(rows)) - group[rank] - (before - shift)) if len(rank) else rank
-        order = np.empty(len(rows), np.int64)
-        order[begin + inside] = rows
+        if not split.all():
+            rows = np.flatnonzero(split.take(slot))
+            bins, y, w, draws, slot = bins.take(rows, axis=0), y.take(rows), w.take(rows), draws.take(rows), slot.take(rows)
+        if not len(y):
+            break
+        high = bins.reshape(-1).take(np.arange(len(y)) * n + feature.take(slot)) > cut.take(slot)
+        child = (2 * (np.cumsum(split) - 1)).take(slot) + high
+        # a sort by radix where the children's numbers are short
+        order = np.argsort(child.astype(np.uint16) if 2 * len(paths) <= 65_536 else child, kind="stable")
+        bins, y, w, draws, slot = bins.take(order, axis=0), y.take(order), w.take(order), draws.take(order), child.take(order)
         paths = (2 * paths[split][:, None] + np.arange(2)).reshape(-1)
         level += 1
     feature, cut, left, value, gain, cover = zip(*out)
@@ -225,12 +245,12 @@ def pruned(tree: Tree) -> Tree:
 
 
 def _draws(block: Mapping, tree: int) -> np.ndarray:
-    """How often each row of a block is drawn for a tree."""
-    return poisson_block(counter_block(block["k0"], block["k1"], tree + 1, tree + 1))[:, 0]
+    """How often the rows of each cell of a block are drawn for a tree."""
+    return boosting.per_cell(block, lambda k0, k1: poisson_block(counter_block(k0, k1, tree + 1, tree + 1))[:, 0])
 
 
-def _of_block(block: Mapping, fit: Fit, tree: int, width: int) -> Tree:
-    draws = _draws(block, tree)
+def _of_block(block: Mapping, fit: Fit, tree: int, width: int, draws: np.ndarray | None = None) -> Tree:
+    draws = _draws(block, tree) if draws is None else draws
     own = np.flatnonzero((draws > 0) & (block["w"] > 0))
     draws = draws[own]
     return pruned(grown(block["bins"][own], block["y"][own], block["w"][own] * draws, draws, fit, tree, width))
@@ -340,12 +360,12 @@ def _rests(blocks: DataFrame, fit: Fit, tops: Mapping[int, _Top], width: int, n:
                     has = [i for i, part in enumerate(parts) if len(part)]
                     if not has:
                         continue
-                    bytes_ = [[x[parts[i]].astype(kind).tobytes() for i in has] for x, kind in ((block["bins"], np.uint8), (block["y"], np.uint8), (block["w"], float), (draws, np.uint8))]
+                    bytes_ = [[x[parts[i]].astype(kind).tobytes() for i in has] for x, kind in ((block["bins"], np.uint8), (block["y"], np.uint8), (block["w"], float), (draws, np.uint32))]
                     yield pa.RecordBatch.from_arrays([pa.array([t] * len(has), pa.int32()), pa.array(has, pa.int32()), *[pa.array(b, pa.binary()) for b in bytes_]], ["tree", "slot", "bins", "y", "w", "draws"])
 
     def below(table: pa.Table) -> pa.Table:
         t, i = table["tree"][0].as_py(), table["slot"][0].as_py()
-        bins, y, w, draws = (np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table[c]]) for c, kind in (("bins", np.uint8), ("y", np.uint8), ("w", float), ("draws", np.uint8)))
+        bins, y, w, draws = (np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table[c]]) for c, kind in (("bins", np.uint8), ("y", np.uint8), ("w", float), ("draws", np.uint32)))
         path, level = places[t][2][i]
         made = grown(bins.reshape(len(y), n), y, w * draws, draws, fit, t, width, path, level)
         return pa.table({"tree": pa.array([t], pa.int32()), "slot": pa.array([i], pa.int32()), "part": pa.array([pickle.dumps(made)], pa.binary())})
@@ -363,24 +383,23 @@ def _rests(blocks: DataFrame, fit: Fit, tops: Mapping[int, _Top], width: int, n:
 
 def _edges(sets: DataFrame, features: Sequence[str], bins: int) -> dict[tuple[str, str], np.ndarray]:
     """Cuts per row set and feature: all values of a feature with fewer than ``bins``, else distinct quantiles."""
-    found = boosting._edges(sets, features, bins)
-    long = sets.select("_set", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["_set"], list(features), "feature", "value")
-    values = materialised(long.distinct())
-    few = values.groupBy("_set", "feature").agg(F.count("value").alias("n")).where(F.col("n") < bins)
-    for r in values.join(F.broadcast(few), ["_set", "feature"]).groupBy("_set", "feature").agg(F.sort_array(F.collect_set("value")).alias("v")).collect():
+    values = boosting.value_counts(sets, features)
+    found = boosting._edges(values, bins)
+    few = values.groupBy("_set", "feature").agg(F.count("_value").alias("n")).where(F.col("n") < bins)
+    for r in values.join(F.broadcast(few), ["_set", "feature"]).groupBy("_set", "feature").agg(F.sort_array(F.collect_set("_value")).alias("v")).collect():
         found[r["_set"], r["feature"]] = np.unique(np.array(r["v"], float) + 0.0)
     return found
 
 
-def _blocks(sets: Sequence[DataFrame], features: Sequence[str], bins: int, held: int, block_rows: int):
-    """Packed rows, cuts, blocks and bins by set."""
+def _blocks(sets: Sequence[DataFrame], features: Sequence[str], bins: int, block_rows: int | None):
+    """Packed rows, cuts, rows and bins by set; a set is one block without ``block_rows``."""
     wide = ["_set", "y", *features, "_w", F.lit(False).alias("_stop"), "_k0", "_k1"]
     every = materialised(boosting._stacked([s.select(*wide) for s in sets]))
     edges = _edges(every, features, bins)
     sizes = {r["_set"]: r["count"] for r in every.groupBy("_set").count().collect()}
-    chunks = {name: 1 if n <= held else -(-n // block_rows) for name, n in sizes.items()}
+    chunks = {name: 1 if block_rows is None else -(-n // block_rows) for name, n in sizes.items()}
     width = {name: 1 + max(len(edges.get((name, f), ())) for f in features) for name in sizes}
-    return boosting._packed(every, features, edges, chunks, block_rows), edges, chunks, width
+    return boosting._packed(every, features, edges, chunks), edges, sizes, width
 
 
 def _asked(rows: DataFrame, features: Sequence[str], edges: Mapping) -> DataFrame:
@@ -414,8 +433,8 @@ def held_out_scores(sets: Sequence[DataFrame], asked: DataFrame, features: Seque
     most ``HELD`` rows. What leaves a task is a sum of its trees' shares per held-out row.
     """
     features, spark = list(features), asked.sparkSession
-    packed, edges, chunks, width = _blocks(sets, features, bins, HELD, BLOCK)
-    if any(n > 1 for n in chunks.values()):
+    packed, edges, sizes, width = _blocks(sets, features, bins, None)
+    if any(n > HELD for n in sizes.values()):
         raise ValueError(f"a set has more than {HELD} rows")
     n, by_name = len(features), {f.name: f for f in fits}
     rows = _asked(asked, features, edges)
@@ -454,24 +473,46 @@ def fit_many(
 ) -> dict[str, Forest]:
     """Fit all ``fits`` together; ``sets`` come from ``boosting.row_set``. Models by name."""
     features = list(features)
-    packed, edges, chunks, width = _blocks(sets, features, bins, held, block_rows)
+    packed, edges, _, width = _blocks(sets, features, bins, block_rows)
     n = len(features)
     models = {f.name: Forest(features, [edges.get((f.rows, x), np.zeros(0)) for x in features], 0.0, []) for f in fits}
-    whole = {f.name: f for f in fits if chunks[f.rows] == 1}
+    cells = {r["set"]: r["n"] for r in packed.groupBy("set").agg(F.sum(F.octet_length("n") / 4).alias("n")).collect()}
+    whole = {f.name: f for f in fits if cells[f.rows] <= held}
+    # deep trees first, so that the last tasks are short ones
+    jobs = [(f, first) for f in sorted(whole.values(), key=lambda f: -f.settings.depth) for first in range(0, f.settings.trees, GROUP)]
+    by_set: dict[str, dict[int, list]] = {}
+    for i, (f, first) in enumerate(jobs):
+        by_set.setdefault(f.rows, {}).setdefault(first, []).append((i, min(GROUP, f.settings.trees - first)))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = boosting._unpacked(row, n)
+                for first, places in by_set[row["set"]].items():
+                    draws = np.stack([_draws(block, first + i) for i in range(max(many for _, many in places))]).astype(np.uint32)
+                    narrow = np.uint8 if draws.max(initial=0) < 256 else np.uint32
+                    for i, many in places:
+                        own = np.ascontiguousarray(draws[:many]).astype(narrow)
+                        kept = [pa.array([x], pa.binary()) for x in (row["bins"], block["y"].astype(np.uint8).tobytes(), row["w"], own.tobytes())]
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.itemsize], pa.int32()), *kept], ["place", "size", "bins", "y", "w", "draws"])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, place = [], -1
         for batch in batches:
             for row in batch.to_pylist():
-                fit, block = whole[row["name"]], boosting._unpacked(row, n)
-                for t in range(row["first"], min(row["first"] + GROUP, fit.settings.trees)):
-                    made = pickle.dumps(_of_block(block, fit, t, width[fit.rows]))
-                    yield pa.RecordBatch.from_arrays([pa.array([fit.name]), pa.array([t], pa.int32()), pa.array([made], pa.binary())], ["name", "tree", "model"])
+                place, y = row["place"], np.frombuffer(row["y"], np.uint8)
+                draws = np.frombuffer(row["draws"], np.uint8 if row["size"] == 1 else np.uint32).reshape(-1, len(y))
+                parts.append((np.frombuffer(row["bins"], np.uint8).reshape(len(y), n), y, np.frombuffer(row["w"]), draws))
+        if not parts:
+            return
+        (fit, first), block = jobs[place], {c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(("bins", "y", "w"))}
+        for i in range(len(parts[0][3])):
+            tree = _of_block(block, fit, first + i, width[fit.rows], np.concatenate([p[3][i] for p in parts]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([fit.name]), pa.array([first + i], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())], ["name", "tree", "model"])
 
     if whole:
-        jobs = [(f.name, f.rows, first, i) for i, (f, first) in enumerate((f, first) for f in whole.values() for first in range(0, f.settings.trees, GROUP))]
-        wanted = packed.sparkSession.createDataFrame(jobs, "name string, set string, first int, place int")
-        spread = packed.join(F.broadcast(wanted), "set").repartitionById(len(jobs), F.col("place"))
-        made = materialised(spread.mapInArrow(grow, "name string, tree int, model binary"))
+        drawn = packed.where(F.col("set").isin(list(by_set))).mapInArrow(dealt, "place int, size int, bins binary, y binary, w binary, draws binary")
+        made = materialised(drawn.repartitionById(len(jobs), F.col("place")).mapInArrow(grow, "name string, tree int, model binary"))
         trees: dict[str, dict[int, Tree]] = {f: {} for f in whole}
         for r in made.toLocalIterator():
             trees[r["name"]][r["tree"]] = pickle.loads(r["model"])

@@ -71,16 +71,33 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return out.withColumn(name, F.col(f"{name}_before") + 1).drop("_one", f"{name}_before")
 
 
+def _step(probs: Sequence[float]) -> float | None:
+    """The distance of a long evenly spaced list of probabilities."""
+    step = (probs[-1] - probs[0]) / (len(probs) - 1) if len(probs) >= 8 else 0.0
+    even = step and all(abs(probs[0] + i * step - q) <= step * 1e-6 for i, q in enumerate(probs))
+    return step if even else None
+
+
+def _may_serve(label: str, column: str, probs: Sequence[float]) -> str:
+    """Plain SQL that is true for every row that some probability touches, and for few others."""
+    n, before = f"`{label}_total`", f"`{label}_before`"
+    upto, step = f"({before} + `{column}`)", _step(probs)
+    if step:
+        unit, shift = f"(greatest({n} - 1, 1) * {step!r}D)", f"{probs[0] / step!r}D"
+        near = f"ceil(({before} - 3) / {unit} - {shift}) <= floor(({upto} + 2) / {unit} - {shift})"
+    else:
+        near = " OR ".join(f"(({n} - 1) * {float(q)!r}D >= {before} - 3 AND ({n} - 1) * {float(q)!r}D <= {upto} + 2)" for q in probs)
+    return f"(`{column}` > 0 AND ({n} <= 1 OR {near}))"
+
+
 def _near(probs: Sequence[float], n: str, before: str, upto: str) -> str:
     """SQL for a slice of ``probs`` that contains every probability this row can serve.
 
     Only long evenly spaced lists need it; the exact test follows either way.
     """
     wanted = "array(" + ", ".join(f"{float(q)!r}D" for q in probs) + ")"
-    if len(probs) < 8:
-        return wanted
-    step = (probs[-1] - probs[0]) / (len(probs) - 1)
-    if any(abs(probs[0] + i * step - q) > step * 1e-6 for i, q in enumerate(probs)):
+    step = _step(probs)
+    if not step:
         return wanted
     unit, shift = f"(greatest({n} - 1, 1) * {step!r}D)", f"{probs[0] / step!r}D"
     first = f"greatest(floor(({before} - 1) / {unit} - {shift}) - 1, 0)"
@@ -131,7 +148,7 @@ def quantiles_of_ranked(ranked: DataFrame, keys: Sequence[str], value: str, weig
     """``weighted_quantiles`` of value counts that have been through ``prefix_sums`` already."""
     keys = list(keys)
     pieces = ", ".join(_quantile_hits(label, column, probs) for label, column in weights.items())
-    hit = ranked.select(
+    hit = ranked.where(" OR ".join(_may_serve(label, column, probs) for label, column in weights.items())).select(
         *keys, F.col(value).alias("_v"), F.expr(f"explode(concat({pieces}))").alias("h")
     ).select(*keys, "_v", "h.*")
     ends = hit.groupBy(*keys, "weight", "q").agg(

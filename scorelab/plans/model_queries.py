@@ -24,28 +24,39 @@ def recipe(family, strategy="None", **params):
     return scoring.Recipe(family, strategy, 42, params)
 
 
-def temporal(spark, d, cutoff: str):
-    """Train: label known by the cutoff (a month); test: the half year after it."""
+def dated(features: DataFrame) -> DataFrame:
+    return features.withColumn("observable_by", F.col("orig") + F.make_interval(months=F.lit(12)))
+
+
+def temporal(spark, d, cutoff: str, features: DataFrame | None = None):
+    """Train: label known by the cutoff (a month); test: the half year after it. ``features``: the dated loans, if they are there already."""
     at = F.lit(f"{cutoff}-01").cast("timestamp")
-    f = loan_features(spark, d).withColumn("observable_by", F.col("orig") + F.make_interval(months=F.lit(12)))
+    f = dated(loan_features(spark, d)) if features is None else features
     train = F.col("observable_by") <= at
     test = (F.col("orig") >= at) & (F.col("orig") < at + F.make_interval(months=F.lit(6)))
     return f.where(train | test), train, test
 
 
-def per_cutoff(spark, d, judged: Callable[[scoring.Prepared, Column, Column], DataFrame], folds=None, finals=(), at_once: int = 1) -> DataFrame:
-    """The results of ``judged(prepared, train, test)`` for every cutoff; tables are prepared side by side.
+def per_cutoff(spark, d, judged: Callable[[scoring.Prepared, Column, Column], DataFrame], folds=None, finals=()) -> DataFrame:
+    """The results of ``judged(prepared, train, test)`` for every cutoff; the loans are read and joined once, tables are prepared side by side.
 
-    The final fits of the recipes ``finals`` are one plan for all cutoffs. ``at_once`` cutoffs are judged at the same time.
+    The final fits of the recipes ``finals`` are one plan for all cutoffs; then the cutoffs are judged side by side.
     """
+    features = materialised(dated(loan_features(spark, d)))
+    cut = {c: temporal(spark, d, c, features) for c in CUTOFFS}
+    # without folds the statistics of all cutoffs are one sort
+    stats = scoring.statistics_of(features, ROLES, {c: train for c, (_, train, _) in cut.items()}) if folds is None else {}
+
     def prepared(cutoff):
-        rows, train, test = temporal(spark, d, cutoff)
-        return scoring.prepare(rows, ROLES, folds, train), train, test
+        rows, train, test = cut[cutoff]
+        return scoring.prepare(rows, ROLES, folds, train, stats.get(cutoff)), train, test
 
     parts = scoring.side_by_side([lambda c=c: prepared(c) for c in CUTOFFS])
-    scoring.fit_together([(p, recipe, train) for p, train, _ in parts for recipe in finals])
+    if finals:
+        scoring.fit_together([(p, recipe, train) for p, train, _ in parts for recipe in finals])
+        scoring.final_scores(parts[0][0], finals[0], *parts[0][1:])
     tables = [lambda c=c, x=x: materialised(judged(*x).select(F.lit(c).alias("cutoff"), "*")) for c, x in zip(CUTOFFS, parts)]
-    return summary.stack_tables(scoring.side_by_side(tables, at_once))
+    return summary.stack_tables(scoring.side_by_side(tables))
 
 
 @query("oof_scores")
@@ -134,7 +145,7 @@ def strategy_ablation(spark, d):
     def judged(p, train, test):
         return scoring.strategy_ablation(p, folds, [recipe("logistic"), recipe("forest")], list(resample.STRATEGIES), train, test)
 
-    return per_cutoff(spark, d, judged, folds, at_once=len(CUTOFFS))
+    return per_cutoff(spark, d, judged, folds)
 
 
 @query("one_hot_columns", with_sql(SQL_FEATURES) + """, long AS (SELECT fold, 'segment' AS feature, segment AS level FROM feats UNION ALL SELECT fold, 'priority', priority FROM feats),
