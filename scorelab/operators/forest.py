@@ -394,7 +394,7 @@ def _edges(sets: DataFrame, features: Sequence[str], bins: int) -> dict[tuple[st
 def _blocks(sets: Sequence[DataFrame], features: Sequence[str], bins: int, block_rows: int | None):
     """Packed rows, cuts, rows and bins by set; a set is one block without ``block_rows``."""
     wide = ["_set", "y", *features, "_w", F.lit(False).alias("_stop"), "_k0", "_k1"]
-    every = materialised(boosting._stacked([s.select(*wide) for s in sets]))
+    every = boosting._stacked([s.select(*wide) for s in sets])
     edges = _edges(every, features, bins)
     sizes = {r["_set"]: r["count"] for r in every.groupBy("_set").count().collect()}
     chunks = {name: 1 if block_rows is None else -(-n // block_rows) for name, n in sizes.items()}

@@ -14,7 +14,7 @@ from scorelab.plans.base import SQL_SCORES, query, r, scores, table, tidy, with_
 from scorelab.plans.data_queries import CUTOFFS, SQL_FEATURES, SQL_FORWARD, loan_features, periods
 from scorelab.operators.features import period_features
 from scorelab.plans.metric_queries import SQL_CURVE
-from scorelab.session import materialised, scratch_path
+from scorelab.session import materialised, scratch_path, stored
 from scorelab.sources import sinks
 
 ROLES = scoring.Roles(("total", "balance", "months"), ("total", "balance"), ("segment", "priority"))
@@ -42,7 +42,7 @@ def per_cutoff(spark, d, judged: Callable[[scoring.Prepared, Column, Column], Da
 
     The final fits of the recipes ``finals`` are one plan for all cutoffs; then the cutoffs are judged side by side.
     """
-    features = materialised(dated(loan_features(spark, d)))
+    features = stored(dated(loan_features(spark, d)), "loans")
     cut = {c: temporal(spark, d, c, features) for c in CUTOFFS}
     # without folds the statistics of all cutoffs are one sort
     stats = scoring.statistics_of(features, ROLES, {c: train for c, (_, train, _) in cut.items()}) if folds is None else {}
@@ -197,7 +197,7 @@ tree AS (
 
 
 def _first_tree(spark, d):
-    rows = loan_features(spark, d).select(F.col("row_id").cast("string").alias("id"), "row_id", "y", *[F.expr(e).cast("double").alias(n) for n, e in TREE_INPUTS.items()])
+    rows = stored(loan_features(spark, d).select(F.col("row_id").cast("string").alias("id"), "row_id", "y", *[F.expr(e).cast("double").alias(n) for n, e in TREE_INPUTS.items()]), "loans")
     model = boosting.fit_many([boosting.row_set(rows, "all")], list(TREE_INPUTS), [boosting.Fit("first", "all", FIRST)])["first"]
     return rows, model
 
@@ -269,7 +269,7 @@ def boost_stops(spark, d):
     rows = loan_features(spark, d).select(F.col("row_id").cast("string").alias("id"), "y", (F.col("row_id") % 7 == 0).alias("_stop"),
                                           *[F.expr(e).cast("double").alias(n) for n, e in TREE_INPUTS.items()])
     ways = {g: boosting.Settings(g, rounds=400, depth=3, rate=0.3, leaves=6, patience=5) for g in ("leaf", "level", "symmetric")}
-    models = boosting.fit_many([boosting.row_set(rows, "all")], list(TREE_INPUTS), [boosting.Fit(g, "all", w) for g, w in ways.items()])
+    models = boosting.fit_many([boosting.row_set(stored(rows, "loans"), "all")], list(TREE_INPUTS), [boosting.Fit(g, "all", w) for g, w in ways.items()])
     out = [(g, m.rounds < 400, len(m.trees) == m.rounds - 5 and max(m.history) == m.history[len(m.trees) - 1]) for g, m in models.items()]
     return spark.createDataFrame(out, "growth string, stops_early boolean, keeps_best boolean")
 

@@ -1,5 +1,7 @@
 """Rows of equal bins are one cell: fits cost what their cells cost, and the loans are read once for all cutoffs."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,28 @@ def test_a_set_of_few_cells_needs_no_job_a_level(rows, monkeypatch):
     assert np.allclose(one.scores(x), boosting.fit_many(sets, names, [fit], block_rows=4000)["b"].scores(x))
 
 
+def test_margins_that_newer_ones_replace_are_deleted(rows, monkeypatch):
+    """Blocks are not written again with the margins, and at most two tables of margins lie in the checkpoint folder."""
+    sets, names = [boosting.row_set(rows, "s")], ["a", "b", "c"]
+    fit = boosting.Fit("b", "s", boosting.Settings("leaf", rounds=6, depth=3, leaves=5, rows=0.7, rate=0.3))
+    one = boosting.fit_many(sets, names, [fit])["b"]
+    monkeypatch.setattr(boosting, "CUT", 1)
+    monkeypatch.setattr(boosting, "KEYS", 100)  # its rows are drawn, and their keys too many for a task
+    seen, superseded = [], boosting._superseded
+
+    def watched(context, old, new):
+        out = superseded(context, old, new)
+        folder = new.removeprefix("file:")
+        seen.append((old is None or old == new or not os.path.exists(old.removeprefix("file:")), sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder))))
+        return out
+
+    monkeypatch.setattr(boosting, "_superseded", watched)
+    many = boosting.fit_many(sets, names, [fit], block_rows=4000)["b"]
+    x = np.array(rows.select(*names).limit(500).collect())
+    assert np.allclose(one.scores(x), many.scores(x))
+    assert len(seen) >= 5 and all(gone for gone, _ in seen) and max(size for _, size in seen) < 30_000  # 432 margins, not 20,000 rows
+
+
 def test_a_cell_of_many_rows_is_dealt_in_pieces():
     n = 30_000
     rows = {"bins": np.zeros((n, 2), np.uint8), "y": np.arange(n) % 2 * 1.0, "w": np.ones(n), "stop": np.zeros(n, bool), "n": np.ones(n, np.uint32),
