@@ -68,10 +68,10 @@ SQL_LINE_ID = (
 )
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_id, model, row_id, y, p: three deterministic scores per line item."""
+def wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, row_id, y and the three scores of a line item side by side."""
     li = table(spark, sf_dir, "lineitem")
-    wide = li.select(
+    return li.select(
         F.concat(F.lit("run_"), "l_linestatus").alias("run_id"),
         line_id().alias("row_id"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
@@ -79,7 +79,11 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_extendedprice") / (F.col("l_extendedprice") + 30000.0)).alias("price"),
         ((F.col("l_quantity") + F.col("l_tax") * 100.0) / 59.0).alias("qty"),
     )
-    return wide.unpivot(["run_id", "row_id", "y"], list(MODELS), "model", "p")
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, model, row_id, y, p: three deterministic scores per line item."""
+    return wide_scores(spark, sf_dir).unpivot(["run_id", "row_id", "y"], list(MODELS), "model", "p")
 
 
 SQL_SCORES = f"""wide AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scorelab.functions.grids import FAIRNESS
 from scorelab.functions.hashing import MIX_32, STEP_32
 from scorelab.operators import bootstrap, fairness, metrics, thresholds
-from scorelab.plans.base import SQL_LINE_ID, SQL_SCORES, line_id, query, r, scores, table, tidy, with_sql
+from scorelab.plans.base import MODELS, SQL_LINE_ID, SQL_SCORES, line_id, query, r, table, tidy, wide_scores, with_sql
 
 GROUPS = ["priority", "segment"]
 GRID = f"grid AS (SELECT i, {FAIRNESS.start!r}::DOUBLE + i * {FAIRNESS.step!r}::DOUBLE AS t FROM range({FAIRNESS.size}) g(i))"
@@ -23,7 +23,8 @@ def grouped(spark, d):
         .join(c, F.col("o_custkey") == F.col("c_custkey"))
         .select("row_id", F.col("o_orderpriority").alias("priority"), seg.alias("segment"))
     )
-    return scores(spark, d).join(g, "row_id")
+    # the three scores of a line move together
+    return wide_scores(spark, d).join(g, "row_id").unpivot(["row_id", "run_id", "y", "priority", "segment"], list(MODELS), "model", "p")
 
 
 SQL_GROUPED = SQL_SCORES + f""",

@@ -97,3 +97,14 @@ def test_only_rows_near_a_quantile_are_looked_at(spark, probs):
     assert np.allclose([found[q] for q in probs], np.quantile(values, probs))
     ranked = spark.range(100_000).select((F.col("id")).alias("x_before"), F.lit(1).alias("n"), F.lit(100_000).alias("x_total"))
     assert ranked.where(ordering._may_serve("x", "n", probs)).count() < 8 * len(probs)
+
+
+def test_the_scores_of_a_line_move_together(spark):
+    """The join of scores and groups sees one row a line, not one per model."""
+    from scorelab.plans import base, fairness_queries
+
+    d = "/root/testdata/sf0.001"
+    got = fairness_queries.grouped(spark, d)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("Join")  # models come after the join
+    assert got.groupBy("model").count().count() == 3 and got.select("row_id", "model").distinct().count() == base.scores(spark, d).select("row_id", "model").distinct().count()
